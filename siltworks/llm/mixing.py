@@ -64,7 +64,7 @@ def mix_sources(
     a source of its own, after all others. Documents of size 0 take 0 words and count as taken in the whole
     epochs only. The seeded order hashes doc_id and seed; ties (repeated ids) fall in any order among
     themselves, with the same rows as a set. An empty table gives no rows. A source's words differ from its
-    target by less than its largest document.
+    target by less than half of one document.
     """
     names = ("size", "source_size", "target", "taken", "copies")
     first = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
@@ -80,13 +80,24 @@ def mix_sources(
     running = Window.partitionBy("source").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     stretches = stretches.select(F.col("source").alias("s"), F.col("stretch").alias("t"), F.coalesce(F.sum("stretch_size").over(running), F.lit(0)).alias("before"))
     placed = dealt.join(stretches, dealt["source"].eqNullSafe(F.col("s")) & (dealt["stretch"] == F.col("t")))
-    inside = Window.partitionBy("source", "stretch").orderBy("turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
+    inside = Window.partitionBy("source", "stretch").orderBy("turn", "doc_id", "size")
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("before") + F.coalesce(F.sum("size").over(earlier), F.lit(0))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    rest = F.col("target") - epochs * F.col("source_size")
-    # Once more if at least half of the document lies before the end of the fraction.
-    extra = F.when((F.col("size") > 0) & (start + F.col("size") / 2.0 <= rest), F.lit(1)).otherwise(F.lit(0))
-    mixed = placed.withColumn("copies", epochs + extra).withColumn("taken", F.col("copies") * F.col("size"))
+    placed = placed.select("doc_id", "source", "size", "source_size", "target", "stretch", epochs.alias("epochs"), (start).alias("start"), F.row_number().over(inside).alias("place"))
+    placed = materialise(placed.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")))
+
+    # The document across the end of the fraction leaves a gap; of its stretch's documents that aren't in the
+    # fraction, the one whose size is nearest to the gap enters, or none if that leaves less.
+    across = placed.filter((F.col("size") > 0) & (F.col("start") < F.col("rest")) & (F.col("start") + F.col("size") > F.col("rest")))
+    across = across.select(F.col("source").alias("s"), F.col("stretch").alias("t"), (F.col("rest") - F.col("start")).alias("gap"))
+    outside = placed.join(across, placed["source"].eqNullSafe(F.col("s")) & (placed["stretch"] == F.col("t"))).filter(F.col("start") + F.col("size") > F.col("rest"))
+    off = F.abs(F.col("size") - F.col("gap"))
+    last = outside.filter(off < F.col("gap")).groupBy("s", "t").agg(F.min(F.struct(off, "place"))["place"].alias("p"))
+    marked = placed.join(last, placed["source"].eqNullSafe(F.col("s")) & (F.col("stretch") == F.col("t")) & (F.col("place") == F.col("p")), "left")
+    within = (F.col("size") > 0) & (F.col("start") + F.col("size") <= F.col("rest"))
+    extra = F.when(within | F.col("p").isNotNull(), F.lit(1)).otherwise(F.lit(0))
+    mixed = marked.withColumn("copies", F.col("epochs") + extra).withColumn("taken", F.col("copies") * F.col("size"))
     mixed = mixed.select("doc_id", *names)
     if not keep_text:
         return mixed
