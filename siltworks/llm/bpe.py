@@ -26,7 +26,7 @@ _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc
 PRETOKEN = re.compile(f"'(?:[sdmt]|ll|ve|re)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
 #: Pre-tokens remembered by one Python worker at most, and the longest one that is remembered.
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 64
+CACHE_ENTRIES, CACHE_CHARS = 1_000_000, 40
 
 
 @lru_cache(maxsize=1)
@@ -44,21 +44,27 @@ def tokenizer_file(name: str) -> str:
 
 
 class BoundedCache(dict):
-    """Values by pre-token; ``make`` computes the missing ones. ``trim`` keeps it within CACHE_ENTRIES."""
+    """Values by pre-token; ``make`` computes the missing ones. It keeps CACHE_ENTRIES and one text's at most."""
 
     def __init__(self, make):
         super().__init__()
         self.make = make
 
-    def __missing__(self, key):
-        value = self.make(key)
-        if len(key) <= CACHE_CHARS:
-            self[key] = value
-        return value
-
-    def trim(self):
-        if len(self) > CACHE_ENTRIES:
-            self.clear()
+    def all(self, keys: list) -> list:
+        """The values of ``keys``: one pass of plain look-ups, then those that are missing."""
+        values = list(map(self.get, keys))
+        if None in values:
+            if len(self) > CACHE_ENTRIES:
+                self.clear()
+            for i, value in enumerate(values):
+                if value is None:
+                    key = keys[i]
+                    if (value := self.get(key)) is None:
+                        value = self.make(key)
+                        if len(key) <= CACHE_CHARS:
+                            self[key] = value
+                    values[i] = value
+        return values
 
 
 class Splitter:
@@ -135,11 +141,9 @@ class MergeCounter(Splitter):
         parts, total = self.segments(text)
         for part in parts:
             if _OTHER.search(part):
-                total += sum(map(self.mapped.__getitem__, [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(part)]))
+                total += sum(self.mapped.all([p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(part)]))
             else:
-                total += sum(map(self.plain.__getitem__, PRETOKEN.findall(part)))
-        self.plain.trim()
-        self.mapped.trim()
+                total += sum(self.plain.all(PRETOKEN.findall(part)))
         return total
 
 

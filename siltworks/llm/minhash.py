@@ -64,8 +64,7 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    codes = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-    _WORDS.trim()
+    codes = np.array(_WORDS.all(words), np.uint64)
     n, out = max(1, len(codes) - size + 1), np.zeros(1, np.uint64)
     for i in range(min(size, len(codes))):
         out = mix(out * _M2 + codes[i : i + n], i)

@@ -42,9 +42,7 @@ class Encoder(Splitter):
     def ids(self, text: str) -> bytes:
         if _OTHER.search(text) or self.segments(text)[1]:
             return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
-        out = b"".join(map(self.words.__getitem__, PRETOKEN.findall(text)))
-        self.words.trim()
-        return out
+        return b"".join(self.words.all(PRETOKEN.findall(text)))
 
 
 @lru_cache(maxsize=2)
