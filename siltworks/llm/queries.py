@@ -6,9 +6,10 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siltworks.llm import bpe, embeddings, lines, minhash, mixing, packing
-from siltworks.llm.common import table
+from siltworks.llm import bpe, embeddings, lines, minhash, mixing, packing, toxicity
+from siltworks.llm.common import crc_bucket, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -73,3 +74,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_best_fit_packing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op9_compression_toxicity")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit_table(docs, labels, crc_bucket(F.col("doc_id"), 3) != 1)
+    scored = toxicity.score_toxicity(docs.select("doc_id", "text"), model)
+    held_out = F.coalesce(crc_bucket(F.col("doc_id"), 3) == 1, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
