@@ -44,17 +44,17 @@ def tokenizer_file(name: str) -> str:
 
 
 class BoundedCache(dict):
-    """Values by pre-token; ``make`` computes the missing ones. It keeps CACHE_ENTRIES and one text's at most."""
+    """Values by pre-token; ``make`` computes the missing ones. It keeps ``entries`` and one text's at most."""
 
-    def __init__(self, make):
+    def __init__(self, make, entries: int = CACHE_ENTRIES):
         super().__init__()
-        self.make = make
+        self.make, self.entries = make, entries
 
     def all(self, keys: list) -> list:
         """The values of ``keys``: one pass of plain look-ups, then those that are missing."""
         values = list(map(self.get, keys))
         if None in values:
-            if len(self) > CACHE_ENTRIES:
+            if len(self) > self.entries:
                 self.clear()
             for i, value in enumerate(values):
                 if value is None:

@@ -38,16 +38,24 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and return a reader of it.
 
     It cuts the lineage like ``checkpoint()`` does, without computing the plan twice; the files survive
-    the loss of any executor.
+    the loss of any executor. Shuffle files of the plan just written are of no more use: a collection of the
+    driver's garbage lets Spark's cleaner remove them now instead of some time later.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/siltworks-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def is_empty(df: DataFrame) -> bool:
-    return not df.take(1)
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` wrote and that nothing will read again."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def word_count(text: Column) -> Column:

@@ -16,23 +16,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltworks.llm.common import materialise
+from siltworks.llm.common import discard, materialise
 
-SPACE = r"[\x20\x09-\x0D]+"
 #: Lines shorter than this are near only if equal: one word of five is a fifth.
 MIN_WORDS = 5
+#: Line numbers take the low decimal digits of a place.
+_PER_DOCUMENT = 10**10
 
 
-def _words(line: Column) -> Column:
-    return F.filter(F.split(line, SPACE), lambda w: w != "")
-
-
-def _line_key(words: Column) -> Column:
-    return F.unhex(F.md5(F.array_join(words, " ").cast("binary")))
+def _tidy(line: Column) -> Column:
+    """The line without white space around it, all white space as blanks."""
+    return F.trim(F.translate(line, "\t\x0b\x0c\r\n", "     "))
 
 
-#: Line numbers take the low decimal digits of a place.
-_PER_DOCUMENT = 10**10
+def _words(tidy: Column) -> Column:
+    return F.split(tidy, " +")
 
 
 def _place(key: str, line_no: str) -> Column:
@@ -49,73 +47,83 @@ def _place_line(place: str) -> Column:
 
 
 def _lines(docs: DataFrame, separator: str) -> DataFrame:
-    """A row per distinct line with words: line_key, place (of its earliest copy), n (words), hashes of its halves."""
+    """A row per distinct line with words: document and number of its earliest copy, hashes of its halves.
+
+    Lines are equal if two 64-bit hashes of their words agree.
+    """
     lines = docs.filter("text is not null").select("_key", F.posexplode(F.split("text", separator)).alias("line_no", "line"))
-    lines = lines.select(_place("_key", "line_no").alias("place"), _words(F.col("line")).alias("words")).filter(F.size("words") > 0)
+    lines = lines.select(_place("_key", "line_no").alias("place"), _tidy(F.col("line")).alias("line")).filter("line <> ''")
+    lines = lines.withColumn("words", _words(F.col("line"))).withColumn("line", F.when(F.col("line").contains("  "), F.array_join("words", " ")).otherwise(F.col("line")))
     n = F.size("words")
     # A line meets lines with as many words, one more, or one fewer: half of the shorter one's words.
     low, high = F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")
     first = lambda k: F.xxhash64(F.lit(0), k, F.slice("words", 1, k))
     last = lambda k: F.xxhash64(F.lit(1), k, F.slice("words", n - k + 1, k))
-    odd = n % 2 == 1
     # A line of one word less than min_words can still meet one of min_words.
-    long_enough = n >= MIN_WORDS - 1
+    long_enough, even = n >= MIN_WORDS - 1, n % 2 == 0
     keyed = lines.select(
-        _line_key(F.col("words")).alias("line_key"), "place", n.alias("n"),
+        F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"), "place",
         F.when(long_enough, first(low)).alias("h0"), F.when(long_enough, last(low)).alias("h1"),
-        F.when(long_enough & ~odd, first(high)).alias("h2"), F.when(long_enough & ~odd, last(high)).alias("h3"),
+        F.when(long_enough & even, first(high)).alias("h2"), F.when(long_enough & even, last(high)).alias("h3"),
     )
-    return keyed.groupBy("line_key", "n", "h0", "h1", "h2", "h3").agg(F.min("place").alias("place"))
+    distinct = keyed.groupBy("k1", "k2", "h0", "h1", "h2", "h3").agg(F.min("place").alias("place"))
+    return distinct.select(_place_key("place").alias("_key"), _place_line("place").alias("line_no"), "h0", "h1", "h2", "h3")
 
 
 def _variant_keys(words: DataFrame) -> DataFrame:
-    """line_key, place, n, key of each variant; ``words`` holds line_key, place, n, i (from 0), word."""
-    own, shifted = F.xxhash64("i", "word"), F.xxhash64(F.col("i") - 1, "word")
-    z = words.withColumns({"own": own, "shifted": shifted})
-    line = Window.partitionBy("line_key")
-    before = line.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    upto = line.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole, all_shifted = F.expr("bit_xor(own)").over(line), F.expr("bit_xor(shifted)").over(line)
-    zero = F.lit(0).cast("long")
-    z = z.select(
-        "line_key", "place", "n", "i", whole.alias("whole"), whole.bitwiseXOR(F.col("own")).alias("changed"),
-        F.coalesce(F.expr("bit_xor(own)").over(before), zero).bitwiseXOR(all_shifted).bitwiseXOR(F.expr("bit_xor(shifted)").over(upto)).alias("gone"),
-    )
-    # Kinds of key: one word changed at i (0); the words left when one is gone, or the line whole (1).
-    changed = F.xxhash64(F.lit(0), F.col("n"), "i", "changed")
-    gone = F.xxhash64(F.lit(1), F.col("n") - 1, "gone")
-    keys = F.when(F.col("n") >= MIN_WORDS, F.array(F.struct(changed.alias("key"), F.lit(0).alias("kind")), F.struct(gone.alias("key"), F.lit(1).alias("kind")))).otherwise(F.array().cast("array<struct<key:bigint,kind:int>>"))
-    keys = F.when(F.col("i") == 0, F.concat(keys, F.array(F.struct(F.xxhash64(F.lit(1), "n", "whole").alias("key"), F.lit(2).alias("kind"))))).otherwise(keys)
-    return z.select("line_key", "place", F.inline(keys)).distinct()
+    """key, _key, tag of each variant, tag = 4 * line_no + kind; ``words`` holds _key, line_no, n, i (from 0), word.
+
+    Kinds: one word changed at i (0), one word gone (1), the line whole (2).
+    """
+    z = words.select("_key", "line_no", "n", "i", F.xxhash64("i", "word").alias("own"), F.xxhash64(F.col("i") - 1, "word").alias("shifted"))
+    line = Window.partitionBy("_key", "line_no").orderBy("i")
+    whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    upto = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    xor = lambda c, w: F.expr(f"bit_xor({c})").over(w)
+    z = z.select("_key", "line_no", "n", "i", "own", "shifted", xor("own", whole).alias("all_own"), xor("shifted", whole).alias("all_shifted"), xor("own", upto).alias("upto_own"), xor("shifted", upto).alias("upto_shifted"))
+    changed = F.xxhash64(F.lit(0), "n", "i", F.col("all_own").bitwiseXOR(F.col("own")))
+    # Words before i as they are, words after i one place to the left.
+    gone = F.xxhash64(F.lit(1), F.col("n") - 1, F.col("upto_own").bitwiseXOR(F.col("own")).bitwiseXOR(F.col("all_shifted")).bitwiseXOR(F.col("upto_shifted")))
+    variant = lambda key, kind: F.struct(key.alias("key"), (F.col("line_no") * 4 + kind).alias("tag"))
+    some = F.when(F.col("n") >= MIN_WORDS, F.array(variant(changed, 0), variant(gone, 1))).otherwise(F.array().cast("array<struct<key:bigint,tag:int>>"))
+    some = F.when(F.col("i") == 0, F.concat(some, F.array(variant(F.xxhash64(F.lit(1), "n", "all_own"), 2)))).otherwise(some)
+    return z.select("_key", F.inline(some))
 
 
 def _near_lines(docs: DataFrame, distinct: DataFrame, separator: str) -> DataFrame:
-    """line_key of the lines that have a near line at an earlier place."""
-    halves = distinct.select("line_key", F.explode(F.array("h0", "h1", "h2", "h3")).alias("half")).filter("half is not null")
+    """_key, line_no of the distinct lines that have a near line at an earlier place."""
+    halves = distinct.select("_key", "line_no", F.explode(F.array("h0", "h1", "h2", "h3")).alias("half")).filter("half is not null")
     shared = halves.groupBy("half").agg(F.count("*").alias("members")).filter("members > 1").select("half")
-    suspects = materialise(distinct.join(halves.join(shared, "half").select("line_key").distinct(), "line_key", "left_semi").select("line_key", "place", "n"))
+    wanted = materialise(halves.join(shared, "half").groupBy("_key").agg(F.array_distinct(F.collect_list("line_no")).alias("numbers")))
 
-    # The words of a suspect, from its earliest copy; one pass over the texts that hold any.
-    wanted = suspects.groupBy(_place_key("place").alias("_key")).agg(F.collect_list(_place_line("place")).alias("numbers"))
+    # The words of the suspects; one pass over the texts.
     texts = docs.select("_key", F.split("text", separator).alias("lines")).join(wanted, "_key")
-    texts = texts.select("_key", F.explode(F.expr("transform(numbers, k -> struct(k as line_no, get(lines, k) as line))")).alias("l")).select("_key", "l.*")
-    texts = texts.select(_place("_key", "line_no").alias("place"), _words(F.col("line")).alias("words")).filter("words is not null")
-    texts = materialise(texts.select(_line_key(F.col("words")).alias("line_key"), "place", F.size("words").alias("n"), "words").dropDuplicates(["line_key", "place"]))
-
-    variants = materialise(_variant_keys(texts.select("line_key", "place", "n", F.posexplode("words").alias("i", "word"))))
+    texts = texts.select("_key", F.explode(F.expr("transform(numbers, k -> struct(k as line_no, get(lines, k) as line))")).alias("l"))
+    texts = texts.select("_key", "l.line_no", _tidy(F.col("l.line")).alias("line")).filter("line <> ''").select("_key", "line_no", _words(F.col("line")).alias("words"))
+    texts = materialise(texts)
+    discard(wanted)
+
+    variants = materialise(_variant_keys(texts.select("_key", "line_no", F.size("words").alias("n"), F.posexplode("words").alias("i", "word"))))
+    several = variants.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
+    met = variants.join(several, "key").select("key", (F.col("tag") % 4).alias("kind"), "_key", F.floor(F.col("tag") / 4).cast("int").alias("line_no"))
+    met = materialise(met.withColumn("place", _place("_key", "line_no")).drop("_key", "line_no"))
+    discard(variants)
     least = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("place"))).alias(f"m{kind}")
-    groups = variants.groupBy("key").agg(least(0), least(1), least(2), F.count("*").alias("members")).filter("members > 1")
+    groups = met.groupBy("key").agg(least(0), least(1), least(2))
     witness = F.when(F.col("kind") == 0, F.col("m0")).when(F.col("kind") == 1, F.col("m2")).otherwise(F.col("m1"))
-    pairs = variants.join(groups, "key").select("line_key", "place", witness.alias("witness")).filter("witness < place").distinct()
+    pairs = met.join(groups, "key").select("place", witness.alias("witness")).filter("witness < place").distinct()
 
     # The edit distance itself, on the words.
-    mine, theirs = texts.select("line_key", "place", F.col("words").alias("a")), texts.select(F.col("place").alias("witness"), F.col("words").alias("b"))
-    both = pairs.join(mine, ["line_key", "place"]).join(theirs, "witness")
+    placed = texts.select(_place("_key", "line_no").alias("place"), "words")
+    both = pairs.join(placed.withColumnRenamed("words", "a"), "place").join(placed.select(F.col("place").alias("witness"), F.col("words").alias("b")), "witness")
     longer, shorter = F.when(F.size("a") >= F.size("b"), F.col("a")).otherwise(F.col("b")), F.when(F.size("a") >= F.size("b"), F.col("b")).otherwise(F.col("a"))
-    both = both.select("line_key", longer.alias("x"), shorter.alias("y")).withColumn("at", F.expr("array_position(zip_with(x, y, (p, q) -> not(p <=> q)), true)").cast("int"))
+    both = both.select("place", longer.alias("x"), shorter.alias("y")).withColumn("at", F.expr("array_position(zip_with(x, y, (p, q) -> not(p <=> q)), true)").cast("int"))
     same_after = lambda skip: F.slice("x", F.col("at") + 1, F.size("x")) == F.slice("y", F.col("at") + skip, F.size("x"))
     one_edit = F.when(F.size("x") == F.size("y"), same_after(1)).when(F.size("x") == F.size("y") + 1, same_after(0)).otherwise(F.lit(False))
-    return both.filter((F.size("x") >= MIN_WORDS) & (F.col("at") > 0) & one_edit).select("line_key").distinct()
+    near = both.filter((F.size("x") >= MIN_WORDS) & (F.col("at") > 0) & one_edit).select("place").distinct()
+    near = materialise(near.select(_place_key("place").alias("_key"), _place_line("place").alias("line_no")))
+    discard(texts, met)
+    return near
 
 
 def dedup_lines(docs: DataFrame, separator: str = "\n") -> DataFrame:
@@ -131,11 +139,11 @@ def dedup_lines(docs: DataFrame, separator: str = "\n") -> DataFrame:
     docs = docs.withColumn("_key", F.coalesce("doc_id", F.lit(2**63 - 1)))
     narrow = docs.select("_key", "text")
     distinct = materialise(_lines(narrow, separator))
-    kept = distinct.join(_near_lines(narrow, distinct, separator), "line_key", "left_anti")
-    kept = kept.groupBy(_place_key("place").alias("_key")).agg(F.collect_list(_place_line("place")).alias("_kept"))
+    kept = distinct.select("_key", "line_no").join(_near_lines(narrow, distinct, separator), ["_key", "line_no"], "left_anti")
+    kept = kept.groupBy("_key").agg(F.collect_list("line_no").alias("_kept"))
     out = docs.drop("n_lines", "n_kept").join(kept, "_key", "left")
-    lines = F.split("text", separator)
-    out = out.withColumn("_lines", lines).withColumn("_blank", F.expr(r"filter(transform(_lines, (l, i) -> if(l rlike '[^\\x20\\x09-\\x0D]', null, i)), i -> i is not null)"))
+    out = out.withColumn("_lines", F.split("text", separator))
+    out = out.withColumn("_blank", F.expr(r"filter(transform(_lines, (l, i) -> if(trim(translate(l, '\t\u000b\f\r\n', '     ')) = '', i, null)), i -> i is not null)"))
     out = out.withColumn("_stay", F.array_sort(F.array_union(F.coalesce("_kept", F.array().cast("array<int>")), "_blank")))
     out = out.withColumn("_out", F.expr("filter(transform(_stay, k -> get(_lines, k)), l -> l is not null)"))
     size = lambda c: F.when(F.col("text").isNull(), 0).otherwise(F.size(c)).cast("long")

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltworks.llm import bpe, embeddings, lines, minhash, mixing, packing, toxicity
+from siltworks.llm import bpe, embeddings, language, lines, minhash, mixing, packing, toxicity
 from siltworks.llm.common import crc_bucket, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,14 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_embeddings(table(spark, sf_dir, "embeddings"))
 
 
+@query("op5_language_mixture")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), F.coalesce(crc_bucket(F.col("doc_id"), 4) == 2, F.lit(False))
+    model = language.fit_languages(docs, crc_bucket(F.col("doc_id"), 4) != 2)
+    found = language.predict_languages(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 @query("op6_token_counts")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_report(table(spark, sf_dir, "documents"))
