@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltworks.llm import bpe, embeddings, language, lines, minhash, mixing, packing, toxicity
+from siltworks.llm import bpe, embeddings, fingerprints, language, lines, minhash, mixing, packing, toolcalls, toxicity
 from siltworks.llm.common import crc_bucket, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_embeddings(table(spark, sf_dir, "embeddings"))
 
 
+@query("op4_imatch_fingerprints")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_report(table(spark, sf_dir, "documents"))
+
+
 @query("op5_language_mixture")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), F.coalesce(crc_bucket(F.col("doc_id"), 4) == 2, F.lit(False))
@@ -91,3 +96,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score_toxicity(docs.select("doc_id", "text"), model)
     held_out = F.coalesce(crc_bucket(F.col("doc_id"), 3) == 1, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op10_tool_call_linking", toolcalls.ORACLE_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toolcalls.chat_report(table(spark, sf_dir, "conversations"))
