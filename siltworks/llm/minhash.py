@@ -6,10 +6,9 @@ collision-corrected Jaccard estimate of two sketches drops hopeless ones, and th
 their full shingle sets.
 
 Only connectivity has to be exact, so no bucket is expanded into all its pairs. Equal sets collapse into one
-class. Each bucket first links its members to its least one. Buckets whose other members still lie in several
-components compare those across components: small buckets by pairs, larger ones after a split by each of the
-other bands (two similar documents that share one band share another with near certainty), and what a split
-leaves large in blocks of bounded size.
+class. Each bucket first links its members to its least one. What then still lies in several components of a
+bucket is compared inside a task, in blocks of bounded size: sketches first, full sets of those with hope, and
+only members of different components. A task reports the links that join components, at most one per member.
 """
 
 from __future__ import annotations
@@ -21,11 +20,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltworks.llm.bpe import BoundedCache
-from siltworks.llm.common import materialise
+from siltworks.llm.common import discard, materialise
 from siltworks.llm.components import connected_components
 
 #: 42 bands of 6: two sets of similarity 0.8 miss all bands with probability (1 - 0.8 ** 6) ** 42 = 3e-6.
@@ -36,10 +36,8 @@ MANTISSA_BITS = 10
 COLLISION = 2.0**-MANTISSA_BITS / 3
 #: Standard deviations by which a sketch's estimate may fall short of the threshold.
 MARGIN = 5.0
-#: Members of a bucket that are compared by pairs, and those of a block.
-SMALL_BUCKET, BLOCK = 48, 1024
-#: Splits by other bands before blocks.
-SPLITS = 2
+#: Members of a block of a bucket; rows of the group of blocks that a task takes at once.
+BLOCK, CELL_ROWS = 512, 4096
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
@@ -124,24 +122,26 @@ def hopeful(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
     return estimate >= threshold - MARGIN * np.sqrt(threshold * (1 - threshold) / np.maximum(either, 1))
 
 
-SKETCH_SCHEMA = "doc_id long, n_shingles long, set_key binary, sketch binary, bands array<long>"
+SKETCH_SCHEMA = "doc_id long, n_shingles long, set_key binary, sketch binary, bands array<long>, packed binary"
 
 
 def sketched(docs: DataFrame, size: int) -> DataFrame:
-    """n_shingles, the 128-bit key of the set, registers and band keys of each document."""
+    """n_shingles, the 128-bit key of the set, registers, band keys and the packed text of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            ids, sizes, keys, sketches, bands = batch.column(0), [], [], [], []
-            for text in batch.column(1):
-                hashes = shingle_set(text.as_py(), size)
+            ids, sizes, keys, sketches, bands, packed = batch.column(0), [], [], [], [], []
+            for text in batch.column(1).to_pylist():
+                hashes = shingle_set(text, size)
+                packed.append(pack.compress((text or "").encode("utf-8", "surrogatepass")))
                 registers = sketch(hashes)
                 sizes.append(len(hashes))
                 keys.append(xxhash.xxh3_128_digest(hashes.tobytes()))
                 sketches.append(registers.tobytes())
                 bands.append(band_keys(registers) if len(hashes) else np.zeros(0, np.int64))
-            arrays = [ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "set_key", "sketch", "bands"])
+            arrays = [ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "set_key", "sketch", "bands", "packed"])
 
     return docs.select("doc_id", "text").filter("doc_id is not null").mapInArrow(run, SKETCH_SCHEMA)
 
@@ -161,12 +161,13 @@ def _hopeful_pairs(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataF
     return both.mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of the pairs a, b those whose full shingle sets reach the threshold. A text is read once."""
-    pairs = materialise(pairs.distinct())
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = materialise(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"))
-    ta, tb = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
+def _unpacked_set(packed: bytes, size: int) -> np.ndarray:
+    return shingle_set(zstandard.decompress(packed).decode("utf-8", "surrogatepass"), size)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Of the pairs a, b those whose full shingle sets reach the threshold."""
+    ta, tb = (texts.select(F.col("doc_id").alias(x), F.col("packed").alias(f"t{x}")) for x in "ab")
     # Members meet their own text first; the least document of a large group then goes to many pairs.
     both = pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb")
 
@@ -176,8 +177,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
             keep = []
             for a, ta, tb in zip(batch.column("a").to_pylist(), batch.column("ta"), batch.column("tb")):
                 if a != last:
-                    last, left = a, shingle_set(ta.as_py(), size)
-                right = shingle_set(tb.as_py(), size)
+                    last, left = a, _unpacked_set(ta.as_py(), size)
+                right = _unpacked_set(tb.as_py(), size)
                 common = len(np.intersect1d(left, right, assume_unique=True))
                 keep.append(100 * common >= percent * (len(left) + len(right) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -185,39 +186,87 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     return materialise(both.mapInArrow(run, "a long, b long"))
 
 
-def _unresolved(members: DataFrame, component: DataFrame) -> DataFrame:
-    """Members (key, doc_id) of buckets whose members lie in several components, with those and the bucket's size."""
+def _open_blocks(members: DataFrame, component: DataFrame) -> DataFrame:
+    """Members of buckets that lie in several components, dealt to pairs of blocks.
+
+    Returns key, lo, hi, doc_id, component, block. A bucket of n blocks sends each member to n pairs of blocks.
+    """
     placed = members.join(component.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    open_ = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).filter("lo < hi")
-    return placed.join(open_.select("key", "members"), "key")
+    several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).filter("low < high")
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    placed = placed.join(several.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return placed.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "doc_id", "component", "block")
 
 
-def _cross_pairs(members: DataFrame) -> DataFrame:
-    """Pairs across components within buckets of at most SMALL_BUCKET members."""
-    left, right = members.select("key", F.col("doc_id").alias("a"), F.col("component").alias("ca")), members.select("key", F.col("doc_id").alias("b"), F.col("component").alias("cb"))
-    return left.join(right, "key").filter("a < b and ca <> cb").select("a", "b").distinct()
+def _by_cell(rows: DataFrame, count: int, work, schema: str) -> DataFrame:
+    """Run ``work`` on the rows of each (key, lo, hi), many of them in a task at once."""
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["key", "lo", "hi", "doc_id"], ignore_index=True)
+        keys = pdf[["key", "lo", "hi"]].to_numpy()
+        starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
+        return pd.concat([empty, *(work(pdf.iloc[a:b]) for a, b in zip(starts, [*starts[1:], len(pdf)]) if b - a > 1)])
+
+    empty = pd.DataFrame({c.split()[0]: pd.Series(dtype="int64") for c in schema.split(", ")})
+    cells = max(1, count // CELL_ROWS)
+    return rows.withColumn("cell", F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(cells))).groupBy("cell").applyInPandas(run, schema)
 
-def _block_pairs(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Hopeful pairs across components of large buckets, by pairs of blocks of about BLOCK members."""
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    placed = members.join(sketches.select("doc_id", "sketch"), "doc_id").withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("doc_id"), blocks).cast("int")})
-    # Block i meets each j: the pair of blocks is named by its smaller and its larger number.
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = placed.withColumn("other", other).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, comp = pdf["doc_id"].to_numpy(), pdf["component"].to_numpy()
+def _with_hope(blocks: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The members of blocks that have a hopeful partner in another component, by sketches."""
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
         registers = np.frombuffer(b"".join(pdf["sketch"]), np.uint16).reshape(-1, REGISTERS)
+        comp, block = pdf["component"].to_numpy(), pdf["block"].to_numpy()
+        within, some = pdf["lo"].iat[0] == pdf["hi"].iat[0], np.zeros(len(pdf), bool)
+        for i in range(len(pdf)):
+            rest = np.flatnonzero((comp[i + 1 :] != comp[i]) & (within | (block[i + 1 :] != block[i]))) + i + 1
+            if len(rest):
+                hits = rest[hopeful(registers[i], registers[rest], percent / 100)]
+                some[hits] = True
+                some[i] |= len(hits) > 0
+        return pdf.loc[some, ["key", "lo", "hi", "doc_id", "component", "block"]]
+
+    rows = materialise(blocks)
+    found = _by_cell(rows.join(sketches.select("doc_id", "sketch"), "doc_id"), rows.count(), work, "key long, lo int, hi int, doc_id long, component long, block int")
+    found = materialise(found)
+    discard(rows)
+    return found
+
+
+def _block_links(blocks: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links a, b that join components inside blocks, found on full sets; at most one per member of a block."""
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, block, within = pdf["doc_id"].to_numpy(), pdf["block"].to_numpy(), pdf["lo"].iat[0] == pdf["hi"].iat[0]
+        comp = np.unique(pdf["component"].to_numpy(), return_inverse=True)[1]
+        sets = [_unpacked_set(x, size) for x in pdf["packed"]]
+        sizes = np.array([len(x) for x in sets])
+        # An index of shingles to members; one count per member then gives all its intersections.
+        owners = np.repeat(np.arange(len(ids)), sizes)
+        shingles = np.concatenate(sets)
+        order = np.argsort(shingles, kind="stable")
+        shingles, owners = shingles[order], owners[order]
         a, b = [], []
-        for i in range(len(ids)):
-            rest = np.flatnonzero((comp != comp[i]) & (ids > ids[i]))
-            hits = rest[hopeful(registers[i], registers[rest], percent / 100)] if len(rest) else rest
-            a.append(np.full(len(hits), ids[i]))
-            b.append(ids[hits])
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-    return dealt.groupBy("key", "lo", "hi").applyInPandas(compare, "a long, b long").distinct()
+        # The largest component needs no turn of its own: the others look for links to it.
+        for i in np.flatnonzero(comp != np.bincount(comp).argmax()):
+            rest = (comp != comp[i]) & (within | (block != block[i]))
+            if not rest.any():
+                continue
+            lo, hi = np.searchsorted(shingles, sets[i], "left"), np.searchsorted(shingles, sets[i], "right")
+            spans = hi - lo
+            at = np.repeat(lo - np.r_[0, spans.cumsum()[:-1]], spans) + np.arange(spans.sum())
+            common = np.bincount(owners[at], minlength=len(ids))
+            linked = np.flatnonzero(rest & (100 * common >= percent * (sizes[i] + sizes - common)))
+            for j in linked:
+                if comp[j] != comp[i]:
+                    a.append(ids[i])
+                    b.append(ids[j])
+                    comp[comp == comp[j]] = comp[i]
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    return materialise(_by_cell(blocks.join(texts, "doc_id"), blocks.count(), work, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -233,30 +282,24 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     everything = materialise(sketched(docs, size))
     filled = everything.filter("n_shingles > 0")
     classes = filled.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    membership = filled.select("doc_id", "set_key").join(classes, "set_key").select("doc_id", "rep")
-    reps = materialise(filled.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").drop("set_key"))
-    sketches = reps.select("doc_id", "n_shingles", "sketch")
-
-    rows = reps.select(F.explode("bands").alias("key"), "doc_id")
+    membership = materialise(filled.select("doc_id", "set_key").join(classes, "set_key").select("doc_id", "rep"))
+    leaders = membership.filter("doc_id = rep").select("doc_id").distinct()
+    rows = filled.select(F.explode("bands").alias("key"), "doc_id").join(leaders, "doc_id", "left_semi")
     buckets = rows.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).filter("lead < last").select("key", "lead")
     members = materialise(rows.join(buckets, "key").filter("doc_id <> lead"))
+    # One row per document that shares a bucket; of rows that repeat an id, one text.
+    meeting = members.select("doc_id").unionByName(members.select(F.col("lead").alias("doc_id"))).distinct()
+    met = materialise(filled.select("doc_id", "n_shingles", "sketch", "packed").join(meeting, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+
     stars = members.select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
-    found = [_verified(_hopeful_pairs(stars, sketches, percent), docs, size, percent)]
-    members = members.select("key", "doc_id")
-
-    for split in range(SPLITS + 1):
-        edges = reduce(DataFrame.unionByName, found).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        component = materialise(connected_components(edges))
-        rest = materialise(_unresolved(members, component))
-        small, large = rest.filter(F.col("members") <= SMALL_BUCKET), rest.filter(F.col("members") > SMALL_BUCKET)
-        found.append(_verified(_hopeful_pairs(_cross_pairs(small), sketches, percent), docs, size, percent))
-        if not large.take(1):
-            break
-        if split == SPLITS:
-            found.append(_verified(_block_pairs(large, sketches, percent), docs, size, percent))
-            break
-        bands = reps.select("doc_id", F.explode("bands").alias("band"))
-        members = materialise(large.select("key", "doc_id").join(bands, "doc_id").filter("key <> band").select(F.xxhash64("key", "band").alias("key"), "doc_id"))
+    hope = materialise(_hopeful_pairs(stars, met, percent))
+    star_links = _verified(hope, met, size, percent)
+    discard(hope)
+    component = materialise(connected_components(star_links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    blocks = _with_hope(_open_blocks(members.select("key", "doc_id"), component), met, percent)
+    block_links = _block_links(blocks, met.select("doc_id", "packed"), size, percent)
+    discard(blocks, members, met)
+    found = [star_links, block_links]
 
     # Classes of one id with several texts tie them as well.
     edges = reduce(DataFrame.unionByName, found).select(F.col("a").alias("u"), F.col("b").alias("v"))
