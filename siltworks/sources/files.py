@@ -176,4 +176,4 @@ def write_dataset(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "e
 def dataset_card(df: DataFrame, name: str, path: str | None = None) -> dict:
     """Name, place, rows, columns, bytes by the plan's estimate, and time."""
     stats = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return {"name": name, "path": path, "row_count": df.count(), "column_count": len(df.columns), "size_bytes": int(stats.toString()), "processed_at": datetime.now(UTC).isoformat(timespec="seconds")}
+    return {"name": name, "path": path, "row_count": df.count(), "column_count": len(df.columns), "size_bytes": int(str(stats)), "processed_at": datetime.now(UTC).isoformat(timespec="seconds")}
