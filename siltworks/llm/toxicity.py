@@ -30,11 +30,15 @@ from siltworks.llm.bpe import BoundedCache
 TRAIN_ROWS, TRAIN_CHARS = 12_000, 60_000_000
 #: Bytes of the shared base, and of the base around a window.
 BASE_BYTES, AROUND = 16 * 1024, 120
-LEVEL = 9
+#: Ordinary documents of the sample that the base is trained on.
+BASE_DOCUMENTS = 2000
+LEVEL = 15
 #: Beginnings of words: shortest and longest; those that enter the greedy choice at most; distinct ones that explain a document.
 SHORTEST, LONGEST, CANDIDATES, EXPLAINED = 4, 12, 4000, 3
 #: A gain is counted in steps up to this many bytes.
 STEPS = 6
+#: Texts without a window of this gain all score alike, whatever their length.
+EVIDENCE = 2
 
 
 @dataclass(frozen=True)
@@ -76,32 +80,33 @@ def likelihood_ratio(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> np.ndarr
     return np.where(a / na > b / nb, out, 0)
 
 
-def marking_text(docs: list[set[str]], other: list[set[str]]) -> list[str]:
-    """Beginnings of words that mark ``docs`` against ``other``, best first."""
+def marking_text(docs: list[str | None], other: list[str | None]) -> list[str]:
+    """Beginnings of words that mark ``docs`` against ``other``, best first. Texts are read one by one."""
     if not docs or not other:
         return []
     mine, theirs = Counter(), Counter()
     for d in docs:
-        mine.update(d)
+        mine.update(beginnings(bare_words(d)))
     for d in other:
-        theirs.update(x for x in d if x in mine)
+        theirs.update(x for x in beginnings(bare_words(d)) if x in mine)
     terms = sorted(t for t, n in mine.items() if n >= 3)
     if not terms:
         return []
     b = np.array([theirs[t] for t in terms])
     ratio = likelihood_ratio(np.array([mine[t] for t in terms]), b, len(docs), len(other))
-    #: As likely by chance as once among all beginnings tried.
+    # As likely by chance as once among all beginnings tried.
     least = 2 * math.log(len(mine) + 1)
     order = [i for i in np.lexsort((np.arange(len(terms)), -ratio))[:CANDIDATES] if ratio[i] >= least]
     terms, b = [terms[i] for i in order], b[order]
     number = {t: i for i, t in enumerate(terms)}
     has = np.zeros((len(terms), len(docs)), np.uint8)
     for j, d in enumerate(docs):
-        has[[number[t] for t in d if t in number], j] = 1
+        has[[number[t] for t in beginnings(bare_words(d)) if t in number], j] = 1
     open_, hits, chosen = np.ones(len(docs), np.uint8), np.zeros(len(docs), int), []
     usable = np.ones(len(terms), bool)
     while usable.any():
-        ratio = np.where(usable, likelihood_ratio(has @ open_.astype(np.int32), b, len(docs), len(other)), 0)
+        left = has[:, open_ > 0].sum(axis=1, dtype=np.int64)
+        ratio = np.where(usable, likelihood_ratio(left, b, len(docs), len(other)), 0)
         i = int(ratio.argmax())
         if ratio[i] < least:
             break
@@ -113,11 +118,11 @@ def marking_text(docs: list[set[str]], other: list[set[str]]) -> list[str]:
     return chosen
 
 
-def _spelled(beginning_list: list[str], docs: list[set[str]]) -> bytes:
+def _spelled(beginning_list: list[str], docs: list[str | None]) -> bytes:
     """Each beginning with its most frequent whole words, between blanks."""
     whole: dict[str, Counter] = {x: Counter() for x in beginning_list}
     for d in docs:
-        for w in d:
+        for w in bare_words(d):
             for k in range(min(SHORTEST, len(w)), min(len(w), LONGEST) + 1):
                 if w[:k] in whole:
                     whole[w[:k]][w] += 1
@@ -147,7 +152,9 @@ class Scorer:
         words = words_of(text)
         counts = np.bincount(np.frombuffer(bytes(self.gains.all(words)), np.uint8), minlength=STEPS + 1)
         above = counts[::-1].cumsum()[::-1][1:]
-        return [1.0, math.log1p(len(words)), *np.log1p(above), float(np.flatnonzero(counts).max(initial=0))]
+        if not above[EVIDENCE - 1]:
+            return [1.0, *[0.0] * (STEPS + 3)]
+        return [1.0, 1.0, math.log1p(len(words)), *np.log1p(above), float(np.flatnonzero(counts).max())]
 
     def score(self, text: str | None) -> float:
         z = float(np.dot(self.features(text), self.model.weights))
@@ -165,30 +172,31 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 def fit(rows: list[tuple[str | None, int]]) -> ToxicityModel:
     """A model of (text, label) rows. With one label alone, all scores are that label's smoothed rate."""
-    groups: tuple[list[str], list[str]] = ([], [])
+    groups: tuple[list[str | None], list[str | None]] = ([], [])
     for text, label in rows:
-        groups[label].append(text or "")
-    whole = [[bare_words(t) for t in g] for g in groups]
-    starts = [[beginnings(w) for w in g] for g in whole]
-    marks = marking_text(starts[1], starts[0])
-    sample = [" ".join(words_of(t)[i : i + 32]).encode() for t in groups[0] for i in range(0, min(len(words_of(t)), 320), 32)][:20_000]
+        groups[label].append(text)
+    marks = marking_text(groups[1], groups[0])
+    sample: list[bytes] = []
+    for text in groups[0][:BASE_DOCUMENTS]:
+        words = words_of(text)
+        sample += [" ".join(words[i : i + 32]).encode() for i in range(0, min(len(words), 320), 32)]
     try:
         base = zstandard.train_dictionary(BASE_BYTES, sample).as_bytes()[-BASE_BYTES:]
     except zstandard.ZstdError:  # too little text to train on
         base = b" ".join(sample)[-BASE_BYTES:]
-    toxic = _spelled(marks, whole[1])
-    frequent, known = Counter(w for g in whole[0] for w in g), set(marks)
+    toxic = _spelled(marks, groups[1])
+    frequent, known = Counter(w for text in groups[0][:BASE_DOCUMENTS] for w in bare_words(text)), set(marks)
     typical = [w for w, _ in sorted(frequent.items(), key=lambda p: (-p[1], p[0]))[:5000] if not known & beginnings({w})]
     ordinary = (" " + " ".join(typical) + " ").encode()[: len(toxic)]
     pad = max(0, 8 - len(base)) * b" "
     model = ToxicityModel(pad + base + ordinary, pad + base + toxic, base[-AROUND:], ())
     scorer = Scorer(model)
-    x, y = np.array([scorer.features(t) for t, _ in rows] or np.zeros((0, STEPS + 3))), np.array([label for _, label in rows], float)
+    x, y = np.array([scorer.features(t) for t, _ in rows] or np.zeros((0, STEPS + 4))), np.array([label for _, label in rows], float)
     if len(groups[0]) and len(groups[1]):
         weights = _logistic(x, y)
     else:
         rate = (len(groups[1]) + 0.5) / (len(rows) + 1)
-        weights = np.r_[math.log(rate / (1 - rate)), np.zeros(STEPS + 2)]
+        weights = np.r_[math.log(rate / (1 - rate)), np.zeros(STEPS + 3)]
     return ToxicityModel(model.ordinary, model.toxic, model.around, tuple(map(float, weights)))
 
 
