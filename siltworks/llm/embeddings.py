@@ -188,3 +188,20 @@ def near_embeddings(vectors: DataFrame, vec: str = "embedding", threshold: float
     out = out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     out = out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
     return out.unionByName(nothing.filter("vec_id is null")).select(*columns)
+
+
+#: The query in DuckDB: cosines of all pairs, and their closure.
+ORACLE_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95
+), reach(vec_id, least) AS (
+  SELECT a, b FROM links UNION SELECT l.a, r.least FROM links l JOIN reach r ON l.b = r.vec_id
+), low AS (
+  SELECT vec_id, min(least) AS least FROM reach GROUP BY vec_id
+)
+SELECT v.vec_id, (SELECT count(*) FROM links l WHERE l.a = v.vec_id) AS n_links, least(v.vec_id, coalesce(low.least, v.vec_id)) AS component_id,
+  least(v.vec_id, coalesce(low.least, v.vec_id)) = v.vec_id AS kept
+FROM v LEFT JOIN low ON v.vec_id = low.vec_id
+"""

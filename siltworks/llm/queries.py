@@ -46,7 +46,7 @@ def oracle_sql() -> dict[str, str]:
     return dict(_ORACLE)
 
 
-@query("op1_minhash_near_dedup")
+@query("op1_minhash_near_dedup", minhash.ORACLE_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
 
@@ -56,7 +56,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-@query("op3_embedding_near_dedup")
+@query("op3_embedding_near_dedup", embeddings.ORACLE_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_embeddings(table(spark, sf_dir, "embeddings"))
 
