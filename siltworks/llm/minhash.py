@@ -189,13 +189,19 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 def _open_blocks(members: DataFrame, component: DataFrame) -> DataFrame:
     """Members of buckets that lie in several components, dealt to pairs of blocks.
 
-    Returns key, lo, hi, doc_id, component, block. A bucket of n blocks sends each member to n pairs of blocks.
+    Returns key, lo, hi, doc_id, component, block. The members outside a bucket's largest component fill the first
+    blocks and meet each other and all others; those inside it meet only the first blocks.
     """
     placed = members.join(component.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).filter("low < high")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    placed = placed.join(several.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    buckets = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("components")).filter("components > 1")
+    number = lambda n: F.ceil(n / BLOCK).cast("int")
+    buckets = buckets.select("key", F.col("most.component").alias("largest"), number(F.col("n") - F.col("most.n")).alias("few"), number(F.col("most.n")).alias("many"))
+    placed = placed.join(buckets, "key").withColumn("inside", F.col("component") == F.col("largest"))
+    turn = F.xxhash64("doc_id")
+    placed = placed.withColumn("block", F.when(F.col("inside"), F.col("few") + F.pmod(turn, "many")).otherwise(F.pmod(turn, "few")).cast("int"))
+    last = F.when(F.col("inside"), F.col("few") - 1).otherwise(F.col("few") + F.col("many") - 1)
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     return placed.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "doc_id", "component", "block")
 
 
@@ -213,60 +219,47 @@ def _by_cell(rows: DataFrame, count: int, work, schema: str) -> DataFrame:
     return rows.withColumn("cell", F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(cells))).groupBy("cell").applyInPandas(run, schema)
 
 
-def _with_hope(blocks: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """The members of blocks that have a hopeful partner in another component, by sketches."""
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        registers = np.frombuffer(b"".join(pdf["sketch"]), np.uint16).reshape(-1, REGISTERS)
-        comp, block = pdf["component"].to_numpy(), pdf["block"].to_numpy()
-        within, some = pdf["lo"].iat[0] == pdf["hi"].iat[0], np.zeros(len(pdf), bool)
-        for i in range(len(pdf)):
-            rest = np.flatnonzero((comp[i + 1 :] != comp[i]) & (within | (block[i + 1 :] != block[i]))) + i + 1
-            if len(rest):
-                hits = rest[hopeful(registers[i], registers[rest], percent / 100)]
-                some[hits] = True
-                some[i] |= len(hits) > 0
-        return pdf.loc[some, ["key", "lo", "hi", "doc_id", "component", "block"]]
-
-    rows = materialise(blocks)
-    found = _by_cell(rows.join(sketches.select("doc_id", "sketch"), "doc_id"), rows.count(), work, "key long, lo int, hi int, doc_id long, component long, block int")
-    found = materialise(found)
-    discard(rows)
-    return found
-
-
-def _block_links(blocks: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _block_links(blocks: DataFrame, met: DataFrame, size: int, percent: int) -> DataFrame:
     """Links a, b that join components inside blocks, found on full sets; at most one per member of a block."""
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, block, within = pdf["doc_id"].to_numpy(), pdf["block"].to_numpy(), pdf["lo"].iat[0] == pdf["hi"].iat[0]
+        registers = np.frombuffer(b"".join(pdf["sketch"]), np.uint16).reshape(-1, REGISTERS)
         comp = np.unique(pdf["component"].to_numpy(), return_inverse=True)[1]
-        sets = [_unpacked_set(x, size) for x in pdf["packed"]]
-        sizes = np.array([len(x) for x in sets])
+        # The largest component needs no turn of its own: the others look for links to it.
+        turns, partners = np.flatnonzero(comp != np.bincount(comp).argmax()), {}
+        for i in turns:
+            rest = np.flatnonzero((comp != comp[i]) & (within | (block != block[i])))
+            if len(rest := rest[hopeful(registers[i], registers[rest], percent / 100)]):
+                partners[i] = rest
+        if not partners:
+            return empty
         # An index of shingles to members; one count per member then gives all its intersections.
-        owners = np.repeat(np.arange(len(ids)), sizes)
-        shingles = np.concatenate(sets)
+        needed = np.unique(np.concatenate([list(partners), *partners.values()]))
+        sets = dict(zip(needed, (_unpacked_set(x, size) for x in pdf["packed"].iloc[needed])))
+        sizes = np.zeros(len(ids), np.int64)
+        sizes[needed] = [len(sets[i]) for i in needed]
+        owners, shingles = np.repeat(needed, sizes[needed]), np.concatenate(list(sets.values()))
         order = np.argsort(shingles, kind="stable")
         shingles, owners = shingles[order], owners[order]
         a, b = [], []
-        # The largest component needs no turn of its own: the others look for links to it.
-        for i in np.flatnonzero(comp != np.bincount(comp).argmax()):
-            rest = (comp != comp[i]) & (within | (block != block[i]))
-            if not rest.any():
-                continue
+        for i, rest in partners.items():
             lo, hi = np.searchsorted(shingles, sets[i], "left"), np.searchsorted(shingles, sets[i], "right")
             spans = hi - lo
             at = np.repeat(lo - np.r_[0, spans.cumsum()[:-1]], spans) + np.arange(spans.sum())
-            common = np.bincount(owners[at], minlength=len(ids))
-            linked = np.flatnonzero(rest & (100 * common >= percent * (sizes[i] + sizes - common)))
-            for j in linked:
+            common = np.bincount(owners[at], minlength=len(ids))[rest]
+            for j in rest[100 * common >= percent * (sizes[i] + sizes[rest] - common)]:
                 if comp[j] != comp[i]:
                     a.append(ids[i])
                     b.append(ids[j])
                     comp[comp == comp[j]] = comp[i]
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
-    return materialise(_by_cell(blocks.join(texts, "doc_id"), blocks.count(), work, "a long, b long"))
+    empty = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
+    dealt = materialise(blocks)
+    found = materialise(_by_cell(dealt.join(met.select("doc_id", "sketch", "packed"), "doc_id"), dealt.count(), work, "a long, b long"))
+    discard(dealt)
+    return found
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -296,9 +289,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     star_links = _verified(hope, met, size, percent)
     discard(hope)
     component = materialise(connected_components(star_links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-    blocks = _with_hope(_open_blocks(members.select("key", "doc_id"), component), met, percent)
-    block_links = _block_links(blocks, met.select("doc_id", "packed"), size, percent)
-    discard(blocks, members, met)
+    block_links = _block_links(_open_blocks(members.select("key", "doc_id"), component), met, size, percent)
+    discard(members, met)
     found = [star_links, block_links]
 
     # Classes of one id with several texts tie them as well.
@@ -311,3 +303,24 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         out = out.unionByName(nameless.select(F.lit(None).cast("long").alias("doc_id"), "n_shingles", F.lit(None).cast("long").alias("component")))
     component_id = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component_id.alias("component_id"), F.coalesce(F.col("doc_id") == component_id, F.lit(True)).alias("kept"))
+
+
+#: The query of two-word shingles in DuckDB: all pairs that share a shingle, and their closure.
+ORACLE_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 2 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE w END AS s FROM words
+), shingles AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets
+), links AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  WHERE 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach(doc_id, least) AS (
+  SELECT a, b FROM links UNION SELECT l.a, r.least FROM links l JOIN reach r ON l.b = r.doc_id
+)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(min(r.least), s.doc_id)) AS component_id,
+  least(s.doc_id, coalesce(min(r.least), s.doc_id)) = s.doc_id AS kept
+FROM sets s LEFT JOIN reach r ON s.doc_id = r.doc_id GROUP BY s.doc_id, s.s
+"""
