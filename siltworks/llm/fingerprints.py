@@ -29,8 +29,9 @@ LOW, HIGH = 0.001, 0.25
 DENSITY = (1, *[4] * 5, *[16] * 6, *[64] * 10, *[256] * 18)
 SUBSETS, DIGITS = len(DENSITY), 8
 EMPTY = "0" * DIGITS
-#: Documents of a stretch of the id order that one task reads through.
-STRETCH = 4096
+#: Documents of a stretch of the id order that one task reads through, if that makes MOST_STRETCHES at most; a task
+#: holds two documents at a time, so longer stretches take time, not memory.
+STRETCH, MOST_STRETCHES = 2048, 20_000
 
 
 def terms_of(text: str) -> set[str]:
@@ -127,7 +128,7 @@ def _stretches(docs: DataFrame, stretch: int) -> tuple[list[int], int | None]:
     """Least ids of all stretches of the id order but the first, and the least id of all. Null ids come last."""
     ids = docs.filter("doc_id is not null")
     n = ids.count()
-    number = -(-n // stretch)
+    number = min(-(-n // stretch), MOST_STRETCHES)
     if number < 2:
         return [], ids.agg(F.min("doc_id")).first()[0]
     shares = F.array(*[F.lit(i / number) for i in range(1, number)])
