@@ -130,6 +130,7 @@ def sketched(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
+        BoundedCache.claim(_WORDS)
         for batch in batches:
             ids, sizes, keys, sketches, bands, packed = batch.column(0), [], [], [], [], []
             for text in batch.column(1).to_pylist():
@@ -274,7 +275,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     docs = docs.select("doc_id", "text")
     everything = materialise(sketched(docs, size))
     filled = everything.filter("n_shingles > 0")
-    classes = filled.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
+    # Written out, so that the join below stands alone and its hot keys can be split.
+    classes = materialise(filled.groupBy("set_key").agg(F.min("doc_id").alias("rep")))
     membership = materialise(filled.select("doc_id", "set_key").join(classes, "set_key").select("doc_id", "rep"))
     leaders = membership.filter("doc_id = rep").select("doc_id").distinct()
     rows = filled.select(F.explode("bands").alias("key"), "doc_id").join(leaders, "doc_id", "left_semi")
