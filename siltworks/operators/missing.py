@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltworks.functions.columns import FLOATING, INTEGRAL, TEMPORAL, col, dtype, is_numeric, missing, type_class, usable
+from siltworks.functions.columns import INTEGRAL, TEMPORAL, col, dtype, is_numeric, missing, type_class, usable
 
 STRATEGIES = ("drop_rows", "mean", "median", "mode", "constant", "ffill", "bfill", "zero", "empty")
 # The words that a boolean constant may be.

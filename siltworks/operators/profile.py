@@ -6,7 +6,7 @@ turned into rows, or one unpivot into (column, value) cells that are grouped onc
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltworks.functions.columns import as_text, col, dtype, is_numeric, missing, present, usable
@@ -163,15 +163,16 @@ def histogram(df: DataFrame, name: str, bins: int = 30) -> DataFrame:
 def distribution(df: DataFrame, name: str, max_bars: int = 2000, top_k: int = 50, other: str = "Autres") -> DataFrame:
     """value, n: all values if there are at most ``max_bars``, else the ``top_k`` and the sum of the rest as ``other``.
 
-    The counts are grouped once more into one row of totals; the top is a top-k, not a global window.
+    A top-k of max_bars + 1 rows shows which case it is; only those go on, in one row, to which the rest is added.
     """
-    counts = value_counts(df, name)
-    totals = counts.agg(F.count(F.lit(1)).alias("bars"), F.sum("n").alias("total"))
-    few = counts.crossJoin(F.broadcast(totals)).filter(F.col("bars") <= max_bars).select("value", "n")
-    top = counts.orderBy(F.desc("n"), F.asc_nulls_first("value")).limit(top_k)
-    shown = top.crossJoin(F.broadcast(totals)).filter(F.col("bars") > max_bars)
-    rest = shown.groupBy("total").agg(F.sum("n").alias("seen")).filter("total > seen").select(F.lit(other).alias("value"), (F.col("total") - F.col("seen")).alias("n"))
-    return few.unionByName(shown.select("value", "n")).unionByName(rest)
+    order = [F.desc("n"), F.asc_nulls_first("value")]
+    top = value_counts(df, name).orderBy(*order).limit(max_bars + 1)
+    place, bars = F.row_number().over(Window.orderBy(*order)), F.count(F.lit(1)).over(Window.partitionBy())
+    shown = top.withColumns({"place": place, "bars": bars}).filter((F.col("bars") <= max_bars) | (F.col("place") <= top_k))
+    row = shown.agg(F.collect_list(F.struct("value", "n")).alias("all"), F.sum("n").alias("seen"))
+    row = row.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("total"))))
+    rest = F.struct(F.lit(other).alias("value"), (F.col("total") - F.col("seen")).alias("n"))
+    return row.select(F.inline(F.when(F.col("total") > F.col("seen"), F.array_append("all", rest)).otherwise(F.col("all"))))
 
 
 def profile_distribution(df: DataFrame, name: str, bins: int = 30) -> DataFrame:
