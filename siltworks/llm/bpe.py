@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import weakref
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,7 +27,7 @@ _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc
 PRETOKEN = re.compile(f"'(?:[sdmt]|ll|ve|re)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
 #: Pre-tokens remembered by one Python worker at most, and the longest one that is remembered.
-CACHE_ENTRIES, CACHE_CHARS = 1_000_000, 40
+CACHE_ENTRIES, CACHE_CHARS = 700_000, 40
 
 
 @lru_cache(maxsize=1)
@@ -44,11 +45,25 @@ def tokenizer_file(name: str) -> str:
 
 
 class BoundedCache(dict):
-    """Values by pre-token; ``make`` computes the missing ones. It keeps ``entries`` and one text's at most."""
+    """Values by word; ``make`` computes the missing ones. It keeps ``entries`` and one text's at most.
+
+    A Python worker serves one operator after another; ``claim`` empties the caches of the operators before.
+    """
+
+    __hash__ = object.__hash__
+    __eq__ = object.__eq__
+    _all: weakref.WeakSet = weakref.WeakSet()
 
     def __init__(self, make, entries: int = CACHE_ENTRIES):
         super().__init__()
         self.make, self.entries = make, entries
+        self._all.add(self)
+
+    @classmethod
+    def claim(cls, *used: BoundedCache) -> None:
+        for cache in list(cls._all):
+            if not any(cache is u for u in used):
+                cache.clear()
 
     def all(self, keys: list) -> list:
         """The values of ``keys``: one pass of plain look-ups, then those that are missing."""
@@ -174,6 +189,7 @@ def count_tokens(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = counter(path or tokenizer_file(tokenizer))
+        BoundedCache.claim(bpe.plain, bpe.mapped)
         for batch in batches:
             texts = [t or "" for t in batch.column(kept.index(text)).to_pylist()]
             sizes = pa.array([len(t.encode()) for t in texts], pa.int64())

@@ -130,6 +130,16 @@ class Identifier:
         return lang, (found[lang] * len(words) + 0.5) / (len(words) + 0.5 * max(2, self.size)), found
 
 
+_LAST: list[Identifier] = []
+
+
+def identifier(model: LanguageModel) -> Identifier:
+    """The worker's identifier of a model, kept from task to task."""
+    if not _LAST or _LAST[0].model is not model:
+        _LAST[:] = [Identifier(model)]
+    return _LAST[0]
+
+
 def predict_languages(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """Add lang_pred, score and languages (a map of the set's shares) to each row; one pass, no shuffle.
 
@@ -142,7 +152,8 @@ def predict_languages(docs: DataFrame, model: LanguageModel, text: str = "text")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most BUCKETS numbers per language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        identify = Identifier(shared.value)
+        identify = identifier(shared.value)
+        BoundedCache.claim(identify.words)
         for batch in batches:
             found = [identify.best(t) for t in batch.column(kept.index(text)).to_pylist()]
             extra = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([list(x[2].items()) for x in found], pa.map_(pa.string(), pa.float64()))]

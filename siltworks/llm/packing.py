@@ -61,6 +61,7 @@ def tokenised_pieces(docs: DataFrame, capacity: int, end_id: int, tokenizer: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path or tokenizer_file(tokenizer))
+        BoundedCache.claim(enc.words)
         end, pos = array("I", [end_id]).tobytes(), 0
         for batch in batches:
             rows: list[tuple] = []

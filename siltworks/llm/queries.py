@@ -16,8 +16,14 @@ _REGISTRY: dict[str, Query] = {}
 _ORACLE: dict[str, str] = {}
 
 
+#: Rows of an Arrow batch: documents can hold 100 kB and more, and batches exist in the JVM and in Python at once.
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it."""
+    """Let Python workers import this package from where the driver has it, and bound their batches."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     here = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if here not in known.split(os.pathsep):

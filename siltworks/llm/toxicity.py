@@ -17,9 +17,11 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import cycle, islice
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from siltworks.llm.bpe import BoundedCache
 
 #: Bounds of the labelled sample that a model is fitted on: rows, and characters of all their texts.
-TRAIN_ROWS, TRAIN_CHARS = 12_000, 60_000_000
+TRAIN_ROWS, TRAIN_CHARS = 8_000, 40_000_000
 #: Bytes of the shared base, and of the base around a window.
 BASE_BYTES, AROUND = 16 * 1024, 120
 #: Ordinary documents of the sample that the base is trained on.
@@ -35,6 +37,10 @@ BASE_DOCUMENTS = 2000
 LEVEL = 15
 #: Beginnings of words: shortest and longest; those that enter the greedy choice at most; distinct ones that explain a document.
 SHORTEST, LONGEST, CANDIDATES, EXPLAINED = 4, 12, 4000, 3
+#: Share of a beginning's documents that a longer form must keep to stand for it; whole words spelled out for each.
+SAME, WHOLE_WORDS = 0.9, 8
+#: Words whose gain a Python worker remembers, and the driver while it fits.
+GAINS, FIT_GAINS = 250_000, 100_000
 #: A gain is counted in steps up to this many bytes.
 STEPS = 6
 #: Texts without a window of this gain all score alike, whatever their length.
@@ -80,11 +86,27 @@ def likelihood_ratio(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> np.ndarr
     return np.where(a / na > b / nb, out, 0)
 
 
+def without_copies(docs: list[str | None]) -> list[str | None]:
+    """Of documents that share a min-hash of their five-word shingles, the first.
+
+    Near copies of one toxic document would bring its ordinary words in.
+    """
+    seen, kept = set(), []
+    for d in docs:
+        words = words_of(d)
+        shingles = [" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))]
+        keys = {(k, min(xxhash.xxh3_64_intdigest(x, seed=k) for x in shingles)) for k in range(4)}
+        if not keys & seen:
+            kept.append(d)
+        seen |= keys
+    return kept
+
+
 def marking_text(docs: list[str | None], other: list[str | None]) -> list[str]:
     """Beginnings of words that mark ``docs`` against ``other``, best first. Texts are read one by one."""
     if not docs or not other:
         return []
-    mine, theirs = Counter(), Counter()
+    docs, mine, theirs = without_copies(docs), Counter(), Counter()
     for d in docs:
         mine.update(beginnings(bare_words(d)))
     for d in other:
@@ -110,6 +132,9 @@ def marking_text(docs: list[str | None], other: list[str | None]) -> list[str]:
         i = int(ratio.argmax())
         if ratio[i] < least:
             break
+        # Its longest form that is nearly as frequent makes the longest match.
+        longer = [j for j, t in enumerate(terms) if t.startswith(terms[i]) and left[j] >= SAME * left[i]]
+        i = max(longer, key=lambda j: (len(terms[j]), ratio[j], terms[j]))
         chosen.append(terms[i])
         # Longer and shorter forms of it say the same.
         usable &= np.array([not (t.startswith(terms[i]) or terms[i].startswith(t)) for t in terms])
@@ -118,16 +143,25 @@ def marking_text(docs: list[str | None], other: list[str | None]) -> list[str]:
     return chosen
 
 
-def _spelled(beginning_list: list[str], docs: list[str | None]) -> bytes:
-    """Each beginning with its most frequent whole words, between blanks."""
-    whole: dict[str, Counter] = {x: Counter() for x in beginning_list}
+def _spelled(marks: list[str], docs: list[str | None], typical: list[str]) -> tuple[bytes, bytes]:
+    """Each beginning with its most frequent whole words, between blanks; and an ordinary counterpart.
+
+    The counterpart has typical text in place of the beginnings and the same endings, so that ordinary words find
+    the same matches in both.
+    """
+    whole: dict[str, Counter] = {x: Counter() for x in marks}
     for d in docs:
         for w in bare_words(d):
             for k in range(min(SHORTEST, len(w)), min(len(w), LONGEST) + 1):
                 if w[:k] in whole:
                     whole[w[:k]][w] += 1
-    parts = [x for b in beginning_list for x in [*(w for w, _ in sorted(whole[b].items(), key=lambda p: (-p[1], p[0]))[:6]), b]]
-    return (" " + " ".join(parts) + " ").encode()
+    filler = cycle(" ".join(typical) + " ") if typical else cycle(" ")
+    mine, theirs = [], []
+    for mark in marks:
+        for w in [*(w for w, _ in sorted(whole[mark].items(), key=lambda p: (-p[1], p[0]))[:WHOLE_WORDS]), mark]:
+            mine.append(w)
+            theirs.append("".join(islice(filler, len(mark))) + w[len(mark) :])
+    return (" " + " ".join(mine) + " ").encode(), (" " + " ".join(theirs) + " ").encode()
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -138,10 +172,10 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
 
 
 class Scorer:
-    def __init__(self, model: ToxicityModel):
+    def __init__(self, model: ToxicityModel, remembered: int = GAINS):
         self.model = model
         self.ordinary, self.toxic = _compressor(model.ordinary), _compressor(model.toxic)
-        self.gains = BoundedCache(self.gain)
+        self.gains = BoundedCache(self.gain, remembered)
 
     def gain(self, word: str) -> int:
         """Bytes by which the toxic dictionary shortens the word's window, from 0 to STEPS."""
@@ -184,13 +218,12 @@ def fit(rows: list[tuple[str | None, int]]) -> ToxicityModel:
         base = zstandard.train_dictionary(BASE_BYTES, sample).as_bytes()[-BASE_BYTES:]
     except zstandard.ZstdError:  # too little text to train on
         base = b" ".join(sample)[-BASE_BYTES:]
-    toxic = _spelled(marks, groups[1])
     frequent, known = Counter(w for text in groups[0][:BASE_DOCUMENTS] for w in bare_words(text)), set(marks)
     typical = [w for w, _ in sorted(frequent.items(), key=lambda p: (-p[1], p[0]))[:5000] if not known & beginnings({w})]
-    ordinary = (" " + " ".join(typical) + " ").encode()[: len(toxic)]
+    toxic, ordinary = _spelled(marks, groups[1], typical)
     pad = max(0, 8 - len(base)) * b" "
     model = ToxicityModel(pad + base + ordinary, pad + base + toxic, base[-AROUND:], ())
-    scorer = Scorer(model)
+    scorer = Scorer(model, FIT_GAINS)
     x, y = np.array([scorer.features(t) for t, _ in rows] or np.zeros((0, STEPS + 4))), np.array([label for _, label in rows], float)
     if len(groups[0]) and len(groups[1]):
         weights = _logistic(x, y)
@@ -207,11 +240,15 @@ def fit_table(docs: DataFrame, labels: DataFrame, usable: Column, max_rows: int
     """
     known = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.filter(usable).withColumn("turn", F.xxhash64("doc_id")).orderBy("turn", "doc_id").limit(max_rows)
-    rows = docs.select("doc_id", "text").join(known, "doc_id").withColumn("chars", F.sum(F.length(F.coalesce("text", F.lit("")))).over(Window.orderBy("turn", "doc_id")))
-    return fit([(r.text, r.toxic) for r in rows.filter(F.col("chars") <= max_chars).select("text", "toxic").collect()])
+    # At most max_rows ids are broadcast, so the texts of all documents need no shuffle. Of rows that repeat an id the
+    # least text counts, found with partial results.
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", "toxic", "turn").agg(F.min("text").alias("text"))
+    rows = rows.withColumn("chars", F.sum(F.length(F.coalesce("text", F.lit("")))).over(Window.orderBy("turn", "doc_id")))
+    rows = rows.filter(F.col("chars") <= max_chars)
+    return fit([(r.text, r.toxic) for r in rows.orderBy("turn", "doc_id").select("text", "toxic").collect()])
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def scorer(model: ToxicityModel) -> Scorer:
     return Scorer(model)
 
@@ -227,6 +264,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", sc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rate = scorer(model).score
+        BoundedCache.claim(scorer(model).gains)
         for batch in batches:
             scores = pa.array([rate(t.as_py()) for t in batch.column(kept.index(text))], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*kept, score])
