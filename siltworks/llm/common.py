@@ -34,17 +34,19 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, release: bool = True) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and return a reader of it.
 
     It cuts the lineage like ``checkpoint()`` does, without computing the plan twice; the files survive
     the loss of any executor. Shuffle files of the plan just written are of no more use: a collection of the
-    driver's garbage lets Spark's cleaner remove them now instead of some time later.
+    driver's garbage lets Spark's cleaner remove them now instead of some time later. ``release`` False leaves that out
+    where a loop writes many small tables.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/siltworks-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()
+    if release:
+        spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltworks.llm.common import materialise
+from siltworks.llm.common import discard, materialise
 from siltworks.llm.components import connected_components
 
 #: Probability, over tables, that a pair exactly at the threshold meets in no bucket.
@@ -165,7 +165,7 @@ def near_embeddings(vectors: DataFrame, vec: str = "embedding", threshold: float
     kind = np.float32 if isinstance(source.schema[vec].dataType.elementType, T.FloatType) else np.float64
     hashed = materialise(_hashed(source, vec, dim, kind, bits, tables, seed))
     usable = hashed.filter("raw is not null")
-    classes = usable.groupBy("unit_key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    classes = materialise(usable.groupBy("unit_key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
     membership = materialise(usable.select("vec_id", "unit_key").join(classes, "unit_key").select("vec_id", "rep", "copies"))
     reps = membership.filter("vec_id = rep").groupBy("vec_id").agg(F.max("copies").alias("copies")).join(usable.dropDuplicates(["vec_id"]).drop("unit_key"), "vec_id")
     reps = materialise(reps)
@@ -179,12 +179,16 @@ def near_embeddings(vectors: DataFrame, vec: str = "embedding", threshold: float
     dealt = dealt.select("vec_id", "bucket_table", "bucket", "block", "lo", "hi", cell.alias("cell")).join(reps.drop("codes"), "vec_id")
     found = materialise(dealt.groupBy("cell").applyInPandas(_compare(dim, kind, threshold), "vec_id long, links long, root long"))
 
+    discard(reps, classes)
     counts = found.groupBy("vec_id").agg(F.sum("links").alias("links")).withColumnRenamed("vec_id", "rep")
-    edges = found.select(F.col("vec_id").alias("u"), F.col("root").alias("v")).unionByName(membership.select(F.col("vec_id").alias("u"), F.col("rep").alias("v")))
-    component = connected_components(edges)
-    linked = membership.join(counts, "rep", "left").select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    linked = linked.groupBy("vec_id").agg(F.max("links").alias("links"))
-    out = hashed.select("vec_id").join(linked, "vec_id", "left").join(component.withColumnRenamed("id", "vec_id"), "vec_id", "left")
+    # Copies take their class's component by a join, so that they add no edges; ids with several vectors tie theirs.
+    several = membership.groupBy("vec_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("vec_id", "low")
+    ties = membership.join(several, "vec_id").select(F.col("rep").alias("u"), F.col("low").alias("v"))
+    component = materialise(connected_components(found.select(F.col("vec_id").alias("u"), F.col("root").alias("v")).unionByName(ties)))
+    linked = membership.join(counts, "rep", "left").join(component.withColumnRenamed("id", "rep"), "rep", "left")
+    linked = linked.select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
+    linked = linked.groupBy("vec_id").agg(F.max("links").alias("links"), F.min("component").alias("component"))
+    out = hashed.select("vec_id").join(linked, "vec_id", "left")
     out = out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     out = out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
     return out.unionByName(nothing.filter("vec_id is null")).select(*columns)

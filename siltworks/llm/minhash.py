@@ -277,8 +277,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     filled = everything.filter("n_shingles > 0")
     # Written out, so that the join below stands alone and its hot keys can be split.
     classes = materialise(filled.groupBy("set_key").agg(F.min("doc_id").alias("rep")))
-    membership = materialise(filled.select("doc_id", "set_key").join(classes, "set_key").select("doc_id", "rep"))
-    leaders = membership.filter("doc_id = rep").select("doc_id").distinct()
+    leaders = classes.select(F.col("rep").alias("doc_id"))
     rows = filled.select(F.explode("bands").alias("key"), "doc_id").join(leaders, "doc_id", "left_semi")
     buckets = rows.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).filter("lead < last").select("key", "lead")
     members = materialise(rows.join(buckets, "key").filter("doc_id <> lead"))
@@ -295,10 +294,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     discard(members, met)
     found = [star_links, block_links]
 
-    # Classes of one id with several texts tie them as well.
+    # Copies take their class's component by a join, so that they add no edges; ids with several texts tie theirs.
+    placed = everything.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
+    placed = materialise(placed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep")))
+    several = placed.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("doc_id", "low")
+    ties = placed.join(several, "doc_id").select(F.col("rep").alias("u"), F.col("low").alias("v"))
     edges = reduce(DataFrame.unionByName, found).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    component = materialise(connected_components(edges.unionByName(membership.filter("doc_id <> rep").select(F.col("rep").alias("u"), F.col("doc_id").alias("v")))))
-    out = everything.select("doc_id", "n_shingles").join(component.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    component = materialise(connected_components(edges.unionByName(ties)))
+    out = placed.join(component.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    out = out.select("doc_id", "n_shingles", "component")
+    discard(everything, classes, *found)
     unnamed = docs.filter("doc_id is null")
     if unnamed.take(1):
         nameless = sketched(unnamed.withColumn("doc_id", F.lit(0).cast("long")), size)

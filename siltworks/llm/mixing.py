@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltworks.llm.common import materialise, word_count
+from siltworks.llm.common import discard, materialise, word_count
 
 #: Documents in one stretch of a source's seeded order; the bound on a window's rows.
 STRETCH = 4096
@@ -87,6 +87,7 @@ def mix_sources(
     placed = placed.select("doc_id", "source", "size", "source_size", "target", "stretch", epochs.alias("epochs"), (start).alias("start"), F.row_number().over(inside).alias("place"))
     placed = materialise(placed.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")))
 
+    discard(sizes, targets)
     # The document across the end of the fraction leaves a gap; of its stretch's documents that aren't in the
     # fraction, the one whose size is nearest to the gap enters, or none if that leaves less.
     across = placed.filter((F.col("size") > 0) & (F.col("start") < F.col("rest")) & (F.col("start") + F.col("size") > F.col("rest")))
