@@ -20,7 +20,7 @@ def spark(tmp_path_factory):
     shared = tmp_path_factory.mktemp("shared")
     spark = (
         SparkSession.builder.master("local[4]")
-        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.sql.shuffle.partitions", "2")
         .config("spark.driver.memory", "6g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
