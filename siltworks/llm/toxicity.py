@@ -5,9 +5,8 @@ one and ordinary ones in the other. A window is one word between two stretches o
 toxic dictionary compresses a window to fewer bytes than the ordinary one, the word tells of toxic text. A
 logistic model calibrates how many windows of which gain make a document toxic.
 
-The marking text consists of beginnings of words, chosen on labelled documents: again and again the
-beginning with the best likelihood ratio among the toxic documents that are not explained yet, so that copies
-of one document do not bring their ordinary words in.
+The marking text consists of words, chosen on labelled documents by an exact test at a rate of false discoveries;
+all documents count, except near copies, so that copies of one document do not bring their ordinary words in.
 """
 
 from __future__ import annotations
@@ -35,16 +34,16 @@ BASE_BYTES, AROUND = 16 * 1024, 120
 #: Ordinary documents of the sample that the base is trained on.
 BASE_DOCUMENTS = 2000
 LEVEL = 15
-#: Beginnings of words: shortest and longest; those that enter the greedy choice at most; distinct ones that explain a document.
-SHORTEST, LONGEST, CANDIDATES, EXPLAINED = 4, 12, 4000, 3
-#: Share of a beginning's documents that a longer form must keep to stand for it; whole words spelled out for each.
-SAME, WHOLE_WORDS = 0.9, 8
+#: Words that the toxic dictionary holds at most, and the share of them that may be there by chance.
+CANDIDATES, FALSE = 4000, 0.1
+#: Bytes of the base that a dictionary holds on either side of a marking word.
+FRAME = 16
 #: Words whose gain a Python worker remembers, and the driver while it fits.
 GAINS, FIT_GAINS = 250_000, 100_000
-#: A gain is counted in steps up to this many bytes.
-STEPS = 6
-#: Texts without a window of this gain all score alike, whatever their length.
-EVIDENCE = 2
+#: A gain counts up to this many bytes; words of STRONG bytes and more are counted, and the best TOP words add up.
+STEPS, STRONG, TOP = 24, 5, 3
+#: Numbers that describe a text to the calibration.
+FEATURES = 5
 
 
 @dataclass(frozen=True)
@@ -69,23 +68,6 @@ def bare_words(text: str | None) -> set[str]:
     return {w.strip(MARKS) for w in words_of(text)} - {""}
 
 
-def beginnings(words: set[str]) -> set[str]:
-    return {w[:k] for w in words for k in range(min(SHORTEST, len(w)), min(len(w), LONGEST) + 1)}
-
-
-def likelihood_ratio(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> np.ndarray:
-    """Twice the log likelihood ratio of "a of na and b of nb" against one common rate; 0 where a's rate is lower."""
-    a, b = a.astype(float), b.astype(float)
-
-    def fit(k, n, p):
-        p = np.clip(p, 1e-12, 1 - 1e-12)
-        return k * np.log(p) + (n - k) * np.log1p(-p)
-
-    common = (a + b) / (na + nb)
-    out = 2 * (fit(a, na, a / na) + fit(b, nb, b / nb) - fit(a, na, common) - fit(b, nb, common))
-    return np.where(a / na > b / nb, out, 0)
-
-
 def without_copies(docs: list[str | None]) -> list[str | None]:
     """Of documents that share a min-hash of their five-word shingles, the first.
 
@@ -102,66 +84,54 @@ def without_copies(docs: list[str | None]) -> list[str | None]:
     return kept
 
 
+def chance(a: int, both: int, mine: int, rows: int) -> float:
+    """Probability that of ``both`` documents with a word, ``a`` or more fall among ``mine`` of ``rows`` (Fisher's test)."""
+
+    def ways(n: int, k: int) -> float:
+        return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+
+    every = ways(rows, both)
+    return math.fsum(math.exp(ways(mine, k) + ways(rows - mine, both - k) - every) for k in range(max(a, both - rows + mine), min(both, mine) + 1))
+
+
 def marking_text(docs: list[str | None], other: list[str | None]) -> list[str]:
-    """Beginnings of words that mark ``docs`` against ``other``, best first. Texts are read one by one."""
+    """Words that mark ``docs`` against ``other``, those of the highest odds last. Texts are read one by one.
+
+    All words are tried, however rare; of those chosen a share of FALSE is expected to be there by chance
+    (Benjamini and Hochberg).
+    """
     if not docs or not other:
         return []
     docs, mine, theirs = without_copies(docs), Counter(), Counter()
     for d in docs:
-        mine.update(beginnings(bare_words(d)))
+        mine.update(bare_words(d))
     for d in other:
-        theirs.update(x for x in beginnings(bare_words(d)) if x in mine)
-    terms = sorted(t for t, n in mine.items() if n >= 3)
-    if not terms:
-        return []
-    b = np.array([theirs[t] for t in terms])
-    ratio = likelihood_ratio(np.array([mine[t] for t in terms]), b, len(docs), len(other))
-    # As likely by chance as once among all beginnings tried.
-    least = 2 * math.log(len(mine) + 1)
-    order = [i for i in np.lexsort((np.arange(len(terms)), -ratio))[:CANDIDATES] if ratio[i] >= least]
-    terms, b = [terms[i] for i in order], b[order]
-    number = {t: i for i, t in enumerate(terms)}
-    has = np.zeros((len(terms), len(docs)), np.uint8)
-    for j, d in enumerate(docs):
-        has[[number[t] for t in beginnings(bare_words(d)) if t in number], j] = 1
-    open_, hits, chosen = np.ones(len(docs), np.uint8), np.zeros(len(docs), int), []
-    usable = np.ones(len(terms), bool)
-    while usable.any():
-        left = has[:, open_ > 0].sum(axis=1, dtype=np.int64)
-        ratio = np.where(usable, likelihood_ratio(left, b, len(docs), len(other)), 0)
-        i = int(ratio.argmax())
-        if ratio[i] < least:
-            break
-        # Its longest form that is nearly as frequent makes the longest match.
-        longer = [j for j, t in enumerate(terms) if t.startswith(terms[i]) and left[j] >= SAME * left[i]]
-        i = max(longer, key=lambda j: (len(terms[j]), ratio[j], terms[j]))
-        chosen.append(terms[i])
-        # Longer and shorter forms of it say the same.
-        usable &= np.array([not (t.startswith(terms[i]) or terms[i].startswith(t)) for t in terms])
-        hits += has[i]
-        open_ = (hits < EXPLAINED).astype(np.uint8)
-    return chosen
-
-
-def _spelled(marks: list[str], docs: list[str | None], typical: list[str]) -> tuple[bytes, bytes]:
-    """Each beginning with its most frequent whole words, between blanks; and an ordinary counterpart.
-
-    The counterpart has typical text in place of the beginnings and the same endings, so that ordinary words find
-    the same matches in both.
+        theirs.update(w for w in bare_words(d) if w in mine)
+    rows, seen = len(docs) + len(other), {}
+    tried = []
+    for w, n in mine.items():
+        pair = (n, theirs[w])
+        if pair not in seen:
+            seen[pair] = chance(n, n + theirs[w], len(docs), rows)
+        tried.append((seen[pair], w))
+    tried.sort()
+    number = max((k for k, (p, _) in enumerate(tried, 1) if p <= FALSE * k / len(tried)), default=0)
+    odds = lambda w: math.log((mine[w] + 0.5) / (len(docs) + 1) * (len(other) + 1) / (theirs[w] + 0.5))
+    return sorted((w for _, w in tried[: min(number, CANDIDATES)]), key=lambda w: (odds(w), w))
+
+
+def _spelled(marks: list[str], around: bytes, typical: list[str]) -> tuple[bytes, bytes]:
+    """Each word as its window has it, between ends of the base; and an ordinary counterpart.
+
+    A word that marks is one match with the base around it, one that only begins alike is not. The counterpart has
+    letters of typical words in its place, so that the base around a window finds the same matches in both.
     """
-    whole: dict[str, Counter] = {x: Counter() for x in marks}
-    for d in docs:
-        for w in bare_words(d):
-            for k in range(min(SHORTEST, len(w)), min(len(w), LONGEST) + 1):
-                if w[:k] in whole:
-                    whole[w[:k]][w] += 1
     filler = cycle(" ".join(typical) + " ") if typical else cycle(" ")
     mine, theirs = [], []
     for mark in marks:
-        for w in [*(w for w, _ in sorted(whole[mark].items(), key=lambda p: (-p[1], p[0]))[:WHOLE_WORDS]), mark]:
-            mine.append(w)
-            theirs.append("".join(islice(filler, len(mark))) + w[len(mark) :])
-    return (" " + " ".join(mine) + " ").encode(), (" " + " ".join(theirs) + " ").encode()
+        for out, word in ((mine, mark), (theirs, "".join(islice(filler, len(mark))))):
+            out.append(around[-FRAME:] + b" " + word.encode("utf-8", "surrogatepass") + b" " + around[:FRAME])
+    return b"".join(mine), b"".join(theirs)
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -184,11 +154,10 @@ class Scorer:
 
     def features(self, text: str | None) -> list[float]:
         words = words_of(text)
-        counts = np.bincount(np.frombuffer(bytes(self.gains.all(words)), np.uint8), minlength=STEPS + 1)
-        above = counts[::-1].cumsum()[::-1][1:]
-        if not above[EVIDENCE - 1]:
-            return [1.0, *[0.0] * (STEPS + 3)]
-        return [1.0, 1.0, math.log1p(len(words)), *np.log1p(above), float(np.flatnonzero(counts).max())]
+        found = self.gains.all(words)
+        best = sorted({w.strip(MARKS): g for w, g in zip(words, found) if g}.values(), reverse=True)[:TOP]
+        strong = sum(g >= STRONG for g in found)
+        return [1.0, float(sum(best)), float(max(0, max(best, default=0) - STRONG + 1)), math.log1p(strong), math.log1p(len(words))]
 
     def score(self, text: str | None) -> float:
         z = float(np.dot(self.features(text), self.model.weights))
@@ -219,17 +188,17 @@ def fit(rows: list[tuple[str | None, int]]) -> ToxicityModel:
     except zstandard.ZstdError:  # too little text to train on
         base = b" ".join(sample)[-BASE_BYTES:]
     frequent, known = Counter(w for text in groups[0][:BASE_DOCUMENTS] for w in bare_words(text)), set(marks)
-    typical = [w for w, _ in sorted(frequent.items(), key=lambda p: (-p[1], p[0]))[:5000] if not known & beginnings({w})]
-    toxic, ordinary = _spelled(marks, groups[1], typical)
+    typical = [w for w, _ in sorted(frequent.items(), key=lambda p: (-p[1], p[0]))[:5000] if w not in known]
+    toxic, ordinary = _spelled(marks, base[-AROUND:], typical)
     pad = max(0, 8 - len(base)) * b" "
     model = ToxicityModel(pad + base + ordinary, pad + base + toxic, base[-AROUND:], ())
     scorer = Scorer(model, FIT_GAINS)
-    x, y = np.array([scorer.features(t) for t, _ in rows] or np.zeros((0, STEPS + 4))), np.array([label for _, label in rows], float)
+    x, y = np.array([scorer.features(t) for t, _ in rows] or np.zeros((0, FEATURES))), np.array([label for _, label in rows], float)
     if len(groups[0]) and len(groups[1]):
         weights = _logistic(x, y)
     else:
         rate = (len(groups[1]) + 0.5) / (len(rows) + 1)
-        weights = np.r_[math.log(rate / (1 - rate)), np.zeros(STEPS + 3)]
+        weights = np.r_[math.log(rate / (1 - rate)), np.zeros(FEATURES - 1)]
     return ToxicityModel(model.ordinary, model.toxic, model.around, tuple(map(float, weights)))
 
 

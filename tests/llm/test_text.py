@@ -279,3 +279,23 @@ def test_toxicity_odd_rows(odd, nothing):
     assert toxicity.score_toxicity(nothing, model).collect() == []
     none = toxicity.fit_table(nothing, labels.limit(0), F.lit(True))
     assert {r.score for r in toxicity.score_toxicity(odd, none).collect()} == {0.5}
+
+
+def test_toxicity_of_rarer_languages():
+    import pyarrow.parquet as pq
+
+    from tests.conftest import TESTDATA
+
+    where = TESTDATA / "sf0.1"
+    if not where.exists():
+        pytest.skip("no test tables")
+    labels = {r["doc_id"]: r["toxic"] for r in pq.read_table(where / "labels.parquet").to_pylist()}
+    rows = [(r["doc_id"], r["text"], r["lang"], labels[r["doc_id"]]) for r in pq.read_table(where / "documents.parquet").to_pylist() if r["doc_id"] in labels]
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    rate = toxicity.Scorer(toxicity.fit([(text, toxic) for i, text, _, toxic in rows if not held(i)])).score
+    found = {}
+    for i, text, lang, toxic in rows:
+        if held(i):
+            found.setdefault((lang, toxic), []).append(rate(text) >= 0.7)
+    for lang in ("de", "en", "es", "fr"):
+        assert sum(found[lang, 1]) >= 0.6 * len(found[lang, 1]) and sum(found[lang, 0]) <= 0.01 * len(found[lang, 0])
