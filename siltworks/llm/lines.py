@@ -15,13 +15,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from siltworks.llm.common import discard, materialise
 
 #: Lines shorter than this are near only if equal: one word of five is a fifth.
 MIN_WORDS = 5
-#: Line numbers take the low decimal digits of a place.
-_PER_DOCUMENT = 10**10
+#: Line numbers take the low decimal digits of a place; where ids repeat, the number of a text among its id's comes before.
+_PER_DOCUMENT, _PER_ID = 10**10, 10**9
 
 
 def _tidy(line: Column) -> Column:
@@ -34,18 +35,45 @@ def _words(tidy: Column) -> Column:
 
 
 def _place(key: str, line_no: str) -> Column:
-    """A number that orders lines by document, then by line; a flat value that hash aggregation updates in place."""
-    return (F.col(key).cast("decimal(20,0)") * F.lit(_PER_DOCUMENT).cast("decimal(11,0)") + F.col(line_no).cast("decimal(10,0)")).cast("decimal(38,0)")
+    """A number that orders lines by row, then by line; a flat value that hash aggregation updates in place."""
+    return (F.col(key).cast("decimal(28,0)") * F.lit(_PER_DOCUMENT).cast("decimal(11,0)") + F.col(line_no).cast("decimal(10,0)")).cast("decimal(38,0)")
 
 
-def _place_key(place: str) -> Column:
-    return F.floor(F.col(place) / F.lit(_PER_DOCUMENT).cast("decimal(11,0)")).cast("long")
+def _place_key(place: str, kind: DataType) -> Column:
+    return F.floor(F.col(place) / F.lit(_PER_DOCUMENT).cast("decimal(11,0)")).cast(kind)
 
 
 def _place_line(place: str) -> Column:
     return F.pmod(F.col(place), F.lit(_PER_DOCUMENT).cast("decimal(38,0)")).cast("int")
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """Add ``_key``, which orders rows by doc_id (null last), then by a hash of the text; and whether equal rows share it.
+
+    Where each id has one text the key is the id. Otherwise it is a decimal: the id, then the text's number among
+    the id's; for a null id the text's hash, so that no group gathers the nulls.
+    """
+    docs = docs.withColumn("_hash", F.xxhash64("text"))
+    texts = materialise(docs.groupBy("doc_id", "_hash").agg(F.count("*").alias("rows")))
+    repeated = bool(texts.filter("rows > 1").take(1))
+    whole = F.coalesce("doc_id", F.lit(2**63 - 1))
+    several = texts.groupBy(whole.alias("doc_id")).agg(F.count("*").alias("texts")).filter("texts > 1").select("doc_id")
+    if not several.take(1):
+        discard(texts)
+        return docs.withColumn("_key", whole).drop("_hash"), repeated
+    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("_hash")) - 1
+    turns = materialise(texts.filter("doc_id is not null").join(several, "doc_id", "left_semi").select("doc_id", "_hash", turn.alias("_turn")))
+    discard(texts)
+    if turns.filter(F.col("_turn") >= _PER_ID).take(1):
+        raise ValueError(f"an id has more than {_PER_ID} texts")
+    wide = lambda c: c.cast("decimal(28,0)")
+    ids = wide(F.col("doc_id").cast("decimal(19,0)") * F.lit(_PER_ID).cast("decimal(10,0)") + F.coalesce("_turn", F.lit(0)))
+    # Above all ids: 2**63, and the hash counted from 0.
+    nulls = wide(F.lit(str(2**63 * _PER_ID + 2**63)).cast("decimal(28,0)") + F.col("_hash").cast("decimal(19,0)"))
+    docs = docs.join(turns, ["doc_id", "_hash"], "left").withColumn("_key", F.when(F.col("doc_id").isNull(), nulls).otherwise(ids))
+    return docs.drop("_hash", "_turn"), repeated
+
+
 def _lines(docs: DataFrame, separator: str) -> DataFrame:
     """A row per distinct line with words: document and number of its earliest copy, hashes of its halves.
 
@@ -67,7 +95,7 @@ def _lines(docs: DataFrame, separator: str) -> DataFrame:
         F.when(long_enough & even, first(high)).alias("h2"), F.when(long_enough & even, last(high)).alias("h3"),
     )
     distinct = keyed.groupBy("k1", "k2", "h0", "h1", "h2", "h3").agg(F.min("place").alias("place"))
-    return distinct.select(_place_key("place").alias("_key"), _place_line("place").alias("line_no"), "h0", "h1", "h2", "h3")
+    return distinct.select(_place_key("place", docs.schema["_key"].dataType).alias("_key"), _place_line("place").alias("line_no"), "h0", "h1", "h2", "h3")
 
 
 def _variant_keys(words: DataFrame) -> DataFrame:
@@ -121,7 +149,7 @@ def _near_lines(docs: DataFrame, distinct: DataFrame, separator: str) -> DataFra
     same_after = lambda skip: F.slice("x", F.col("at") + 1, F.size("x")) == F.slice("y", F.col("at") + skip, F.size("x"))
     one_edit = F.when(F.size("x") == F.size("y"), same_after(1)).when(F.size("x") == F.size("y") + 1, same_after(0)).otherwise(F.lit(False))
     near = both.filter((F.size("x") >= MIN_WORDS) & (F.col("at") > 0) & one_edit).select("place").distinct()
-    near = materialise(near.select(_place_key("place").alias("_key"), _place_line("place").alias("line_no")))
+    near = materialise(near.select(_place_key("place", docs.schema["_key"].dataType).alias("_key"), _place_line("place").alias("line_no")))
     discard(texts, met)
     return near
 
@@ -129,26 +157,35 @@ def _near_lines(docs: DataFrame, distinct: DataFrame, separator: str) -> DataFra
 def dedup_lines(docs: DataFrame, separator: str = "\n") -> DataFrame:
     """Take from each text of ``doc_id, text`` the lines that an equal or near line precedes.
 
-    Lines are ordered by doc_id (null last), then place; a line goes if any earlier line is within the edit
+    Lines are ordered by doc_id (null last), then, where rows share an id or have none, by a hash of the text, then
+    by place; of equal rows one is first. A line goes if any earlier line is within the edit
     bound, whether that one stays or not. Words are compared as they are, white space between them as one
     blank. Lines without words stay. Returns all columns of the input with the new ``text``, and n_lines and
     n_kept (long; columns of those names are replaced). Null texts stay null with 0 lines; an empty text is one
-    line without words. Rows that repeat a doc_id share the places of the lines that stay. An empty table gives
-    no rows.
+    line without words. An empty table gives no rows.
     """
-    docs = docs.withColumn("_key", F.coalesce("doc_id", F.lit(2**63 - 1)))
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_kept")]
+    docs, repeated = _numbered(docs)
     narrow = docs.select("_key", "text")
+    if repeated:
+        narrow = narrow.dropDuplicates(["_key"])
     distinct = materialise(_lines(narrow, separator))
     kept = distinct.select("_key", "line_no").join(_near_lines(narrow, distinct, separator), ["_key", "line_no"], "left_anti")
     kept = kept.groupBy("_key").agg(F.collect_list("line_no").alias("_kept"))
-    out = docs.drop("n_lines", "n_kept").join(kept, "_key", "left")
+    out = docs.drop("n_lines", "n_kept")
+    if repeated:
+        # Of equal rows one keeps its lines.
+        out = out.withColumn("_copy", F.row_number().over(Window.partitionBy("_key").orderBy("_key")))
+    out = out.join(kept, "_key", "left")
+    if repeated:
+        out = out.withColumn("_kept", F.when(F.col("_copy") == 1, F.col("_kept")))
     out = out.withColumn("_lines", F.split("text", separator))
     out = out.withColumn("_blank", F.expr(r"filter(transform(_lines, (l, i) -> if(trim(translate(l, '\t\u000b\f\r\n', '     ')) = '', i, null)), i -> i is not null)"))
     out = out.withColumn("_stay", F.array_sort(F.array_union(F.coalesce("_kept", F.array().cast("array<int>")), "_blank")))
     out = out.withColumn("_out", F.expr("filter(transform(_stay, k -> get(_lines, k)), l -> l is not null)"))
     size = lambda c: F.when(F.col("text").isNull(), 0).otherwise(F.size(c)).cast("long")
     out = out.withColumns({"n_lines": size("_lines"), "n_kept": size("_out")}).withColumn("text", F.when(F.col("text").isNotNull(), F.array_join("_out", separator)))
-    return out.select(*[c for c in docs.columns if c not in ("n_lines", "n_kept", "_key")], "n_lines", "n_kept")
+    return out.select(*columns, "n_lines", "n_kept")
 
 
 def line_report(docs: DataFrame) -> DataFrame:

@@ -179,6 +179,24 @@ def test_lines_odd_rows(odd, nothing):
     assert lines.dedup_lines(nothing).collect() == []
 
 
+def test_lines_of_repeated_and_missing_ids(spark):
+    line, near_line = "a b c d e f g h", "a b c d e f g z"
+    for rows, stay in [
+        # Equal rows: one keeps the line, and its near line elsewhere goes.
+        ([(1, line), (1, line), (2, near_line)], 1),
+        ([(1, line), (2, near_line), (2, near_line)], 1),
+        # Different texts of one id, and of none, with the copy at the same place or another.
+        ([(1, line), (1, f"{line}\nq r s")], 2),
+        ([(1, f"x y\n{line}"), (1, f"v w\n{near_line}"), (1, f"t u\n{line}")], 4),
+        ([(None, f"x y\n{line}"), (None, f"v w\n{near_line}"), (None, f"t u\n{line}"), (5, near_line)], 4),
+        ([(None, line), (None, line), (2**63 - 1, near_line), (-(2**63), "k l")], 2),
+    ]:
+        out = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert len(out) == len(rows) and sum(r.n_kept for r in out) == stay, (rows, out)
+        assert sum(bool(r.text) and (line in r.text or near_line in r.text) for r in out) == 1
+    assert [r.text for r in out if r.doc_id == 2**63 - 1] == [near_line]
+
+
 # Language
 
 
