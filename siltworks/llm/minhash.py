@@ -276,14 +276,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     everything = materialise(sketched(docs, size))
     filled = everything.filter("n_shingles > 0")
     # Written out, so that the join below stands alone and its hot keys can be split.
-    classes = materialise(filled.groupBy("set_key").agg(F.min("doc_id").alias("rep")))
-    leaders = classes.select(F.col("rep").alias("doc_id"))
-    rows = filled.select(F.explode("bands").alias("key"), "doc_id").join(leaders, "doc_id", "left_semi")
+    # Each class has a number of its own, as an id can lead several; up to the links it stands in the place of doc_id.
+    classes = materialise(filled.groupBy("set_key").agg(F.min("doc_id").alias("rep")).withColumn("vertex", F.monotonically_increasing_id()))
+    leaders = classes.select("set_key", F.col("rep").alias("doc_id"), "vertex")
+    rows = filled.select("set_key", "doc_id", "bands").join(leaders, ["set_key", "doc_id"]).select(F.explode("bands").alias("key"), F.col("vertex").alias("doc_id"))
     buckets = rows.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).filter("lead < last").select("key", "lead")
     members = materialise(rows.join(buckets, "key").filter("doc_id <> lead"))
-    # One row per document that shares a bucket; of rows that repeat an id, one text.
-    meeting = members.select("doc_id").unionByName(members.select(F.col("lead").alias("doc_id"))).distinct()
-    met = materialise(filled.select("doc_id", "n_shingles", "sketch", "packed").join(meeting, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    # One row per class that shares a bucket.
+    meeting = members.select(F.col("doc_id").alias("vertex")).unionByName(members.select(F.col("lead").alias("vertex"))).distinct()
+    met = filled.select("set_key", "doc_id", "n_shingles", "sketch", "packed").join(leaders.join(meeting, "vertex"), ["set_key", "doc_id"])
+    met = materialise(met.select(F.col("vertex").alias("doc_id"), "n_shingles", "sketch", "packed").dropDuplicates(["doc_id"]))
 
     stars = members.select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
     hope = materialise(_hopeful_pairs(stars, met, percent))
@@ -295,11 +297,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     found = [star_links, block_links]
 
     # Copies take their class's component by a join, so that they add no edges; ids with several texts tie theirs.
-    placed = everything.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
+    placed = everything.select("doc_id", "n_shingles", "set_key").join(classes.drop("vertex"), "set_key", "left")
     placed = materialise(placed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep")))
     several = placed.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("doc_id", "low")
     ties = placed.join(several, "doc_id").select(F.col("rep").alias("u"), F.col("low").alias("v"))
-    edges = reduce(DataFrame.unionByName, found).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    end = lambda vertex, name: classes.select(F.col("vertex").alias(vertex), F.col("rep").alias(name))
+    edges = reduce(DataFrame.unionByName, found).join(end("a", "u"), "a").join(end("b", "v"), "b").select("u", "v")
     component = materialise(connected_components(edges.unionByName(ties)))
     out = placed.join(component.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     out = out.select("doc_id", "n_shingles", "component")

@@ -81,6 +81,17 @@ def test_odd_rows(odd):
     assert (by_id[None].component_id, by_id[None].kept, by_id[None].n_shingles) == (None, True, 4)
 
 
+def test_id_that_leads_two_sets(spark):
+    # The two texts of id 5 come in either order, so that neither can be kept by luck.
+    for flip in (1, -1):
+        t1, t2 = [" ".join(f"{c}{i}" for i in range(60)) for c in "pq"][::flip]
+        near1, near2 = (f"{t} more" for t in (t1, t2))
+        rows = [(5, t1), (5, t2), (7, t2), (8, t1), (9, near2), (10, near1)]
+        for some in (rows, rows[::-1]):
+            out = minhash.near_duplicates(spark.createDataFrame(some, "doc_id long, text string"), 2, 80).collect()
+            assert len(out) == 6 and {r.component_id for r in out} == {5}
+
+
 def test_no_rows(nothing):
     assert minhash.near_duplicates(nothing).collect() == []
 
