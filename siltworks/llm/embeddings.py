@@ -10,10 +10,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,24 +68,31 @@ def _unit_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows, usable
 
 
-HASHED_SCHEMA = "vec_id long, raw binary, unit_key binary, codes array<int>, code_bytes binary"
+HASHED_SCHEMA = "vec_id long, dim int, raw binary, unit_key binary, codes array<int>, code_bytes binary"
 
 
-def _hashed(vectors: DataFrame, vec: str, dim: int, kind: type, bits: int, tables: int, seed: int) -> DataFrame:
+def _hashed(vectors: DataFrame, vec: str, kind: type, bits: int, tables: int, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes, powers = directions(dim, bits, tables, seed), 1 << np.arange(bits)
+        planes, powers = lru_cache(maxsize=4)(lambda dim: directions(dim, bits, tables, seed)), 1 << np.arange(bits)
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                stored, whole = _rows(part.column(1), dim, kind)
-                rows, usable = _unit_rows(stored)
-                usable &= whole
-                codes = ((rows @ planes > 0).reshape(-1, tables, bits) @ powers).astype(np.int32)
-                raw = pa.array([r.tobytes() if u else None for r, u in zip(stored, usable)], pa.binary())
-                keys = pa.array([xxhash.xxh3_128_digest(r.tobytes()) if u else None for r, u in zip(rows, usable)], pa.binary())
-                lists = pa.FixedSizeListArray.from_arrays(pa.array(codes.ravel()), tables).cast(pa.list_(pa.int32()))
-                packed = pa.array([c.tobytes() for c in codes], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), raw, keys, lists, packed], names=["vec_id", "raw", "unit_key", "codes", "code_bytes"])
+            lengths = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+            # The vectors of each length; those of none once, as rows of one component that is not whole.
+            for dim in np.unique(lengths):
+                found = batch.take(pa.array(np.flatnonzero(lengths == dim)))
+                for at in range(0, found.num_rows, 4096):
+                    yield of_length(found.slice(at, 4096), max(1, int(dim)), planes, powers)
+
+    def of_length(part: pa.RecordBatch, dim: int, planes, powers: np.ndarray) -> pa.RecordBatch:
+        stored, whole = _rows(part.column(1), dim, kind)
+        rows, usable = _unit_rows(stored)
+        usable &= whole
+        codes = ((rows @ planes(dim) > 0).reshape(-1, tables, bits) @ powers).astype(np.int32)
+        raw = pa.array([r.tobytes() if u else None for r, u in zip(stored, usable)], pa.binary())
+        keys = pa.array([xxhash.xxh3_128_digest(r.tobytes()) if u else None for r, u in zip(rows, usable)], pa.binary())
+        lists = pa.FixedSizeListArray.from_arrays(pa.array(codes.ravel()), tables).cast(pa.list_(pa.int32()))
+        packed = pa.array([c.tobytes() for c in codes], pa.binary())
+        dims = pa.array(np.full(part.num_rows, dim, np.int32))
+        return pa.RecordBatch.from_arrays([part.column(0), dims, raw, keys, lists, packed], names=["vec_id", "dim", "raw", "unit_key", "codes", "code_bytes"])
 
     return vectors.select("vec_id", F.col(vec)).mapInArrow(run, HASHED_SCHEMA)
 
@@ -104,12 +113,12 @@ def _local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _compare(dim: int, kind: type, threshold: float):
+def _compare(kind: type, threshold: float):
     """Pairs of blocks of buckets: links per vector, and a spanning forest of each pair of blocks."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame | None:
         ids, weights, block = pdf["vec_id"].to_numpy(), pdf["copies"].to_numpy(), pdf["block"].to_numpy()
-        units = _unit_rows(np.frombuffer(b"".join(pdf["raw"]), kind).reshape(-1, dim))[0]
+        units = _unit_rows(np.frombuffer(b"".join(pdf["raw"]), kind).reshape(len(ids), -1))[0]
         codes = np.frombuffer(b"".join(pdf["code_bytes"]), np.int32).reshape(len(ids), -1)
         table, within = int(pdf["bucket_table"].iat[0]), pdf["lo"].iat[0] == pdf["hi"].iat[0]
         links, lefts, rights = np.zeros(len(ids), np.int64), [], []
@@ -133,8 +142,8 @@ def _compare(dim: int, kind: type, threshold: float):
         return pd.DataFrame({"vec_id": ids[some], "links": links[some], "root": ids[root[some]]})
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["bucket_table", "bucket", "lo", "hi", "vec_id"], ignore_index=True)
-        keys = pdf[["bucket_table", "bucket", "lo", "hi"]].to_numpy()
+        pdf = pdf.sort_values(["dim", "bucket_table", "bucket", "lo", "hi", "vec_id"], ignore_index=True)
+        keys = pdf[["dim", "bucket_table", "bucket", "lo", "hi"]].to_numpy()
         starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
         found = [x for a, b in zip(starts, [*starts[1:], len(pdf)]) if b - a > 1 and (x := one(pdf.iloc[a:b])) is not None]
         return pd.concat(found) if found else pd.DataFrame({"vec_id": [], "links": [], "root": []}).astype("int64")
@@ -146,8 +155,8 @@ def near_embeddings(vectors: DataFrame, vec: str = "embedding", threshold: float
     """Link vectors of ``vec_id, <vec>`` whose cosine is at least ``threshold``.
 
     Returns vec_id, n_links (other rows linked directly), component_id (the smallest vec_id reachable) and kept,
-    a row per input row. Vectors that are null, zero, hold null or non-finite components, or differ in length
-    from the table's longest, link with nothing. Rows of one direction form a class that is compared once and
+    a row per input row. Vectors that are null, zero, or hold null or non-finite components link with nothing; vectors of
+    different lengths do not link with each other. Rows of one direction form a class that is compared once and
     counts with its copies. Repeated ids are one vertex. Rows of null vec_id come back unlinked with null
     component_id. An empty table gives no rows. Extra columns are not read.
 
@@ -163,29 +172,35 @@ def near_embeddings(vectors: DataFrame, vec: str = "embedding", threshold: float
         return nothing
     bits, tables = plan_tables(n, threshold, miss)
     kind = np.float32 if isinstance(source.schema[vec].dataType.elementType, T.FloatType) else np.float64
-    hashed = materialise(_hashed(source, vec, dim, kind, bits, tables, seed))
+    hashed = materialise(_hashed(source, vec, kind, bits, tables, seed))
     usable = hashed.filter("raw is not null")
-    classes = materialise(usable.groupBy("unit_key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
-    membership = materialise(usable.select("vec_id", "unit_key").join(classes, "unit_key").select("vec_id", "rep", "copies"))
-    reps = membership.filter("vec_id = rep").groupBy("vec_id").agg(F.max("copies").alias("copies")).join(usable.dropDuplicates(["vec_id"]).drop("unit_key"), "vec_id")
-    reps = materialise(reps)
-
-    places = reps.select("vec_id", F.posexplode("codes").alias("bucket_table", "bucket"))
-    sizes = places.groupBy("bucket_table", "bucket").agg(F.count("*").alias("members")).filter("members > 1")
-    placed = places.join(sizes, ["bucket_table", "bucket"]).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    # Each class has a number of its own, as an id can lead several.
+    classes = usable.groupBy("dim", "unit_key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    classes = materialise(classes.withColumn("vertex", F.monotonically_increasing_id()))
+    membership = materialise(usable.select("vec_id", "dim", "unit_key").join(classes, ["dim", "unit_key"]).select("vec_id", "vertex", "rep", "copies"))
+    leaders = classes.withColumnRenamed("rep", "vec_id")
+    reps = usable.join(leaders, ["dim", "unit_key", "vec_id"]).dropDuplicates(["vertex"])
+    reps = materialise(reps.select(F.col("vertex").alias("vec_id"), "copies", "dim", "raw", "codes", "code_bytes"))
+
+    places = reps.select("vec_id", "dim", F.posexplode("codes").alias("bucket_table", "bucket"))
+    sizes = places.groupBy("dim", "bucket_table", "bucket").agg(F.count("*").alias("members")).filter("members > 1")
+    placed = places.join(sizes, ["dim", "bucket_table", "bucket"]).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("vec_id", "bucket_table"), F.col("blocks")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
-    cell = F.pmod(F.xxhash64("bucket_table", "bucket", "lo", "hi"), F.lit(max(1, n * tables // CELL_ROWS)))
-    dealt = dealt.select("vec_id", "bucket_table", "bucket", "block", "lo", "hi", cell.alias("cell")).join(reps.drop("codes"), "vec_id")
-    found = materialise(dealt.groupBy("cell").applyInPandas(_compare(dim, kind, threshold), "vec_id long, links long, root long"))
+    cell = F.pmod(F.xxhash64("dim", "bucket_table", "bucket", "lo", "hi"), F.lit(max(1, n * tables // CELL_ROWS)))
+    dealt = dealt.select("vec_id", "dim", "bucket_table", "bucket", "block", "lo", "hi", cell.alias("cell")).join(reps.drop("codes", "dim"), "vec_id")
+    found = materialise(dealt.groupBy("cell").applyInPandas(_compare(kind, threshold), "vec_id long, links long, root long"))
 
-    discard(reps, classes)
-    counts = found.groupBy("vec_id").agg(F.sum("links").alias("links")).withColumnRenamed("vec_id", "rep")
+    discard(reps)
+    counts = found.groupBy("vec_id").agg(F.sum("links").alias("links")).withColumnRenamed("vec_id", "vertex")
     # Copies take their class's component by a join, so that they add no edges; ids with several vectors tie theirs.
     several = membership.groupBy("vec_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("vec_id", "low")
     ties = membership.join(several, "vec_id").select(F.col("rep").alias("u"), F.col("low").alias("v"))
-    component = materialise(connected_components(found.select(F.col("vec_id").alias("u"), F.col("root").alias("v")).unionByName(ties)))
-    linked = membership.join(counts, "rep", "left").join(component.withColumnRenamed("id", "rep"), "rep", "left")
+    end = lambda vertex, name: classes.select(F.col("vertex").alias(vertex), F.col("rep").alias(name))
+    edges = found.select("vec_id", "root").filter("vec_id <> root").distinct().join(end("vec_id", "u"), "vec_id").join(end("root", "v"), "root").select("u", "v")
+    component = materialise(connected_components(edges.unionByName(ties)))
+    discard(classes)
+    linked = membership.join(counts, "vertex", "left").join(component.withColumnRenamed("id", "rep"), "rep", "left")
     linked = linked.select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
     linked = linked.groupBy("vec_id").agg(F.max("links").alias("links"), F.min("component").alias("component"))
     out = hashed.select("vec_id").join(linked, "vec_id", "left")

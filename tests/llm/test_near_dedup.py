@@ -139,6 +139,15 @@ def test_embeddings(spark, monkeypatch, block):
     assert {i: r.component_id for i, r in out.items()} == least
 
 
+def test_vectors_of_several_lengths_and_ids_of_several_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0, 0.0]), (4, [0.0, 1.0, 0.01]), (5, [1.0] * 4)]
+    # Id 10 leads two classes; only the second is near 12.
+    rows += [(10, [0.0, 0.0, -1.0]), (10, [-1.0, 0.0, 0.0]), (11, [-1.0, 0.0, 0.0]), (12, [-1.0, 0.01, 0.0]), (13, [0.0, 0.01, -1.0])]
+    out = {r.vec_id: r for r in embeddings.near_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), miss=1e-9).collect()}
+    assert {i: r.n_links for i, r in out.items() if i != 10} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 0, 11: 2, 12: 2, 13: 1}
+    assert {i: r.component_id for i, r in out.items()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 10: 10, 11: 10, 12: 10, 13: 10}
+
+
 def test_tables_of_vectors(spark, small):
     df = spark.read.parquet(f"{small}/embeddings.parquet")
     rows = [(r.vec_id, np.array(r.embedding, float)) for r in df.collect()]
