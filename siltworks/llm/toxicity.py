@@ -1,12 +1,15 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries share one base of ordinary text, followed by as much text that marks toxic documents in
-one and ordinary ones in the other. A window is one word between two stretches of the base. Where the
-toxic dictionary compresses a window to fewer bytes than the ordinary one, the word tells of toxic text. A
-logistic model calibrates how many windows of which gain make a document toxic.
-
-The marking text consists of words, chosen on labelled documents by an exact test at a rate of false discoveries;
-all documents count, except near copies, so that copies of one document do not bring their ordinary words in.
+one and ordinary ones in the other. A window is one word between two stretches of the base. A window that the
+toxic dictionary knows as a whole, and that it shortens by enough bytes more than the ordinary one, tells of toxic
+text. How many bytes are enough is calibrated on the labelled documents, and a logistic model calibrates how many
+such windows make a document toxic.
+
+This departs from dictionaries trained on all text of each class, as about one word in a hundred of a toxic
+document is toxic (README has the figures). The marking text consists of words, chosen on labelled documents by an
+exact test at a rate of false discoveries; all documents count, except near copies, so that copies of one document
+do not bring their ordinary words in.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 from itertools import cycle, islice
 
@@ -31,19 +34,22 @@ from siltworks.llm.bpe import BoundedCache
 TRAIN_ROWS, TRAIN_CHARS = 8_000, 40_000_000
 #: Bytes of the shared base, and of the base around a window.
 BASE_BYTES, AROUND = 16 * 1024, 120
-#: Ordinary documents of the sample that the base is trained on.
-BASE_DOCUMENTS = 2000
+#: Words of a stretch of text, and stretches that the base is trained on: evenly spread over all ordinary text.
+STRETCH_WORDS, STRETCHES = 32, 50_000
 LEVEL = 15
-#: Words that the toxic dictionary holds at most, and the share of them that may be there by chance.
-CANDIDATES, FALSE = 4000, 0.1
+#: Of the words of the toxic dictionary, the share that may be there by chance, and how many times as frequent
+#: among toxic documents as among others each must be.
+FALSE, TIMES = 0.1, 10.0
 #: Bytes of the base that a dictionary holds on either side of a marking word.
 FRAME = 16
+#: Marks of a word's ends, so that an end of a word in the dictionary costs a match of its own.
+OPEN, CLOSE = b"\x02\x03\x02 ", b" \x03\x02\x03"
 #: Words whose gain a Python worker remembers, and the driver while it fits.
 GAINS, FIT_GAINS = 250_000, 100_000
-#: A gain counts up to this many bytes; words of STRONG bytes and more are counted, and the best TOP words add up.
-STEPS, STRONG, TOP = 24, 5, 3
+#: Gains from which a known window may tell; the one of the best likelihood is taken.
+CUTS = range(2, 10)
 #: Numbers that describe a text to the calibration.
-FEATURES = 5
+FEATURES = 6
 
 
 @dataclass(frozen=True)
@@ -53,6 +59,9 @@ class ToxicityModel:
     ordinary: bytes
     toxic: bytes
     around: bytes
+    #: Bytes of a window that the toxic dictionary knows as a whole, and gain from which such a window tells.
+    known: int
+    cut: int
     weights: tuple[float, ...]
 
 
@@ -116,8 +125,8 @@ def marking_text(docs: list[str | None], other: list[str | None]) -> list[str]:
         tried.append((seen[pair], w))
     tried.sort()
     number = max((k for k, (p, _) in enumerate(tried, 1) if p <= FALSE * k / len(tried)), default=0)
-    odds = lambda w: math.log((mine[w] + 0.5) / (len(docs) + 1) * (len(other) + 1) / (theirs[w] + 0.5))
-    return sorted((w for _, w in tried[: min(number, CANDIDATES)]), key=lambda w: (odds(w), w))
+    odds = lambda w: (mine[w] + 0.5) / (len(docs) + 1) * (len(other) + 1) / (theirs[w] + 0.5)
+    return sorted((w for _, w in tried[:number] if odds(w) >= TIMES), key=lambda w: (odds(w), w))
 
 
 def _spelled(marks: list[str], around: bytes, typical: list[str]) -> tuple[bytes, bytes]:
@@ -130,7 +139,7 @@ def _spelled(marks: list[str], around: bytes, typical: list[str]) -> tuple[bytes
     mine, theirs = [], []
     for mark in marks:
         for out, word in ((mine, mark), (theirs, "".join(islice(filler, len(mark))))):
-            out.append(around[-FRAME:] + b" " + word.encode("utf-8", "surrogatepass") + b" " + around[:FRAME])
+            out.append(around[-FRAME:] + OPEN + word.encode("utf-8", "surrogatepass") + CLOSE + around[:FRAME])
     return b"".join(mine), b"".join(theirs)
 
 
@@ -147,23 +156,32 @@ class Scorer:
         self.ordinary, self.toxic = _compressor(model.ordinary), _compressor(model.toxic)
         self.gains = BoundedCache(self.gain, remembered)
 
+    def window(self, word: str) -> bytes:
+        return self.model.around + OPEN + word.encode("utf-8", "surrogatepass") + CLOSE + self.model.around
+
     def gain(self, word: str) -> int:
-        """Bytes by which the toxic dictionary shortens the word's window, from 0 to STEPS."""
-        window = self.model.around + b" " + word.strip(MARKS).encode("utf-8", "surrogatepass") + b" " + self.model.around
-        return min(STEPS, max(0, len(self.ordinary.compress(window)) - len(self.toxic.compress(window))))
+        """Bytes by which the toxic dictionary shortens the window of a word that it knows; 0 for other words."""
+        window = self.window(word.strip(MARKS))
+        mine = len(self.toxic.compress(window))
+        return max(0, len(self.ordinary.compress(window)) - mine) if mine <= self.model.known else 0
 
-    def features(self, text: str | None) -> list[float]:
+    def telling(self, text: str | None) -> tuple[list[int], list[int], int]:
+        """Gains of the text's distinct words that have one, gains of all those words, and the number of all words."""
         words = words_of(text)
-        found = self.gains.all(words)
-        best = sorted({w.strip(MARKS): g for w, g in zip(words, found) if g}.values(), reverse=True)[:TOP]
-        strong = sum(g >= STRONG for g in found)
-        return [1.0, float(sum(best)), float(max(0, max(best, default=0) - STRONG + 1)), math.log1p(strong), math.log1p(len(words))]
+        found = [(w.strip(MARKS), g) for w, g in zip(words, self.gains.all(words)) if g]
+        return list(dict(found).values()), [g for _, g in found], len(words)
 
     def score(self, text: str | None) -> float:
-        z = float(np.dot(self.features(text), self.model.weights))
+        z = float(np.dot(features(*self.telling(text), self.model.cut), self.model.weights))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+def features(distinct: list[int], every: list[int], words: int, cut: int) -> list[float]:
+    """What the calibration sees of a text: one, two, and more distinct telling words, all of them, and the length."""
+    k = sum(g >= cut for g in distinct)
+    return [1.0, float(k > 0), float(k > 1), float(min(max(k - 2, 0), 2)), math.log1p(sum(g >= cut for g in every)), math.log1p(words)]
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Newton steps; the ridge leaves the constant alone."""
     w, pull = np.zeros(x.shape[1]), ridge * np.r_[0, np.ones(x.shape[1] - 1)]
@@ -173,33 +191,51 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
+def _base(docs: list[str | None]) -> bytes:
+    """The base, trained on stretches spread evenly over all text of ``docs``."""
+    every = max(1, -(-sum(len(words_of(d)) // STRETCH_WORDS + 1 for d in docs) // STRETCHES))
+    sample, turn = [], 0
+    for d in docs:
+        words = words_of(d)
+        for at in range(0, len(words), STRETCH_WORDS):
+            if turn % every == 0:
+                sample.append(" ".join(words[at : at + STRETCH_WORDS]).encode("utf-8", "surrogatepass"))
+            turn += 1
+    try:
+        return zstandard.train_dictionary(BASE_BYTES, sample).as_bytes()[-BASE_BYTES:]
+    except zstandard.ZstdError:  # too little text to train on
+        return b" ".join(sample)[-BASE_BYTES:]
+
+
 def fit(rows: list[tuple[str | None, int]]) -> ToxicityModel:
     """A model of (text, label) rows. With one label alone, all scores are that label's smoothed rate."""
     groups: tuple[list[str | None], list[str | None]] = ([], [])
     for text, label in rows:
         groups[label].append(text)
     marks = marking_text(groups[1], groups[0])
-    sample: list[bytes] = []
-    for text in groups[0][:BASE_DOCUMENTS]:
-        words = words_of(text)
-        sample += [" ".join(words[i : i + 32]).encode() for i in range(0, min(len(words), 320), 32)]
-    try:
-        base = zstandard.train_dictionary(BASE_BYTES, sample).as_bytes()[-BASE_BYTES:]
-    except zstandard.ZstdError:  # too little text to train on
-        base = b" ".join(sample)[-BASE_BYTES:]
-    frequent, known = Counter(w for text in groups[0][:BASE_DOCUMENTS] for w in bare_words(text)), set(marks)
+    base, known = _base(groups[0]), set(marks)
+    frequent = Counter(w for text in groups[0] for w in bare_words(text))
     typical = [w for w, _ in sorted(frequent.items(), key=lambda p: (-p[1], p[0]))[:5000] if w not in known]
+    pad = max(0, 2 * AROUND - len(base)) * b"#"
+    base = pad + base
     toxic, ordinary = _spelled(marks, base[-AROUND:], typical)
-    pad = max(0, 8 - len(base)) * b" "
-    model = ToxicityModel(pad + base + ordinary, pad + base + toxic, base[-AROUND:], ())
-    scorer = Scorer(model, FIT_GAINS)
-    x, y = np.array([scorer.features(t) for t, _ in rows] or np.zeros((0, FEATURES))), np.array([label for _, label in rows], float)
-    if len(groups[0]) and len(groups[1]):
-        weights = _logistic(x, y)
-    else:
+    model = ToxicityModel(base + ordinary, base + toxic, base[-AROUND:], 0, 1, (0.0,) * FEATURES)
+    lengths = sorted(len(s.toxic.compress(s.window(w))) for s in [Scorer(model, 1)] for w in marks)
+    model = replace(model, known=lengths[len(lengths) // 2] if lengths else 0)
+    if not (groups[0] and groups[1]):
         rate = (len(groups[1]) + 0.5) / (len(rows) + 1)
-        weights = np.r_[math.log(rate / (1 - rate)), np.zeros(FEATURES - 1)]
-    return ToxicityModel(model.ordinary, model.toxic, model.around, tuple(map(float, weights)))
+        return replace(model, weights=(math.log(rate / (1 - rate)),) + (0.0,) * (FEATURES - 1))
+    scorer, y = Scorer(model, FIT_GAINS), np.array([label for _, label in rows], float)
+    seen = [scorer.telling(text) for text, _ in rows]
+    best = None
+    for cut in CUTS:
+        x = np.array([features(*s, cut) for s in seen])
+        weights = _logistic(x, y)
+        z = np.clip(x @ weights, -30, 30)
+        loss = float((np.logaddexp(0, z) - y * z).sum())
+        if best is None or loss < best[0]:
+            best = (loss, cut, tuple(map(float, weights)))
+    return replace(model, cut=best[1], weights=best[2])
 
 
 def fit_table(docs: DataFrame, labels: DataFrame, usable: Column, max_rows: int = TRAIN_ROWS, max_chars: int = TRAIN_CHARS) -> ToxicityModel:

@@ -316,4 +316,37 @@ def test_toxicity_of_rarer_languages():
         if held(i):
             found.setdefault((lang, toxic), []).append(rate(text) >= 0.7)
     for lang in ("de", "en", "es", "fr"):
-        assert sum(found[lang, 1]) >= 0.6 * len(found[lang, 1]) and sum(found[lang, 0]) <= 0.01 * len(found[lang, 0])
+        assert sum(found[lang, 1]) >= 0.85 * len(found[lang, 1]) and sum(found[lang, 0]) <= 0.01 * len(found[lang, 0])
+    assert sum(map(sum, (found[x, 1] for x in ("de", "en", "es", "fr")))) >= 0.9 * sum(len(found[x, 1]) for x in ("de", "en", "es", "fr"))
+
+
+def test_toxicity_scores_by_brute_force():
+    """Scores follow from the window lengths of all words, compressed one by one without caches or early ends."""
+    import math
+    import random
+
+    import numpy as np
+
+    rng = random.Random(4)
+    plain = [f"{a}{b}" for a in ("ka", "mo", "ti", "rel", "sun", "vor") for b in ("den", "mi", "stor", "la", "gren", "pik")]
+    rows = []
+    for i in range(300):
+        words = [rng.choice(plain) for _ in range(rng.randrange(5, 60))]
+        if i % 5 == 0:
+            words.insert(rng.randrange(len(words)), rng.choice(["gruxal", "vilbork"]))
+        rows.append((" ".join(words), int(i % 5 == 0)))
+    model = toxicity.fit(rows)
+    marks = toxicity.marking_text([t for t, y in rows if y], [t for t, y in rows if not y])
+    assert set(marks) == {"gruxal", "vilbork"}
+    scorer = toxicity.Scorer(model)
+    # Neither an end of a marking word nor a longer word is known.
+    assert all(scorer.gain(w) >= model.cut for w in marks) and not any(scorer.gain(w) for w in [*plain, "gruxa", "uxal", "gruxals", "bork", ""])
+    for text in [rows[0][0], rows[1][0], "Gruxal! gruxal kaden", "", None, "vilbork gruxal " + "kaden " * 5000]:
+        words, gains = (text or "").lower().split(), {}
+        for w in words:
+            a, b = (len(c.compress(scorer.window(w.strip(toxicity.MARKS)))) for c in (scorer.toxic, scorer.ordinary))
+            gains[w.strip(toxicity.MARKS)] = b - a if a <= model.known else 0
+        told = {w for w, g in gains.items() if g >= model.cut}
+        number = sum(w.strip(toxicity.MARKS) in told for w in words)
+        x = [1, len(told) > 0, len(told) > 1, min(max(len(told) - 2, 0), 2), math.log1p(number), math.log1p(len(words))]
+        assert scorer.score(text) == pytest.approx(1 / (1 + math.exp(-float(np.dot(x, model.weights)))))
