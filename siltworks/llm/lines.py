@@ -13,25 +13,36 @@ share such a half with another line emit variants.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
 from siltworks.llm.common import discard, materialise
 
-#: Lines shorter than this are near only if equal: one word of five is a fifth.
+#: Lines shorter than this are near only if equal: one word of five is a fifth. The default of ``min_words``.
 MIN_WORDS = 5
+#: White space beside the blank, which is told by its bytes before a line is rewritten.
+SPACES = "\t\x0b\x0c\r\n"
 #: Line numbers take the low decimal digits of a place; where ids repeat, the number of a text among its id's comes before.
 _PER_DOCUMENT, _PER_ID = 10**10, 10**9
 
 
 def _tidy(line: Column) -> Column:
-    """The line without white space around it, all white space as blanks."""
-    return F.trim(F.translate(line, "\t\x0b\x0c\r\n", "     "))
+    """The line without white space around it, all white space as single blanks; most lines need no rewriting."""
+    odd = reduce(Column.__or__, [line.contains(c) for c in SPACES])
+    line = F.trim(F.when(odd, F.translate(line, SPACES, " " * len(SPACES))).otherwise(line))
+    return F.when(line.contains("  "), F.regexp_replace(line, " +", " ")).otherwise(line)
 
 
 def _words(tidy: Column) -> Column:
-    return F.split(tidy, " +")
+    return F.split(tidy, " ")
+
+
+def _joined(keys: DataFrame) -> DataFrame:
+    """An aggregate written out, so that the join with it stands alone and a hot key of the other side is split."""
+    return materialise(keys, release=False)
 
 
 def _place(key: str, line_no: str) -> Column:
@@ -74,34 +85,37 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
     return docs.drop("_hash", "_turn"), repeated
 
 
-def _lines(docs: DataFrame, separator: str) -> DataFrame:
+def _lines(docs: DataFrame, separator: str, min_words: int) -> DataFrame:
     """A row per distinct line with words: document and number of its earliest copy, hashes of its halves.
 
     Lines are equal if two 64-bit hashes of their words agree.
     """
     lines = docs.filter("text is not null").select("_key", F.posexplode(F.split("text", separator)).alias("line_no", "line"))
-    lines = lines.select(_place("_key", "line_no").alias("place"), _tidy(F.col("line")).alias("line")).filter("line <> ''")
-    lines = lines.withColumn("words", _words(F.col("line"))).withColumn("line", F.when(F.col("line").contains("  "), F.array_join("words", " ")).otherwise(F.col("line")))
+    lines = lines.select("_key", "line_no", _tidy(F.col("line")).alias("line")).filter("line <> ''")
+    words = _words(F.col("line"))
     n = F.size("words")
     # A line meets lines with as many words, one more, or one fewer: half of the shorter one's words.
     low, high = F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")
     first = lambda k: F.xxhash64(F.lit(0), k, F.slice("words", 1, k))
     last = lambda k: F.xxhash64(F.lit(1), k, F.slice("words", n - k + 1, k))
     # A line of one word less than min_words can still meet one of min_words.
-    long_enough, even = n >= MIN_WORDS - 1, n % 2 == 0
-    keyed = lines.select(
+    long_enough, even = n >= min_words - 1, n % 2 == 0
+    keyed = lines.select(_place("_key", "line_no").alias("place"), "line", words.alias("words")).select(
         F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"), "place",
         F.when(long_enough, first(low)).alias("h0"), F.when(long_enough, last(low)).alias("h1"),
         F.when(long_enough & even, first(high)).alias("h2"), F.when(long_enough & even, last(high)).alias("h3"),
     )
-    distinct = keyed.groupBy("k1", "k2", "h0", "h1", "h2", "h3").agg(F.min("place").alias("place"))
+    # The halves follow from the line: all copies have the same, and none but the line's two hashes is a key.
+    halves = [F.max(h).alias(h) for h in ("h0", "h1", "h2", "h3")]
+    distinct = keyed.groupBy("k1", "k2").agg(F.min("place").alias("place"), *halves)
     return distinct.select(_place_key("place", docs.schema["_key"].dataType).alias("_key"), _place_line("place").alias("line_no"), "h0", "h1", "h2", "h3")
 
 
-def _variant_keys(words: DataFrame) -> DataFrame:
+def _variant_keys(words: DataFrame, min_words: int) -> DataFrame:
     """key, _key, tag of each variant, tag = 4 * line_no + kind; ``words`` holds _key, line_no, n, i (from 0), word.
 
-    Kinds: one word changed at i (0), one word gone (1), the line whole (2).
+    Kinds: one word changed at i (0), one word gone (1), the line whole (2). Lines that are dealt by _key and line_no
+    before they become words need no shuffle here.
     """
     z = words.select("_key", "line_no", "n", "i", F.xxhash64("i", "word").alias("own"), F.xxhash64(F.col("i") - 1, "word").alias("shifted"))
     line = Window.partitionBy("_key", "line_no").orderBy("i")
@@ -113,16 +127,17 @@ def _variant_keys(words: DataFrame) -> DataFrame:
     # Words before i as they are, words after i one place to the left.
     gone = F.xxhash64(F.lit(1), F.col("n") - 1, F.col("upto_own").bitwiseXOR(F.col("own")).bitwiseXOR(F.col("all_shifted")).bitwiseXOR(F.col("upto_shifted")))
     variant = lambda key, kind: F.struct(key.alias("key"), (F.col("line_no") * 4 + kind).alias("tag"))
-    some = F.when(F.col("n") >= MIN_WORDS, F.array(variant(changed, 0), variant(gone, 1))).otherwise(F.array().cast("array<struct<key:bigint,tag:int>>"))
+    some = F.when(F.col("n") >= min_words, F.array(variant(changed, 0), variant(gone, 1))).otherwise(F.array().cast("array<struct<key:bigint,tag:int>>"))
     some = F.when(F.col("i") == 0, F.concat(some, F.array(variant(F.xxhash64(F.lit(1), "n", "all_own"), 2)))).otherwise(some)
     return z.select("_key", F.inline(some))
 
 
-def _near_lines(docs: DataFrame, distinct: DataFrame, separator: str) -> DataFrame:
+def _near_lines(docs: DataFrame, distinct: DataFrame, separator: str, min_words: int) -> DataFrame:
     """_key, line_no of the distinct lines that have a near line at an earlier place."""
     halves = distinct.select("_key", "line_no", F.explode(F.array("h0", "h1", "h2", "h3")).alias("half")).filter("half is not null")
-    shared = halves.groupBy("half").agg(F.count("*").alias("members")).filter("members > 1").select("half")
+    shared = _joined(halves.groupBy("half").agg(F.count("*").alias("members")).filter("members > 1").select("half"))
     wanted = materialise(halves.join(shared, "half").groupBy("_key").agg(F.array_distinct(F.collect_list("line_no")).alias("numbers")))
+    discard(shared)
 
     # The words of the suspects; one pass over the texts.
     texts = docs.select("_key", F.split("text", separator).alias("lines")).join(wanted, "_key")
@@ -131,13 +146,14 @@ def _near_lines(docs: DataFrame, distinct: DataFrame, separator: str) -> DataFra
     texts = materialise(texts)
     discard(wanted)
 
-    variants = materialise(_variant_keys(texts.select("_key", "line_no", F.size("words").alias("n"), F.posexplode("words").alias("i", "word"))))
-    several = variants.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
+    dealt = texts.repartition("_key", "line_no").select("_key", "line_no", F.size("words").alias("n"), F.posexplode("words").alias("i", "word"))
+    variants = materialise(_variant_keys(dealt, min_words))
+    several = _joined(variants.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key"))
     met = variants.join(several, "key").select("key", (F.col("tag") % 4).alias("kind"), "_key", F.floor(F.col("tag") / 4).cast("int").alias("line_no"))
     met = materialise(met.withColumn("place", _place("_key", "line_no")).drop("_key", "line_no"))
-    discard(variants)
+    discard(variants, several)
     least = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("place"))).alias(f"m{kind}")
-    groups = met.groupBy("key").agg(least(0), least(1), least(2))
+    groups = _joined(met.groupBy("key").agg(least(0), least(1), least(2)))
     witness = F.when(F.col("kind") == 0, F.col("m0")).when(F.col("kind") == 1, F.col("m2")).otherwise(F.col("m1"))
     pairs = met.join(groups, "key").select("place", witness.alias("witness")).filter("witness < place").distinct()
 
@@ -148,31 +164,37 @@ def _near_lines(docs: DataFrame, distinct: DataFrame, separator: str) -> DataFra
     both = both.select("place", longer.alias("x"), shorter.alias("y")).withColumn("at", F.expr("array_position(zip_with(x, y, (p, q) -> not(p <=> q)), true)").cast("int"))
     same_after = lambda skip: F.slice("x", F.col("at") + 1, F.size("x")) == F.slice("y", F.col("at") + skip, F.size("x"))
     one_edit = F.when(F.size("x") == F.size("y"), same_after(1)).when(F.size("x") == F.size("y") + 1, same_after(0)).otherwise(F.lit(False))
-    near = both.filter((F.size("x") >= MIN_WORDS) & (F.col("at") > 0) & one_edit).select("place").distinct()
+    near = both.filter((F.size("x") >= min_words) & (F.col("at") > 0) & one_edit).select("place").distinct()
     near = materialise(near.select(_place_key("place", docs.schema["_key"].dataType).alias("_key"), _place_line("place").alias("line_no")))
-    discard(texts, met)
+    discard(texts, met, groups)
     return near
 
 
-def dedup_lines(docs: DataFrame, separator: str = "\n") -> DataFrame:
+def dedup_lines(docs: DataFrame, separator: str = "\n", min_words: int = MIN_WORDS) -> DataFrame:
     """Take from each text of ``doc_id, text`` the lines that an equal or near line precedes.
 
     Lines are ordered by doc_id (null last), then, where rows share an id or have none, by a hash of the text, then
     by place; of equal rows one is first. A line goes if any earlier line is within the edit
     bound, whether that one stays or not. Words are compared as they are, white space between them as one
     blank. Lines without words stay. Returns all columns of the input with the new ``text``, and n_lines and
-    n_kept (long; columns of those names are replaced). Null texts stay null with 0 lines; an empty text is one
-    line without words. An empty table gives no rows.
+    n_kept (long; columns of those names are replaced); other columns may have any name. Null texts stay null with 0
+    lines; an empty text is one line without words. An empty table gives no rows.
     """
     columns = [c for c in docs.columns if c not in ("n_lines", "n_kept")]
+    others = [c for c in columns if c != "text"]
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    # The other columns travel as one, so that their names meet none of the names used here.
+    docs = docs.select("doc_id", "text", F.struct(*map(quoted, others)).alias("_row"))
     docs, repeated = _numbered(docs)
     narrow = docs.select("_key", "text")
     if repeated:
         narrow = narrow.dropDuplicates(["_key"])
-    distinct = materialise(_lines(narrow, separator))
-    kept = distinct.select("_key", "line_no").join(_near_lines(narrow, distinct, separator), ["_key", "line_no"], "left_anti")
-    kept = kept.groupBy("_key").agg(F.collect_list("line_no").alias("_kept"))
-    out = docs.drop("n_lines", "n_kept")
+    distinct = materialise(_lines(narrow, separator, min_words))
+    near = _near_lines(narrow, distinct, separator, min_words)
+    kept = distinct.select("_key", "line_no").join(near, ["_key", "line_no"], "left_anti")
+    kept = materialise(kept.groupBy("_key").agg(F.collect_list("line_no").alias("_kept")))
+    discard(distinct, near)
+    out = docs
     if repeated:
         # Of equal rows one keeps its lines.
         out = out.withColumn("_copy", F.row_number().over(Window.partitionBy("_key").orderBy("_key")))
@@ -180,12 +202,12 @@ def dedup_lines(docs: DataFrame, separator: str = "\n") -> DataFrame:
     if repeated:
         out = out.withColumn("_kept", F.when(F.col("_copy") == 1, F.col("_kept")))
     out = out.withColumn("_lines", F.split("text", separator))
-    out = out.withColumn("_blank", F.expr(r"filter(transform(_lines, (l, i) -> if(trim(translate(l, '\t\u000b\f\r\n', '     ')) = '', i, null)), i -> i is not null)"))
+    out = out.withColumn("_blank", F.expr(r"filter(transform(_lines, (l, i) -> if(trim(BOTH ' \t\u000b\f\r\n' FROM l) = '', i, null)), i -> i is not null)"))
     out = out.withColumn("_stay", F.array_sort(F.array_union(F.coalesce("_kept", F.array().cast("array<int>")), "_blank")))
     out = out.withColumn("_out", F.expr("filter(transform(_stay, k -> get(_lines, k)), l -> l is not null)"))
     size = lambda c: F.when(F.col("text").isNull(), 0).otherwise(F.size(c)).cast("long")
-    out = out.withColumns({"n_lines": size("_lines"), "n_kept": size("_out")}).withColumn("text", F.when(F.col("text").isNotNull(), F.array_join("_out", separator)))
-    return out.select(*columns, "n_lines", "n_kept")
+    text = F.when(F.col("text").isNotNull(), F.array_join("_out", separator))
+    return out.select(*[text.alias("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in columns], size("_lines").alias("n_lines"), size("_out").alias("n_kept"))
 
 
 def line_report(docs: DataFrame) -> DataFrame:

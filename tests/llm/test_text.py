@@ -179,6 +179,29 @@ def test_lines_odd_rows(odd, nothing):
     assert lines.dedup_lines(nothing).collect() == []
 
 
+def test_lines_with_clashing_names_and_another_least_length(spark):
+    names = ["_key", "_lines", "_kept", "_blank", "_stay", "_out", "_copy", "_row", "_hash", "place", "line_no", "a.b", "a`c"]
+    rows = [(i, t, *[f"{n}{i}" for n in names]) for i, t in enumerate(["a b c\n x y", "a b d\nx  y", "long word list of six\tx", "long word list of six y"])]
+    df = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    out = lines.dedup_lines(df)
+    assert out.columns == [*df.columns, "n_lines", "n_kept"]
+    got = sorted(out.collect())
+    assert [tuple(r)[2:-2] for r in got] == [r[2:] for r in rows] and [r.text for r in got] == ["a b c\n x y", "a b d", "long word list of six\tx", ""]
+    assert [r.text for r in sorted(lines.dedup_lines(df, min_words=3).collect())] == ["a b c\n x y", "", "long word list of six\tx", ""]
+    assert [r.n_kept for r in sorted(lines.dedup_lines(df, min_words=9).collect())] == [2, 1, 1, 1]
+
+
+def test_a_hot_half_a_hot_line_and_very_long_lines(spark):
+    """One half and one line that most documents hold, and lines of thousands of words that differ in one."""
+    long = [f"w{i}" for i in range(6000)]
+    rows = [(i, f"this half is in every line {i} of {i * 7} them\nthe same line again and again\nshort {i}") for i in range(300)]
+    rows += [(1000, " ".join(long)), (1001, " ".join([*long[:3000], "x", *long[3001:]])), (1002, " ".join(long[:4000] + long[4001:])), (1003, " ".join(long[:100] + long[102:]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in lines.dedup_lines(df).collect()}
+    assert [got[i] for i in (1001, 1002)] == ["", ""] and got[1003] == rows[-1][1] and got[1000] == rows[-4][1]
+    assert all(got[i] == rows[i][1].split("\n")[0] + "\n" + rows[i][1].split("\n")[2] for i in range(1, 300)) and got[0] == rows[0][1]
+
+
 def test_lines_of_repeated_and_missing_ids(spark):
     line, near_line = "a b c d e f g h", "a b c d e f g z"
     for rows, stay in [
