@@ -16,6 +16,17 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for columns of an operator's own that none of ``df`` has, whatever their case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def dtype(df: DataFrame, name: str) -> T.DataType:
     if name not in df.columns:
         raise ValueError(f"unknown column: {name}")

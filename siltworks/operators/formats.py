@@ -14,8 +14,6 @@ ACTIONS = ("to_numeric", "to_integer", "to_string", "to_date", "to_boolean")
 TRUE_WORDS = ("true", "vrai", "yes", "oui", "1")
 FALSE_WORDS = ("false", "faux", "no", "non", "0")
 DATE_FORMATS = ("yyyy-MM-dd",)
-#: Bad values that an error quotes.
-EXAMPLES = 5
 
 
 @dataclass(frozen=True)
@@ -60,12 +58,11 @@ def _word(df: DataFrame, name: str) -> Column:
 
 
 def _fail(df: DataFrame, name: str, bad: Column, what: str) -> None:
-    """One pass for number and examples of bad values: a running aggregate of at most EXAMPLES per task."""
-    found = df.select(F.when(bad, as_text(df, name)).alias("v")).filter("v is not null")
-    count = found.agg(F.count("v").alias("n")).first()["n"]
-    if count:
-        examples = [r.v for r in found.limit(EXAMPLES).collect()]
-        raise ValueError(f"{count} values of {name} {what}, such as {', '.join(map(repr, examples))}")
+    """One pass for number and examples (the least and the greatest) of bad values."""
+    v = F.when(bad, as_text(df, name))
+    found = df.agg(F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high")).first()
+    if found["n"]:
+        raise ValueError(f"{found['n']} values of {name} {what}, such as {', '.join(map(repr, dict.fromkeys((found['low'], found['high']))))}")
 
 
 def _check_words(df: DataFrame, name: str, word: Column) -> None:
@@ -75,48 +72,66 @@ def _check_words(df: DataFrame, name: str, word: Column) -> None:
         raise ValueError(f"{name} must hold exactly one true and one false word, not {sorted(words)}")
 
 
-def convert(df: DataFrame, name: str, action: str, on_error: str = "raise", date_formats: tuple[str, ...] = DATE_FORMATS) -> DataFrame:
-    """Convert one column. ``on_error`` raise looks at the data once and names bad values; null makes them null, lazily."""
+def _converted(df: DataFrame, name: str, action: str, date_formats: tuple[str, ...]) -> Column:
+    """The new value, null where it can't be read; raises where the column's type does not suit."""
     kind = dtype(df, name)
     if action not in ACTIONS:
         raise ValueError(f"unknown action: {action}; known: {', '.join(ACTIONS)}")
+    unfit = isinstance(kind, TEMPORAL) if action != "to_date" else is_numeric(kind) or type_class(kind) == "boolean"
+    if action != "to_string" and (unfit or type_class(kind) == "other"):
+        becomes = {"to_date": "date", "to_boolean": "boolean"}.get(action, "number")
+        raise ValueError(f"{name} of type {kind.simpleString()} can't become a {becomes}")
+    if action == "to_string":
+        return as_text(df, name)
+    if action == "to_date":
+        return col(name).cast("date") if isinstance(kind, TEMPORAL) else F.coalesce(*[F.try_to_date(F.trim(col(name)), f) for f in date_formats])
+    if action == "to_boolean":
+        word = _word(df, name)
+        return F.when(word.isin(*TRUE_WORDS), True).when(word.isin(*FALSE_WORDS), False)
+    number = _to_double(df, name)
+    if action == "to_numeric":
+        return number
+    exact = col(name) if is_numeric(kind) and not isinstance(kind, FLOATING) else F.when(F.trim(as_text(df, name)).rlike(r"^[+-]?\d+$"), F.trim(as_text(df, name)).try_cast("bigint"))
+    # Whole numbers beyond 2^53 keep their digits.
+    return F.coalesce(exact.try_cast("bigint"), F.when(number % 1 == 0, number).try_cast("bigint"))
+
+
+def convert(df: DataFrame, name: str, action: str, on_error: str = "raise", date_formats: tuple[str, ...] = DATE_FORMATS) -> DataFrame:
+    """Convert one column. ``on_error`` raise looks at the data once and names bad values; null makes them null, lazily."""
     if on_error not in ("raise", "null"):
         raise ValueError(f"on_error must be raise or null, not {on_error}")
-    check = on_error == "raise"
-    if action in ("to_numeric", "to_integer"):
-        if isinstance(kind, TEMPORAL) or type_class(kind) == "other":
-            raise ValueError(f"{name} of type {kind.simpleString()} can't become a number")
-        new = _to_double(df, name)
-        if check:
-            _fail(df, name, usable(df, name).isNotNull() & new.isNull(), "are no numbers")
-        if action == "to_integer":
-            if check:
-                _fail(df, name, new % 1 != 0, "have a fraction")
-            whole = F.when(new % 1 == 0, new)
-            exact = col(name) if is_numeric(kind) and not isinstance(kind, FLOATING) else F.when(F.trim(as_text(df, name)).rlike(r"^[+-]?\d+$"), F.trim(as_text(df, name)).try_cast("bigint"))
-            # Whole numbers beyond 2^53 keep their digits.
-            new = F.coalesce(exact.try_cast("bigint"), whole.try_cast("bigint"))
-    elif action == "to_string":
-        new = as_text(df, name)
-    elif action == "to_date":
-        if is_numeric(kind) or type_class(kind) in ("boolean", "other"):
-            raise ValueError(f"{name} of type {kind.simpleString()} can't become a date")
-        if isinstance(kind, TEMPORAL):
-            new = col(name).cast("date")
-        else:
-            new = F.coalesce(*[F.try_to_date(F.trim(col(name)), f) for f in date_formats])
-            if check:
-                _fail(df, name, col(name).isNotNull() & new.isNull(), f"are no dates of {', '.join(date_formats)}")
-    else:
-        if isinstance(kind, TEMPORAL) or type_class(kind) == "other":
-            raise ValueError(f"{name} of type {kind.simpleString()} can't become a boolean")
-        word = _word(df, name)
-        if check:
-            _check_words(df, name, word)
-        new = F.when(word.isin(*TRUE_WORDS), True).when(word.isin(*FALSE_WORDS), False)
+    new = _converted(df, name, action, date_formats)
+    if on_error == "raise":
+        there = usable(df, name).isNotNull()
+        if action in ("to_numeric", "to_integer"):
+            number = _to_double(df, name)
+            _fail(df, name, there & number.isNull(), "are no numbers")
+            if action == "to_integer":
+                _fail(df, name, number % 1 != 0, "have a fraction")
+        elif action == "to_date":
+            _fail(df, name, there & new.isNull(), f"are no dates of {', '.join(date_formats)}")
+        elif action == "to_boolean":
+            _check_words(df, name, _word(df, name))
     return df.select(*[new.alias(c) if c == name else col(c) for c in df.columns])
 
 
+def format_problems(df: DataFrame, rules: list[dict | FormatRule], date_formats: tuple[str, ...] = DATE_FORMATS) -> DataFrame:
+    """column_name, action, n_bad, example of each rule: the values present that its conversion would null, and the least of them.
+
+    One pass over all rules, each on the columns as they are. Rules whose type does not suit raise as ``convert`` does.
+    """
+    aggregates, rows = [], []
+    for i, rule in enumerate(rules):
+        rule = rule if isinstance(rule, FormatRule) else FormatRule.from_dict(rule)
+        new, v = _converted(df, rule.column, rule.action, date_formats), usable(df, rule.column)
+        bad = F.when(v.isNotNull() & new.isNull(), as_text(df, rule.column))
+        aggregates += [F.count(bad).alias(f"n{i}"), F.min(bad).alias(f"e{i}")]
+        rows.append(F.struct(F.lit(rule.column).alias("column_name"), F.lit(rule.action).alias("action"), F.col(f"n{i}").alias("n_bad"), F.col(f"e{i}").alias("example")))
+    if not rows:
+        return df.sparkSession.createDataFrame([], "column_name string, action string, n_bad long, example string")
+    return df.agg(*aggregates).select(F.inline(F.array(*rows)))
+
+
 def apply_formats(df: DataFrame, rules: list[dict | FormatRule], on_error: str = "raise", date_formats: tuple[str, ...] = DATE_FORMATS) -> DataFrame:
     """Convert columns rule by rule. Numbers are double, integers bigint, dates date."""
     for rule in rules:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import date, datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltworks.functions.columns import INTEGRAL, TEMPORAL, col, dtype, is_numeric, missing, type_class, usable
+from siltworks.functions.columns import INTEGRAL, TEMPORAL, col, dtype, free_names, is_numeric, missing, type_class, usable
+from siltworks.functions.quantiles import quantiles
 
 STRATEGIES = ("drop_rows", "mean", "median", "mode", "constant", "ffill", "bfill", "zero", "empty")
 # The words that a boolean constant may be.
@@ -75,18 +77,19 @@ def _constant(kind: T.DataType, value, name: str) -> tuple[Column, T.DataType]:
     raise ValueError(f"{name} of type {kind.simpleString()} takes no constant")
 
 
-def apply_missing(df: DataFrame, rules: list[dict | MissingRule], order_by: str | list[str] | None = None, partition_by: list[str] | None = None, on_error: str = "raise") -> DataFrame:
+def apply_missing(df: DataFrame, rules: list[dict | MissingRule], order_by: str | list[str] | None = None, partition_by: list[str] | None = None, on_error: str = "raise", approximate: bool = False) -> DataFrame:
     """Treat missing values rule by rule; each rule's statistics see what the rules before left.
 
-    mean and median make integers and decimals double. mode takes the smallest of equally frequent values.
-    ffill and bfill need ``order_by``. Where a column has nothing to take a mean, median or mode of,
-    ``on_error`` raise looks and raises, null leaves the column as it is, lazily.
+    mean and median make integers and decimals double; ``approximate`` takes a sketch for the median. mode takes the
+    smallest of equally frequent values. These three look at the data when the rule is applied. ffill and bfill need
+    ``order_by``. Where a column has nothing to take a mean, median or mode of, ``on_error`` raise raises, null
+    leaves the column's values as they are.
     """
     if on_error not in ("raise", "null"):
         raise ValueError(f"on_error must be raise or null, not {on_error}")
     for rule in rules:
         rule = rule if isinstance(rule, MissingRule) else MissingRule.from_dict(rule)
-        df = _apply(df, rule, [order_by] if isinstance(order_by, str) else order_by, partition_by or [], on_error)
+        df = _apply(df, rule, [order_by] if isinstance(order_by, str) else order_by, partition_by or [], on_error, approximate)
     return df
 
 
@@ -94,7 +97,7 @@ def _replace(df: DataFrame, name: str, new: Column) -> DataFrame:
     return df.select(*[new.alias(c) if c == name else col(c) for c in df.columns])
 
 
-def _apply(df: DataFrame, r: MissingRule, order_by: list[str] | None, partition_by: list[str], on_error: str) -> DataFrame:
+def _apply(df: DataFrame, r: MissingRule, order_by: list[str] | None, partition_by: list[str], on_error: str, approximate: bool) -> DataFrame:
     kind, gone = dtype(df, r.column), missing(df, r.column)
     if r.action not in STRATEGIES:
         raise ValueError(f"unknown strategy: {r.action}; known: {', '.join(STRATEGIES)}")
@@ -115,20 +118,30 @@ def _apply(df: DataFrame, r: MissingRule, order_by: list[str] | None, partition_
         for c in [*order_by, *partition_by]:
             dtype(df, c)
         return _fill(df, r.column, r.action == "ffill", order_by, partition_by)
-    if on_error == "raise" and not df.filter(~gone).select(F.lit(1)).take(1):
-        raise ValueError(f"{r.column} has no value to take the {r.action} of")
-    v = usable(df, r.column)
-    if r.action == "mode":
-        # Counted with partial sums; the one row left is broadcast.
-        counts = df.select(v.alias("v")).filter("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-        # The best of no rows is one null row, so that an empty column joins as well.
-        stat = counts.agg(F.min(F.struct(-F.col("n"), "v"))["v"].alias("_stat"))
-        becomes = kind
-    else:
-        stat = df.agg((F.avg(v.cast("double")) if r.action == "mean" else F.percentile(v.cast("double"), F.lit(0.5))).alias("_stat"))
-        becomes = T.DoubleType()
-    given = df.crossJoin(F.broadcast(stat))
-    return given.select(*[F.when(gone, F.col("_stat")).otherwise(col(c)).cast(becomes).alias(c) if c == r.column else col(c) for c in df.columns])
+    value = _statistic(df, r.column, r.action, approximate)
+    if value is None:
+        if on_error == "raise":
+            raise ValueError(f"{r.column} has no value to take the {r.action} of")
+        return df if r.action == "mode" else _replace(df, r.column, col(r.column).cast("double"))
+    becomes = kind if r.action == "mode" else T.DoubleType()
+    return _replace(df, r.column, F.when(gone, value).otherwise(col(r.column)).cast(becomes))
+
+
+def _statistic(df: DataFrame, name: str, action: str, approximate: bool) -> Column | None:
+    """The column's mean, median or mode as a literal, None without values; so each rule adds one projection to the plan."""
+    v, kind = usable(df, name), dtype(df, name)
+    if action == "median":
+        found = quantiles(df, [v.cast("double")], [0.5], approximate)[0]
+        return F.lit(found[0]) if found else None
+    if action == "mean":
+        found = df.agg(F.avg(v.cast("double"))).first()[0]
+        return None if found is None else F.lit(found)
+    if type_class(kind) == "other":
+        raise ValueError(f"mode needs an atomic column, not {name} of type {kind.simpleString()}")
+    # Counted with partial sums. The value comes as text, which casts back to the same value.
+    counts = df.select(v.alias("v")).filter("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    found = counts.agg(F.min(F.struct(-F.col("n"), "v"))["v"].cast("string")).first()[0]
+    return None if found is None else F.lit(found).cast(kind)
 
 
 def _position(df: DataFrame, name: str) -> Column | None:
@@ -136,37 +149,52 @@ def _position(df: DataFrame, name: str) -> Column | None:
     kind = dtype(df, name)
     if is_numeric(kind):
         return usable(df, name).cast("double")
-    if isinstance(kind, T.TimestampNTZType):
-        return F.unix_micros(col(name).cast("timestamp")).cast("double")
-    if isinstance(kind, TEMPORAL):
-        return F.unix_micros(col(name).cast("timestamp")).cast("double")
-    return None
+    return F.unix_micros(col(name).cast("timestamp")).cast("double") if isinstance(kind, TEMPORAL) else None
+
+
+def _stretch(df: DataFrame, name: str) -> Column:
+    """The number of the stretch of the order that a row is in, by at most STRETCHES - 1 cuts; nulls come first.
+
+    Cuts of numbers and times are quantiles by a sketch; those of other types are values of a sample of fixed size.
+    Equal values are in one stretch.
+    """
+    position = _position(df, name)
+    if position is None:
+        position = col(name)
+        turn, out = free_names(df, "turn", "value")
+        some = df.select(position.alias(out), F.xxhash64(position).alias(turn)).filter(F.col(out).isNotNull()).distinct().orderBy(turn).limit(20 * STRETCHES)
+        found = sorted(r[0] for r in some.select(out).collect())
+        cuts = found[:: max(1, len(found) // STRETCHES)][1:]
+    else:
+        shares = F.array(*[F.lit(i / STRETCHES) for i in range(1, STRETCHES)])
+        cuts = sorted(set(df.agg(F.percentile_approx(position, shares, F.lit(10_000))).first()[0] or []))
+    if not cuts:
+        return F.when(position.isNull(), -1).otherwise(0)
+    known = F.array(*map(F.lit, cuts))
+    return F.when(position.isNull(), -1).otherwise(F.size(F.filter(known, lambda c: c <= position)))
 
 
 def _fill(df: DataFrame, name: str, forward: bool, order_by: list[str], partition_by: list[str]) -> DataFrame:
-    """Last (or next) value present in order.
+    """Last (or next) value present in order, within the rows of equal ``partition_by``.
 
-    With ``partition_by`` a window per partition. Over a whole table, the order's first column is cut at quantiles
-    into stretches; each is filled alone, and what is missing at its start comes from the last value of an earlier
-    stretch, found among at most STRETCHES rows. Only a first order column that is neither numeric nor temporal
-    makes a window over the whole table.
+    The order's first column is cut into stretches; each stretch of a partition is filled alone, and what is missing
+    at its start comes from the last value of an earlier stretch of the partition, found among at most STRETCHES
+    rows. So neither a whole table nor a partition that holds much of it is ever one task.
     """
     v = usable(df, name)
     order = [col(c).asc_nulls_first() if forward else col(c).desc_nulls_last() for c in order_by]
-    upto = lambda keys: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    position = _position(df, order_by[0])
-    if partition_by or position is None:
-        return _replace(df, name, F.last(v, ignorenulls=True).over(upto([col(c) for c in partition_by])))
-    cuts = df.agg(F.percentile_approx(position, F.array(*[F.lit(i / STRETCHES) for i in range(1, STRETCHES)]), F.lit(10_000)).alias("_cuts"))
-    stretch = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col("_position"))), F.lit(-1))
-    placed = df.withColumn("_position", position).crossJoin(F.broadcast(cuts)).withColumn("_stretch", F.when(F.col("_position").isNull(), -1).otherwise(stretch)).drop("_cuts", "_position")
+    names = free_names(df, "stretch", "end", "fill", "carry", *[f"key{i}" for i in range(len(partition_by))])
+    (stretch, end, fill, carry), keys = names[:4], names[4:]
+    placed = df.withColumn(stretch, _stretch(df, order_by[0]))
     # The last value of each stretch, in order: an aggregate with partial results.
-    key = F.struct(*[F.struct(col(c).isNotNull(), col(c)) for c in order_by])
+    at = F.struct(*[F.struct(col(c).isNotNull(), col(c)) for c in order_by])
     pick = F.max_by if forward else F.min_by
-    ends = placed.filter(v.isNotNull()).groupBy("_stretch").agg(pick(col(name), key).alias("_end"))
-    carry = ends.agg(F.map_from_entries(F.collect_list(F.struct("_stretch", "_end"))).alias("_ends"))
-    before = F.filter(F.map_keys("_ends"), lambda k: k < F.col("_stretch") if forward else k > F.col("_stretch"))
-    nearest = F.array_max(before) if forward else F.array_min(before)
-    filled = placed.crossJoin(F.broadcast(carry)).withColumn("_fill", F.last(v, ignorenulls=True).over(upto([F.col("_stretch")])))
-    value = F.coalesce("_fill", F.try_element_at("_ends", nearest))
-    return filled.select(*[value.alias(c) if c == name else col(c) for c in df.columns])
+    groups = [*[col(c).alias(k) for c, k in zip(partition_by, keys)], F.col(stretch)]
+    ends = placed.groupBy(*groups).agg(pick(F.when(v.isNotNull(), col(name)), F.when(v.isNotNull(), at)).alias(end))
+    along = F.col(stretch).asc() if forward else F.col(stretch).desc()
+    before = Window.partitionBy(*keys).orderBy(along).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*keys, F.col(stretch), F.last(end, ignorenulls=True).over(before).alias(carry)).withColumnRenamed(stretch, end)
+    same = reduce(Column.__and__, [col(c).eqNullSafe(F.col(k)) for c, k in zip(partition_by, keys)], F.col(stretch) == F.col(end))
+    upto = Window.partitionBy(*[col(c) for c in partition_by], stretch).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    filled = placed.withColumn(fill, F.last(v, ignorenulls=True).over(upto)).join(carried if keys else F.broadcast(carried), same, "left")
+    return filled.select(*[F.coalesce(fill, carry).alias(c) if c == name else col(c) for c in df.columns])

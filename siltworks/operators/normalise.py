@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltworks.functions.columns import as_text, col, type_class
+from siltworks.functions.columns import as_text, col, free_names, type_class
 
 # Texts that mean a missing value, compared without case and outer white space.
 MARKERS = ("", " ", "na", "n/a", "nan", "null", "none")
@@ -52,6 +52,15 @@ def preview(df: DataFrame, rows: int = ROWS, cols: int = COLUMNS, cell: int = CE
     return df.limit(rows).select(*[cut(c) for c in df.columns[:cols]])
 
 
+def typed_preview(df: DataFrame, rows: int = ROWS, cols: int = COLUMNS, cell: int = CELL) -> DataFrame:
+    """row_no and the preview's columns: the types of the columns as row 0, then the rows from 1 in their order."""
+    (number,) = free_names(df, "row_no")
+    kinds = df.sparkSession.createDataFrame([(0, *[f.dataType.simpleString() for f in df.schema][:cols])], T.StructType([T.StructField(number, T.LongType()), *[T.StructField(c, T.StringType()) for c in df.columns[:cols]]]))
+    # A limited frame is one partition, whose numbers follow its order.
+    shown = preview(df, rows, cols, cell)
+    return kinds.unionByName(shown.select((F.monotonically_increasing_id() + 1).alias(number), *map(col, shown.columns)))
+
+
 def adaptive_preview(df: DataFrame, rows: int = ROWS, cols: int = COLUMNS, cell: int = CELL, json_bytes: int = JSON_BYTES) -> list[dict] | None:
     """A preview as records, with as many of its at most ``rows`` rows as fit in ``json_bytes``; None if not one does."""
     records = [r.asDict() for r in preview(df, rows, cols, cell).collect()]

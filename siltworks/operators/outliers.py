@@ -1,7 +1,7 @@
 """Outlier bounds, counts and treatment by IQR, z-score and MAD.
 
-Bounds of all columns come from one aggregate (MAD: two) as a one-row frame that is broadcast into the plan, so
-nothing is collected and thresholds make no round trip through text.
+The bounds of all columns are computed together when an operator is called and enter the plan as numbers, so each
+rule of a chain adds one projection or filter to it, whatever came before.
 """
 
 from __future__ import annotations
@@ -12,13 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltworks.functions.columns import col, dtype, is_numeric, numeric_columns, usable
+from siltworks.functions.quantiles import quantiles
+from siltworks.operators.profile import histogram
 
 METHODS = ("iqr", "z", "mad")
 IQR_K, Z_THRESHOLD, MAD_THRESHOLD = 1.5, 3.0, 3.5
 #: Makes the MAD of normal data estimate its standard deviation.
 MAD_SCALE = 1.4826
-#: Accuracy of approximate quantiles: relative error of at most its inverse.
-ACCURACY = 1000
 ACTIONS = ("drop", "flag", "median", "mean", "constant", "cap", "custom_cap")
 
 
@@ -39,76 +39,121 @@ def _check(df: DataFrame, names: list[str], method: str) -> None:
             raise ValueError(f"not a numeric column: {c}")
 
 
-def _quantiles(value: Column, shares: list[float], approximate: bool) -> Column:
-    given = F.array(*map(F.lit, shares))
-    return F.percentile_approx(value, given, F.lit(ACCURACY)) if approximate else F.percentile(value, given)
+Bounds = tuple[float, float] | None
 
 
-def _wide_bounds(df: DataFrame, names: list[str], method: str, t: Thresholds, approximate: bool) -> DataFrame:
-    """One row: columns b0, b1, ... of struct(low, high), null ends where the spread is 0 or there are no values."""
-    value = {c: usable(df, c).cast("double") for c in names}
-    pair = lambda center, spread, k: F.struct(F.when(spread > 0, center - k * spread).alias("low"), F.when(spread > 0, center + k * spread).alias("high"))
+def _bounds(df: DataFrame, names: list[str], method: str, t: Thresholds, approximate: bool) -> list[Bounds]:
+    """low, high of each column; None where the spread is 0 or there are no values."""
+    values = [usable(df, c).cast("double") for c in names]
+    if not names:
+        return []
     if method == "z":
-        k = float(t.z or Z_THRESHOLD)
-        return df.agg(*[pair(F.avg(value[c]), F.stddev_pop(value[c]), k).alias(f"b{i}") for i, c in enumerate(names)])
+        row, k = df.agg(*[x.alias(f"{s}{i}") for i, v in enumerate(values) for s, x in (("c", F.avg(v)), ("s", F.stddev_pop(v)))]).first(), float(t.z or Z_THRESHOLD)
+        return [(c - k * s, c + k * s) if s else None for c, s in zip(row[::2], row[1::2])]
     if method == "iqr":
         k = float(t.iqr_k or IQR_K)
-        wide = df.agg(*[_quantiles(value[c], [0.25, 0.75], approximate).alias(f"q{i}") for i, c in enumerate(names)])
-        ends = []
-        for i in range(len(names)):
-            q1, q3 = F.col(f"q{i}")[0], F.col(f"q{i}")[1]
-            spread = q3 - q1
-            ends.append(F.struct(F.when(spread > 0, q1 - k * spread).alias("low"), F.when(spread > 0, q3 + k * spread).alias("high")).alias(f"b{i}"))
-        return wide.select(*ends)
-    k = float(t.mad or MAD_THRESHOLD)
-    medians = df.agg(*[_quantiles(value[c], [0.5], approximate)[0].alias(f"m{i}") for i, c in enumerate(names)])
-    off = df.select(*[value[c].alias(f"v{i}") for i, c in enumerate(names)]).crossJoin(F.broadcast(medians))
-    spreads = off.agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(len(names))], *[_quantiles(F.abs(F.col(f"v{i}") - F.col(f"m{i}")), [0.5], approximate)[0].alias(f"s{i}") for i in range(len(names))])
-    return spreads.select(*[pair(F.col(f"m{i}"), F.col(f"s{i}") * MAD_SCALE, k).alias(f"b{i}") for i in range(len(names))])
+        return [(q[0] - k * (q[1] - q[0]), q[1] + k * (q[1] - q[0])) if q and q[1] > q[0] else None for q in quantiles(df, values, [0.25, 0.75], approximate)]
+    k = float(t.mad or MAD_THRESHOLD) * MAD_SCALE
+    centers = [q[0] if q else None for q in quantiles(df, values, [0.5], approximate)]
+    off = [F.abs(v - F.lit(c).cast("double")) for v, c in zip(values, centers)]
+    spreads = [q[0] if q else None for q in quantiles(df, off, [0.5], approximate)]
+    return [(c - k * s, c + k * s) if s else None for c, s in zip(centers, spreads)]
+
+
+def _row(df: DataFrame, structs: list[Column], schema: str) -> DataFrame:
+    """The structs of literals as rows; none give an empty frame."""
+    spark = df.sparkSession
+    return spark.range(1).select(F.inline(F.array(*structs))) if structs else spark.createDataFrame([], schema)
 
 
 def outlier_bounds(df: DataFrame, names: list[str] | None = None, method: str = "iqr", thresholds: Thresholds = Thresholds(), approximate: bool = False) -> DataFrame:
     """column_name, low, high; null ends mean that no value is an outlier."""
     names = numeric_columns(df) if names is None else names
     _check(df, names, method)
-    wide = _wide_bounds(df, names, method, thresholds, approximate)
-    rows = [F.struct(F.lit(c).alias("column_name"), F.col(f"b{i}.low").alias("low"), F.col(f"b{i}.high").alias("high")) for i, c in enumerate(names)]
-    return wide.select(F.inline(F.array(*rows)))
+    number = lambda x: F.lit(x).cast("double")
+    found = [b or (None, None) for b in _bounds(df, names, method, thresholds, approximate)]
+    return _row(df, [F.struct(F.lit(c).alias("column_name"), number(b[0]).alias("low"), number(b[1]).alias("high")) for c, b in zip(names, found)], "column_name string, low double, high double")
 
 
 def outlier_overview(df: DataFrame, names: list[str] | None = None, method: str = "iqr", thresholds: Thresholds = Thresholds(), approximate: bool = False) -> DataFrame:
     """column_name, n_outliers, pct of the values present; 0 where there are no values or no spread."""
     names = numeric_columns(df) if names is None else names
     _check(df, names, method)
-    bounds = _wide_bounds(df, names, method, thresholds, approximate)
-    rows = df.select(*[usable(df, c).cast("double").alias(f"v{i}") for i, c in enumerate(names)]).crossJoin(F.broadcast(bounds))
-    out = lambda i: (F.col(f"v{i}") < F.col(f"b{i}.low")) | (F.col(f"v{i}") > F.col(f"b{i}.high"))
-    wide = rows.agg(*[F.count(f"v{i}").alias(f"n{i}") for i in range(len(names))], *[F.count_if(out(i)).alias(f"o{i}") for i in range(len(names))])
+    bounds = _bounds(df, names, method, thresholds, approximate)
+    if not names:
+        return _row(df, [], "column_name string, n_outliers long, pct double")
+    value = [usable(df, c).cast("double") for c in names]
+    out = [(v < F.lit(b[0])) | (v > F.lit(b[1])) if b else F.lit(False) for v, b in zip(value, bounds)]
+    wide = df.agg(*[F.count(v).alias(f"n{i}") for i, v in enumerate(value)], *[F.count_if(o).alias(f"o{i}") for i, o in enumerate(out)])
     pct = lambda i: F.when(F.col(f"n{i}") > 0, F.round(F.col(f"o{i}") * F.lit(100.0) / F.col(f"n{i}"), 2)).otherwise(F.lit(0.0))
     return wide.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"o{i}").alias("n_outliers"), pct(i).alias("pct")) for i, c in enumerate(names)])))
 
 
+BOX = {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0}
+
+
 def boxplot_stats(df: DataFrame, name: str, approximate: bool = False) -> DataFrame:
-    """min, q1, median, q3, max of the values present."""
+    """min, q1, median, q3, max of the values present; all null without any."""
     _check(df, [name], "iqr")
-    q = _quantiles(usable(df, name).cast("double"), [0.0, 0.25, 0.5, 0.75, 1.0], approximate)
-    return df.agg(q.alias("q")).select(*[F.col("q")[i].alias(x) for i, x in enumerate(("min", "q1", "median", "q3", "max"))])
+    q = quantiles(df, [usable(df, name).cast("double")], list(BOX.values()), approximate)[0] or [None] * len(BOX)
+    return df.sparkSession.range(1).select(*[F.lit(x).cast("double").alias(c) for c, x in zip(BOX, q)])
+
+
+def column_detail(df: DataFrame, name: str, method: str = "iqr", thresholds: Thresholds = Thresholds(), bins: int = 50, approximate: bool = False) -> DataFrame:
+    """part, label, value of one column's detail view: its box, the bounds of the method, and a histogram.
+
+    part is box (labels min to max), bounds (low, high; null without a spread) or histogram (label: bucket, value:
+    rows in it; buckets that hold none are left out).
+    """
+    _check(df, [name], method)
+    bounds = _bounds(df, [name], method, thresholds, approximate)[0] or (None, None)
+    box = boxplot_stats(df, name, approximate).select(F.inline(F.array(*[F.struct(F.lit("box").alias("part"), F.lit(c).alias("label"), F.col(c).alias("value")) for c in BOX])))
+    ends = [F.struct(F.lit("bounds").alias("part"), F.lit(c).alias("label"), F.lit(b).cast("double").alias("value")) for c, b in zip(("low", "high"), bounds)]
+    bars = histogram(df, name, bins).filter("bucket is not null").select(F.lit("histogram").alias("part"), F.col("bucket").cast("string").alias("label"), F.col("n").cast("double").alias("value"))
+    return box.unionByName(_row(df, ends, "")).unionByName(bars)
+
+
+def before_after(df: DataFrame, rules: list[dict | OutlierRule], approximate: bool = False) -> DataFrame:
+    """What outlier rules would do: column_name, stage (before, after), n_rows, n_values, n_outliers and the box.
+
+    A row for each numeric column that a rule names and each stage. Outliers of both stages are told by the bounds
+    that the column's rule has before the treatment.
+    """
+    rules = [r if isinstance(r, OutlierRule) else OutlierRule.from_dict(r) for r in rules]
+    last = {r.column: r for r in rules}
+    treated = apply_outliers(df, rules, approximate)
+    bounds = {c: _bounds(df, [c], r.method, Thresholds(r.iqr_k, r.z_threshold, r.mad_threshold), approximate)[0] for c, r in last.items()}
+    schema = "column_name string, stage string, n_rows long, n_values long, n_outliers long, " + ", ".join(f"{c} double" for c in BOX)
+    rows = []
+    for stage, frame in (("before", df), ("after", treated)):
+        value = {c: usable(frame, c).cast("double") for c in last}
+        out = {c: (v < F.lit(bounds[c][0])) | (v > F.lit(bounds[c][1])) if bounds[c] else F.lit(False) for c, v in value.items()}
+        counts = frame.agg(F.count(F.lit(1)), *[x for c in last for x in (F.count(value[c]), F.count_if(out[c]))]).first()
+        for i, (c, q) in enumerate(zip(last, quantiles(frame, list(value.values()), list(BOX.values()), approximate))):
+            rows.append((c, stage, counts[0], counts[1 + 2 * i], counts[2 + 2 * i], *(q or [None] * len(BOX))))
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def sample_numeric(df: DataFrame, name: str, n: int = 5000, seed: int = 42, key: str | None = None) -> DataFrame:
     """value: n values present, the same ones each time: the first in the order of a hash of key (or value) and seed."""
     _check(df, [name], "iqr")
     v = usable(df, name).cast("double")
-    rows = df.select(v.alias("value"), F.xxhash64(col(key) if key else v, F.lit(seed)).alias("_turn")).filter("value is not null")
-    return rows.orderBy("_turn", "value").limit(n).select("value")
+    turn = F.md5(F.concat_ws(":", (col(key) if key else v).cast("string"), F.lit(str(seed))))
+    rows = df.select(v.alias("value"), turn.alias("turn")).filter("value is not null")
+    return rows.orderBy("turn", "value").limit(n).select("value")
 
 
-def sample_fraction(df: DataFrame, name: str, n: int = 5000, seed: int = 42) -> DataFrame:
-    """value: about n values by Bernoulli sampling without a sort, then at most n."""
+def sample_fraction(df: DataFrame, name: str, n: int = 5000, seed: int = 42, key: str | None = None) -> DataFrame:
+    """value: each value present with the chance that gives about n of them, then at most n; the same ones each time for a ``key``."""
     v = usable(df, name).cast("double")
-    rows = df.select(v.alias("value")).filter("value is not null")
-    count = rows.count()
-    return rows.sample(False, min(1.0, max(1e-4, n / max(1, count))), seed).limit(n)
+    if key is None:
+        rows = df.select(v.alias("value")).filter("value is not null")
+        return rows.sample(False, min(1.0, max(1e-4, n / max(1, rows.count()))), seed).limit(n)
+    turn = F.md5(F.concat_ws(":", col(key).cast("string"), F.lit(str(seed))))
+    rows = df.select(v.alias("value"), turn.alias("turn")).filter("value is not null")
+    share = min(1.0, max(1e-4, n / max(1, rows.count())))
+    drawn = rows.filter(F.conv(F.substring("turn", 1, 8), 16, 10).cast("double") < share * 2.0**32)
+    return drawn.orderBy("turn", "value").limit(n).select("value")
 
 
 @dataclass(frozen=True)
@@ -157,33 +202,42 @@ def _apply(df: DataFrame, r: OutlierRule, approximate: bool) -> DataFrame:
     _check(df, [r.column], r.method)
     if r.action not in ACTIONS:
         raise ValueError(f"unknown action: {r.action}; known: {', '.join(ACTIONS)}")
-    order, v = df.columns, usable(df, r.column).cast("double")
-    bounds = _wide_bounds(df, [r.column], r.method, Thresholds(r.iqr_k, r.z_threshold, r.mad_threshold), approximate).select(F.col("b0").alias("_bounds"))
-    if r.action in ("median", "mean"):
-        center = F.avg(v) if r.action == "mean" else _quantiles(v, [0.5], approximate)[0]
-        bounds = bounds.crossJoin(F.broadcast(df.agg(center.alias("_center"))))
-    given = df.crossJoin(F.broadcast(bounds))
-    low, high = F.col("_bounds.low"), F.col("_bounds.high")
-    out = F.coalesce((v < low) | (v > high), F.lit(False))
+    new = _new_value(r)
+    v, number = usable(df, r.column).cast("double"), col(r.column).cast("double")
+    bounds = _bounds(df, [r.column], r.method, Thresholds(r.iqr_k, r.z_threshold, r.mad_threshold), approximate)[0]
+    low, high = map(F.lit, bounds) if bounds else (None, None)
+    out = F.coalesce((v < low) | (v > high), F.lit(False)) if bounds else F.lit(False)
     if r.action == "drop":
-        return given.filter(~out).select(*map(col, order))
+        return df.filter(~out) if bounds else df
     if r.action == "flag":
         name = f"is_outlier_{r.column}"
-        return given.withColumn(name, F.when(out, 1).otherwise(0)).select(*[col(c) for c in order if c != name], col(name))
-    number = col(r.column).cast("double")
-    if r.action in ("median", "mean"):
-        new = F.when(out, F.col("_center")).otherwise(number)
-    elif r.action == "constant":
-        if r.constant is None or r.constant == "":
-            raise ValueError("constant needs a value")
-        new = F.when(out, F.lit(_number(r.constant, "constant"))).otherwise(number)
+        return df.select(*[col(c) for c in df.columns if c != name], F.when(out, 1).otherwise(0).alias(name))
+    if not bounds:
+        value = number
     elif r.action == "cap":
-        new = F.when(v < low, low).when(v > high, high).otherwise(number)
+        value = F.when(v < low, low).when(v > high, high).otherwise(number)
+    elif r.action == "custom_cap":
+        value = F.when(v < F.lit(new[0]), F.lit(new[0])).when(v > F.lit(new[1]), F.lit(new[1])).otherwise(number)
     else:
+        if r.action == "mean":
+            new = df.agg(F.avg(v)).first()[0]
+        elif r.action == "median":
+            new = quantiles(df, [v], [0.5], approximate)[0][0]
+        value = F.when(out, F.lit(new)).otherwise(number)
+    return df.select(*[value.alias(c) if c == r.column else col(c) for c in df.columns])
+
+
+def _new_value(r: OutlierRule) -> float | tuple[float, float] | None:
+    """What the rule itself puts in the place of outliers, checked before any pass over the data."""
+    if r.action == "constant":
+        if r.constant is None or r.constant == "":
+            raise ValueError("constant needs a value")
+        return _number(r.constant, "constant")
+    if r.action == "custom_cap":
         if r.lower_bound in (None, "") or r.upper_bound in (None, ""):
             raise ValueError("custom_cap needs lower_bound and upper_bound")
         least, most = _number(r.lower_bound, "lower_bound"), _number(r.upper_bound, "upper_bound")
         if least >= most:
             raise ValueError("lower_bound must be below upper_bound")
-        new = F.when(low.isNull(), number).when(v < least, F.lit(least)).when(v > most, F.lit(most)).otherwise(number)
-    return given.select(*[new.alias(c) if c == r.column else col(c) for c in order])
+        return least, most
+    return None

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltworks.functions.columns import as_text, col, dtype, is_numeric, missing, usable
+from siltworks.functions.quantiles import quantiles
 
 #: Categories that one-hot encoding turns into columns at most; more is an error, not a cut.
 MAX_CATEGORIES = 1000
@@ -35,34 +36,42 @@ def ordinal(df: DataFrame, name: str, values: list[str] | None = None) -> DataFr
     return df.select(*[new.alias(c) if c == name else col(c) for c in df.columns])
 
 
-def _scaled(df: DataFrame, names: list[str], stats: list[tuple[Column, Column]]) -> DataFrame:
-    """(x - center) / spread in place; a spread of 0 gives 0. Missing is null."""
+def _numbers(df: DataFrame, names: list[str]) -> list[Column]:
     for c in names:
         if not is_numeric(dtype(df, c)):
             raise ValueError(f"not a numeric column: {c}")
-    wide = df.agg(*[x.alias(f"_{k}{i}") for i, pair in enumerate(stats) for k, x in zip("cs", pair)])
-    given, place = df.crossJoin(F.broadcast(wide)), {c: i for i, c in enumerate(names)}
+    return [usable(df, c).cast("double") for c in names]
+
+
+def _scaled(df: DataFrame, names: list[str], stats: list[tuple[float | None, float | None]]) -> DataFrame:
+    """(x - center) / spread in place; a spread of 0 gives 0. Missing is null."""
+    place = dict(zip(names, zip(_numbers(df, names), stats)))
 
     def scale(c: str) -> Column:
-        center, spread, x = F.col(f"_c{place[c]}"), F.col(f"_s{place[c]}"), usable(df, c).cast("double")
-        return F.when(spread > 0, (x - center) / spread).otherwise(x - x).alias(c)
+        x, (center, spread) = place[c]
+        return ((x - F.lit(center)) / F.lit(spread) if spread else x - x).alias(c)
+
+    return df.select(*[scale(c) if c in place else col(c) for c in df.columns])
+
 
-    return given.select(*[scale(c) if c in place else col(c) for c in df.columns])
+def _by_aggregates(df: DataFrame, names: list[str], center, spread) -> DataFrame:
+    """Scale by two aggregates per column, all of them in one pass when called."""
+    row = df.agg(*[x.alias(f"s{i}{k}") for i, v in enumerate(_numbers(df, names)) for k, x in enumerate((center(v), spread(v)))]).first() if names else ()
+    return _scaled(df, names, list(zip(row[::2], row[1::2])))
 
 
 def scale_standard(df: DataFrame, names: list[str]) -> DataFrame:
-    v = [usable(df, c).cast("double") for c in names]
-    return _scaled(df, names, [(F.avg(x), F.stddev_pop(x)) for x in v])
+    return _by_aggregates(df, names, F.avg, F.stddev_pop)
 
 
 def scale_minmax(df: DataFrame, names: list[str]) -> DataFrame:
-    v = [usable(df, c).cast("double") for c in names]
-    return _scaled(df, names, [(F.min(x), F.max(x) - F.min(x)) for x in v])
+    return _by_aggregates(df, names, F.min, lambda v: F.max(v) - F.min(v))
 
 
-def scale_robust(df: DataFrame, names: list[str]) -> DataFrame:
-    q = [F.percentile(usable(df, c).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) for c in names]
-    return _scaled(df, names, [(x[1], x[2] - x[0]) for x in q])
+def scale_robust(df: DataFrame, names: list[str], approximate: bool = False) -> DataFrame:
+    """By median and interquartile range; ``approximate`` takes sketches."""
+    found = quantiles(df, _numbers(df, names), [0.25, 0.5, 0.75], approximate)
+    return _scaled(df, names, [(q[1], q[2] - q[0]) if q else (None, None) for q in found])
 
 
 def normalize_l2(df: DataFrame, names: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltworks.functions.columns import as_text, col, dtype, is_numeric, missing, present, usable
+from siltworks.functions.columns import as_text, col, dtype, free_names, is_numeric, missing, present, usable
 
 
 def _percent(part: Column, whole: Column) -> Column:
@@ -128,8 +128,9 @@ def duplicate_rows(df: DataFrame, keys: list[str], limit: int | None = 100, orde
         raise ValueError("keys must name a column")
     for c in [*keys, *(order_by or [])]:
         dtype(df, c)
-    groups = df.groupBy(*[col(c).alias(f"_key{i}") for i, c in enumerate(keys)]).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    same = [col(c).eqNullSafe(F.col(f"_key{i}")) for i, c in enumerate(keys)]
+    names = free_names(df, *[f"key{i}" for i in range(len(keys))])
+    groups = df.groupBy(*[col(c).alias(k) for c, k in zip(keys, names)]).agg(F.count(F.lit(1)).alias("n_rows")).filter("n_rows > 1").select(*names)
+    same = [col(c).eqNullSafe(F.col(k)) for c, k in zip(keys, names)]
     out = df.join(groups, same, "left_semi")
     if order_by:
         out = out.orderBy(*[col(c) for c in order_by])

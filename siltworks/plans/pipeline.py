@@ -39,6 +39,10 @@ class Pipeline:
         name = step_name(name)
         return Pipeline(tuple(s for s in self.steps if s[0] != name))
 
+    def cleared(self) -> Pipeline:
+        """No steps: the start again. Data that was written stays."""
+        return Pipeline()
+
     def rules(self, name: str) -> list[Mapping]:
         """A step's rules in force: of several for one column the last; all of them for duplicates."""
         name = step_name(name)
@@ -52,7 +56,7 @@ class Pipeline:
             if name == "formats":
                 df = apply_formats(df, rules, on_error)
             elif name == "missing_values":
-                df = apply_missing(df, rules, order_by, partition_by, on_error)
+                df = apply_missing(df, rules, order_by, partition_by, on_error, approximate)
             elif name == "duplicates":
                 df = apply_duplicates(df, rules, order_by)
             else:
@@ -69,8 +73,10 @@ class Pipeline:
                 out.append((number, name, target, r.get("action") or r.get("strategy") or "", json.dumps(rest, sort_keys=True, ensure_ascii=False) if rest else ""))
         return out
 
-    def describe(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.history(), "step_no int, step string, target string, action string, parameters string")
+    def describe(self, spark: SparkSession, card: Mapping | None = None) -> DataFrame:
+        """The history as a frame; entries of a dataset's card come before it, as rows of step number 0."""
+        before = [(0, "dataset", k, "", v if isinstance(v, str) else json.dumps(v, sort_keys=True, ensure_ascii=False)) for k, v in (card or {}).items()]
+        return spark.createDataFrame(before + self.history(), "step_no int, step string, target string, action string, parameters string")
 
     def to_json(self) -> str:
         return json.dumps([{"step": n, "params": [dict(r) for r in rules]} for n, rules in self.steps], ensure_ascii=False)

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltworks import fixtures
 from siltworks.operators import duplicates, formats, missing, normalise, outliers, prepare, profile
 from siltworks.plans.pipeline import Pipeline
-from siltworks.sources import files
+from siltworks.sources import files, session
 from siltworks.sources.scratch import scratch_path
 from siltworks.streaming import clean
 
@@ -213,7 +214,7 @@ def boxplot_stats(spark, sf_dir):
     return rounded(outliers.boxplot_stats(fixtures.events_gaps(spark, sf_dir), "value"), "min", "q1", "median", "q3", "max")
 
 
-@query("sample_numeric")
+@query("sample_numeric", "SELECT value FROM events WHERE value IS NOT NULL ORDER BY md5(CAST(event_id AS VARCHAR) || ':42'), value LIMIT 5000")
 def sample_numeric(spark, sf_dir):
     return outliers.sample_numeric(fixtures.load(spark, sf_dir, "events"), "value", key="event_id")
 
@@ -455,3 +456,252 @@ def stream_clean(spark, sf_dir):
     path = scratch_path(spark, "stream")
     clean.write_stream(cleaned, path, f"{path}-state").awaitTermination()
     return spark.read.schema(cleaned.schema).parquet(path)
+
+
+# Sources beyond the round trips: what is sniffed, broken rows, and every JSON layout
+
+
+def _typed_orders(df: DataFrame) -> DataFrame:
+    return df.select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority").withColumn("o_orderkey", F.col("o_orderkey").cast("long"))
+
+
+@query("csv_sniffed", "SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+def csv_sniffed(spark, sf_dir):
+    """Separator, quotes, types and line breaks of a file that nothing is told of."""
+    path = scratch_path(spark, "semicolons")
+    fixtures.load(spark, sf_dir, "orders").write.options(header=True, sep=";").csv(path)
+    return _typed_orders(files.read_dataset(spark, path, "csv"))
+
+
+@query("csv_latin1", "SELECT n_nationkey, 'é ' || n_name || ' ü' AS n_name FROM nation")
+def csv_latin1(spark, sf_dir):
+    path = scratch_path(spark, "latin1")
+    n = fixtures.load(spark, sf_dir, "nation")
+    n.select("n_nationkey", F.concat(F.lit("é "), "n_name", F.lit(" ü")).alias("n_name")).coalesce(1).write.options(header=True, encoding="ISO-8859-1").csv(path)
+    return files.read_csv(spark, path).select(F.col("n_nationkey").cast(n.schema["n_nationkey"].dataType).alias("n_nationkey"), "n_name")
+
+
+@query("csv_ragged", "SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0")
+def csv_ragged(spark, sf_dir):
+    """Rows with a value too few or too many are left out."""
+    path, o = scratch_path(spark, "ragged"), fixtures.load(spark, sf_dir, "orders")
+    line = F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderstatus", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderpriority")), F.when(F.col("o_orderkey") % 11 == 0, "more").otherwise(F.when(F.col("o_orderkey") < 0, "")))
+    # Both faults at once would make a row of the right length.
+    line = F.when((F.col("o_orderkey") % 77 == 0), F.concat(line, F.lit(",and,more"))).otherwise(line)
+    # The whole line as one column, under a separator that it doesn't hold, so that nothing is quoted.
+    o.select(line.alias("o_orderkey,o_orderstatus,o_orderpriority")).write.options(header=True, sep="\x01").csv(path)
+    return files.read_csv(spark, path, on_corrupt="drop").withColumn("o_orderkey", F.col("o_orderkey").cast("long"))
+
+
+@query("csv_corrupt_rows", "SELECT CAST(count_if(o_orderkey % 7 = 0 OR o_orderkey % 11 = 0) AS BIGINT) AS n_corrupt FROM orders")
+def csv_corrupt_rows(spark, sf_dir):
+    """The number of rows that do not fit, as the error that loading raises gives it."""
+    csv_path = scratch_path(spark, "corrupt")
+    o = fixtures.load(spark, sf_dir, "orders")
+    short, long = F.col("o_orderkey") % 7 == 0, F.col("o_orderkey") % 11 == 0
+    line = F.concat_ws(",", F.col("o_orderkey").cast("string"), F.when(~short, F.col("o_orderstatus")), F.when(long, "x,y"))
+    o.select(line.alias("o_orderkey,o_orderstatus")).write.options(header=True, sep="\x01").csv(csv_path)
+    try:
+        files.read_csv(spark, csv_path)
+        found = 0
+    except ValueError as e:
+        found = int(str(e).split(" ")[0])
+    return spark.range(1).select(F.lit(found).cast("long").alias("n_corrupt"))
+
+
+_NATION = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
+_NATION_COLUMNS = ("n_nationkey", "n_name", "n_regionkey")
+
+
+def _document(layout: str):
+    """The nations as one JSON document of a layout; the table has a fixed number of rows."""
+    key, row = F.col("n_nationkey").cast("string"), F.struct(*_NATION_COLUMNS)
+    texts = F.array(*[F.col(c).cast("string") for c in _NATION_COLUMNS])
+    if layout == "split":
+        return F.to_json(F.struct(F.array(*map(F.lit, _NATION_COLUMNS)).alias("columns"), F.collect_list(F.col("n_nationkey")).alias("index"), F.collect_list(texts).alias("data")))
+    if layout == "values":
+        return F.to_json(F.collect_list(texts))
+    if layout == "index":
+        return F.to_json(F.map_from_entries(F.collect_list(F.struct(key, row))))
+    return F.to_json(F.struct(*[F.map_from_entries(F.collect_list(F.struct(key, F.col(c)))).alias(c) for c in _NATION_COLUMNS]))
+
+
+def _layout(name: str) -> None:
+    @query(f"json_{name}", _NATION)
+    def read(spark, sf_dir):
+        """Written as one document, read by the layout that its beginning shows."""
+        path, nation = scratch_path(spark, f"nation-{name}"), fixtures.load(spark, sf_dir, "nation")
+        nation.agg(_document(name).alias("value")).coalesce(1).write.text(path)
+        found = files.read_json(spark, path)
+        return found.toDF(*_NATION_COLUMNS) if name == "values" else found.select(*_NATION_COLUMNS)
+
+
+for _name in ("split", "index", "columns", "values"):
+    _layout(_name)
+
+
+@query("json_lines_sniffed", _NATION)
+def json_lines_sniffed(spark, sf_dir):
+    path = scratch_path(spark, "lines")
+    files.write_dataset(fixtures.load(spark, sf_dir, "nation").select(*_NATION_COLUMNS), path, "json")
+    return files.read_dataset(spark, path, "json").select(*_NATION_COLUMNS)
+
+
+@query("format_gate", "SELECT * FROM (VALUES ('a.csv', 'csv'), ('b.JSON', 'json'), ('dir/c.parquet/', 'parquet'), ('d.xlsx', NULL), ('e', NULL)) t(path, kind)")
+def format_gate(spark, sf_dir):
+    rows = []
+    for path in ("a.csv", "b.JSON", "dir/c.parquet/", "d.xlsx", "e"):
+        try:
+            rows.append((path, files.format_of(path)))
+        except ValueError:
+            rows.append((path, None))
+    return spark.createDataFrame(rows, "path string, kind string")
+
+
+@query("dataset_card", f"SELECT 'orders' AS name, count(*) AS row_count, 3::BIGINT AS column_count, CAST(count_if(lower(trim({MARKED})) IN ('', 'na', 'null')) AS BIGINT) AS replaced_status, true AS has_size, true AS has_time FROM orders")
+def dataset_card(spark, sf_dir):
+    card = files.dataset_card(fixtures.orders_markers(spark, sf_dir), "orders", f"{sf_dir}/orders.parquet", markers=True)
+    row = (card["name"], card["row_count"], card["column_count"], card["replaced_markers"]["status_txt"], card["size_bytes"] > 0, bool(card["processed_at"]))
+    return spark.createDataFrame([row], "name string, row_count long, column_count long, replaced_status long, has_size boolean, has_time boolean")
+
+
+@query("adaptive_preview", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN length(text) > 100 THEN left(text, 100) || '…' ELSE text END AS text, lang, source, CAST(n_chars AS VARCHAR) AS n_chars FROM documents ORDER BY documents.doc_id LIMIT 10")
+def adaptive_preview(spark, sf_dir):
+    shown = normalise.adaptive_preview(fixtures.load(spark, sf_dir, "documents").orderBy("doc_id"))
+    return spark.createDataFrame([tuple(r.values()) for r in shown], "doc_id string, text string, lang string, source string, n_chars string")
+
+
+@query("preview_typed", "SELECT 0::BIGINT AS row_no, 'bigint' AS n_nationkey, 'string' AS n_name UNION ALL SELECT * FROM (SELECT row_number() OVER (ORDER BY n_nationkey), CAST(n_nationkey AS VARCHAR), n_name FROM nation ORDER BY n_nationkey LIMIT 10)")
+def preview_typed(spark, sf_dir):
+    nation = fixtures.load(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name")
+    return normalise.typed_preview(nation.orderBy("n_nationkey"))
+
+
+@query("session_settings", """SELECT * FROM (VALUES ('spark.master', 'SILTWORKS_MASTER', 'local[*]'), ('spark.driver.memory', 'SILTWORKS_DRIVER_MEMORY', '8g'), ('spark.driver.maxResultSize', 'SILTWORKS_MAX_RESULT', '2g'),
+  ('spark.sql.shuffle.partitions', 'SILTWORKS_SHUFFLE_PARTITIONS', '200'), ('spark.sql.execution.arrow.maxRecordsPerBatch', 'SILTWORKS_ARROW_ROWS', '20000')) t(setting, variable, preset)""")
+def session_settings(spark, sf_dir):
+    """The settings of a new session and the variables that change them; folders, which follow the machine, are left out."""
+    known = [(k, env, default) for k, (env, default) in session.SETTINGS.items() if not k.endswith(".dir")]
+    return spark.createDataFrame(known, "setting string, variable string, preset string")
+
+
+# Tables of what is allowed, checks before a treatment, and what a treatment would do
+
+_ALLOWED = {
+    "format": {"string": "to_boolean,to_date,to_integer,to_numeric,to_string", "numeric": "to_boolean,to_integer,to_numeric,to_string", "boolean": "to_boolean,to_string", "temporal": "to_date,to_string"},
+    "missing": {"string": "bfill,constant,drop_rows,ffill,mode", "numeric": "bfill,constant,drop_rows,ffill,mean,median,mode", "boolean": "bfill,constant,drop_rows,ffill,mode", "temporal": "bfill,constant,drop_rows,ffill,mode"},
+}
+
+
+@query("allowed_actions", "SELECT * FROM (VALUES " + ", ".join(f"('{step}', '{kind}', '{actions}')" for step, kinds in _ALLOWED.items() for kind, actions in kinds.items()) + ") t(step, kind, actions)")
+def allowed_actions(spark, sf_dir):
+    kinds = {"string": T.StringType(), "numeric": T.DoubleType(), "boolean": T.BooleanType(), "temporal": T.DateType()}
+    found = [(step, name, ",".join(sorted(given(kind)))) for step, given in (("format", formats.allowed_format_actions), ("missing", missing.allowed_missing_strategies)) for name, kind in kinds.items()]
+    return spark.createDataFrame(found, "step string, kind string, actions string")
+
+
+@query("format_validation", f"""SELECT 'price_txt' AS column_name, 'to_integer' AS action, CAST(count_if({CENTS} % 100 <> 0) AS BIGINT) AS n_bad,
+    min(CASE WHEN {CENTS} % 100 <> 0 THEN CAST({CENTS} // 100 AS VARCHAR) || ',' || lpad(CAST({CENTS} % 100 AS VARCHAR), 2, '0') END) AS example FROM orders
+  UNION ALL SELECT 'price_txt', 'to_date', count(*), min(CAST({CENTS} // 100 AS VARCHAR) || ',' || lpad(CAST({CENTS} % 100 AS VARCHAR), 2, '0')) FROM orders
+  UNION ALL SELECT 'date_txt', 'to_date', 0, NULL UNION ALL SELECT 'key_txt', 'to_numeric', 0, NULL""")
+def format_validation(spark, sf_dir):
+    rules = [{"column": c, "action": a} for c, a in (("price_txt", "to_integer"), ("price_txt", "to_date"), ("date_txt", "to_date"), ("key_txt", "to_numeric"))]
+    return formats.format_problems(fixtures.orders_text(spark, sf_dir), rules)
+
+
+_BOX_SQL = "round(min({v}), 6) AS min, round(quantile_cont({v}, 0.25), 6) AS q1, round(median({v}), 6) AS median, round(quantile_cont({v}, 0.75), 6) AS q3, round(max({v}), 6) AS max"
+
+
+@query(
+    "outlier_before_after",
+    f"""WITH {EV}, {bounds_sql("iqr", "ev", "value")}, a AS (SELECT CASE WHEN value < lo THEN lo WHEN value > hi THEN hi ELSE value END AS value, lo, hi FROM ev, b)
+      SELECT 'value' AS column_name, 'before' AS stage, count(*) AS n_rows, count(value) AS n_values, CAST(count_if({_OUT}) AS BIGINT) AS n_outliers, {_BOX_SQL.replace("{v}", "value")} FROM ev, b
+      UNION ALL SELECT 'value', 'after', count(*), count(value), CAST(count_if({_OUT}) AS BIGINT), {_BOX_SQL.replace("{v}", "value")} FROM a""",
+)
+def outlier_before_after(spark, sf_dir):
+    found = outliers.before_after(fixtures.events_gaps(spark, sf_dir), [{"column": "value", "method": "iqr", "action": "cap"}])
+    return rounded(found, *outliers.BOX)
+
+
+@query(
+    "column_detail",
+    f"""WITH {EV}, {bounds_sql("mad", "ev", "value")}, e AS (SELECT min(value) AS least, max(value) AS most FROM ev),
+      h AS (SELECT least(floor((value - least) / ((most - least) / 50)), 49) AS bucket, count(*) AS n FROM ev, e WHERE value IS NOT NULL GROUP BY 1), x AS (SELECT {_BOX_SQL.replace("{v}", "value")} FROM ev)
+      SELECT 'box' AS part, 'min' AS label, min AS value FROM x UNION ALL SELECT 'box', 'q1', q1 FROM x UNION ALL SELECT 'box', 'median', median FROM x UNION ALL SELECT 'box', 'q3', q3 FROM x UNION ALL SELECT 'box', 'max', max FROM x
+      UNION ALL SELECT 'bounds', 'low', round(lo, 6) FROM b UNION ALL SELECT 'bounds', 'high', round(hi, 6) FROM b
+      UNION ALL SELECT 'histogram', CAST(CAST(bucket AS INTEGER) AS VARCHAR), CAST(n AS DOUBLE) FROM h""",
+)
+def column_detail(spark, sf_dir):
+    return rounded(outliers.column_detail(fixtures.events_gaps(spark, sf_dir), "value", method="mad"), "value")
+
+
+@query("sample_fraction", """WITH k AS (SELECT event_id, value, least(1.0, greatest(1e-4, 5000 / greatest(1, count(*) OVER ()))) AS share FROM events WHERE value IS NOT NULL),
+  m AS (SELECT value, md5(CAST(event_id AS VARCHAR) || ':42') AS turn, share FROM k)
+  SELECT value FROM m WHERE CAST('0x' || left(turn, 8) AS BIGINT) < share * 4294967296 ORDER BY turn, value LIMIT 5000""")
+def sample_fraction(spark, sf_dir):
+    return outliers.sample_fraction(fixtures.load(spark, sf_dir, "events"), "value", key="event_id")
+
+
+# Approximate modes, by how far their ranks or counts are off
+
+
+def _rank_error(spark, df: DataFrame, name: str, asked: list[float], found: list[float]) -> DataFrame:
+    """share asked, and whether the share of values below and up to the value found encloses it within 0.002."""
+    v = F.col(name)
+    row = df.agg(F.count(v).alias("n"), *[x for i, q in enumerate(found) for x in (F.count_if(v < q).alias(f"b{i}"), F.count_if(v <= q).alias(f"u{i}"))]).first()
+    ok = [(s, row[f"b{i}"] / row["n"] <= s + 0.002 and row[f"u{i}"] / row["n"] >= s - 0.002) for i, s in enumerate(asked)]
+    return spark.createDataFrame(ok, "share double, within boolean")
+
+
+@query("missing_median_approx", "SELECT 0.5::DOUBLE AS share, true AS within")
+def missing_median_approx(spark, sf_dir):
+    gaps = fixtures.events_gaps(spark, sf_dir)
+    filled = missing.apply_missing(gaps, [{"column": "value", "action": "median"}], approximate=True)
+    value = filled.join(gaps.filter("value is null").select("event_id"), "event_id", "left_semi").agg(F.max("value"), F.min("value")).first()
+    return _rank_error(spark, gaps, "value", [0.5], [value[0]]) if value[0] == value[1] else spark.createDataFrame([(0.5, False)], "share double, within boolean")
+
+
+@query("outlier_bounds_approx", "SELECT * FROM (VALUES (0.25::DOUBLE, true), (0.75::DOUBLE, true)) t(share, within)")
+def outlier_bounds_approx(spark, sf_dir):
+    gaps = fixtures.events_gaps(spark, sf_dir)
+    low, high = outliers.outlier_bounds(gaps, ["value"], approximate=True).select("low", "high").first()
+    spread = (high - low) / 4  # low = q1 - 1.5 spread, high = q3 + 1.5 spread
+    return _rank_error(spark, gaps, "value", [0.25, 0.75], [low + 1.5 * spread, high - 1.5 * spread])
+
+
+@query("distinct_approx", " UNION ALL ".join(f"SELECT '{c}' AS column_name, true AS near" for c in EVENTS))
+def distinct_approx(spark, sf_dir):
+    gaps = fixtures.events_gaps(spark, sf_dir)
+    both = profile.distinct_by_column(gaps, approximate=True).select("column_name", F.col("n_distinct").alias("about")).join(profile.distinct_by_column(gaps), "column_name")
+    return both.select("column_name", (F.abs(F.col("about") - F.col("n_distinct")) <= F.greatest(F.lit(1), F.col("n_distinct") * 0.15)).alias("near"))
+
+
+@query("missing_preview_numeric", f"""WITH {EV}, e AS (SELECT min(value) AS lo, max(value) AS hi, CASE WHEN count(*) < 5000 THEN 50 ELSE 60 END AS bins FROM ev)
+  SELECT round(least(floor((value - lo) / ((hi - lo) / bins)), bins - 1) * ((hi - lo) / bins) + lo, 6) AS label, count(*) AS n FROM ev, e WHERE value IS NOT NULL GROUP BY 1""")
+def missing_preview_numeric(spark, sf_dir):
+    return profile.missing_preview(fixtures.events_gaps(spark, sf_dir), "value").select(F.round(F.col("label").cast("double"), 6).alias("label"), "n")
+
+
+# Pipelines as values, and windows of a stream
+
+
+@query("pipeline_edited", """SELECT * FROM (VALUES (0, 'dataset', 'name', '', 'events'), (0, 'dataset', 'row_count', '', '3'), (1, 'outliers', 'value', 'cap', '{"method": "z"}'), (2, 'formats', 'user_id', 'to_string', '')) t(step_no, step, target, action, parameters)""")
+def pipeline_edited(spark, sf_dir):
+    """A step set again moves to the end, a removed one goes, of two rules for a column the last is in force; a card comes first."""
+    p = Pipeline().with_step("formats", [{"column": "user_id", "action": "to_integer"}]).with_step("missing", [{"column": "value", "action": "mean"}])
+    p = p.with_step("outliers", [{"column": "value", "method": "iqr", "action": "drop"}, {"column": "value", "method": "z", "action": "cap"}])
+    p = p.with_step("outliers", p.rules("outliers")).with_step("formats", [{"column": "user_id", "action": "to_string"}]).without("missing_values")
+    assert p.cleared() == Pipeline()
+    return p.describe(spark, {"name": "events", "row_count": 3})
+
+
+@query("completeness_stream", f"WITH {EV} SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n_rows, count(value) AS n_value, count(event_type) AS n_event_type FROM ev GROUP BY 1")
+def completeness_stream(spark, sf_dir):
+    static = fixtures.load(spark, sf_dir, "events")
+    stream = spark.readStream.schema(static.schema).parquet(f"{sf_dir}/events.parque[t]")
+    gaps = stream.select("ts", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("value"), F.when(F.col("event_id") % 11 != 0, F.col("event_type")).alias("event_type"))
+    counted, path = clean.completeness_stream(gaps, "ts", ["value", "event_type"]), scratch_path(spark, "windows")
+    # Every batch gives all windows; the last batch's are the result.
+    put = lambda batch, number: batch.write.mode("overwrite").parquet(path)
+    counted.writeStream.outputMode("complete").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    return spark.read.schema(counted.schema).parquet(path).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltworks.operators.normalise import flatten, normalize_markers
+from siltworks.operators.normalise import flatten, marker_counts, normalize_markers
 
 #: Separators that are looked for on a CSV's first line, in order of preference.
 SEPARATORS = (",", ";", "\t")
@@ -60,45 +61,63 @@ def format_of(path: str, fmt: str | None = None) -> str:
     return kind
 
 
-def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None, schema: T.StructType | None = None, on_corrupt: str = "raise") -> DataFrame:
-    """A CSV with header, quoted by ``"`` (doubled inside), values over several lines allowed.
+def may_break_lines(head: bytes, encoding: str) -> bool:
+    """Whether a quoted value of the head holds a line break: some line has an odd number of quotes."""
+    return any(line.count('"') % 2 for line in head.decode(encoding, "replace").split("\n"))
+
+
+def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None, schema: T.StructType | None = None, on_corrupt: str = "raise", multi_line: bool | None = None) -> DataFrame:
+    """A CSV with header, quoted by ``"`` (doubled inside).
 
     Separator and encoding are taken from the head of the file if not given. Rows with too few or too many
-    values are counted and raise (``on_corrupt`` raise), or are left out (drop).
+    values are counted and raise (``on_corrupt`` raise), or are left out (drop). ``multi_line`` reads values over
+    several lines, which makes a file one task. By default the head decides, and a file whose rows do not fit line
+    by line is read again as one that has such values before its rows are called corrupt.
     """
-    head = head_bytes(spark, path) if sep is None or encoding is None else b""
+    if on_corrupt not in ("raise", "drop"):
+        raise ValueError(f"on_corrupt must be raise or drop, not {on_corrupt}")
+    head = head_bytes(spark, path) if sep is None or encoding is None or multi_line is None else b""
     encoding = encoding or sniff_encoding(head)
-    sep = sep or sniff_separator(head.decode("ISO-8859-1" if encoding == "ISO-8859-1" else encoding, "replace").lstrip("﻿").partition("\n")[0])
-    options = {"header": True, "sep": sep, "quote": '"', "escape": '"', "multiLine": True, "encoding": encoding}
+    sep = sep or sniff_separator(head.decode("ISO-8859-1" if encoding == "ISO-8859-1" else encoding, "replace").lstrip("\ufeff").partition("\n")[0])
+    # Lines of UTF-16 can't be cut at bytes.
+    ways = [multi_line] if multi_line is not None else [True] if encoding.upper().startswith("UTF-16") or may_break_lines(head, encoding) else [False, True]
+    for several_lines in ways:
+        df, found = _csv(spark, path, {"header": True, "sep": sep, "quote": '"', "escape": '"', "multiLine": several_lines, "encoding": encoding}, schema)
+        if on_corrupt == "drop" and len(ways) == 1:
+            break
+        # All columns are read with the corrupt one, which Spark asks for; their hashes are of no use otherwise.
+        bad = df.agg(F.count_if(F.col(CORRUPT).isNotNull()).alias("n"), F.max(F.xxhash64(*[F.col(f"`{f.name}`") for f in found]))).first()["n"]
+        if not bad:
+            break
+    else:
+        if on_corrupt == "raise":
+            raise ValueError(f"{bad} rows of {path} do not fit the {len(found)} columns")
+    return df.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+
+
+def _csv(spark: SparkSession, path: str, options: dict, schema: T.StructType | None) -> tuple[DataFrame, T.StructType]:
     if schema is None:
         schema = spark.read.options(**options, inferSchema=True).csv(path).schema
     whole = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    df = spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT).schema(whole).csv(path)
-    if on_corrupt == "raise":
-        # All columns are read with the corrupt one, which Spark asks for; their hashes are of no use otherwise.
-        bad = df.agg(F.count_if(F.col(CORRUPT).isNotNull()).alias("n"), F.max(F.xxhash64(*[F.col(f"`{f.name}`") for f in schema]))).first()["n"]
-        if bad:
-            raise ValueError(f"{bad} rows of {path} do not fit the {len(schema)} columns")
-    elif on_corrupt != "drop":
-        raise ValueError(f"on_corrupt must be raise or drop, not {on_corrupt}")
-    return df.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    return spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT).schema(whole).csv(path), schema
 
 
 def json_layout(head: bytes, encoding: str = "UTF-8") -> str:
     """The layout that the beginning of a JSON document shows: records, split, values, columns or index.
 
-    An object of objects is read as columns of rows, as column layouts are.
+    An object of objects is rows by their index where its keys are whole numbers and those of the first inner object
+    are not; else it is columns.
     """
-    text = head.decode(encoding, "replace").lstrip("﻿ \t\r\n")
+    text = head.decode(encoding, "replace").lstrip("\ufeff \t\r\n")
     if text.startswith("["):
         return "values" if text[1:].lstrip().startswith("[") else "records"
-    import re
-
     keys = re.match(r'\{\s*"((?:[^"\\]|\\.)*)"\s*:\s*(.)', text, re.S)
     if keys and keys[1] in ("columns", "index", "data") and keys[2] == "[":
         return "split"
     if keys and keys[2] == "{":
-        return "columns"
+        inner = re.match(r'\s*"((?:[^"\\]|\\.)*)"', text[keys.end() :])
+        whole = r"-?\d+"
+        return "index" if re.fullmatch(whole, keys[1]) and inner and not re.fullmatch(whole, inner[1]) else "columns"
     return "records"
 
 
@@ -173,7 +192,19 @@ def write_dataset(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "e
         getattr(df.write.mode(mode), kind)(path)
 
 
-def dataset_card(df: DataFrame, name: str, path: str | None = None) -> dict:
-    """Name, place, rows, columns, bytes by the plan's estimate, and time."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return {"name": name, "path": path, "row_count": df.count(), "column_count": len(df.columns), "size_bytes": int(str(stats)), "processed_at": datetime.now(UTC).isoformat(timespec="seconds")}
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of a file or of all files of a folder, in any store that Spark reads; only names and sizes are read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.agg(F.sum("length")).first()[0] or 0
+
+
+def dataset_card(df: DataFrame, name: str, path: str | None = None, markers: bool = False) -> dict:
+    """Name, place, rows, columns, bytes (stored ones of ``path``, else the plan's estimate), time.
+
+    ``markers`` adds how many missing markers of each text column loading would null, of ``df`` before that.
+    """
+    size = stored_bytes(df.sparkSession, path) if path else int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    card = {"name": name, "path": path, "row_count": df.count(), "column_count": len(df.columns), "size_bytes": size, "processed_at": datetime.now(UTC).isoformat(timespec="seconds")}
+    if markers:
+        card["replaced_markers"] = {r.column_name: r.replaced for r in marker_counts(df).collect()}
+    return card

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,15 @@ from pyspark.sql import SparkSession
 
 
 def scratch_path(spark: SparkSession, kind: str) -> str:
-    """A new path under the session's spark.checkpoint.dir; where that is unset (tests), under a temporary folder."""
+    """A new path under the session's spark.checkpoint.dir.
+
+    Only where that is unset and all executors are threads of this process (tests, notebooks), a temporary folder takes
+    its place. On a cluster an unset folder is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='siltworks-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -13,7 +14,7 @@ SETTINGS = {
     "spark.driver.maxResultSize": ("SILTWORKS_MAX_RESULT", "2g"),
     "spark.sql.shuffle.partitions": ("SILTWORKS_SHUFFLE_PARTITIONS", "200"),
     "spark.sql.execution.arrow.maxRecordsPerBatch": ("SILTWORKS_ARROW_ROWS", "20000"),
-    "spark.local.dir": ("SILTWORKS_LOCAL_DIR", ""),
+    "spark.local.dir": ("SILTWORKS_LOCAL_DIR", os.path.join(tempfile.gettempdir(), "siltworks-spark")),
     "spark.checkpoint.dir": ("SILTWORKS_CHECKPOINT_DIR", ""),
 }
 
