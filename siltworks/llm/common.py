@@ -5,8 +5,11 @@ Nothing outside this subpackage (and ``corpus_pipeline.py``) imports it.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,39 +25,74 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset (tests, notebooks in local
-    mode) a temporary folder is made and put into the session's setting.
+    Only where that is unset and all executors are threads of this process (tests, notebooks), a temporary folder is
+    made and put into the session's setting. On a cluster an unset folder is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors of {master} share")
         path = f"file://{tempfile.mkdtemp(prefix='siltworks-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
-def materialise(df: DataFrame, release: bool = True) -> DataFrame:
+#: Makes Spark remove a write's shuffle files as soon as it ends; nothing reads them again.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_AREAS: list[dict[str, DataFrame]] = []
+
+
+@contextmanager
+def scratch_area() -> Iterator[dict[str, DataFrame]]:
+    """Within it, the tables that ``materialise`` writes are counted; those left at its end are deleted.
+
+    What operators return may read such tables, so results must be written before it ends. ``keep`` takes a table out.
+    """
+    _AREAS.append({})
+    try:
+        yield _AREAS[-1]
+    finally:
+        discard(*_AREAS.pop().values())
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Hand a written table from the innermost area to the one around it, if there is one."""
+    if _AREAS:
+        _AREAS[-1].pop(df._scratch_path, None)
+        if len(_AREAS) > 1:
+            _AREAS[-2][df._scratch_path] = df
+    return df
+
+
+def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and return a reader of it.
 
     It cuts the lineage like ``checkpoint()`` does, without computing the plan twice; the files survive
-    the loss of any executor. Shuffle files of the plan just written are of no more use: a collection of the
-    driver's garbage lets Spark's cleaner remove them now instead of some time later. ``release`` False leaves that out
-    where a loop writes many small tables.
+    the loss of any executor.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/siltworks-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if release:
-        spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
+    if _AREAS:
+        _AREAS[-1][path] = out
     return out
 
 
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``materialise`` wrote and that nothing will read again."""
     for df in tables:
+        if _AREAS:
+            _AREAS[-1].pop(df._scratch_path, None)
         jvm = df.sparkSession.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -42,7 +42,7 @@ def _words(tidy: Column) -> Column:
 
 def _joined(keys: DataFrame) -> DataFrame:
     """An aggregate written out, so that the join with it stands alone and a hot key of the other side is split."""
-    return materialise(keys, release=False)
+    return materialise(keys)
 
 
 def _place(key: str, line_no: str) -> Column:
