@@ -1,9 +1,11 @@
 """Near-duplicate embeddings: random-hyperplane signs in several tables, exact cosines inside buckets.
 
 A vector falls into one bucket of each table, named by the signs of its products with that table's random
-directions. Vectors of one bucket are compared in blocks by one matrix product in double precision. A pair that
-meets in several tables counts in the first alone, which both vectors' bucket numbers show without a join. A
-block reports its vectors' numbers of links and a spanning forest of them, so no bucket is expanded to pairs.
+directions. Vectors of one bucket are first compared in blocks by SIGNS of their signs alone, 32 bytes each; only
+those with a partner whose signs allow the threshold go on, with all components, to a matrix product in double
+precision. A pair that meets in several tables counts in the first alone, which both vectors' bucket numbers show
+without a join. A block reports its vectors' numbers of links and a spanning forest of them, so no bucket is
+expanded to pairs.
 """
 
 from __future__ import annotations
@@ -26,6 +28,9 @@ from siltworks.llm.components import connected_components
 
 #: Probability, over tables, that a pair exactly at the threshold meets in no bucket.
 MISS = 1e-4
+#: Signs of a vector that its buckets compare first, and the standard deviations by which they may differ more than
+#: those of a pair at the threshold do: more than one in 1e9 such pairs.
+SIGNS, DEVIATIONS = 256, 6.5
 #: Vectors of a block: a comparison holds two blocks.
 BLOCK = 512
 #: Vectors wanted per bucket, and rows wanted per group of buckets that a task takes at once.
@@ -44,13 +49,14 @@ def directions(dim: int, bits: int, tables: int, seed: int) -> np.ndarray:
 
 
 def _rows(column: pa.Array, dim: int, kind: type) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of components as stored, and which of them are whole."""
-    rows = np.zeros((len(column), dim), kind)
-    whole = np.zeros(len(column), bool)
-    for i, v in enumerate(column):
-        v = v.as_py()
-        if v is not None and len(v) == dim and None not in v:
-            rows[i], whole[i] = v, True
+    """Rows of ``dim`` components as stored, and which of them are whole; ``column`` holds none of another length but nulls."""
+    rows, there = np.zeros((len(column), dim), kind), column.is_valid().to_numpy(zero_copy_only=False)
+    there &= pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False) == dim
+    values = column.filter(pa.array(there)).flatten()
+    gaps = values.is_null().to_numpy(zero_copy_only=False).reshape(-1, dim).any(axis=1)
+    rows[there] = pc.fill_null(values, 0).to_numpy(zero_copy_only=False).reshape(-1, dim)
+    whole = there.copy()
+    whole[there] = ~gaps
     return rows, whole
 
 
@@ -68,7 +74,7 @@ def _unit_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows, usable
 
 
-HASHED_SCHEMA = "vec_id long, dim int, raw binary, unit_key binary, codes array<int>, code_bytes binary"
+HASHED_SCHEMA = "vec_id long, dim int, raw binary, unit_key binary, codes array<int>, code_bytes binary, signs binary"
 
 
 def _hashed(vectors: DataFrame, vec: str, kind: type, bits: int, tables: int, seed: int) -> DataFrame:
@@ -86,13 +92,15 @@ def _hashed(vectors: DataFrame, vec: str, kind: type, bits: int, tables: int, se
         stored, whole = _rows(part.column(1), dim, kind)
         rows, usable = _unit_rows(stored)
         usable &= whole
-        codes = ((rows @ planes(dim) > 0).reshape(-1, tables, bits) @ powers).astype(np.int32)
+        signs = rows @ planes(dim) > 0
+        codes = (signs.reshape(-1, tables, bits) @ powers).astype(np.int32)
+        few = pa.array([x.tobytes() for x in np.packbits(signs[:, :SIGNS], axis=1)], pa.binary())
         raw = pa.array([r.tobytes() if u else None for r, u in zip(stored, usable)], pa.binary())
         keys = pa.array([xxhash.xxh3_128_digest(r.tobytes()) if u else None for r, u in zip(rows, usable)], pa.binary())
         lists = pa.FixedSizeListArray.from_arrays(pa.array(codes.ravel()), tables).cast(pa.list_(pa.int32()))
         packed = pa.array([c.tobytes() for c in codes], pa.binary())
         dims = pa.array(np.full(part.num_rows, dim, np.int32))
-        return pa.RecordBatch.from_arrays([part.column(0), dims, raw, keys, lists, packed], names=["vec_id", "dim", "raw", "unit_key", "codes", "code_bytes"])
+        return pa.RecordBatch.from_arrays([part.column(0), dims, raw, keys, lists, packed, few], names=["vec_id", "dim", "raw", "unit_key", "codes", "code_bytes", "signs"])
 
     return vectors.select("vec_id", F.col(vec)).mapInArrow(run, HASHED_SCHEMA)
 
@@ -113,28 +121,72 @@ def _local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
+CELL_KEYS = ["dim", "bucket_table", "bucket", "lo", "hi"]
+
+
+def _cells(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """The pairs of blocks in a group of them, each with two vectors or more."""
+    pdf = pdf.sort_values([*CELL_KEYS, "vec_id"], ignore_index=True)
+    keys = pdf[CELL_KEYS].to_numpy()
+    starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
+    yield from (pdf.iloc[a:b] for a, b in zip(starts, [*starts[1:], len(pdf)]) if b - a > 1)
+
+
+def _apart(pdf: pd.DataFrame, rows: slice) -> np.ndarray:
+    """Which pairs of the rows with all others a pair of blocks is to compare."""
+    block, turn = pdf["block"].to_numpy(), np.arange(len(pdf))
+    if pdf["lo"].iat[0] == pdf["hi"].iat[0]:
+        return turn[rows, None] != turn[None, :]
+    return block[rows, None] != block[None, :]
+
+
+def _steps(n: int) -> Iterator[slice]:
+    return (slice(at, min(at + 256, n)) for at in range(0, n, 256))
+
+
+def most_differing(signs: int, threshold: float) -> int:
+    """Signs in which a pair at the threshold differs, but for one in more than 1e9 of them."""
+    p = math.acos(threshold) / math.pi
+    return math.ceil(signs * p + DEVIATIONS * math.sqrt(signs * p * (1 - p)))
+
+
+def _promising(most: int):
+    """The rows of pairs of blocks that have a partner there whose signs differ in ``most`` places at most."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        signs = np.frombuffer(b"".join(pdf["signs"]), np.uint8).reshape(len(pdf), -1)
+        # Unequal signs of two rows: a + b - 2ab, summed by a matrix product.
+        bits = np.unpackbits(signs, axis=1).astype(np.float32)
+        ones, some = bits.sum(axis=1), np.zeros(len(pdf), bool)
+        for rows in _steps(len(pdf)):
+            differ = ones[rows, None] + ones[None, :] - 2 * (bits[rows] @ bits.T)
+            some[rows] = ((differ <= most) & _apart(pdf, rows)).any(axis=1)
+        return pdf[some].drop(columns="signs")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([pdf.iloc[:0].drop(columns="signs"), *map(one, _cells(pdf))])
+
+    return run
+
+
 def _compare(kind: type, threshold: float):
     """Pairs of blocks of buckets: links per vector, and a spanning forest of each pair of blocks."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame | None:
-        ids, weights, block = pdf["vec_id"].to_numpy(), pdf["copies"].to_numpy(), pdf["block"].to_numpy()
+        ids, weights = pdf["vec_id"].to_numpy(), pdf["copies"].to_numpy()
         units = _unit_rows(np.frombuffer(b"".join(pdf["raw"]), kind).reshape(len(ids), -1))[0]
         codes = np.frombuffer(b"".join(pdf["code_bytes"]), np.int32).reshape(len(ids), -1)
-        table, within = int(pdf["bucket_table"].iat[0]), pdf["lo"].iat[0] == pdf["hi"].iat[0]
+        table = int(pdf["bucket_table"].iat[0])
         links, lefts, rights = np.zeros(len(ids), np.int64), [], []
-        for at in range(0, len(ids), 256):
-            rows = slice(at, min(at + 256, len(ids)))
-            near = units[rows] @ units.T >= threshold
-            near &= np.arange(len(ids))[None, :] != np.arange(rows.start, rows.stop)[:, None]
-            if not within:
-                near &= block[rows][:, None] != block[None, :]
-            i, j = np.nonzero(near)
+        for rows in _steps(len(ids)):
+            i, j = np.nonzero((units[rows] @ units.T >= threshold) & _apart(pdf, rows))
             if len(i):
-                lefts.append(i + at)
+                i = i + rows.start
+                lefts.append(i)
                 rights.append(j)
                 # Counted where no earlier table holds the pair.
-                new = (codes[i + at, :table] != codes[j, :table]).all(axis=1)
-                np.add.at(links, i[new] + at, weights[j[new]])
+                new = (codes[i, :table] != codes[j, :table]).all(axis=1)
+                np.add.at(links, i[new], weights[j[new]])
         if not lefts:
             return None
         root = _local_roots(len(ids), np.concatenate(lefts), np.concatenate(rights))
@@ -142,10 +194,7 @@ def _compare(kind: type, threshold: float):
         return pd.DataFrame({"vec_id": ids[some], "links": links[some], "root": ids[root[some]]})
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["dim", "bucket_table", "bucket", "lo", "hi", "vec_id"], ignore_index=True)
-        keys = pdf[["dim", "bucket_table", "bucket", "lo", "hi"]].to_numpy()
-        starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
-        found = [x for a, b in zip(starts, [*starts[1:], len(pdf)]) if b - a > 1 and (x := one(pdf.iloc[a:b])) is not None]
+        found = [x for cell in _cells(pdf) if (x := one(cell)) is not None]
         return pd.concat(found) if found else pd.DataFrame({"vec_id": [], "links": [], "root": []}).astype("int64")
 
     return run
@@ -161,7 +210,8 @@ def near_embeddings(vectors: DataFrame, vec: str = "embedding", threshold: float
     component_id. An empty table gives no rows. Extra columns are not read.
 
     Bits and tables follow from the number of rows and ``miss``, the chance that a pair exactly at the threshold
-    is missed; closer pairs are safer. Buckets above BLOCK vectors are compared block by block.
+    is missed; closer pairs are safer. Buckets above BLOCK vectors are compared block by block. What a table of
+    buckets shuffles of a vector is its signs; components travel once per bucket in which a pair has hope.
     """
     source = vectors.filter("vec_id is not null")
     shape = source.agg(F.count("*").alias("n"), F.max(F.size(vec)).alias("dim")).first()
@@ -180,25 +230,30 @@ def near_embeddings(vectors: DataFrame, vec: str = "embedding", threshold: float
     membership = materialise(usable.select("vec_id", "dim", "unit_key").join(classes, ["dim", "unit_key"]).select("vec_id", "vertex", "rep", "copies"))
     leaders = classes.withColumnRenamed("rep", "vec_id")
     reps = usable.join(leaders, ["dim", "unit_key", "vec_id"]).dropDuplicates(["vertex"])
-    reps = materialise(reps.select(F.col("vertex").alias("vec_id"), "copies", "dim", "raw", "codes", "code_bytes"))
+    reps = materialise(reps.select(F.col("vertex").alias("vec_id"), "copies", "dim", "raw", "codes", "code_bytes", "signs"))
 
-    places = reps.select("vec_id", "dim", F.posexplode("codes").alias("bucket_table", "bucket"))
-    sizes = places.groupBy("dim", "bucket_table", "bucket").agg(F.count("*").alias("members")).filter("members > 1")
+    places = reps.select("vec_id", "dim", "signs", F.posexplode("codes").alias("bucket_table", "bucket"))
+    # Written out, so that the join below stands alone and a hot bucket can be split.
+    sizes = materialise(places.groupBy("dim", "bucket_table", "bucket").agg(F.count("*").alias("members")).filter("members > 1"))
     placed = places.join(sizes, ["dim", "bucket_table", "bucket"]).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("vec_id", "bucket_table"), F.col("blocks")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
     cell = F.pmod(F.xxhash64("dim", "bucket_table", "bucket", "lo", "hi"), F.lit(max(1, n * tables // CELL_ROWS)))
-    dealt = dealt.select("vec_id", "dim", "bucket_table", "bucket", "block", "lo", "hi", cell.alias("cell")).join(reps.drop("codes", "dim"), "vec_id")
-    found = materialise(dealt.groupBy("cell").applyInPandas(_compare(kind, threshold), "vec_id long, links long, root long"))
-
-    discard(reps)
+    dealt = dealt.select("vec_id", "dim", "bucket_table", "bucket", "block", "lo", "hi", cell.alias("cell"), "signs")
+    most, kept = most_differing(min(SIGNS, tables * bits), threshold), "vec_id long, dim int, bucket_table int, bucket int, block int, lo int, hi int, cell long"
+    hopeful = materialise(dealt.groupBy("cell").applyInPandas(_promising(most), kept))
+    discard(sizes)
+    whole = hopeful.join(reps.select("vec_id", "copies", "raw", "code_bytes"), "vec_id")
+    found = materialise(whole.groupBy("cell").applyInPandas(_compare(kind, threshold), "vec_id long, links long, root long"))
+
+    discard(reps, hopeful)
     counts = found.groupBy("vec_id").agg(F.sum("links").alias("links")).withColumnRenamed("vec_id", "vertex")
     # Copies take their class's component by a join, so that they add no edges; ids with several vectors tie theirs.
     several = membership.groupBy("vec_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("vec_id", "low")
     ties = membership.join(several, "vec_id").select(F.col("rep").alias("u"), F.col("low").alias("v"))
     end = lambda vertex, name: classes.select(F.col("vertex").alias(vertex), F.col("rep").alias(name))
     edges = found.select("vec_id", "root").filter("vec_id <> root").distinct().join(end("vec_id", "u"), "vec_id").join(end("root", "v"), "root").select("u", "v")
-    component = materialise(connected_components(edges.unionByName(ties)))
+    component = connected_components(edges.unionByName(ties))
     discard(classes)
     linked = membership.join(counts, "vertex", "left").join(component.withColumnRenamed("id", "rep"), "rep", "left")
     linked = linked.select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))

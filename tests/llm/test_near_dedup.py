@@ -170,3 +170,61 @@ def test_tables_follow_the_threshold():
         bits, tables = embeddings.plan_tables(n, 0.95)
         meet = (1 - np.arccos(0.95) / np.pi) ** bits
         assert (1 - meet) ** tables <= embeddings.MISS
+
+
+def planted_vectors(n, dim, pairs, seed):
+    """Random vectors, and partners of some of them at cosines from 0.95 up, many of them close to it."""
+    rng = np.random.default_rng(seed)
+    base = rng.standard_normal((n, dim))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    extra = []
+    for i in range(pairs):
+        side = rng.standard_normal(dim)
+        side -= side @ base[i] * base[i]
+        side /= np.linalg.norm(side)
+        cosine = 0.9501 + 0.0499 * rng.random() ** 3
+        extra.append((cosine * base[i] + np.sqrt(1 - cosine**2) * side) * rng.uniform(0.1, 10))
+    return np.vstack([base, extra])
+
+
+def test_recall_of_planted_pairs_at_the_defaults(spark):
+    vectors = planted_vectors(6000, 24, 1500, 12)
+    units = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    links = {i: set() for i in range(len(units))}
+    for at in range(0, len(units), 500):
+        for i, j in zip(*np.nonzero(units[at : at + 500] @ units.T >= 0.95)):
+            if i + at != j:
+                links[i + at].add(int(j))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    out = {r.vec_id: r for r in embeddings.near_embeddings(df).collect()}
+    wanted, found = sum(map(len, links.values())), sum(r.n_links for r in out.values())
+    assert wanted >= 3000 and all(out[i].n_links <= len(links[i]) for i in links)
+    assert found >= 0.99 * wanted
+    least = closure(range(len(units)), [(i, j) for i in links for j in links[i]])
+    assert sum(out[i].component_id == least[i] for i in links) >= 0.99 * len(links)
+
+
+def test_signs_never_part_a_near_pair(spark):
+    """Pairs exactly at the threshold differ in fewer signs than the bound lets through."""
+    rng = np.random.default_rng(2)
+    a, side = rng.standard_normal((2, 20_000, 16))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    side -= (side * a).sum(axis=1)[:, None] * a
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    b = 0.95 * a + np.sqrt(1 - 0.95**2) * side
+    planes = rng.standard_normal((16, embeddings.SIGNS))
+    differ = ((a @ planes > 0) != (b @ planes > 0)).sum(axis=1)
+    assert differ.max() <= embeddings.most_differing(embeddings.SIGNS, 0.95) < 0.3 * embeddings.SIGNS
+
+
+def test_a_hot_bucket_of_near_vectors(spark, monkeypatch):
+    """A third of all rows are distinct vectors near each other: more than one block, every link counted once."""
+    monkeypatch.setattr(embeddings, "BLOCK", 64)
+    rng = np.random.default_rng(7)
+    center = rng.standard_normal(20)
+    hot = center + 0.02 * rng.standard_normal((300, 20))
+    vectors = np.vstack([rng.standard_normal((600, 20)), hot])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    out = {r.vec_id: r for r in embeddings.near_embeddings(df).collect()}
+    assert all(out[i].n_links == 299 and out[i].component_id == 600 for i in range(600, 900))
+    assert all(out[i].n_links == 0 and out[i].kept for i in range(600))
