@@ -36,8 +36,9 @@ MANTISSA_BITS = 10
 COLLISION = 2.0**-MANTISSA_BITS / 3
 #: Standard deviations by which a sketch's estimate may fall short of the threshold.
 MARGIN = 5.0
-#: Members of a block of a bucket; rows of the group of blocks that a task takes at once.
-BLOCK, CELL_ROWS = 512, 4096
+#: Members of a block of a bucket and shingles of all of them; rows and shingles of the blocks that a task takes at once.
+BLOCK, BLOCK_SHINGLES = 512, 1_000_000
+CELL_ROWS, CELL_SHINGLES = 4096, 4_000_000
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
@@ -117,37 +118,50 @@ def estimated_jaccard(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.clip((equal - COLLISION) / (1 - COLLISION), 0, 1), either
 
 
-def hopeful(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+def hopeful(a: np.ndarray, b: np.ndarray, threshold: float, margin: float) -> np.ndarray:
     estimate, either = estimated_jaccard(a, b)
-    return estimate >= threshold - MARGIN * np.sqrt(threshold * (1 - threshold) / np.maximum(either, 1))
+    return estimate >= threshold - margin * np.sqrt(threshold * (1 - threshold) / np.maximum(either, 1))
 
 
-SKETCH_SCHEMA = "doc_id long, n_shingles long, set_key binary, sketch binary, bands array<long>, packed binary"
+def banded(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, n_shingles, the 128-bit key of the set, and band keys of each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        BoundedCache.claim(_WORDS)
+        for batch in batches:
+            sizes, keys, bands = [], [], []
+            for text in batch.column(1):
+                hashes = shingle_set(text.as_py(), size)
+                sizes.append(len(hashes))
+                keys.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+                bands.append(band_keys(sketch(hashes)) if len(hashes) else np.zeros(0, np.int64))
+            arrays = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "set_key", "bands"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
 def sketched(docs: DataFrame, size: int) -> DataFrame:
-    """n_shingles, the 128-bit key of the set, registers, band keys and the packed text of each document."""
+    """vertex, n_shingles, registers and packed text of the documents ``text, vertex, set_key`` that have that set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
         BoundedCache.claim(_WORDS)
         for batch in batches:
-            ids, sizes, keys, sketches, bands, packed = batch.column(0), [], [], [], [], []
-            for text in batch.column(1).to_pylist():
-                hashes = shingle_set(text, size)
-                packed.append(pack.compress((text or "").encode("utf-8", "surrogatepass")))
-                registers = sketch(hashes)
-                sizes.append(len(hashes))
-                keys.append(xxhash.xxh3_128_digest(hashes.tobytes()))
-                sketches.append(registers.tobytes())
-                bands.append(band_keys(registers) if len(hashes) else np.zeros(0, np.int64))
-            arrays = [ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(packed, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "set_key", "sketch", "bands", "packed"])
+            rows = []
+            for text, vertex, key in zip(batch.column("text"), batch.column("vertex").to_pylist(), batch.column("set_key").to_pylist()):
+                hashes = shingle_set(text := text.as_py(), size)
+                # An id with several texts has rows of other sets.
+                if xxhash.xxh3_128_digest(hashes.tobytes()) == key:
+                    rows.append((vertex, len(hashes), sketch(hashes).tobytes(), pack.compress(text.encode("utf-8", "surrogatepass"))))
+            columns = list(zip(*rows)) or [()] * 4
+            types = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "n_shingles", "sketch", "packed"])
 
-    return docs.select("doc_id", "text").filter("doc_id is not null").mapInArrow(run, SKETCH_SCHEMA)
+    return docs.select("text", "vertex", "set_key").mapInArrow(run, "doc_id long, n_shingles long, sketch binary, packed binary")
 
 
-def _hopeful_pairs(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+def _hopeful_pairs(pairs: DataFrame, sketches: DataFrame, percent: int, margin: float) -> DataFrame:
     """Pairs a, b whose sizes and sketches allow the threshold."""
     side = lambda x: sketches.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -156,7 +170,7 @@ def _hopeful_pairs(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("sa", "sb"))
-            keep = pa.array(hopeful(a, b, percent / 100))
+            keep = pa.array(hopeful(a, b, percent / 100, margin))
             yield batch.select(["a", "b"]).filter(keep)
 
     return both.mapInArrow(run, "a long, b long")
@@ -188,16 +202,19 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
 
 def _open_blocks(members: DataFrame, component: DataFrame) -> DataFrame:
-    """Members of buckets that lie in several components, dealt to pairs of blocks.
+    """Members ``key, doc_id, n_shingles`` of buckets that lie in several components, dealt to pairs of blocks.
 
     Returns key, lo, hi, doc_id, component, block. The members outside a bucket's largest component fill the first
-    blocks and meet each other and all others; those inside it meet only the first blocks.
+    blocks and meet each other and all others; those inside it meet only the first blocks. Long documents make
+    blocks of fewer members.
     """
     placed = members.join(component.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    buckets = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("components")).filter("components > 1")
-    number = lambda n: F.ceil(n / BLOCK).cast("int")
-    buckets = buckets.select("key", F.col("most.component").alias("largest"), number(F.col("n") - F.col("most.n")).alias("few"), number(F.col("most.n")).alias("many"))
+    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    buckets = sizes.groupBy("key").agg(F.max(F.struct("n", "component", "s")).alias("most"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("components")).filter("components > 1")
+    number = lambda n, shingles: F.ceil(F.greatest(n / BLOCK, F.least(n, shingles / BLOCK_SHINGLES))).cast("int")
+    rest, most = [number(F.col("n") - F.col("most.n"), F.col("s") - F.col("most.s")), number(F.col("most.n"), F.col("most.s"))]
+    # Written out, so that the join below stands alone and a hot bucket can be split.
+    buckets = materialise(buckets.select("key", F.col("most.component").alias("largest"), rest.alias("few"), most.alias("many")))
     placed = placed.join(buckets, "key").withColumn("inside", F.col("component") == F.col("largest"))
     turn = F.xxhash64("doc_id")
     placed = placed.withColumn("block", F.when(F.col("inside"), F.col("few") + F.pmod(turn, "many")).otherwise(F.pmod(turn, "few")).cast("int"))
@@ -206,8 +223,8 @@ def _open_blocks(members: DataFrame, component: DataFrame) -> DataFrame:
     return placed.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "doc_id", "component", "block")
 
 
-def _by_cell(rows: DataFrame, count: int, work, schema: str) -> DataFrame:
-    """Run ``work`` on the rows of each (key, lo, hi), many of them in a task at once."""
+def _by_cell(rows: DataFrame, cells: int, work, schema: str) -> DataFrame:
+    """Run ``work`` on the rows of each (key, lo, hi), dealt to ``cells`` groups of them that a task takes at once."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["key", "lo", "hi", "doc_id"], ignore_index=True)
@@ -216,11 +233,10 @@ def _by_cell(rows: DataFrame, count: int, work, schema: str) -> DataFrame:
         return pd.concat([empty, *(work(pdf.iloc[a:b]) for a, b in zip(starts, [*starts[1:], len(pdf)]) if b - a > 1)])
 
     empty = pd.DataFrame({c.split()[0]: pd.Series(dtype="int64") for c in schema.split(", ")})
-    cells = max(1, count // CELL_ROWS)
     return rows.withColumn("cell", F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(cells))).groupBy("cell").applyInPandas(run, schema)
 
 
-def _block_links(blocks: DataFrame, met: DataFrame, size: int, percent: int) -> DataFrame:
+def _block_links(blocks: DataFrame, met: DataFrame, size: int, percent: int, margin: float) -> DataFrame:
     """Links a, b that join components inside blocks, found on full sets; at most one per member of a block."""
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -231,7 +247,7 @@ def _block_links(blocks: DataFrame, met: DataFrame, size: int, percent: int) ->
         turns, partners = np.flatnonzero(comp != np.bincount(comp).argmax()), {}
         for i in turns:
             rest = np.flatnonzero((comp != comp[i]) & (within | (block != block[i])))
-            if len(rest := rest[hopeful(registers[i], registers[rest], percent / 100)]):
+            if len(rest := rest[hopeful(registers[i], registers[rest], percent / 100, margin)]):
                 partners[i] = rest
         if not partners:
             return empty
@@ -258,12 +274,15 @@ def _block_links(blocks: DataFrame, met: DataFrame, size: int, percent: int) ->
 
     empty = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
     dealt = materialise(blocks)
-    found = materialise(_by_cell(dealt.join(met.select("doc_id", "sketch", "packed"), "doc_id"), dealt.count(), work, "a long, b long"))
+    whole = dealt.join(met, "doc_id")
+    of = whole.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("shingles")).first()
+    cells = 1 + max(of["rows"] // CELL_ROWS, of["shingles"] // CELL_SHINGLES)
+    found = materialise(_by_cell(whole, cells, work, "a long, b long"))
     discard(dealt)
     return found
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, margin: float = MARGIN) -> DataFrame:
     """Link documents of ``doc_id, text`` whose sets of ``size``-word shingles have 100 * common >= percent * union.
 
     Returns doc_id, n_shingles, component_id (the smallest doc_id reachable by links) and kept (doc_id =
@@ -271,9 +290,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     fewer words have one shingle. Rows of null doc_id come back unlinked with null component_id and kept true.
     Rows that repeat an id are one vertex with the links of each. Copies form one class and never pairs.
     Extra columns are not read. An empty table gives no rows.
+
+    Pairs that share a band go on to their full sets unless the sketches' estimate is more than ``margin`` standard
+    deviations short of the threshold; an infinite margin sends all of them on.
     """
     docs = docs.select("doc_id", "text")
-    everything = materialise(sketched(docs, size))
+    everything = materialise(banded(docs.filter("doc_id is not null"), size))
     filled = everything.filter("n_shingles > 0")
     # Written out, so that the join below stands alone and its hot keys can be split.
     # Each class has a number of its own, as an id can lead several; up to the links it stands in the place of doc_id.
@@ -281,35 +303,40 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     leaders = classes.select("set_key", F.col("rep").alias("doc_id"), "vertex")
     rows = filled.select("set_key", "doc_id", "bands").join(leaders, ["set_key", "doc_id"]).select(F.explode("bands").alias("key"), F.col("vertex").alias("doc_id"))
     buckets = rows.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).filter("lead < last").select("key", "lead")
+    buckets = materialise(buckets)
     members = materialise(rows.join(buckets, "key").filter("doc_id <> lead"))
-    # One row per class that shares a bucket.
-    meeting = members.select(F.col("doc_id").alias("vertex")).unionByName(members.select(F.col("lead").alias("vertex"))).distinct()
-    met = filled.select("set_key", "doc_id", "n_shingles", "sketch", "packed").join(leaders.join(meeting, "vertex"), ["set_key", "doc_id"])
-    met = materialise(met.select(F.col("vertex").alias("doc_id"), "n_shingles", "sketch", "packed").dropDuplicates(["doc_id"]))
+    # The sketch and text of one document per class that shares a bucket; most share none, so that neither is kept for all.
+    meeting = members.select(F.col("doc_id").alias("vertex")).unionByName(buckets.select(F.col("lead").alias("vertex"))).distinct()
+    chosen = materialise(leaders.join(meeting, "vertex"))
+    # Always by merging, as the ids grow with the corpus: figures of small runs then hold for large ones.
+    met = materialise(sketched(docs.join(chosen.hint("merge"), "doc_id"), size).dropDuplicates(["doc_id"]))
+    discard(buckets, chosen)
+    # Copies take their class's component by a join, so that they add no edges; ids with several texts tie theirs.
+    placed = everything.select("doc_id", "n_shingles", "set_key").join(classes.drop("vertex"), "set_key", "left")
+    placed = materialise(placed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep")))
+    discard(everything)
 
     stars = members.select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
-    hope = materialise(_hopeful_pairs(stars, met, percent))
+    hope = materialise(_hopeful_pairs(stars, met, percent, margin))
     star_links = _verified(hope, met, size, percent)
     discard(hope)
-    component = materialise(connected_components(star_links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-    block_links = _block_links(_open_blocks(members.select("key", "doc_id"), component), met, size, percent)
-    discard(members, met)
+    component = connected_components(star_links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    sized = members.select("key", "doc_id").join(met.select("doc_id", "n_shingles"), "doc_id")
+    block_links = _block_links(_open_blocks(sized, component), met, size, percent, margin)
+    discard(members, met, component)
     found = [star_links, block_links]
 
-    # Copies take their class's component by a join, so that they add no edges; ids with several texts tie theirs.
-    placed = everything.select("doc_id", "n_shingles", "set_key").join(classes.drop("vertex"), "set_key", "left")
-    placed = materialise(placed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep")))
     several = placed.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("doc_id", "low")
     ties = placed.join(several, "doc_id").select(F.col("rep").alias("u"), F.col("low").alias("v"))
     end = lambda vertex, name: classes.select(F.col("vertex").alias(vertex), F.col("rep").alias(name))
     edges = reduce(DataFrame.unionByName, found).join(end("a", "u"), "a").join(end("b", "v"), "b").select("u", "v")
-    component = materialise(connected_components(edges.unionByName(ties)))
+    component = connected_components(edges.unionByName(ties))
     out = placed.join(component.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     out = out.select("doc_id", "n_shingles", "component")
-    discard(everything, classes, *found)
+    discard(classes, *found)
     unnamed = docs.filter("doc_id is null")
     if unnamed.take(1):
-        nameless = sketched(unnamed.withColumn("doc_id", F.lit(0).cast("long")), size)
+        nameless = banded(unnamed.withColumn("doc_id", F.lit(0).cast("long")), size)
         out = out.unionByName(nameless.select(F.lit(None).cast("long").alias("doc_id"), "n_shingles", F.lit(None).cast("long").alias("component")))
     component_id = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component_id.alias("component_id"), F.coalesce(F.col("doc_id") == component_id, F.lit(True)).alias("kept"))

@@ -63,6 +63,28 @@ def test_blocks_smaller_than_buckets(spark, monkeypatch):
     check(spark.createDataFrame(rows, "doc_id long, text string"), rows)
 
 
+def test_blocks_of_long_documents(spark, monkeypatch):
+    """Blocks bounded by shingles, and no sketch test at all."""
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 400)
+    monkeypatch.setattr(minhash, "CELL_SHINGLES", 1000)
+    rows = edited_copies(90, 5)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check(df, rows)
+    counts, least = brute(rows, 2, 80)
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df, 2, 80, margin=float("inf")).collect()} == least
+
+
+def test_recall_of_near_copies_at_table_size(documents):
+    """Of copies with one changed word in ten, all whose sets reach the threshold are linked to their source."""
+    rng = random.Random(13)
+    rows = [(r.doc_id, r.text) for r in documents.limit(400).collect() if r.text and 20 <= len(r.text.split()) <= 400]
+    near = []
+    for i, text in rows:
+        words = text.split(" ")
+        near.append((10_000_000 + i, " ".join(w if rng.random() > 0.08 else f"q{rng.randrange(99)}" for w in words)))
+    check(documents.sparkSession.createDataFrame(rows + near, "doc_id long, text string"), rows + near)
+
+
 def test_chain_of_links(spark):
     words = [f"v{i}" for i in range(140)]
     rows = [(i, " ".join(words[i : i + 60])) for i in range(80)]
