@@ -11,14 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltworks.functions.columns import INTEGRAL, TEMPORAL, col, dtype, free_names, is_numeric, missing, type_class, usable
+from siltworks.functions.order import stretch_of
 from siltworks.functions.quantiles import quantiles
 
 STRATEGIES = ("drop_rows", "mean", "median", "mode", "constant", "ffill", "bfill", "zero", "empty")
 # The words that a boolean constant may be.
 TRUE_WORDS = ("true", "1", "oui", "yes")
 FALSE_WORDS = ("false", "0", "non", "no")
-#: Stretches that an ordered fill over a whole table is cut into.
-STRETCHES = 200
 
 
 @dataclass(frozen=True)
@@ -144,36 +143,6 @@ def _statistic(df: DataFrame, name: str, action: str, approximate: bool) -> Colu
     return None if found is None else F.lit(found).cast(kind)
 
 
-def _position(df: DataFrame, name: str) -> Column | None:
-    """The order column as a double, to cut its range into stretches; None for types without one."""
-    kind = dtype(df, name)
-    if is_numeric(kind):
-        return usable(df, name).cast("double")
-    return F.unix_micros(col(name).cast("timestamp")).cast("double") if isinstance(kind, TEMPORAL) else None
-
-
-def _stretch(df: DataFrame, name: str) -> Column:
-    """The number of the stretch of the order that a row is in, by at most STRETCHES - 1 cuts; nulls come first.
-
-    Cuts of numbers and times are quantiles by a sketch; those of other types are values of a sample of fixed size.
-    Equal values are in one stretch.
-    """
-    position = _position(df, name)
-    if position is None:
-        position = col(name)
-        turn, out = free_names(df, "turn", "value")
-        some = df.select(position.alias(out), F.xxhash64(position).alias(turn)).filter(F.col(out).isNotNull()).distinct().orderBy(turn).limit(20 * STRETCHES)
-        found = sorted(r[0] for r in some.select(out).collect())
-        cuts = found[:: max(1, len(found) // STRETCHES)][1:]
-    else:
-        shares = F.array(*[F.lit(i / STRETCHES) for i in range(1, STRETCHES)])
-        cuts = sorted(set(df.agg(F.percentile_approx(position, shares, F.lit(10_000))).first()[0] or []))
-    if not cuts:
-        return F.when(position.isNull(), -1).otherwise(0)
-    known = F.array(*map(F.lit, cuts))
-    return F.when(position.isNull(), -1).otherwise(F.size(F.filter(known, lambda c: c <= position)))
-
-
 def _fill(df: DataFrame, name: str, forward: bool, order_by: list[str], partition_by: list[str]) -> DataFrame:
     """Last (or next) value present in order, within the rows of equal ``partition_by``.
 
@@ -185,7 +154,7 @@ def _fill(df: DataFrame, name: str, forward: bool, order_by: list[str], partitio
     order = [col(c).asc_nulls_first() if forward else col(c).desc_nulls_last() for c in order_by]
     names = free_names(df, "stretch", "end", "fill", "carry", *[f"key{i}" for i in range(len(partition_by))])
     (stretch, end, fill, carry), keys = names[:4], names[4:]
-    placed = df.withColumn(stretch, _stretch(df, order_by[0]))
+    placed = df.withColumn(stretch, stretch_of(df, order_by[0]))
     # The last value of each stretch, in order: an aggregate with partial results.
     at = F.struct(*[F.struct(col(c).isNotNull(), col(c)) for c in order_by])
     pick = F.max_by if forward else F.min_by

@@ -6,10 +6,13 @@ turned into rows, or one unpivot into (column, value) cells that are grouped onc
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltworks.functions.columns import as_text, col, dtype, free_names, is_numeric, missing, present, usable
+from siltworks.functions.order import rows_by_rank
 
 
 def _percent(part: Column, whole: Column) -> Column:
@@ -45,19 +48,31 @@ def completeness_by_column(df: DataFrame, order: str | None = None) -> DataFrame
 def completeness_by_row(df: DataFrame, row_key: str, order: str = "desc", page: int = 0, page_size: int = 1000) -> DataFrame:
     """row_key, pct of one page of rows, ordered by pct then key (asc, desc) or by key alone (key).
 
-    Pages beyond the last give the last one, negative ones the first; that alone needs a count. A page is a
-    top-k of (page + 1) * page_size rows, never a global window.
+    Pages beyond the last give the last one, negative ones the first. The first page is a top-k. For others rows are
+    counted by pct, which has as many values as there are columns, and the page's ranks are looked up among the rows
+    of its one or few values: neither a global window nor a top-k of all earlier pages.
     """
     dtype(df, row_key)
+    if order not in ("asc", "desc", "key"):
+        raise ValueError(f"order must be one of ['asc', 'desc', 'key'], not {order}")
     cells = sum((F.when(present(df, c), 1).otherwise(0) for c in df.columns), F.lit(0))
     rows = df.select(col(row_key).alias("row_key"), F.round(cells * F.lit(100.0) / len(df.columns), 2).alias("pct"))
-    orders = {"asc": ["pct", "row_key"], "desc": [F.desc("pct"), "row_key"], "key": ["row_key"]}
-    if order not in orders:
-        raise ValueError(f"order must be one of {sorted(orders)}, not {order}")
-    page = max(0, page)
-    if page:
-        page = min(page, max(0, -(-df.count() // page_size) - 1))
-    return rows.orderBy(*orders[order]).offset(page * page_size).limit(page_size)
+    orders = {"asc": ["pct", "row_key"], "desc": [F.desc("pct"), "row_key"], "key": ["row_key"]}[order]
+    if page <= 0:
+        return rows.orderBy(*orders).limit(page_size)
+    if order == "key":
+        groups = [(None, df.count())]
+    else:
+        groups = sorted(((r.pct, r.n) for r in rows.groupBy("pct").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=order == "desc")
+    total = sum(n for _, n in groups)
+    first = min(page, max(0, -(-total // page_size) - 1)) * page_size
+    parts, before = [], 0
+    for pct, n in groups:
+        low, high = max(0, first - before), min(n, first + page_size - before)
+        if low < high:
+            parts.append(rows_by_rank(rows if pct is None else rows.filter(F.col("pct") == pct), "row_key", n, low, high))
+        before += n
+    return reduce(DataFrame.unionByName, parts).orderBy(*orders) if parts else rows.limit(0)
 
 
 def page_count(df: DataFrame, page_size: int = 1000) -> int:
@@ -183,15 +198,37 @@ def profile_distribution(df: DataFrame, name: str, bins: int = 30) -> DataFrame:
     return distribution(df, name).select(F.col("value").alias("label"), "n")
 
 
-def distributions(df: DataFrame, names: list[str]) -> DataFrame:
-    """column_name, label, n of several columns."""
+def distributions(df: DataFrame, names: list[str], bins: int = 30, max_bars: int = 2000, top_k: int = 50, other: str = "Autres") -> DataFrame:
+    """column_name, label, n of several columns: the histogram of a numeric one, the distribution of any other.
+
+    Two passes whatever the number of columns: one for the ends of all histograms, one that groups the cells of all
+    columns, numbers by bucket and others by value.
+    """
     if not names:
         raise ValueError("names must hold a column")
-    parts = [profile_distribution(df, c).select(F.lit(c).alias("column_name"), "label", "n") for c in names]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    numbers = [c for c in dict.fromkeys(names) if is_numeric(dtype(df, c))]
+    value = {c: usable(df, c).cast("double") for c in numbers}
+    ends = df.agg(*[x for c in numbers for x in (F.min(value[c]), F.max(value[c]))]).first() if numbers else ()
+    labels = {}
+    for i, c in enumerate(numbers):
+        low, high = ends[2 * i], ends[2 * i + 1]
+        width = None if low is None else (high - low) / bins
+        at = F.floor((value[c] - F.lit(low)) / F.lit(width)) if width else F.lit(0)
+        start = F.least(at, F.lit(bins - 1)) * F.lit(width) + F.lit(low) if low is not None else F.lit(None).cast("double")
+        labels[c] = F.when(value[c].isNotNull() | F.lit(low is None), F.struct(start.cast("string").alias("label")))
+    # A missing value of a column of text is a label of its own, one of a column of numbers is none.
+    cells = [F.struct(F.lit(c).alias("column_name"), labels[c] if c in labels else F.struct(as_text(df, c).alias("label"))) for c in dict.fromkeys(names)]
+    cells = [x.cast("struct<column_name:string,cell:struct<label:string>>") for x in cells]
+    counted = df.select(_rows_of(cells)).filter("cell is not null").groupBy("column_name", F.col("cell.label").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    texts = [c for c in dict.fromkeys(names) if c not in labels]
+    if not texts:
+        return counted
+    # Columns of more values than there may be bars are few; each has its own top-k.
+    many = {r.column_name for r in counted.filter(F.col("column_name").isin(texts)).groupBy("column_name").agg(F.count(F.lit(1)).alias("bars")).filter(F.col("bars") > max_bars).collect()}
+    parts = [counted.filter(~F.col("column_name").isin(sorted(many)))] if many else [counted]
+    for c in sorted(many):
+        parts.append(distribution(df, c, max_bars, top_k, other).select(F.lit(c).alias("column_name"), F.col("value").alias("label"), "n"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def missing_preview(df: DataFrame, name: str) -> DataFrame:

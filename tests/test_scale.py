@@ -54,6 +54,47 @@ def test_quantiles_of_any_values(spark, values):
         q.SMALL = before
 
 
+@pytest.mark.parametrize("order", ["asc", "desc", "key"])
+@pytest.mark.parametrize("kind", ["long", "string", "date", "double"])
+def test_deep_pages(spark, monkeypatch, order, kind):
+    """All pages of tables whose pages are found in rounds, with a null key and many rows of one percentage."""
+    from siltworks.functions import order as o
+
+    monkeypatch.setattr(o, "TOP_ROWS", 60)
+    monkeypatch.setattr(o, "STRETCHES", 9)
+    rng = random.Random(8)
+    made = {"long": "id", "string": "lpad(id, 5, 'k')", "date": "date_add(date'2000-01-01', int(id))", "double": "double(id) / 7"}[kind]
+    cells = [(i, 1 if rng.random() < 0.9 else None, 2 if rng.random() < 0.5 else None) for i in range(700)]
+    df = spark.createDataFrame(cells, "id long, a int, b int").selectExpr(f"if(id = 3, null, {made}) as k", "a", "b").repartition(6)
+    whole = [tuple(r) for r in profile.completeness_by_row(df, "k", order, page_size=700).collect()]
+    assert len(whole) == 700
+    for page in (1, 4, 7, 12, 99):
+        at = min(page, 13) * 50
+        assert [tuple(r) for r in profile.completeness_by_row(df, "k", order, page, 50).collect()] == whole[at : at + 50]
+    assert profile.completeness_by_row(df.limit(0), "k", order, 3).collect() == []
+
+
+def test_ranks_among_equal_values(spark, monkeypatch):
+    from siltworks.functions import order as o
+
+    monkeypatch.setattr(o, "TOP_ROWS", 20)
+    df = spark.range(500).selectExpr("5 as k", "id")
+    assert o.rows_by_rank(df, "k", 500, 200, 240).count() == 40
+    mixed = spark.range(500).selectExpr("if(id < 300, 5, id) as k", "id")
+    assert [r.k for r in o.rows_by_rank(mixed, "k", 500, 290, 310).collect()] == [5] * 10 + list(range(300, 310))
+
+
+def test_several_distributions_are_those_of_each_column(spark, small):
+    df = spark.read.parquet(f"{small}/orders.parquet").selectExpr("*", "null as nothing", "double('nan') as nan", "7 as seven", "if(o_orderkey % 3 = 0, null, o_totalprice) as gaps", "if(o_orderkey % 3 = 0, null, o_orderstatus) as holes", "string(o_custkey) as many")
+    names = ["o_totalprice", "o_orderstatus", "o_orderdate", "nan", "seven", "gaps", "holes", "many"]
+    together = {}
+    for r in profile.distributions(df, names, max_bars=100).collect():
+        together.setdefault(r.column_name, set()).add((r.label, r.n))
+    for c in names:
+        alone = profile.histogram(df, c).selectExpr("string(x) as label", "n") if c in ("o_totalprice", "nan", "seven", "gaps") else profile.distribution(df, c, max_bars=100).selectExpr("value as label", "n")
+        assert together[c] == {tuple(r) for r in alone.collect()}, c
+
+
 def scans(df):
     return df._jdf.queryExecution().optimizedPlan().toString().count("Relation") + df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD")
 
