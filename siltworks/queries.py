@@ -437,10 +437,39 @@ def normalize_l2(spark, sf_dir):
     return rounded(prepare.normalize_l2(fixtures.load(spark, sf_dir, "part").select("p_partkey", *_PART), list(_PART)), *_PART)
 
 
-@query("pca")
+_PCA = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+_COV = "[" + ", ".join("[" + ", ".join(f"covar_pop({a}, {b})" for b in _PCA) + "]" for a in _PCA) + "]"
+_TIMES = "list_transform(m, lambda r: list_dot_product(r, v))"
+
+
+def _power_sql(name: str, start: str) -> str:
+    """A hundred steps of power iteration from a matrix ``m``; the last row has the eigenvector, its largest weight positive."""
+    return f"""{name}(step, m, v) AS (
+      SELECT 0, m, [0.5::DOUBLE, 0.5, 0.5, 0.5] FROM ({start})
+      UNION ALL SELECT step + 1, m, list_transform({_TIMES}, lambda x: x / sqrt(list_dot_product({_TIMES}, {_TIMES}))) FROM {name} WHERE step < 100
+    ), {name}_end AS (
+      SELECT m, list_transform(v, lambda x: x * sign(top)) AS v FROM (
+        SELECT m, v, (SELECT arg_max(x, abs(x)) FROM (SELECT unnest(v) AS x)) AS top FROM {name} WHERE step = 100)
+    )"""
+
+
+_DEFLATED = "SELECT list_transform(range(1, 5), lambda i: list_transform(range(1, 5), lambda j: m[i][j] - list_dot_product(v, " + _TIMES + ") * v[i] * v[j])) AS m FROM p1_end"
+
+
+@query(
+    "pca",
+    f"""WITH RECURSIVE c AS (SELECT {_COV} AS m FROM lineitem), {_power_sql("p1", "SELECT m FROM c")}, {_power_sql("p2", _DEFLATED)}
+      SELECT k AS component, n AS column_name, round(w, 6) + 0.0 AS weight FROM (
+        SELECT 1 AS k, unnest([{", ".join(f"'{c}'" for c in _PCA)}]) AS n, unnest(v) AS w FROM p1_end UNION ALL SELECT 2, unnest([{", ".join(f"'{c}'" for c in _PCA)}]), unnest(v) FROM p2_end)""",
+)
 def pca(spark, sf_dir):
-    names = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-    return prepare.pca(fixtures.load(spark, sf_dir, "lineitem").select("l_orderkey", *names), names, 2)
+    """The weights of the components, as the projections of all rows show them: their covariances with the columns."""
+    lineitem = fixtures.load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *_PCA)
+    kept = lineitem.select("*", *[F.col(c).alias(f"x_{c}") for c in _PCA])
+    parts = prepare.pca(kept, list(_PCA), 2)
+    weight = lambda k, c: (F.covar_pop(f"pc{k}", f"x_{c}") / F.var_pop(f"pc{k}"))
+    rows = [F.struct(F.lit(k).alias("component"), F.lit(c).alias("column_name"), (F.round(weight(k, c), 6) + 0.0).alias("weight")) for k in (1, 2) for c in _PCA]
+    return parts.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
 # Streaming
