@@ -2,7 +2,7 @@
 
 The lexicon holds the terms whose document frequency lies in a band: frequent ones say nothing of a document,
 rare ones are typing errors and names. Each of several random subsets of it gives one hash, of the document's
-distinct terms in the subset, sorted. Subsets come in densities from the whole lexicon to a 256th of it: sparse ones
+distinct terms in the subset, sorted. Subsets come in densities from the whole lexicon to a 1024th of it: sparse ones
 survive changes to long texts, dense ones speak for short texts.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,9 +26,9 @@ TERM = re.compile(r"\w+")
 #: Least and greatest share of documents that a term of the lexicon is in. At most 1 / LOW times the mean
 #: number of terms of a document can be in so many, so the lexicon does not grow with the corpus.
 LOW, HIGH = 0.001, 0.25
-#: Subsets: one in how many terms is in each (the first is the whole lexicon); hexadecimal digits of a hash.
-DENSITY = (1, *[4] * 5, *[16] * 6, *[64] * 10, *[256] * 18)
-SUBSETS, DIGITS = len(DENSITY), 8
+#: Subsets: how many hold one in 2 ** bits of the lexicon's terms (the first is the whole lexicon); hexadecimal digits of a hash.
+BITS = {0: 1, 2: 2, 4: 4, 6: 12, 8: 24, 10: 24}
+SUBSETS, DIGITS = sum(BITS.values()), 8
 EMPTY = "0" * DIGITS
 #: Documents of a stretch of the id order that one task reads through, if that makes MOST_STRETCHES at most; a task
 #: holds two documents at a time, so longer stretches take time, not memory.
@@ -73,10 +74,19 @@ class Fingerprinter:
         self.known: dict[str, tuple[int, ...]] = {}
 
     def subsets(self, term: str) -> tuple[int, ...]:
-        """The subsets that a term is in, by its hash."""
+        """The subsets that a term is in: those whose bits of its hashes are all zero."""
         found = self.known.get(term)
         if found is None:
-            found = tuple(s for s in range(SUBSETS) if xxhash.xxh3_64_intdigest(term, seed=s + 1) % DENSITY[s] == 0)
+            found, first = [], 0
+            for bits, number in BITS.items():
+                per = 64 // bits if bits else number
+                for k in range(number):
+                    if k % per == 0:
+                        value = xxhash.xxh3_64_intdigest(term, seed=1 + 64 * bits + k // per) if bits else 0
+                    if not value >> bits * (k % per) & (1 << bits) - 1:
+                        found.append(first + k)
+                first += number
+            found = tuple(found)
             if len(self.known) < 500_000:
                 self.known[term] = found
         return found
@@ -94,6 +104,16 @@ class Fingerprinter:
         return "".join(f"{xxhash.xxh3_64_intdigest(' '.join(p)) | 1:016x}"[-DIGITS:] if p else EMPTY for p in parts)
 
 
+_LAST: list[Fingerprinter] = []
+
+
+def fingerprinter(lexicon: frozenset[str]) -> Fingerprinter:
+    """The worker's fingerprinter of a lexicon, kept from task to task."""
+    if not _LAST or _LAST[0].lexicon is not lexicon:
+        _LAST[:] = [Fingerprinter(lexicon)]
+    return _LAST[0]
+
+
 def likeness(a: str, b: str) -> float:
     """Share of equal hashes among the subsets that hold terms of either text; equal fingerprints have 1."""
     if a == b:
@@ -116,7 +136,7 @@ def fingerprint_documents(docs: DataFrame, lexicon: frozenset[str], text: str =
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # bounded by LOW
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Fingerprinter(shared.value)
+        make = fingerprinter(shared.value)
         for batch in batches:
             prints = pa.array([make.of(t or "") for t in batch.column(kept.index(text)).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, prints], names=[*kept, fingerprint])
@@ -124,16 +144,37 @@ def fingerprint_documents(docs: DataFrame, lexicon: frozenset[str], text: str =
     return source.mapInArrow(run, source.withColumn(fingerprint, F.lit("")).schema)
 
 
-def _stretches(docs: DataFrame, stretch: int) -> tuple[list[int], int | None]:
-    """Least ids of all stretches of the id order but the first, and the least id of all. Null ids come last."""
-    ids = docs.filter("doc_id is not null")
-    n = ids.count()
-    number = min(-(-n // stretch), MOST_STRETCHES)
-    if number < 2:
-        return [], ids.agg(F.min("doc_id")).first()[0]
-    shares = F.array(*[F.lit(i / number) for i in range(1, number)])
-    row = ids.agg(F.percentile_approx("doc_id", shares, F.lit(max(10_000, 20 * number))).alias("at"), F.min("doc_id").alias("least")).first()
-    return sorted(set(row["at"]) - {row["least"]}), row["least"]
+#: A place in the order of documents: whether the id is null, the id, the MD5 of the text (empty: before all of them).
+Place = tuple[bool, int, bytes]
+
+
+def _starts(docs: DataFrame, stretch: int) -> list[Place]:
+    """The first place of each stretch of the order by id (null last), then by text.
+
+    Ids are cut at quantiles. Rows that share one id, or have none, and are too many for a stretch are cut by the MD5
+    of their texts; such a cut is the least digest that is there, so no stretch is empty. At most a few times
+    MOST_STRETCHES places reach the driver.
+    """
+    counts = docs.groupBy("doc_id").agg(F.count("*").alias("rows"))
+    whole = counts.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n"), F.min("doc_id").alias("least")).first()
+    most = max(stretch, -(-whole["n"] // MOST_STRETCHES))
+    # Null ids are always cut by their texts: nothing else orders them.
+    heavy = counts.filter((F.col("rows") > most) | F.col("doc_id").isNull()).select("doc_id", F.ceil(F.col("rows") / most).alias("parts")).collect()
+    known = {r.doc_id for r in heavy}
+    places: set[Place] = set()
+    if whole["least"] is not None:
+        number = min(-(-whole["n"] // stretch), MOST_STRETCHES)
+        shares = F.array(*[F.lit(i / number) for i in range(1, number)])
+        cuts = docs.agg(F.percentile_approx("doc_id", shares, F.lit(max(10_000, 20 * number)))).first()[0] if number > 1 else []
+        places = {(False, c, b"") for c in {*cuts, whole["least"]} - known}
+    if heavy:
+        parts = docs.sparkSession.createDataFrame([(r.doc_id, r.parts) for r in heavy], "heavy_id long, parts long")
+        digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+        cut = docs.join(F.broadcast(parts), F.col("doc_id").eqNullSafe(F.col("heavy_id"))).select("doc_id", "parts", digest.alias("digest"))
+        part = F.floor(F.conv(F.substring("digest", 1, 8), 16, 10).cast("double") * F.col("parts") / F.lit(2.0**32))
+        found = cut.groupBy("doc_id", part.alias("part")).agg(F.min("digest").alias("digest")).collect()
+        places |= {(r.doc_id is None, r.doc_id or 0, bytes.fromhex(r.digest)) for r in found}
+    return sorted(places)
 
 
 OUT_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -144,43 +185,37 @@ def edit_report(docs: DataFrame, low: float = LOW, high: float = HIGH, stretch:
 
     The edited text takes its last half from the next document by ascending doc_id (after the last, the
     first; a single document follows itself). Null texts are empty; an empty text's fingerprint is all zeros
-    and is like an empty one only. Rows that share an id follow each other in the order of their texts. Rows of
-    null id come last, in the order of their texts. An empty table gives no rows. Extra columns are not read.
+    and is like an empty one only. Rows that share an id follow each other in the order of their texts' MD5. Rows
+    of null id come last, in that order. An empty table gives no rows. Extra columns are not read.
 
-    Each text goes through one shuffle, compressed, to the stretch of ids that it is in; the first
-    document of a stretch goes to the stretch before as well, which needs it as its last one's next.
+    Each text goes through one shuffle, compressed, to the stretch of the order that it is in; the first
+    document of a stretch goes to the stretch before as well, which needs it as its last one's next. Rows that are equal
+    in id and text stay in one stretch, which is read as a stream.
     """
     docs = docs.select("doc_id", "text")
     lexicon = docs.sparkSession.sparkContext.broadcast(lexicon_of(docs, low, high))
-    bounds, least = _stretches(docs, stretch)
-    numbers, has_null = len(bounds) + 1, bool(docs.filter("doc_id is null").take(1))
-    numbers += has_null
-    first_null = numbers - 1 if has_null else None
-    starts = [least, *bounds] if least is not None else []
+    starts = _starts(docs, stretch)
+    numbers = max(1, len(starts))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """stretch, late (a next document only), doc_id, digest (orders equal ids), packed text."""
-        from bisect import bisect_right
-
         pack = zstandard.ZstdCompressor(level=1)
-        first = {d: (i - 1) % numbers for i, d in enumerate(starts)}
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 packed, digest = pack.compress(raw), hashlib.md5(raw).digest()
-                place = first_null if doc_id is None else bisect_right(bounds, doc_id)
-                rows.append((place, False, doc_id, digest, packed))
-                # A stretch's first document; of null ids any may be the first, so all of them go.
-                before = first_null - 1 if doc_id is None else first.get(doc_id)
-                if before is not None:
-                    rows.append((before % numbers, True, doc_id, digest, packed))
+                place = (doc_id is None, doc_id or 0, digest)
+                at = bisect_right(starts, place) - 1
+                rows.append((at, False, doc_id, digest, packed))
+                if starts[at] in (place, (*place[:2], b"")):
+                    rows.append(((at - 1) % numbers, True, doc_id, digest, packed))
             columns = list(zip(*rows)) or [()] * 5
             types = [pa.int32(), pa.bool_(), pa.int64(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["stretch", "late", "doc_id", "digest", "packed"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, unpack = Fingerprinter(lexicon.value), zstandard.ZstdDecompressor()
+        make, unpack = fingerprinter(lexicon.value), zstandard.ZstdDecompressor()
         out: list[tuple] = []
         now, here, done = None, None, True
         for batch in batches:
@@ -198,7 +233,7 @@ def edit_report(docs: DataFrame, low: float = LOW, high: float = HIGH, stretch:
         yield _rows(out)
 
     dealt = docs.mapInArrow(deal, "stretch int, late boolean, doc_id long, digest binary, packed binary")
-    ordered = dealt.repartition(max(1, numbers), "stretch").sortWithinPartitions("stretch", "late", F.col("doc_id").asc_nulls_last(), "digest")
+    ordered = dealt.repartition(numbers, "stretch").sortWithinPartitions("stretch", "late", F.col("doc_id").asc_nulls_last(), "digest")
     return ordered.mapInArrow(read, OUT_SCHEMA)
 
 

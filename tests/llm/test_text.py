@@ -252,23 +252,71 @@ def test_language_odd_rows(odd, nothing):
 # Fingerprints
 
 
-def test_edit_report(documents):
-    rows = sorted((r.doc_id, r.text) for r in documents.collect())
-    lexicon = fingerprints.lexicon_of(documents)
-    make = fingerprints.Fingerprinter(lexicon)
-    out = {r.doc_id: r for r in fingerprints.edit_report(documents, stretch=17).collect()}
+def plain_fingerprints(texts, low=0.001, high=0.25):
+    """Of each text its hashes, by plain loops: sorted distinct terms of the band that a subset holds, hashed."""
+    import re
+
+    import xxhash
+
+    terms = {t: sorted(set(re.findall(r"\w+", t.lower()))) for t in texts}
+    frequency = {}
+    for t in texts:
+        for w in terms[t]:
+            frequency[w] = frequency.get(w, 0) + 1
+    band = {w for w, n in frequency.items() if low * len(texts) <= n <= high * len(texts)}
+    bits = [0] + [2] * 2 + [4] * 4 + [6] * 12 + [8] * 24 + [10] * 24
+
+    def of(text):
+        words = sorted(set(re.findall(r"\w+", text.lower())))
+        words = [w for w in words if w in band] or words
+        out = []
+        for k, n in enumerate(bits):
+            at = k - bits.index(n)  # among the subsets of its density
+            per = 64 // n if n else 1
+            some = [w for w in words if not n or xxhash.xxh3_64_intdigest(w, seed=1 + 64 * n + at // per) // 2 ** (n * (at % per)) % 2**n == 0]
+            out.append(format(xxhash.xxh3_64_intdigest(" ".join(some)) | 1, "016x")[8:] if some else "00000000")
+        return out
+
+    return of
+
+
+def check_edits(rows, out):
+    """``rows`` in order, ``out`` by id and text's length and own fingerprint."""
+    of = plain_fingerprints([t for _, t in rows])
+
+    def like(x, y):
+        spoken = [a == b for a, b in zip(x, y) if (a, b) != ("00000000", "00000000")]
+        return 1.0 if x == y else sum(spoken) / len(spoken)
+
+    found = sorted((str(r.doc_id), r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in out)
+    wanted = []
     for k, (i, text) in enumerate(rows):
         following = rows[(k + 1) % len(rows)][1]
         changed = text[: len(text) - len(text) // 2] + following[: len(text) // 2]
-        r = out[i]
-        assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(changed.encode()).hexdigest())
-        assert (r.fingerprint, r.edited_fingerprint) == (make.of(text), make.of(changed))
-        assert r.near_edited == fingerprints.likeness(r.fingerprint, r.edited_fingerprint)
-        assert r.near_next == fingerprints.likeness(r.fingerprint, make.of(following))
-    mean = lambda c: sum(getattr(r, c) for r in out.values()) / len(out)
+        own, other, after = of(text), of(changed), of(following)
+        wanted.append((str(i), len(text), hashlib.sha256(changed.encode()).hexdigest(), "".join(own), "".join(other), round(like(own, other), 9), round(like(own, after), 9)))
+    assert found == sorted(wanted)
+
+
+def test_edit_report(documents):
+    rows = sorted((r.doc_id, r.text) for r in documents.collect())
+    out = fingerprints.edit_report(documents, stretch=17).collect()
+    check_edits(rows, out)
+    mean = lambda c: sum(getattr(r, c) for r in out) / len(out)
     assert mean("near_edited") > 3 * mean("near_next")
 
 
+@pytest.mark.parametrize("stretch", [1, 7, 2048])
+def test_edit_report_of_repeated_and_missing_ids(spark, stretch):
+    """A third of the rows share an id, a third have none: they are cut by their texts, and each meets its next."""
+    rng_words = [f"term{i}" for i in range(40)]
+    rows = [(i if i % 3 == 0 else 77 if i % 3 == 1 else None, " ".join(rng_words[(i * k) % 40] for k in range(1, 3 + i % 9))) for i in range(120)]
+    rows += [(77, ""), (None, ""), (0, rows[0][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, hashlib.md5(r[1].encode()).digest()))
+    check_edits(order, fingerprints.edit_report(df, stretch=stretch).collect())
+
+
 def test_fingerprints_odd_rows(odd, nothing, spark):
     out = fingerprints.edit_report(odd).collect()
     assert len(out) == odd.count()
