@@ -25,9 +25,9 @@ from siltworks.llm.bpe import BoundedCache
 BUCKETS = 1 << 16
 SMOOTHING = 0.5
 ITERATIONS = 8
-#: Share below which a language isn't tried as one more of the set; penalty of one more in nats beside half the log of the words.
-LEAST_SHARE, PENALTY = 0.02, 3.0
-#: Longer runs of letters are cut, so that text without blanks has words too.
+#: Penalty of one more language of the set, in nats beside half the log of the words.
+PENALTY = 3.0
+#: Runs of letters; longer ones are cut, so that text without blanks has words too.
 WORD = re.compile(r"[^\W\d_]{1,16}")
 UNKNOWN = "und"
 
@@ -39,7 +39,11 @@ def trigrams(word: str) -> np.ndarray:
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+    """Runs of letters in the sense of Unicode; numerals such as a half or a Roman seven are none."""
+    found = WORD.findall((text or "").lower())
+    if (text or "").isascii() or "".join(found).isalpha():
+        return found
+    return [w for run in found for w in "".join(c if c.isalpha() else " " for c in run).split()]
 
 
 @dataclass(frozen=True)
@@ -109,10 +113,14 @@ class Identifier:
         logs = np.frombuffer(b"".join(self.words.all(words)), np.float32).reshape(-1, self.size).astype(np.float64)
         top = logs.max(axis=1, keepdims=True)
         likely = np.exp(np.maximum(logs - top, -50))
-        share, _ = self._shares(likely, ITERATIONS)
-        order = [i for i in np.argsort(-share, kind="stable") if share[i] >= LEAST_SHARE][:8] or [int(share.argmax())]
+        share, mean = self._shares(likely, ITERATIONS)
+        # No mixture of the languages is likelier: the logarithm of a mean bounds the mean of logarithms.
+        most = len(words) * (mean + math.log(max(1.0, float((likely.T @ (1 / (likely @ share))).max()) / len(words))))
+        order = np.argsort(-share, kind="stable").tolist()
         best, chosen = -math.inf, {}
         for k in range(1, len(order) + 1):
+            if k > 1 and most - (k - 1) * (PENALTY + 0.5 * math.log(len(words))) <= best:
+                break
             part, mean = self._shares(likely[:, order[:k]], 1 if k == 1 else ITERATIONS)
             value = mean * len(words) - (k - 1) * (PENALTY + 0.5 * math.log(len(words)))
             if value <= best:
@@ -144,7 +152,9 @@ def predict_languages(docs: DataFrame, model: LanguageModel, text: str = "text")
     """Add lang_pred, score and languages (a map of the set's shares) to each row; one pass, no shuffle.
 
     Null texts and texts without a letter are ``und`` with score 0 and an empty map, and so is every text if no
-    language was learned. Whole texts count. Columns of the input are kept; ones with the new names are replaced.
+    language was learned. Whole texts count. Equal texts have equal results, in repeated rows too; of languages of
+    equal shares the one of the greater name is ``lang_pred``. Columns of the input are kept, whatever their
+    names; ones with the new names are replaced. An empty table gives no rows.
     """
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "languages")]
     source = docs.select(*[F.col(f"`{c}`") for c in kept])

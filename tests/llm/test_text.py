@@ -238,6 +238,65 @@ def test_language_of_held_out_documents(documents):
     assert set(identify.mixture(language.words_of(texts["de"]))) == {"de"}
 
 
+def test_numerals_are_no_letters(spark):
+    rows = [(1, "½ ²"), (2, "Ⅷ ③ ١٢"), (3, "le ½chat"), (4, "42"), (5, "the"), (6, "１２"), (7, "_")]
+    docs = spark.createDataFrame([(i, t, "fr" if i == 3 else "en") for i, t in rows], "doc_id long, text string, lang string")
+    model = language.fit_languages(docs, F.col("doc_id").isin(3, 5))
+    out = {r.doc_id: r for r in language.predict_languages(docs, model).collect()}
+    assert [i for i in out if out[i].lang_pred == "und"] == [1, 2, 4, 6, 7] and all(out[i].score == 0 for i in (1, 2, 4, 6, 7))
+    assert language.words_of("Le ½Chat Ⅷviii x²y") == ["le", "chat", "viii", "x", "y"]
+
+
+def test_mixtures_by_plain_expectation_maximisation(spark):
+    """The model and the mixtures by loops over words and languages, for documents of one to ten languages."""
+    import math
+    import random
+
+    rng = random.Random(5)
+    words = {f"l{k}": [f"{chr(97 + k)}{rng.choice('aeiou')}{chr(97 + (k * 7 + j) % 26)}{rng.choice('aeiou')}" for j in range(30)] for k in range(10)}
+    train = [(i, " ".join(rng.choice(words[f"l{i % 10}"]) for _ in range(60)), f"l{i % 10}") for i in range(100)]
+    asked = [(1000 + k, " ".join(rng.choice(words[f"l{j}"]) for j in range(k + 1) for _ in range(80)), None) for k in range(10)]
+    docs = spark.createDataFrame(train + asked, "doc_id long, text string, lang string")
+    model = language.fit_languages(docs, F.col("doc_id") < 1000)
+    got = {r.doc_id: r for r in language.predict_languages(docs, model).collect()}
+
+    counts = {lang: {} for lang in words}
+    grams = lambda w: [zlib.crc32(f"\x02{w}\x03"[i : i + 3].encode()) % language.BUCKETS for i in range(len(w))]
+    for _, text, lang in train:
+        for w in text.split():
+            for g in grams(w):
+                counts[lang][g] = counts[lang].get(g, 0) + 1
+    totals = {lang: sum(c.values()) + 0.5 * language.BUCKETS for lang, c in counts.items()}
+
+    def shares(likely, steps):
+        share = [1 / len(likely[0])] * len(likely[0])
+        for _ in range(steps):
+            new = [0.0] * len(share)
+            for row in likely:
+                whole = sum(p * s for p, s in zip(row, share))
+                for k, p in enumerate(row):
+                    new[k] += p * share[k] / whole / len(likely)
+            share = new
+        return share, sum(math.log(sum(p * s for p, s in zip(row, share))) for row in likely)
+
+    for doc_id, text, _ in asked + train[:5]:
+        likely = []
+        for w in text.split():
+            logs = [sum(math.log((counts[x].get(g, 0) + 0.5) / totals[x]) for g in grams(w)) for x in sorted(words)]
+            likely.append([math.exp(max(v - max(logs), -50)) for v in logs])
+        first, _ = shares(likely, language.ITERATIONS)
+        order, best, chosen = sorted(range(10), key=lambda k: -first[k]), -math.inf, None
+        for k in range(1, 11):
+            part, value = shares([[row[j] for j in order[:k]] for row in likely], 1 if k == 1 else language.ITERATIONS)
+            value -= (k - 1) * (language.PENALTY + 0.5 * math.log(len(likely)))
+            if value <= best:
+                break
+            best, chosen = value, {f"l{j}": p for j, p in zip(order, part)}
+        assert got[doc_id].languages == pytest.approx(chosen, rel=1e-3), doc_id
+    # More than eight languages are found where a document has as many.
+    assert len(got[1009].languages) == 10
+
+
 def test_language_odd_rows(odd, nothing):
     model = language.fit_languages(odd, F.lit(True))
     assert model.languages == ("de", "en", "fr")
