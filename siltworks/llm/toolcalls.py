@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltworks.llm.common import materialise
+from siltworks.llm.common import discard, materialise
 
 #: Types of a parameter and the variant types that fit.
 FITS = {
@@ -37,8 +37,16 @@ class Tool:
     required: tuple[str, ...] = field(default=())
 
 
+def _path(name: str) -> str:
+    """The path of a field of exactly this name."""
+    if "'" in name and '"' in name:
+        raise ValueError(f"no path can name a parameter with both quotes: {name}")
+    return f'$["{name}"]' if "'" in name else f"$['{name}']"
+
+
 def _objects(messages: DataFrame, role: str) -> DataFrame:
-    parsed = F.when(F.ltrim("text").startswith("{"), F.try_parse_json("text"))
+    # White space as JSON has it.
+    parsed = F.when(F.ltrim("text", F.lit(" \t\n\r")).startswith("{"), F.try_parse_json("text"))
     return messages.filter(F.col("role") == role).select("conv_id", "turn", parsed.alias("v")).filter("v is not null")
 
 
@@ -46,7 +54,7 @@ def _valid(tools: tuple[Tool, ...]) -> Column:
     """Whether the call's arguments suit its tool; null for a tool that isn't known."""
     out = F.when(F.lit(False), F.lit(False))
     for tool in tools:
-        given = lambda p: F.expr(f"try_variant_get(arguments, '$.{p}', 'variant')")
+        given = lambda p: F.try_variant_get(F.col("arguments"), _path(p), "variant")
         checks = [F.array_size(F.array_except(F.coalesce(F.json_object_keys("canonical"), F.array().cast("array<string>")), F.array(*map(F.lit, tool.parameters)).cast("array<string>"))) == 0]
         for p, kind in tool.parameters.items():
             fits = F.schema_of_variant(given(p)).rlike(FITS[kind])
@@ -77,23 +85,28 @@ def parse_results(messages: DataFrame) -> DataFrame:
 def topological_levels(calls: DataFrame) -> DataFrame:
     """conv_id, call_id, level: 0 without dependencies, else one more than the highest of them.
 
-    Calls on a cycle, behind one, or behind a call that doesn't exist get no row. Each round settles the calls
-    whose dependencies are all settled; there are as many rounds as levels.
+    Calls on a cycle, behind one, or behind a call that doesn't exist get no row. A null conv_id is a conversation of
+    its own; no calls give no rows. Each round takes the calls settled last and the dependencies still open, both of
+    which it writes out, so that what is settled is not read again; there are as many rounds as levels.
     """
-    needs = calls.select("conv_id", "call_id", F.explode(F.array_distinct("depends_on")).alias("need"))
-    needs = materialise(needs)
-    free = calls.join(needs.select("conv_id", "call_id").distinct().withColumnRenamed("conv_id", "c").withColumnRenamed("call_id", "i"), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("call_id") == F.col("i")), "left_anti")
-    settled = materialise(free.select("conv_id", "call_id", F.lit(0).alias("level")))
-    number = settled.count()
-    while number:
-        have = settled.select(F.col("conv_id").alias("c"), F.col("call_id").alias("i"), F.col("level").alias("l"))
-        known = needs.join(have, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("need") == F.col("i")), "left")
-        ready = known.groupBy("conv_id", "call_id").agg(F.count("*").alias("all"), F.count("l").alias("done"), F.max("l").alias("high")).filter("all = done")
-        ready = ready.select("conv_id", "call_id", (F.col("high") + 1).cast("int").alias("level"))
-        settled = materialise(ready.unionByName(free.select("conv_id", "call_id", F.lit(0).alias("level"))))
-        if (now := settled.count()) == number:
+    ids = ["conv_id", "call_id"]
+    renamed = lambda df: df.select(F.col("conv_id").alias("c"), F.col("call_id").alias("i"))
+    same = lambda call: F.col("conv_id").eqNullSafe(F.col("c")) & (F.col(call) == F.col("i"))
+    open_ = materialise(calls.select(*ids, F.explode(F.array_distinct("depends_on")).alias("need")))
+    last = materialise(calls.select(*ids).join(renamed(open_).distinct(), same("call_id"), "left_anti"))
+    settled, level = last.withColumn("level", F.lit(0)), 0
+    while open_.take(1):
+        level += 1
+        left = materialise(open_.join(renamed(last), same("need"), "left_anti"))
+        met = open_.join(renamed(last), same("need"), "left_semi").select(*ids).distinct()
+        last = materialise(met.join(renamed(left).distinct(), same("call_id"), "left_anti"))
+        discard(open_)
+        open_ = left
+        if not last.take(1):
+            discard(last)
             break
-        number = now
+        settled = settled.unionByName(last.withColumn("level", F.lit(level)))
+    discard(open_)
     return settled
 
 
@@ -137,15 +150,16 @@ ANSWER = (Tool("answer", {"question": "string", "turn": "integer"}, ("question",
 def as_tool_messages(conversations: DataFrame) -> DataFrame:
     """Plain conversations as tool messages.
 
-    A turn of role user becomes a call of ``answer`` with its text and turn; it depends on the call of
-    turn 0 or 1 (the conversation's first question) if it comes later than that. A turn of role assistant
-    becomes the result of the turn before it. Other roles stay as they are.
+    A turn of role user becomes a call of ``answer`` with its text and turn. Numbered from 0 over every second turn,
+    question k depends on question (k - 1) // 2, so that a long conversation is a tree of many levels, not as many
+    as it has questions. A turn of role assistant becomes the result of the turn before it. Other roles, system turns
+    among them, stay as they are: they are neither calls nor results and give no row.
     """
     identifier = lambda turn: F.concat(F.lit("t"), turn.cast("string"))
     turn = F.col("turn")
     call = F.struct(
         identifier(turn).alias("id"), F.lit("answer").alias("name"), F.struct(F.col("text").alias("question"), turn.alias("turn")).alias("arguments"),
-        F.when(turn > 1, F.array(identifier(turn % 2))).otherwise(F.array().cast("array<string>")).alias("depends_on"),
+        F.when(turn > 1, F.array(identifier(F.floor((F.floor(turn / 2) - 1) / 2) * 2 + turn % 2))).otherwise(F.array().cast("array<string>")).alias("depends_on"),
     )
     asked = F.to_json(F.struct(F.array(call).alias("tool_calls")))
     answered = F.to_json(F.struct(identifier(turn - 1).alias("tool_call_id"), F.col("text").alias("content")))
@@ -155,20 +169,26 @@ def as_tool_messages(conversations: DataFrame) -> DataFrame:
 
 
 def chat_report(conversations: DataFrame) -> DataFrame:
-    """Linked calls of plain conversations with the MD5 of each record."""
+    """Linked calls of plain conversations with the MD5 of each record (null for orphans).
+
+    Turns that are null, have a null role or another one than user and assistant hold neither calls nor results; a null
+    text of a user makes invalid arguments. Repeated turns count once, with the least text; their results are counted in
+    n_results. An empty table gives no rows; extra columns are not read.
+    """
     linked = link_tool_calls(as_tool_messages(conversations), ANSWER)
     return linked.select("conv_id", "call_id", "name", "turn", "level", "n_results", "status", F.md5(F.col("record").cast("binary")).alias("record_md5"))
 
 
 #: The same in DuckDB, straight from the plain turns.
 ORACLE_SQL = r"""
-WITH asked AS (
+WITH RECURSIVE asked AS (
   SELECT conv_id, turn, min(text) AS text, count(*) AS n FROM conversations WHERE role = 'user' AND turn IS NOT NULL GROUP BY ALL
 ), answered AS (
   SELECT conv_id, turn - 1 AS turn, min(text) AS text, count(*) AS n FROM conversations WHERE role = 'assistant' AND turn IS NOT NULL GROUP BY ALL
-), levels AS (
-  SELECT a.conv_id, a.turn, CASE WHEN a.turn <= 1 THEN 0 WHEN b.turn IS NOT NULL THEN 1 END AS level
-  FROM asked a LEFT JOIN asked b ON a.conv_id = b.conv_id AND b.turn = a.turn % 2
+), levels(conv_id, turn, level) AS (
+  SELECT conv_id, turn, 0 FROM asked WHERE turn <= 1
+  UNION ALL
+  SELECT a.conv_id, a.turn, l.level + 1 FROM asked a JOIN levels l ON a.conv_id = l.conv_id AND a.turn > 1 AND (a.turn // 2 - 1) // 2 * 2 + a.turn % 2 = l.turn
 )
 SELECT coalesce(a.conv_id, r.conv_id) AS conv_id, 't' || CAST(coalesce(a.turn, r.turn) AS VARCHAR) AS call_id,
   CASE WHEN a.turn IS NOT NULL THEN 'answer' END AS name, a.turn AS turn, CAST(l.level AS INTEGER) AS level,

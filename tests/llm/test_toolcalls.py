@@ -63,6 +63,38 @@ def test_odd_rows(spark):
     assert link(spark, []) == {}
 
 
+def test_levels_of_random_graphs(spark):
+    """Levels by brute force: chains, diamonds, cycles and repeated dependencies over several conversations."""
+    import random
+
+    rng = random.Random(11)
+    messages, wanted = [], {}
+    for conv in (1, 2, None):
+        names = [f"c{i}" for i in range(25)]
+        needs = {n: [rng.choice(names[:i]) for _ in range(rng.choice([0, 1, 1, 2, 3]))] if i else [] for i, n in enumerate(names)}
+        needs |= {f"chain{i}": [f"chain{i - 1}"] if i else [] for i in range(12)}
+        if conv == 2:
+            needs["c0"] = ["c24", "c1"]
+        messages += [(conv, k, "assistant", said(call(n, depends_on=d))) for k, (n, d) in enumerate(rng.sample(sorted(needs.items()), len(needs)))]
+        level: dict = {}
+        while ready := {n: max((level[d] + 1 for d in ds), default=0) for n, ds in needs.items() if n not in level and all(d in level for d in ds)}:
+            level |= ready
+        wanted |= {(conv, n): level.get(n) for n in needs}
+    out = link(spark, messages)
+    assert {k: r.level for k, r in out.items()} == wanted and max(v for v in wanted.values() if v is not None) >= 11
+
+
+def test_white_space_odd_names_and_long_texts(spark):
+    tools = (Tool("add", {"a.b": "integer", "it's": "string", 'say "x"': "number", "[0]": "boolean"}, ("a.b",)),)
+    given = [{"a.b": 1, "it's": "x", 'say "x"': 2.5, "[0]": True}, {"a.b": "1"}, {"it's": "x"}, {"a.b": 1, "it's": 3}, {"a.b": 1, "[0]": 1}]
+    text = "\n\t\r " + said(*[call(f"k{i}", arguments=a) for i, a in enumerate(given)])
+    long = "x y " * 300_000
+    rows = [(1, 0, "assistant", text), (1, 1, "tool", " \n" + result("k0", long)), (1, 2, "tool", "\u00a0" + result("k0", 1))]
+    out = {r.call_id: r for r in toolcalls.link_tool_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), tools).collect()}
+    assert [out[f"k{i}"].status for i in range(5)] == ["ok"] + ["invalid_arguments"] * 4 and out["k0"].n_results == 1
+    assert json.loads(out["k0"].record)["result"] == long
+
+
 def test_conversations_match_sql(spark, small):
     same_rows(toolcalls.chat_report(spark.read.parquet(f"{small}/conversations.parquet")), duck(small), toolcalls.ORACLE_SQL)
 
