@@ -15,6 +15,8 @@ from siltworks.llm.common import discard, materialise, word_count
 
 #: Documents in one stretch of a source's seeded order; the bound on a window's rows.
 STRETCH = 4096
+#: Leading bits of a hash that order a source's documents.
+TURN_BITS = 60
 
 
 def water_fill(sources: DataFrame, total: float, max_epochs: float) -> DataFrame:
@@ -62,19 +64,29 @@ def mix_sources(
     Returns doc_id, size, source_size, target, taken and copies, a row per input row (with ``keep_text``
     beside all columns of the input; its columns of those names are replaced). Null text has size 0; null is
     a source of its own, after all others. Documents of size 0 take 0 words and count as taken in the whole
-    epochs only. The seeded order hashes doc_id and seed; ties (repeated ids) fall in any order among
-    themselves, with the same rows as a set. An empty table gives no rows. A source's words differ from its
-    target by less than half of one document.
+    epochs only. The seeded order is by the MD5 of doc_id (of the text, for a null id) and seed; ties (repeated ids)
+    fall in any order among themselves, with the same rows as a set. Rows are told apart by a number of their own, so
+    those that share an id keep their own sizes and sources. An empty table gives no rows. A source's words differ
+    from its target by less than half of one document. Other columns may have any name.
     """
     names = ("size", "source_size", "target", "taken", "copies")
-    first = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    sizes = materialise(first.withColumn("turn", F.xxhash64("doc_id", F.lit(seed))))
+    columns = [c for c in docs.columns if c not in names]
+    if keep_text:
+        # Written out with the rows' numbers, which a second run of the plan might give anew.
+        others = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in columns if c != "text"])
+        docs = materialise(docs.select(others.alias("_all"), "doc_id", "source", "text", F.monotonically_increasing_id().alias("_row")))
+        stored = docs
+    else:
+        docs = docs.withColumn("_row", F.lit(0).cast("long"))
+    own = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    turn = F.conv(F.substring(F.md5(F.concat_ws(":", own, F.lit(str(seed)))), 1, TURN_BITS // 4), 16, 10).cast("long")
+    sizes = materialise(docs.select("_row", "doc_id", "source", word_count(F.col("text")).alias("size"), turn.alias("turn")))
     targets = materialise(source_targets(sizes, weights, share, max_epochs))
 
     # Hash order cut into stretches: sums of stretches first, then running sums inside each.
     dealt = sizes.join(targets, sizes["source"].eqNullSafe(targets["source"]), "left").select(
-        sizes["doc_id"], sizes["source"], "size", "turn", "source_size", "target",
-        F.floor((F.col("turn").cast("double") / F.lit(2.0**64) + 0.5) * F.ceil(F.col("source_docs") / STRETCH)).alias("stretch"),
+        "_row", sizes["doc_id"], sizes["source"], "size", "turn", "source_size", "target",
+        F.floor(F.col("turn").cast("double") / F.lit(2.0**TURN_BITS) * F.ceil(F.col("source_docs") / STRETCH)).alias("stretch"),
     )
     stretches = dealt.groupBy("source", "stretch").agg(F.sum("size").alias("stretch_size"))
     running = Window.partitionBy("source").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
@@ -84,7 +96,7 @@ def mix_sources(
     earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("before") + F.coalesce(F.sum("size").over(earlier), F.lit(0))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    placed = placed.select("doc_id", "source", "size", "source_size", "target", "stretch", epochs.alias("epochs"), (start).alias("start"), F.row_number().over(inside).alias("place"))
+    placed = placed.select("_row", "doc_id", "source", "size", "source_size", "target", "stretch", epochs.alias("epochs"), (start).alias("start"), F.row_number().over(inside).alias("place"))
     placed = materialise(placed.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")))
 
     discard(sizes, targets)
@@ -99,9 +111,48 @@ def mix_sources(
     within = (F.col("size") > 0) & (F.col("start") + F.col("size") <= F.col("rest"))
     extra = F.when(within | F.col("p").isNotNull(), F.lit(1)).otherwise(F.lit(0))
     mixed = marked.withColumn("copies", F.col("epochs") + extra).withColumn("taken", F.col("copies") * F.col("size"))
-    mixed = mixed.select("doc_id", *names)
     if not keep_text:
-        return mixed
-    others = [c for c in docs.columns if c not in names]
-    by_id = mixed.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in names]).withColumnRenamed("doc_id", "_id")
-    return docs.select(*[F.col(f"`{c}`") for c in others]).join(by_id, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+        return mixed.select("doc_id", *names)
+    mixed = materialise(mixed.select("_row", *names))
+    discard(placed)
+    # Always by merging, as the rows of a mix grow with the corpus.
+    joined = stored.select("_row", "_all", "text").join(mixed.hint("merge"), "_row")
+    return joined.select(*[F.col("text") if c == "text" else F.col("_all").getField(c).alias(c) for c in columns], *names)
+
+
+#: The query in DuckDB: running sums over each source's whole order.
+ORACLE_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+    CAST('0x' || left(md5(CAST(doc_id AS VARCHAR) || ':0'), {TURN_BITS // 4}) AS BIGINT) AS turn
+  FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS docs,
+    CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight
+  FROM d GROUP BY source
+), w AS (
+  SELECT *, 2.0::DOUBLE * source_size AS cap,
+    (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(2.0::DOUBLE * source_size) OVER earlier, 0.0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER earlier, 0.0)) AS level,
+    row_number() OVER (ORDER BY 2.0::DOUBLE * source_size / weight, source NULLS LAST) AS place
+  FROM s WINDOW earlier AS (ORDER BY 2.0::DOUBLE * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), t AS (
+  SELECT *, coalesce(least(cap, (SELECT level FROM w WHERE level * weight < cap ORDER BY place LIMIT 1) * weight), cap) AS target FROM w
+), p AS (
+  SELECT d.doc_id, d.source, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN CAST(floor(t.target / t.source_size) AS BIGINT) ELSE 0 END AS epochs,
+    floor(d.turn / {2.0**TURN_BITS} * ceil(t.docs / {STRETCH})) AS stretch, row_number() OVER o AS place,
+    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.turn, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source WINDOW o AS (PARTITION BY d.source ORDER BY d.turn, d.doc_id, d.size)
+), r AS (
+  SELECT *, target - epochs * source_size AS rest FROM p
+), gaps AS (
+  SELECT source, stretch, rest - start AS gap FROM r WHERE size > 0 AND start < rest AND start + size > rest
+), last AS (
+  SELECT r.source, arg_min(r.place, (abs(r.size - g.gap), r.place)) AS place
+  FROM r JOIN gaps g ON r.source IS NOT DISTINCT FROM g.source AND r.stretch = g.stretch
+  WHERE r.start + r.size > r.rest AND abs(r.size - g.gap) < g.gap GROUP BY r.source
+), c AS (
+  SELECT r.*, r.epochs + CASE WHEN (r.size > 0 AND r.start + r.size <= r.rest) OR l.place IS NOT NULL THEN 1 ELSE 0 END AS copies
+  FROM r LEFT JOIN last l ON r.source IS NOT DISTINCT FROM l.source AND r.place = l.place
+)
+SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken, CAST(copies AS BIGINT) AS copies FROM c
+"""

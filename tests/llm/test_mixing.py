@@ -65,6 +65,28 @@ def test_odd_rows(odd, nothing):
     assert kept.count() == odd.count() and "extra" in kept.columns and dict(kept.dtypes)["size"] == "bigint"
 
 
+def test_rows_that_share_an_id_or_have_none(spark):
+    """Each row keeps its own text, size and source; names of other columns do not matter."""
+    rows = [(1, "a b c", "x"), (1, "d", "y"), (None, "e f", "y"), (None, "g h i j", "x"), (2, None, None), (2, "k", "x"), (1, "a b c", "x")]
+    names = ["_id", "_row", "_all", "turn", "stretch", "start", "place", "a.b"]
+    df = spark.createDataFrame([(*r, *([f"n{k}"] * len(names))) for k, r in enumerate(rows)], ["doc_id", "text", "source", *names])
+    out = mixing.mix_sources(df, keep_text=True)
+    assert out.columns == [*df.columns, "size", "source_size", "target", "taken", "copies"]
+    found = {r._id: r for r in out.collect()}
+    assert len(found) == len(rows) and sorted(found) == [f"n{k}" for k in range(len(rows))]
+    for k, (doc_id, text, source) in enumerate(rows):
+        r = found[f"n{k}"]
+        assert (r.doc_id, r.text, r.source, r.size, r.source_size) == (doc_id, text, source, len((text or "").split()), {"x": 11, "y": 3, None: 0}[source])
+    check(df, list(found.values()))
+
+
+def test_documents_match_sql(spark, small):
+    from siltworks.llm.queries import queries
+    from tests.oracle import duck, same_rows
+
+    same_rows(queries()["op2_source_mix"](spark, small), duck(small), mixing.ORACLE_SQL)
+
+
 def test_all_empty(spark):
     df = spark.createDataFrame([(1, "", "a"), (2, None, "b")], "doc_id long, text string, source string")
     assert sorted((r.doc_id, r.size, r.source_size, r.target, r.taken) for r in mixing.mix_sources(df).collect()) == [(1, 0, 0, 0.0, 0), (2, 0, 0, 0.0, 0)]
