@@ -200,6 +200,10 @@ def count_tokens(
 
 
 def token_report(docs: DataFrame, limit: int = 512) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit of each document."""
+    """doc_id, n_bytes, n_tokens, over_limit of each document.
+
+    A row per input row, whatever its id; null texts are empty ones, of 0 bytes and tokens. Equal texts have equal
+    counts. Texts of any length count whole. An empty table gives no rows; extra columns are not read.
+    """
     counted = count_tokens(docs.select("doc_id", "text"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

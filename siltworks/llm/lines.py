@@ -41,8 +41,17 @@ def _words(tidy: Column) -> Column:
 
 
 def _joined(keys: DataFrame) -> DataFrame:
-    """An aggregate written out, so that the join with it stands alone and a hot key of the other side is split."""
-    return materialise(keys)
+    """An aggregate written out, so that the join with it stands alone and a hot key of the other side is split.
+
+    The join always merges, as such tables grow with the corpus: it is the same plan at every size.
+    """
+    out = materialise(keys)
+    return _kept_path(out.hint("merge"), out)
+
+
+def _kept_path(df: DataFrame, table: DataFrame) -> DataFrame:
+    df._scratch_path = table._scratch_path
+    return df
 
 
 def _place(key: str, line_no: str) -> Column:
@@ -136,7 +145,7 @@ def _near_lines(docs: DataFrame, distinct: DataFrame, separator: str, min_words:
     """_key, line_no of the distinct lines that have a near line at an earlier place."""
     halves = distinct.select("_key", "line_no", F.explode(F.array("h0", "h1", "h2", "h3")).alias("half")).filter("half is not null")
     shared = _joined(halves.groupBy("half").agg(F.count("*").alias("members")).filter("members > 1").select("half"))
-    wanted = materialise(halves.join(shared, "half").groupBy("_key").agg(F.array_distinct(F.collect_list("line_no")).alias("numbers")))
+    wanted = _joined(halves.join(shared, "half").groupBy("_key").agg(F.array_distinct(F.collect_list("line_no")).alias("numbers")))
     discard(shared)
 
     # The words of the suspects; one pass over the texts.
@@ -192,7 +201,7 @@ def dedup_lines(docs: DataFrame, separator: str = "\n", min_words: int = MIN_WOR
     distinct = materialise(_lines(narrow, separator, min_words))
     near = _near_lines(narrow, distinct, separator, min_words)
     kept = distinct.select("_key", "line_no").join(near, ["_key", "line_no"], "left_anti")
-    kept = materialise(kept.groupBy("_key").agg(F.collect_list("line_no").alias("_kept")))
+    kept = _joined(kept.groupBy("_key").agg(F.collect_list("line_no").alias("_kept")))
     discard(distinct, near)
     out = docs
     if repeated:
@@ -211,7 +220,11 @@ def dedup_lines(docs: DataFrame, separator: str = "\n", min_words: int = MIN_WOR
 
 
 def line_report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_kept and the MD5 of each text that stays (null for null)."""
+    """doc_id, n_lines, n_kept and the MD5 of each text that stays (null for null).
+
+    A row per input row: repeated rows, rows without an id, ties, empty and very long texts as ``dedup_lines`` has
+    them. An empty table gives no rows; extra columns are not read.
+    """
     return dedup_lines(docs.select("doc_id", "text")).select("doc_id", "n_lines", "n_kept", F.md5(F.col("text").cast("binary")).alias("kept_md5"))
 
 

@@ -51,7 +51,7 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-_WORDS = BoundedCache(lambda w: xxhash.xxh3_64_intdigest(w))
+_WORDS = BoundedCache(lambda w: xxhash.xxh3_64_intdigest(w), 200_000)
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltworks.llm.bpe import _OTHER, PRETOKEN, BoundedCache, Splitter, tokenizer_file
-from siltworks.llm.common import materialise
+from siltworks.llm.common import discard, materialise
 
 #: Pieces that one partition packs; a fixed bound on a task's memory.
 PIECES_PER_PARTITION = 20_000
@@ -208,6 +208,7 @@ def _exchange(packed: DataFrame, capacity: int, turn: int, pieces_per_partition:
     )
     marked = packed.join(opened, ["part", "bin"], "left")
     marked = materialise(marked)
+    discard(packed)
     kept, moved = marked.filter("opened is null").drop("opened"), marked.filter("opened").drop("opened")
     before = moved.select("part", "bin").distinct().count()
     if before < 2:

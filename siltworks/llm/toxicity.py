@@ -262,7 +262,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", sc
     """Add ``score``, the probability of label 1, to each row; one pass, no shuffle.
 
     Null and empty texts score as texts without words. Whole texts count, however long. All columns are kept; one
-    already named like the score is replaced. Equal texts have equal scores. An empty table stays empty.
+    already named like the score is replaced. Equal texts have equal scores, in repeated rows too, and ids play no
+    part. An empty table stays empty.
     """
     kept = [c for c in docs.columns if c != score]
     source = docs.select(*[F.col(f"`{c}`") for c in kept])

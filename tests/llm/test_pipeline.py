@@ -2,7 +2,7 @@ import zlib
 
 import corpus_pipeline
 from siltworks.llm import lines, minhash, queries
-from siltworks.llm.common import discard, materialise, shared_dir
+from siltworks.llm.common import discard, materialise, scratch_area, shared_dir
 from tests.llm.test_near_dedup import brute
 from tests.llm.test_text import brute_lines
 
@@ -25,7 +25,7 @@ def test_stages(spark, small, documents):
         assert (i in after) == (not emptied)
         if not emptied:
             assert after[i].text == text and after[i].n_chars == len(text)
-    _, least = brute([(r.doc_id, r.text) for r in d2.collect()], 5, 80)
+    _, least = brute([(r.doc_id, r.text) for r in d2.collect()], corpus_pipeline.SHINGLE, corpus_pipeline.PERCENT)
     assert {r.doc_id for r in d3.collect()} == {i for i, c in least.items() if i == c}
     copies = [r.doc_id for r in d4.collect()]
     assert set(copies) <= set(least) and max(map(copies.count, set(copies))) <= 2
@@ -39,6 +39,67 @@ def test_no_documents(spark, small, documents):
         assert docs.count() == 0
 
 
+def odd_documents(spark):
+    """Nulls in every column, empty and very long texts, ties, repeated rows and ids, clashing names."""
+    long = " ".join(f"word{i % 997}x{i % 89}" for i in range(40_000))
+    base = "the quick brown fox jumps over the lazy dog and runs far away from it"
+    rows = [
+        (1, base, "en", "a"), (1, base, "en", "a"), (2, f"{base} today", "en", "a"), (3, f"other words of the same\n{base}", "en", None),
+        (4, None, None, "b"), (5, "", "fr", "b"), (6, " \t\n ", "fr", "b"), (7, long, "fr", "b"), (8, f"{long} end", "fr", "b"), (9, "x" * 50_000, None, "a"),
+        (None, "a row that has no number at all", "en", "a"), (None, None, None, None), (None, "a second row that has none", "en", "b"), (10, "one text of ten here", "en", "a"), (10, "and another text of it", "de", "b"),
+    ]
+    names = ["_toxic", "_copy", "_row", "_all", "_key", "component", "size", "copies", "score", "n_kept", "kept", "key"]
+    rows = [(*r, None if r[1] is None else len(r[1]), *(["clash"] * len(names))) for r in rows]
+    return spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {', '.join(f'{n} string' for n in names)}")
+
+
+def test_stages_on_odd_rows(spark, small, documents):
+    odd = odd_documents(spark)
+    plain = [tuple(r) for r in odd.select(*corpus_pipeline.COLUMNS).collect()]
+    stages = dict(corpus_pipeline.STAGES)
+    by_rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    for name in list(stages)[:-1]:
+        out = stages[name](spark, odd, small)
+        assert out.columns == list(corpus_pipeline.COLUMNS) and dict(out.dtypes)["n_chars"] == "bigint"
+        if name == "toxicity":
+            assert by_rows(out) == sorted(plain, key=str)
+        if name == "line_dedup":
+            got = {}
+            for r in out.collect():
+                got.setdefault(r.doc_id, []).append(r.text)
+            # Of the repeated row one stays; 2 and 8 are near lines of 1 and 7; 3 keeps its other line.
+            assert got.pop(None).count(None) == 1 and 2 not in got and 8 not in got
+            assert got[1] == [plain[0][1]] and got[3] == ["other words of the same"] and got[4] == [None] and got[5] == [""] and len(got[10]) == 2
+        if name == "near_dedup":
+            # Documents 2 and 8 are near 1 and 7, and 3 is near 2 as well or not; rows of one id stay together.
+            _, least = brute([(r[0], r[1]) for r in plain if r[0] is not None and r[0] != 10], corpus_pipeline.SHINGLE, corpus_pipeline.PERCENT)
+            assert by_rows(out) == sorted([r for r in plain if r[0] is None or least.get(r[0], r[0]) == r[0]], key=str)
+        if name == "mixing":
+            rows = by_rows(out)
+            assert set(rows) <= set(plain) and all(rows.count(r) == plain.count(r) for r in plain if not (r[1] or "").split())
+            assert all(rows.count(r) <= 2 * plain.count(r) for r in plain)
+    packed = stages["packing"](spark, odd, small).collect()
+    assert sum(r.piece == 0 for r in packed) == len(plain) and sum(r.length for r in packed if r.doc_id == 4) == 1
+    docs = odd
+    for name, stage in corpus_pipeline.STAGES:
+        docs = materialise(stage(spark, docs, small))
+    assert docs.count() > 0
+
+
+def test_run_deletes_what_its_stages_wrote(spark, small):
+    from pathlib import Path
+
+    root = Path(shared_dir(spark).removeprefix("file://"))
+    tables = lambda: {p.name for p in root.glob("siltworks-*")}
+    before = tables()
+    with scratch_area():
+        out = corpus_pipeline.run(spark, small)
+        assert out.count() > 0
+        # The last stage's input and the tables that its result reads.
+        assert 0 < len(tables() - before) <= 6
+    assert tables() == before
+
+
 def test_queries_are_complete():
     found = queries.queries()
     assert {n.split("_")[0] for n in found} == {f"op{i}" for i in range(1, 11)}
