@@ -1,8 +1,8 @@
 """Quantiles of columns as numbers, exact whatever the number of distinct values.
 
 Exact quantiles are selected in rounds. Each round is one pass over all columns: sketches bracket every wanted rank,
-then the values inside a bracket are counted, and only they go on. A round keeps about one value in a thousand, and
-what reaches the driver is at most SMALL distinct values per rank. No task ever holds all distinct values.
+then the values inside a bracket are counted, and only they go on. A round keeps about one value in a thousand; the last ones, SMALL at most, are sorted in one task per
+rank. What reaches the driver is one value per rank. No task ever holds all distinct values.
 """
 
 from __future__ import annotations
@@ -11,14 +11,14 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Accuracy of approximate quantiles: relative error of at most its inverse.
 ACCURACY = 1000
 #: Accuracy of the sketches that bracket exact ones, and the half width of a bracket in ranks relative to all rows.
 BRACKET_ACCURACY, WIDTH = 10_000, 3.0 / 10_000
-#: Values, counted with their copies, that are looked at one by one.
+#: Values, counted with their copies, that are sorted in one task.
 SMALL = 1 << 16
 
 
@@ -113,11 +113,11 @@ def _look(df: DataFrame, values: list[Column], searches: list[_Search]) -> None:
         brackets.setdefault((w.column, w.low, w.high), []).append(w)
     groups = list(brackets.values())
     cells = F.array(*[F.struct(F.lit(j).alias("j"), g[0].inside(values).alias("v")) for j, g in enumerate(groups)])
-    counted = df.select(F.inline(cells)).filter("v is not null").groupBy("j", "v").agg(F.count(F.lit(1)).alias("n")).collect()
-    for j, group in enumerate(groups):
-        seen, upto = sorted((r.v, r.n) for r in counted if r.j == j), 0
-        for v, n in seen:
-            for w in group:
-                if upto <= w.rank < upto + n:
-                    w.found = v
-            upto += n
+    counted = df.select(F.inline(cells)).filter("v is not null").groupBy("j", "v").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("j").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    ranks = F.create_map(*[x for j, g in enumerate(groups) for x in (F.lit(j), F.array(*[F.lit(w.rank) for w in g]))])
+    hit = F.exists(ranks[F.col("j")], lambda r: (r >= F.col("upto") - F.col("n")) & (r < F.col("upto")))
+    for r in counted.withColumn("upto", upto).filter(hit).collect():
+        for w in groups[r.j]:
+            if r.upto - r.n <= w.rank < r.upto:
+                w.found = r.v
