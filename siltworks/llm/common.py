@@ -67,11 +67,12 @@ def keep(df: DataFrame) -> DataFrame:
     return df
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, merge: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and return a reader of it.
 
     It cuts the lineage like ``checkpoint()`` does, without computing the plan twice; the files survive
-    the loss of any executor.
+    the loss of any executor. With ``merge`` joins with it always merge, as is right for tables that grow with the
+    corpus: the plan is the same at every size, and a hot key of the other side can be split.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/siltworks-{uuid.uuid4().hex}"
@@ -82,6 +83,7 @@ def materialise(df: DataFrame) -> DataFrame:
     finally:
         spark.conf.set(_CLEAN_UP, before)
     out = spark.read.schema(df.schema).parquet(path)
+    out = out.hint("merge") if merge else out
     out._scratch_path = path
     if _AREAS:
         _AREAS[-1][path] = out

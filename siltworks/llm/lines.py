@@ -40,20 +40,6 @@ def _words(tidy: Column) -> Column:
     return F.split(tidy, " ")
 
 
-def _joined(keys: DataFrame) -> DataFrame:
-    """An aggregate written out, so that the join with it stands alone and a hot key of the other side is split.
-
-    The join always merges, as such tables grow with the corpus: it is the same plan at every size.
-    """
-    out = materialise(keys)
-    return _kept_path(out.hint("merge"), out)
-
-
-def _kept_path(df: DataFrame, table: DataFrame) -> DataFrame:
-    df._scratch_path = table._scratch_path
-    return df
-
-
 def _place(key: str, line_no: str) -> Column:
     """A number that orders lines by row, then by line; a flat value that hash aggregation updates in place."""
     return (F.col(key).cast("decimal(28,0)") * F.lit(_PER_DOCUMENT).cast("decimal(11,0)") + F.col(line_no).cast("decimal(10,0)")).cast("decimal(38,0)")
@@ -144,12 +130,12 @@ def _variant_keys(words: DataFrame, min_words: int) -> DataFrame:
 def _near_lines(docs: DataFrame, distinct: DataFrame, separator: str, min_words: int) -> DataFrame:
     """_key, line_no of the distinct lines that have a near line at an earlier place."""
     halves = distinct.select("_key", "line_no", F.explode(F.array("h0", "h1", "h2", "h3")).alias("half")).filter("half is not null")
-    shared = _joined(halves.groupBy("half").agg(F.count("*").alias("members")).filter("members > 1").select("half"))
-    wanted = _joined(halves.join(shared, "half").groupBy("_key").agg(F.array_distinct(F.collect_list("line_no")).alias("numbers")))
+    shared = materialise(halves.groupBy("half").agg(F.count("*").alias("members")).filter("members > 1").select("half"), merge=True)
+    wanted = materialise(halves.join(shared, "half").groupBy("_key").agg(F.array_distinct(F.collect_list("line_no")).alias("numbers")), merge=True)
     discard(shared)
 
     # The words of the suspects; one pass over the texts.
-    texts = docs.select("_key", F.split("text", separator).alias("lines")).join(wanted, "_key")
+    texts = docs.select("_key", "text").join(wanted, "_key").select("_key", "numbers", F.split("text", separator).alias("lines"))
     texts = texts.select("_key", F.explode(F.expr("transform(numbers, k -> struct(k as line_no, get(lines, k) as line))")).alias("l"))
     texts = texts.select("_key", "l.line_no", _tidy(F.col("l.line")).alias("line")).filter("line <> ''").select("_key", "line_no", _words(F.col("line")).alias("words"))
     texts = materialise(texts)
@@ -157,12 +143,12 @@ def _near_lines(docs: DataFrame, distinct: DataFrame, separator: str, min_words:
 
     dealt = texts.repartition("_key", "line_no").select("_key", "line_no", F.size("words").alias("n"), F.posexplode("words").alias("i", "word"))
     variants = materialise(_variant_keys(dealt, min_words))
-    several = _joined(variants.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key"))
+    several = materialise(variants.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key"), merge=True)
     met = variants.join(several, "key").select("key", (F.col("tag") % 4).alias("kind"), "_key", F.floor(F.col("tag") / 4).cast("int").alias("line_no"))
     met = materialise(met.withColumn("place", _place("_key", "line_no")).drop("_key", "line_no"))
     discard(variants, several)
     least = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("place"))).alias(f"m{kind}")
-    groups = _joined(met.groupBy("key").agg(least(0), least(1), least(2)))
+    groups = materialise(met.groupBy("key").agg(least(0), least(1), least(2)), merge=True)
     witness = F.when(F.col("kind") == 0, F.col("m0")).when(F.col("kind") == 1, F.col("m2")).otherwise(F.col("m1"))
     pairs = met.join(groups, "key").select("place", witness.alias("witness")).filter("witness < place").distinct()
 
@@ -201,7 +187,7 @@ def dedup_lines(docs: DataFrame, separator: str = "\n", min_words: int = MIN_WOR
     distinct = materialise(_lines(narrow, separator, min_words))
     near = _near_lines(narrow, distinct, separator, min_words)
     kept = distinct.select("_key", "line_no").join(near, ["_key", "line_no"], "left_anti")
-    kept = _joined(kept.groupBy("_key").agg(F.collect_list("line_no").alias("_kept")))
+    kept = materialise(kept.groupBy("_key").agg(F.collect_list("line_no").alias("_kept")), merge=True)
     discard(distinct, near)
     out = docs
     if repeated:

@@ -307,9 +307,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, margin: f
     members = materialise(rows.join(buckets, "key").filter("doc_id <> lead"))
     # The sketch and text of one document per class that shares a bucket; most share none, so that neither is kept for all.
     meeting = members.select(F.col("doc_id").alias("vertex")).unionByName(buckets.select(F.col("lead").alias("vertex"))).distinct()
-    chosen = materialise(leaders.join(meeting, "vertex"))
-    # Always by merging, as the ids grow with the corpus: figures of small runs then hold for large ones.
-    met = materialise(sketched(docs.join(chosen.hint("merge"), "doc_id"), size).dropDuplicates(["doc_id"]))
+    chosen = materialise(leaders.join(meeting, "vertex"), merge=True)
+    met = materialise(sketched(docs.join(chosen, "doc_id"), size).dropDuplicates(["doc_id"]))
     discard(buckets, chosen)
     # Copies take their class's component by a join, so that they add no edges; ids with several texts tie theirs.
     placed = everything.select("doc_id", "n_shingles", "set_key").join(classes.drop("vertex"), "set_key", "left")

@@ -113,10 +113,9 @@ def mix_sources(
     mixed = marked.withColumn("copies", F.col("epochs") + extra).withColumn("taken", F.col("copies") * F.col("size"))
     if not keep_text:
         return mixed.select("doc_id", *names)
-    mixed = materialise(mixed.select("_row", *names))
+    mixed = materialise(mixed.select("_row", *names), merge=True)
     discard(placed)
-    # Always by merging, as the rows of a mix grow with the corpus.
-    joined = stored.select("_row", "_all", "text").join(mixed.hint("merge"), "_row")
+    joined = stored.select("_row", "_all", "text").join(mixed, "_row")
     return joined.select(*[F.col("text") if c == "text" else F.col("_all").getField(c).alias(c) for c in columns], *names)
 
 
