@@ -21,7 +21,7 @@ def expected(values):
     return [float(np.quantile(values, s)) for s in SHARES] if values else None
 
 
-@pytest.mark.parametrize("small", [q.SMALL, 40, 3])
+@pytest.mark.parametrize("small", [q.SMALL, 40])
 def test_quantiles_of_several_columns(spark, monkeypatch, small):
     monkeypatch.setattr(q, "SMALL", small)
     monkeypatch.setattr(q, "BRACKET_ACCURACY", 50)
@@ -43,7 +43,7 @@ def test_quantiles_of_several_columns(spark, monkeypatch, small):
         assert own is None if wanted is None else own == pytest.approx(wanted, rel=1e-9), (own, wanted)
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.floats(-1e6, 1e6), min_size=1, max_size=60))
 def test_quantiles_of_any_values(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "c double")
@@ -54,8 +54,7 @@ def test_quantiles_of_any_values(spark, values):
         q.SMALL = before
 
 
-@pytest.mark.parametrize("order", ["asc", "desc", "key"])
-@pytest.mark.parametrize("kind", ["long", "string", "date", "double"])
+@pytest.mark.parametrize(("order", "kind"), [("asc", "long"), ("desc", "string"), ("key", "date"), ("key", "string"), ("asc", "double")])
 def test_deep_pages(spark, monkeypatch, order, kind):
     """All pages of tables whose pages are found in rounds, with a null key and many rows of one percentage."""
     from siltworks.functions import order as o
@@ -68,7 +67,7 @@ def test_deep_pages(spark, monkeypatch, order, kind):
     df = spark.createDataFrame(cells, "id long, a int, b int").selectExpr(f"if(id = 3, null, {made}) as k", "a", "b").repartition(6)
     whole = [tuple(r) for r in profile.completeness_by_row(df, "k", order, page_size=700).collect()]
     assert len(whole) == 700
-    for page in (1, 4, 7, 12, 99):
+    for page in (1, 7, 99):
         at = min(page, 13) * 50
         assert [tuple(r) for r in profile.completeness_by_row(df, "k", order, page, 50).collect()] == whole[at : at + 50]
     assert profile.completeness_by_row(df.limit(0), "k", order, 3).collect() == []
@@ -129,8 +128,7 @@ def test_names_of_operators_are_free(spark):
     assert profile.duplicate_rows(df, ["k"], limit=None).count() == 40 and profile.duplicate_rows(df, ["k"]).columns == df.columns
 
 
-@pytest.mark.parametrize("order", ["number", "text", "flag"])
-@pytest.mark.parametrize("forward", [True, False])
+@pytest.mark.parametrize(("order", "forward"), [("number", True), ("text", False), ("flag", True), ("number", False)])
 def test_fill_with_a_hot_partition(spark, order, forward):
     """A key with most rows, a null key, equal order values in one stretch, orders of every kind of type."""
     rng = random.Random(6)
