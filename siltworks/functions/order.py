@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +41,13 @@ def stretch_of(df: DataFrame, name: str) -> Column:
         cuts = sorted(set(df.agg(F.percentile_approx(position, shares, F.lit(10_000))).first()[0] or []))
     if not cuts:
         return F.when(position.isNull(), -1).otherwise(0)
-    known = F.array(*map(F.lit, cuts))
-    return F.when(position.isNull(), -1).otherwise(F.size(F.filter(known, lambda c: c <= position)))
+    # Two short searches instead of one long one: chunks of cuts that end at or before the value, then cuts of the next.
+    size = math.ceil(math.sqrt(len(cuts)))
+    chunks = [cuts[i : i + size] for i in range(0, len(cuts), size)]
+    upto = lambda some: F.size(F.filter(some, lambda c: c <= position))
+    number = upto(F.array(*[F.lit(c[-1]) for c in chunks]))
+    none = F.slice(F.array(F.lit(cuts[0])), 1, 0)
+    return F.when(position.isNull(), -1).otherwise(number * size + upto(F.get(F.array(*[F.array(*map(F.lit, c)) for c in chunks], none), number)))
 
 
 def rows_by_rank(df: DataFrame, name: str, n: int, first: int, last: int) -> DataFrame:

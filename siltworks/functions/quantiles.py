@@ -20,6 +20,8 @@ ACCURACY = 1000
 BRACKET_ACCURACY, WIDTH = 10_000, 3.0 / 10_000
 #: Values, counted with their copies, that are sorted in one task.
 SMALL = 1 << 16
+#: Values of all columns together that one aggregate may hold, which then gives their quantiles in one pass.
+DIRECT = 1 << 20
 
 
 @dataclass
@@ -53,6 +55,9 @@ def quantiles(df: DataFrame, values: Sequence[Column], shares: Sequence[float],
     if approximate:
         return _approximate(df, values, shares)
     counts = list(df.agg(*[F.count(v).alias(f"n{i}") for i, v in enumerate(values)]).first())
+    if sum(counts) <= DIRECT:
+        given = F.array(*map(F.lit, shares))
+        return list(df.agg(*[F.percentile(v, given).alias(f"q{i}") for i, v in enumerate(values)]).first())
     wanted = {(i, k): _Search(i, k, n) for i, n in enumerate(counts) if n for s in shares for k in (math.floor(s * (n - 1)), math.ceil(s * (n - 1)))}
     while open_ := [w for w in wanted.values() if w.found is None]:
         if large := [w for w in open_ if w.rows > SMALL]:

@@ -24,6 +24,7 @@ def expected(values):
 @pytest.mark.parametrize("small", [q.SMALL, 40])
 def test_quantiles_of_several_columns(spark, monkeypatch, small):
     monkeypatch.setattr(q, "SMALL", small)
+    monkeypatch.setattr(q, "DIRECT", 0 if small == 40 else q.DIRECT)
     monkeypatch.setattr(q, "BRACKET_ACCURACY", 50)
     monkeypatch.setattr(q, "WIDTH", 0.05)
     rng = random.Random(3)
@@ -47,11 +48,11 @@ def test_quantiles_of_several_columns(spark, monkeypatch, small):
 @given(st.lists(st.floats(-1e6, 1e6), min_size=1, max_size=60))
 def test_quantiles_of_any_values(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "c double")
-    before, q.SMALL = q.SMALL, 5
+    before, q.SMALL, q.DIRECT = (q.SMALL, q.DIRECT), 5, 0
     try:
         assert q.quantiles(df, [F.col("c")], SHARES)[0] == pytest.approx(expected(values), rel=1e-9, abs=1e-9)
     finally:
-        q.SMALL = before
+        q.SMALL, q.DIRECT = before
 
 
 @pytest.mark.parametrize(("order", "kind"), [("asc", "long"), ("desc", "string"), ("key", "date"), ("key", "string"), ("asc", "double")])
