@@ -100,6 +100,11 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def col(name: str) -> Column:
+    """The column of exactly this name, dots, back quotes and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def word_count(text: Column) -> Column:
     """Number of words as long; null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")

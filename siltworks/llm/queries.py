@@ -1,4 +1,4 @@
-"""The queries op1 to op10 and the pipeline, each over its whole table."""
+"""The queries op1 to op13 and the pipeline, each over its whole table."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltworks.llm import bpe, embeddings, fingerprints, language, lines, minhash, mixing, packing, toolcalls, toxicity
+from siltworks.llm import bpe, decontamination, embeddings, fingerprints, language, lines, minhash, mixing, packing, toolcalls, toxicity
 from siltworks.llm.common import crc_bucket, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,3 +107,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_tool_call_linking", toolcalls.ORACLE_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toolcalls.chat_report(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_winnowing_decontamination", decontamination.ORACLE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
