@@ -1,11 +1,10 @@
 """Benchmark decontamination by winnowing, with built-in functions only.
 
 A text is the sequence of its words. An item's windows are its runs of ``window`` words; an item of fewer words is one
-window. Of each window's k-grams (k is half a window) the least hash is kept. A document keeps the same hashes, each
-with the stretch of consecutive windows whose least one it is. Equal windows have equal least hashes, so the join of
-documents and items on them misses no shared span of a window's length or more; a document sends about two hashes for
-each half window of words. Hits are extended on the words: the windows of the stretches that met are compared with the items'
-windows as text, and those found merge into spans.
+window. Of each window's k-grams (k is half a window) the least hash is kept, once for consecutive windows. Equal
+windows have equal least hashes, so the join of documents and items on them misses no shared span of a window's length
+or more; a document sends about two hashes for each half window of words. Hits are extended on the words: the windows
+that hold a hash that met are compared with the items' windows as text, and those found merge into spans.
 
 Documents never meet items pairwise. They meet distinct windows; windows of the same items are one class, and documents
 with the same classes share one list of items.
@@ -13,6 +12,8 @@ with the same classes share one list of items.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,33 +23,47 @@ from siltworks.llm.common import LETTERS_LOWER, LETTERS_UPPER, col, discard, mat
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words of a window.
 WINDOW = 10
+_SPANS = "array<struct<start:int,length:int>>"
+#: All of ASCII that is in no word.
+_BETWEEN = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 
 
 def _words(text: Column) -> Column:
     """The words of a text, A-Z as a-z; null text has none."""
-    found = F.regexp_extract_all(F.translate(text, LETTERS_UPPER, LETTERS_LOWER), F.lit(WORD_PATTERN), F.lit(0))
-    return F.coalesce(found, F.array().cast("array<string>"))
+    apart = F.translate(text, LETTERS_UPPER + _BETWEEN, LETTERS_LOWER + " " * len(_BETWEEN))
+    return F.coalesce(F.array_remove(F.split(apart, " "), ""), F.array().cast("array<string>"))
+
+
+def _grams(length: int) -> tuple[int, int]:
+    """Words of a gram, and grams of a window."""
+    k = (length + 1) // 2
+    return k, length - k + 1
 
 
-def _with_least_hashes(df: DataFrame, length: int, out: str) -> DataFrame:
-    """Add for each window of ``length`` words, by its start, the least hash of its k-grams; ``df`` has word hashes ``hs``.
+def _marks(texts: DataFrame, length: int) -> DataFrame:
+    """row, length, mark, low: the least gram hash of a window, where it is not that of the window before, and the window's start.
 
-    Texts that are shorter have an empty array. The steps are columns of their own: a function of array elements
-    evaluates what it names once for each element.
+    ``texts`` has ``row`` and word hashes ``hs``. Each place meets the hashes after it in one row, so that grams and their
+    least one are compiled expressions, and windows that add nothing go before any shuffle.
     """
-    k = (length + 1) // 2
-    w = length - k + 1
-    grams = "xxhash64(" + ", ".join([str(length), *[f"hs[i + {j}]" for j in range(k)]]) + ")"
-    least = "least(" + ", ".join(f"grams[i + {j}]" for j in range(w)) + ")" if w > 1 else "grams[i]"
-    none = "cast(array() as array<bigint>)"
-    df = df.withColumn("grams", F.expr(f"if(size(hs) >= {length}, transform(sequence(0, size(hs) - {k}), i -> {grams}), {none})"))
-    return df.withColumn(out, F.expr(f"if(size(hs) >= {length}, transform(sequence(0, size(hs) - {length}), i -> {least}), {none})")).drop("grams")
-
-
-def _item_windows(items: DataFrame, text: str, item_id: str, window: int) -> DataFrame:
-    """item, length, text, mark of each distinct window of each item; an item without an id is named by the empty text."""
-    words = items.select(F.coalesce(col(item_id).cast("string"), F.lit("")).alias("item"), _words(col(text)).alias("words"))
-    words = words.filter(F.size("words") > 0).withColumn("length", F.least(F.size("words"), F.lit(window)))
+    k, w = _grams(length)
+    before = F.concat(F.array(F.lit(None).cast("bigint")), "hs")
+    shifted = [F.expr(f"slice(hs, {j + 1}, size(hs) + 1)").alias(f"h{j}") for j in range(length)]
+    places = texts.select("row", F.posexplode(F.arrays_zip(before.alias("p"), *shifted)).alias("low", "z"))
+    hashes = [F.col("z.p"), *[F.col(f"z.h{j}") for j in range(length)]]
+    places = places.filter(hashes[-1].isNotNull())
+    # The gram that the window before begins with, then this window's own.
+    grams = [F.xxhash64(F.lit(length), *hashes[j : j + k]).alias(f"g{j}") for j in range(w + 1)]
+    least = lambda first, last: F.least(*[f"g{j}" for j in range(first, last)]) if last - first > 1 else F.col(f"g{first}")
+    placed = places.select("row", "low", hashes[0].isNull().alias("first"), *grams)
+    kept = placed.select("row", "low", least(1, w + 1).alias("mark"), F.when(~F.col("first"), least(0, w)).alias("before")).filter("before is null or before <> mark")
+    return kept.select("row", F.lit(length).alias("length"), "mark", "low")
+
+
+def _item_windows(items: DataFrame, window: int) -> DataFrame:
+    """item, length, text of each distinct window of each item."""
+    words = items.select("item", _words(F.col("text")).alias("words")).filter(F.size("words") > 0)
+    words = words.withColumn("length", F.least(F.size("words"), F.lit(window)))
     cut = F.expr("transform(sequence(0, size(words) - length), i -> array_join(slice(words, i + 1, length), ' '))")
     return materialise(words.select("item", "length", F.explode(cut).alias("text")).distinct())
 
@@ -57,23 +72,8 @@ def _marked(windows: DataFrame, lengths: list[int]) -> DataFrame:
     """text, mark and the class of each distinct window; a class (c1, c2) is 128 bits that tell the set of its items."""
     item = lambda salt: F.expr(f"bit_xor(xxhash64({salt}, item))")
     df = windows.groupBy("text", "length").agg(item(0).alias("c1"), item(1).alias("c2"))
-    df = df.withColumn("hs", F.expr("transform(split(text, ' '), w -> xxhash64(w))"))
-    for n in lengths:
-        df = _with_least_hashes(df, n, f"m{n}")
-    mark = F.coalesce(*[F.when(F.col("length") == n, F.get(f"m{n}", F.lit(0))) for n in lengths])
-    return materialise(df.select("text", mark.alias("mark"), "c1", "c2"))
-
-
-def _stretches(texts: DataFrame, lengths: list[int]) -> DataFrame:
-    """row, length, mark, low, high: the winnowed hashes of each text, each for the windows that start from low to high."""
-    df = texts.select("row", _words(F.col("text")).alias("words"))
-    df = df.select("row", F.expr("transform(words, w -> xxhash64(w))").alias("hs"))
-    for n in lengths:
-        df = _with_least_hashes(df, n, "least")
-        df = df.withColumn("starts", F.expr("filter(transform(least, (m, i) -> if(i = 0 or m <> least[i - 1], i, null)), i -> i is not null)"))
-        runs = f"transform(starts, (s, j) -> struct({n} as length, least[s] as mark, s as low, coalesce(get(starts, j + 1), size(least)) - 1 as high))"
-        df = df.withColumn(f"r{n}", F.expr(runs)).drop("least", "starts")
-    return df.select("row", F.inline(F.concat(*[F.col(f"r{n}") for n in lengths])))
+    hashed = df.select(F.struct("text", "c1", "c2").alias("row"), "length", F.expr("transform(split(text, ' '), w -> xxhash64(w))").alias("hs"))
+    return materialise(reduce(DataFrame.unionByName, [_marks(hashed.filter(F.col("length") == n), n) for n in lengths]).select("row.*", "mark"))
 
 
 def _with_spans(df: DataFrame, window: int) -> DataFrame:
@@ -87,6 +87,44 @@ def _with_spans(df: DataFrame, window: int) -> DataFrame:
     return df.withColumn("spans", F.expr(f"transform(firsts, (b, j) -> {span})")).drop("f", "ends", "firsts")
 
 
+def _found(docs: DataFrame, text: Column, rest: Column, items: DataFrame, window: int) -> DataFrame:
+    """rest, n, found, of: what travels with each document, its words, spans and items; ``items`` has item and text."""
+    words = docs.select(F.monotonically_increasing_id().alias("row"), rest.alias("rest"), _words(text).alias("words"))
+    # Words are kept joined by blanks, so that they are told apart once.
+    texts = materialise(words.select("row", "rest", F.size("words").alias("n"), F.array_join("words", " ").alias("text")))
+    windows = _item_windows(items, window)
+    # At most ``window`` numbers.
+    lengths = sorted(r[0] for r in windows.select("length").distinct().collect())
+    if not lengths:
+        return texts.select("rest", "n", F.array().cast(_SPANS).alias("found"), F.array().cast("array<string>").alias("of"))
+    marked = _marked(windows, lengths)
+    marks = materialise(marked.select("mark").distinct())
+    hashed = texts.filter("n > 0").select("row", F.expr("transform(split(text, ' '), w -> xxhash64(w))").alias("hs"))
+    met = reduce(DataFrame.unionByName, [_marks(hashed, n) for n in lengths]).join(marks, "mark", "left_semi")
+    met = materialise(met.groupBy("row").agg(F.collect_list(F.struct("length", "low")).alias("met")))
+
+    # The hits, extended on the words: a gram is the least one of as many windows as a window has grams, at most.
+    near = texts.select("row", "text").join(met, "row").select("row", "met", F.split("text", " ").alias("words"))
+    near = near.select("row", "words", F.inline("met"))
+    last = "least(low + length - cast((length + 1) div 2 as int), size(words) - length)"
+    cut = F.expr(f"transform(sequence(low, {last}), i -> struct(i as start, length, array_join(slice(words, i + 1, length), ' ') as text))")
+    near = near.select("row", F.inline(cut))
+    hits = materialise(near.join(marked.select("text", "c1", "c2"), "text").select("row", "start", "length", "c1", "c2"))
+    of_row = hits.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("found"), F.array_sort(F.collect_set(F.struct("c1", "c2"))).alias("classes"))
+    of_row = _with_spans(of_row, window).select("row", F.col("spans").alias("found"), "classes", F.xxhash64(F.lit(0), "classes").alias("s1"), F.xxhash64(F.lit(1), "classes").alias("s2"))
+    of_row = materialise(of_row)
+
+    # One list of items for all documents of the same classes.
+    members = marked.groupBy("c1", "c2").agg(F.min("text").alias("text")).join(windows, "text").select("c1", "c2", "item")
+    lists = of_row.groupBy("s1", "s2").agg(F.first("classes").alias("classes")).select("s1", "s2", F.inline("classes"))
+    lists = lists.join(members, ["c1", "c2"]).groupBy("s1", "s2").agg(F.array_sort(F.collect_set("item")).alias("of"))
+    lists = materialise(lists)
+    found = materialise(of_row.select("row", "found", "s1", "s2").join(lists, ["s1", "s2"]).select("row", "found", "of"))
+    discard(windows, marked, marks, met, hits, of_row, lists)
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    return texts.select("row", "rest", "n").join(found, "row", "left").select("rest", "n", none("found", _SPANS), none("of", "array<string>"))
+
+
 def find_contamination(
     docs: DataFrame,
     items: DataFrame,
@@ -108,47 +146,14 @@ def find_contamination(
     """
     own = {c.lower() for c in (n_words, spans, item_ids)}
     kept = [c for c in docs.columns if c.lower() not in own]
-    others = [c for c in kept if c != text]
-    # The other columns travel as one, so that their names meet none of the names used here.
-    rest = F.struct(*map(col, others)) if others else F.lit(None).cast("int")
-    texts = materialise(docs.select(F.monotonically_increasing_id().alias("row"), col(text).alias("text"), rest.alias("rest")))
-    windows = _item_windows(items, item_text, item_id, window)
-    # At most ``window`` numbers.
-    lengths = sorted(r[0] for r in windows.select("length").distinct().collect())
-    out = texts.select("row", "text", "rest", F.size(_words(F.col("text"))).alias("n"))
-    if not lengths:
-        out = out.withColumns({"found": F.array().cast("array<struct<start:int,length:int>>"), "of": F.array().cast("array<string>")})
-        return _named(out, kept, text, n_words, spans, item_ids)
-    marked = _marked(windows, lengths)
-    marks = materialise(marked.select("mark").distinct())
-    met = _stretches(texts, lengths).join(marks, "mark", "left_semi")
-    met = materialise(met.groupBy("row").agg(F.collect_list(F.struct("length", "low", "high")).alias("met")))
-
-    # The hits, extended on the words.
-    near = texts.select("row", "text").join(met, "row").select("row", "met", _words(F.col("text")).alias("words"))
-    near = near.select("row", "words", F.explode("met").alias("m"))
-    cut = F.expr("transform(sequence(m.low, m.high), i -> struct(i as start, m.length as length, array_join(slice(words, i + 1, m.length), ' ') as text))")
-    near = near.select("row", F.inline(cut))
-    hits = materialise(near.join(marked.select("text", "c1", "c2"), "text").select("row", "start", "length", "c1", "c2"))
-    of_row = hits.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("found"), F.array_sort(F.collect_set(F.struct("c1", "c2"))).alias("classes"))
-    of_row = _with_spans(of_row, window).select("row", F.col("spans").alias("found"), "classes", F.xxhash64(F.lit(0), "classes").alias("s1"), F.xxhash64(F.lit(1), "classes").alias("s2"))
-    of_row = materialise(of_row)
-
-    # One list of items for all documents of the same classes.
-    members = marked.groupBy("c1", "c2").agg(F.min("text").alias("text")).join(windows, "text").select("c1", "c2", "item")
-    lists = of_row.groupBy("s1", "s2").agg(F.first("classes").alias("classes")).select("s1", "s2", F.inline("classes"))
-    lists = lists.join(members, ["c1", "c2"]).groupBy("s1", "s2").agg(F.array_sort(F.collect_set("item")).alias("of"))
-    lists = materialise(lists)
-    found = materialise(of_row.select("row", "found", "s1", "s2").join(lists, ["s1", "s2"]).select("row", "found", "of"))
-    discard(windows, marked, marks, met, hits, of_row, lists)
-    none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
-    out = out.join(found, "row", "left").select("text", "rest", "n", none("found", "array<struct<start:int,length:int>>"), none("of", "array<string>"))
-    return _named(out, kept, text, n_words, spans, item_ids)
+    # They travel as one, so that their names meet none of the names used here.
+    rest = F.struct(*map(col, kept)) if kept else F.lit(None).cast("int")
+    found = _found(docs, col(text), rest, _items(items, item_text, item_id), window)
+    return found.select(*[F.col("rest").getField(c).alias(c) for c in kept], F.col("n").alias(n_words), F.col("found").alias(spans), F.col("of").alias(item_ids))
 
 
-def _named(out: DataFrame, kept: list[str], text: str, n_words: str, spans: str, item_ids: str) -> DataFrame:
-    back = [F.col("text").alias(c) if c == text else F.col("rest").getField(c).alias(c) for c in kept]
-    return out.select(*back, F.col("n").alias(n_words), F.col("found").alias(spans), F.col("of").alias(item_ids))
+def _items(items: DataFrame, text: str, item_id: str) -> DataFrame:
+    return items.select(F.coalesce(col(item_id).cast("string"), F.lit("")).alias("item"), col(text).alias("text"))
 
 
 def contamination_report(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -156,9 +161,10 @@ def contamination_report(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     Extra columns are not read. The digest of no items is that of the empty text.
     """
-    found = find_contamination(docs.select("doc_id", "text"), items.select("item_id", "text"))
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["length"])
-    counts = found.select("doc_id", F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"))
+    found = _found(docs, F.col("text"), F.struct("doc_id"), _items(items, "text", "item_id"), WINDOW)
+    n_hit = F.aggregate("found", F.lit(0).cast("long"), lambda n, s: n + s["length"])
+    digest = F.sha2(F.array_join("of", ",").cast("binary"), 256)
+    counts = found.select("rest.doc_id", F.col("n").cast("long").alias("n_words"), n_hit.alias("n_hit"), F.size("of").cast("long").alias("n_items"), digest.alias("items_sha256"))
     return counts.withColumn("contaminated", F.col("n_hit") > 0)
 
 
