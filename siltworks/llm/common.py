@@ -8,11 +8,13 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a run of anything but space, tab, LF, VT, FF and CR.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -105,6 +107,36 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def other_columns(df: DataFrame, *outputs: str) -> list[str]:
+    """The columns of ``df`` but those that are called like an output, in any case."""
+    own = {c.lower() for c in outputs}
+    return [c for c in df.columns if c.lower() not in own]
+
+
+def add_columns(df: DataFrame, source: str, outputs: dict[str, T.DataType], compute: Callable[[Iterator[pa.Array]], Iterator[list[pa.Array]]]) -> DataFrame:
+    """Add the ``outputs`` that ``compute`` makes, batch by batch, of the column ``source``, beside the other columns.
+
+    Columns called like an output, in any case, are replaced; names are free.
+    """
+    kept = other_columns(df, *outputs)
+    at, names = kept.index(source), [f"c{i}" for i in range(len(kept) + len(outputs))]
+    plain = df.select(*[col(c).alias(n) for c, n in zip(kept, names)])
+    schema = T.StructType([*plain.schema, *[T.StructField(n, kind) for n, kind in zip(names[len(kept) :], outputs.values())]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here: list[pa.RecordBatch] = []
+
+        def values() -> Iterator[pa.Array]:
+            for batch in batches:
+                here.append(batch)
+                yield batch.column(at)
+
+        for new in compute(values()):
+            yield pa.RecordBatch.from_arrays([*here.pop(0).columns, *new], names=names)
+
+    return plain.mapInArrow(run, schema).toDF(*kept, *outputs)
+
+
 def word_count(text: Column) -> Column:
     """Number of words as long; null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")

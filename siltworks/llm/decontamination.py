@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltworks.llm.common import LETTERS_LOWER, LETTERS_UPPER, col, discard, materialise
+from siltworks.llm.common import LETTERS_LOWER, LETTERS_UPPER, col, discard, materialise, other_columns
 
 #: Words are runs of ASCII letters and digits and of all that is not ASCII.
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -144,8 +144,7 @@ def find_contamination(
     ids have a result each. Texts of any length are taken whole. Without documents there are no rows, without items no
     spans. Columns of the input are kept whatever their names; ones called like an output, in any case, are replaced.
     """
-    own = {c.lower() for c in (n_words, spans, item_ids)}
-    kept = [c for c in docs.columns if c.lower() not in own]
+    kept = other_columns(docs, n_words, spans, item_ids)
     # They travel as one, so that their names meet none of the names used here.
     rest = F.struct(*map(col, kept)) if kept else F.lit(None).cast("int")
     found = _found(docs, col(text), rest, _items(items, item_text, item_id), window)

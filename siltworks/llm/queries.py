@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltworks.llm import bpe, decontamination, embeddings, fingerprints, language, lines, minhash, mixing, packing, toolcalls, toxicity
+from siltworks.llm import bpe, decontamination, embeddings, fingerprints, language, lines, minhash, mixing, packing, periods, repair, toolcalls, toxicity
 from siltworks.llm.common import crc_bucket, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,6 +109,16 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toolcalls.chat_report(table(spark, sf_dir, "conversations"))
 
 
+@query("op11_conversation_repair")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_report(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.run_report(table(spark, sf_dir, "documents"))
+
+
 @query("op13_winnowing_decontamination", decontamination.ORACLE_SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
