@@ -109,7 +109,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toolcalls.chat_report(table(spark, sf_dir, "conversations"))
 
 
-@query("op11_conversation_repair")
+@query("op11_conversation_repair", repair.ORACLE_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_report(table(spark, sf_dir, "conversations"))
 

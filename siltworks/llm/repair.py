@@ -244,8 +244,11 @@ def _compose_group(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"conv": table.column("conv"), "piece": pa.array([r["piece"] for r in rows], pa.int64()), "whole": pa.array(whole, _WHOLE), "done": pa.array(done, pa.list_(_EDIT))})
 
 
-def _cells(messages: DataFrame, conv_id: str, turn: str, role: str, text: str) -> DataFrame:
-    """conv, turn, role, text, copies, fault, initial of each distinct turn; the fault is that of the first of equal ones."""
+def _cells(messages: DataFrame, conv_id: str, turn: str, role: str, text: str) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+    """conv, turn, role, text, copies, fault, initial of each distinct turn, and the written tables that it reads.
+
+    The fault is that of the first of equal turns.
+    """
     blank = lambda c: F.coalesce(col(c), F.lit(" "))
     df = messages.select(col(conv_id).alias("conv"), col(turn).alias("turn"), blank(role).alias("role"), blank(text).alias("text"))
     df = materialise(df.groupBy("conv", "turn", "role", "text").agg(F.count("*").alias("copies")))
@@ -362,3 +365,42 @@ def repair_report(conversations: DataFrame) -> DataFrame:
     numbers = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
     found = [*[F.coalesce(F.max(c), F.lit(0)).cast("long").alias(c) for c in numbers], F.coalesce(F.max("audit"), F.lit("")).alias("audit")]
     return both.groupBy("conv_id").agg(*found, F.coalesce(F.max("repaired_sha256"), F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+#: The crc32 by its table, then all three states and the end of the grammar carried from row to row, without pieces.
+ORACLE_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+named AS (SELECT conv_id, turn, coalesce(role, ' ') AS r, coalesce(text, ' ') AS x, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+cased AS (SELECT conv_id, turn, r, x,
+  xor(list_reduce(list_concat([4294967295], list_transform(string_split(name, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda c, b: xor(c >> 8, tab[xor(c & 255, b) + 1])), 4294967295) % 20 AS k FROM named, crc),
+damaged AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE r END AS r, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(x, '[.!?]', '', 'g') ELSE x END AS x,
+  unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) AS copy FROM cased WHERE k <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, x, copy) AS i, rtrim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM damaged),
+told AS (SELECT conv_id, turn, i, r, x, left(r, 1) AS c, left(lag(r) OVER (PARTITION BY conv_id ORDER BY i), 1) || left(r, 1) AS pair,
+  CASE WHEN bare = '' THEN 3 WHEN row_number() OVER (PARTITION BY conv_id, r, x ORDER BY i) > 1 THEN 2 WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS f FROM placed),
+-- The cheapest (cost, audit, text) of each state of the grammar after i rows: nothing, a system turn, an open pair, whole pairs.
+best AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, {c: 0::BIGINT, a: '', t: ''} AS e, NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR) AS s,
+    {c: 2::BIGINT, a: 'I', t: chr(10) || 'user:'} AS u, {c: 4::BIGINT, a: 'II', t: chr(10) || 'user:' || chr(10) || 'assistant:'} AS p FROM (SELECT DISTINCT conv_id FROM told)
+  UNION ALL
+  SELECT conv_id, i, e, s, u, list_min([p, {c: u.c + 2, a: u.a || 'I', t: u.t || chr(10) || 'assistant:'}]) FROM (
+    SELECT conv_id, i, e, s, p, list_min([u, {c: e.c + 2, a: e.a || 'I', t: e.t || chr(10) || 'user:'}, IF(s IS NULL, NULL, {c: s.c + 2, a: s.a || 'I', t: s.t || chr(10) || 'user:'}), {c: p.c + 2, a: p.a || 'I', t: p.t || chr(10) || 'user:'}]) AS u FROM (
+      SELECT b.conv_id, o.i, {c: e.c + 3, a: e.a || 'D', t: e.t} AS e,
+        list_min([IF(s IS NULL, NULL, {c: s.c + 3, a: s.a || 'D', t: s.t}), IF(f < 2 AND o.c = 's', {c: e.c + f, a: e.a || 'K', t: e.t || chr(10) || r || ':' || x}, NULL)]) AS s,
+        list_min([{c: u.c + 3, a: u.a || 'D', t: u.t},
+          IF(f < 2, {c: e.c + f + IF(o.c = 'u', 0, 2), a: e.a || IF(o.c = 'u', 'K', 'R'), t: e.t || chr(10) || IF(o.c = 'u', r, 'user') || ':' || x}, NULL),
+          IF(f < 2 AND s IS NOT NULL, {c: s.c + f + IF(o.c = 'u', 0, 2), a: s.a || IF(o.c = 'u', 'K', 'R'), t: s.t || chr(10) || IF(o.c = 'u', r, 'user') || ':' || x}, NULL),
+          IF(f < 2, {c: p.c + f + IF(o.c = 'u', 0, 2), a: p.a || IF(o.c = 'u', 'K', 'R'), t: p.t || chr(10) || IF(o.c = 'u', r, 'user') || ':' || x}, NULL)]) AS u,
+        list_min([{c: p.c + 3, a: p.a || 'D', t: p.t},
+          IF(f < 2, {c: u.c + f + IF(o.c = 'a', 0, 2), a: u.a || IF(o.c = 'a', 'K', 'R'), t: u.t || chr(10) || IF(o.c = 'a', r, 'assistant') || ':' || x}, NULL)]) AS p
+      FROM best b JOIN told o ON o.conv_id IS NOT DISTINCT FROM b.conv_id AND o.i = b.i + 1))),
+ended AS (SELECT conv_id, max(i) AS i FROM best GROUP BY conv_id),
+chosen AS (SELECT b.conv_id, list_min([e, p]) AS w FROM best b JOIN ended n ON n.conv_id IS NOT DISTINCT FROM b.conv_id AND n.i = b.i),
+stats AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(f = 3) AS blank, count_if(f = 2) AS duplicate, count_if(f = 1) AS truncated,
+  count_if(pair NOT IN ('su', 'ua', 'au')) AS illegal FROM told GROUP BY conv_id),
+ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT ids.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+  CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(w.c, 0) AS BIGINT) AS cost, coalesce(w.a, '') AS audit, sha256(coalesce(w.t[2:], '')) AS repaired_sha256
+FROM ids LEFT JOIN stats ON stats.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN chosen ON chosen.conv_id IS NOT DISTINCT FROM ids.conv_id
+"""
