@@ -538,37 +538,112 @@ def csv_corrupt_rows(spark, sf_dir):
     return spark.range(1).select(F.lit(found).cast("long").alias("n_corrupt"))
 
 
-_NATION = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
-_NATION_COLUMNS = ("n_nationkey", "n_name", "n_regionkey")
+@query("csv_counted", "SELECT count(*) AS n_rows, count(DISTINCT o_orderstatus) AS n_statuses FROM orders")
+def csv_counted(spark, sf_dir):
+    """A CSV's rows and one of its columns, without a use of the others."""
+    path = scratch_path(spark, "counted")
+    fixtures.load(spark, sf_dir, "orders").write.options(header=True).csv(path)
+    df = files.read_dataset(spark, path, "csv")
+    return spark.range(1).select(F.lit(df.count()).alias("n_rows"), F.lit(profile.top_values(df, "o_orderstatus").count()).cast("long").alias("n_statuses"))
+
+
+@query("csv_card", "SELECT count(*) AS row_count, 6::BIGINT AS column_count, true AS has_size FROM orders")
+def csv_card(spark, sf_dir):
+    """The card of a CSV."""
+    path = scratch_path(spark, "card")
+    fixtures.load(spark, sf_dir, "orders").write.options(header=True).csv(path)
+    card = files.dataset_card(files.read_dataset(spark, path, "csv"), "orders", path)
+    return spark.createDataFrame([(card["row_count"], card["column_count"], card["size_bytes"] > 0)], "row_count long, column_count long, has_size boolean")
+
+
+def _with_late_line(spark, sf_dir, name: str, last: str, **options) -> str:
+    """The orders as a CSV in files by ranges of their key, the last line alone with ``last`` as its priority."""
+    path, o = scratch_path(spark, name), fixtures.load(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    most = o.agg(F.max("o_orderkey")).first()[0]
+    o = o.withColumn("o_orderpriority", F.when(F.col("o_orderkey") == most, last).otherwise(F.col("o_orderpriority")))
+    o.repartitionByRange(2, "o_orderkey").sortWithinPartitions("o_orderkey").write.options(header=True, quote='"', escape='"', **options).csv(path)
+    return path
+
+
+def _late_sql(last: str) -> str:
+    return f"SELECT o_orderkey, CASE WHEN o_orderkey = (SELECT max(o_orderkey) FROM orders) THEN {last} ELSE o_orderpriority END AS o_orderpriority FROM orders"
+
+
+@query("csv_late_break", _late_sql("'first' || chr(10) || 'second, \"third\"'"))
+def csv_late_break(spark, sf_dir):
+    """The one value with a line break is the file's last."""
+    path = _with_late_line(spark, sf_dir, "late-break", 'first\nsecond, "third"')
+    return files.read_dataset(spark, path, "csv").withColumn("o_orderkey", F.col("o_orderkey").cast("long"))
+
+
+@query("csv_late_charset", _late_sql("'tr\u00e8s \u00fcber'"))
+def csv_late_charset(spark, sf_dir):
+    """The only bytes that are no UTF-8 are in the file's last line."""
+    path = _with_late_line(spark, sf_dir, "late-charset", "tr\u00e8s \u00fcber", encoding="ISO-8859-1")
+    return files.read_dataset(spark, path, "csv").withColumn("o_orderkey", F.col("o_orderkey").cast("long"))
+
+
+@query("csv_windows", _late_sql("chr(8220) || chr(8364) || chr(8221)"))
+def csv_windows(spark, sf_dir):
+    """Bytes that only Windows-1252 gives characters, in the last line; written as the controls that ISO-8859-1 has there."""
+    path = _with_late_line(spark, sf_dir, "windows", "“€”".encode("cp1252").decode("latin-1"), encoding="ISO-8859-1")
+    return files.read_dataset(spark, path, "csv").withColumn("o_orderkey", F.col("o_orderkey").cast("long"))
+
+
+@query("csv_utf16", _late_sql("chr(8364)"))
+def csv_utf16(spark, sf_dir):
+    """UTF-16 without a mark, told by its zero bytes."""
+    path = _with_late_line(spark, sf_dir, "utf16", "€", encoding="UTF-16LE")
+    return files.read_dataset(spark, path, "csv").withColumn("o_orderkey", F.col("o_orderkey").cast("long"))
+
+
+_CUSTOMER_COLUMNS = ("c_custkey", "c_name", "c_nationkey")
+_CUSTOMER = f"SELECT {', '.join(_CUSTOMER_COLUMNS)} FROM customer"
 
 
 def _document(layout: str):
-    """The nations as one JSON document of a layout; the table has a fixed number of rows."""
-    key, row = F.col("n_nationkey").cast("string"), F.struct(*_NATION_COLUMNS)
-    texts = F.array(*[F.col(c).cast("string") for c in _NATION_COLUMNS])
+    """Customers as one JSON document of a layout."""
+    key, row = F.col("c_custkey").cast("string"), F.struct(*_CUSTOMER_COLUMNS)
+    texts = F.array(*[F.col(c).cast("string") for c in _CUSTOMER_COLUMNS])
     if layout == "split":
-        return F.to_json(F.struct(F.array(*map(F.lit, _NATION_COLUMNS)).alias("columns"), F.collect_list(F.col("n_nationkey")).alias("index"), F.collect_list(texts).alias("data")))
+        return F.to_json(F.struct(F.array(*map(F.lit, _CUSTOMER_COLUMNS)).alias("columns"), F.collect_list(F.col("c_custkey")).alias("index"), F.collect_list(texts).alias("data")))
     if layout == "values":
         return F.to_json(F.collect_list(texts))
     if layout == "index":
         return F.to_json(F.map_from_entries(F.collect_list(F.struct(key, row))))
-    return F.to_json(F.struct(*[F.map_from_entries(F.collect_list(F.struct(key, F.col(c)))).alias(c) for c in _NATION_COLUMNS]))
+    return F.to_json(F.struct(*[F.map_from_entries(F.collect_list(F.struct(key, F.col(c)))).alias(c) for c in _CUSTOMER_COLUMNS]))
 
 
 def _layout(name: str) -> None:
-    @query(f"json_{name}", _NATION)
+    @query(f"json_{name}", _CUSTOMER)
     def read(spark, sf_dir):
-        """Written as one document, read by the layout that its beginning shows."""
-        path, nation = scratch_path(spark, f"nation-{name}"), fixtures.load(spark, sf_dir, "nation")
-        nation.agg(_document(name).alias("value")).coalesce(1).write.text(path)
+        """Written as a folder of documents of a few dozen customers each, read by the layout that they show."""
+        path, customer = scratch_path(spark, f"customer-{name}"), fixtures.load(spark, sf_dir, "customer")
+        documents = customer.groupBy(F.floor(F.col("c_custkey") / 500).alias("part")).agg(_document(name).alias("value"))
+        # A file per document.
+        documents.repartition("part").write.partitionBy("part").text(path)
         found = files.read_json(spark, path)
-        return found.toDF(*_NATION_COLUMNS) if name == "values" else found.select(*_NATION_COLUMNS)
+        found = found.toDF(*_CUSTOMER_COLUMNS) if name == "values" else found.select(*_CUSTOMER_COLUMNS)
+        return found.withColumns({"c_custkey": F.col("c_custkey").cast("long"), "c_nationkey": F.col("c_nationkey").cast("int")})
 
 
 for _name in ("split", "index", "columns", "values"):
     _layout(_name)
 
 
+_NATION = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
+_NATION_COLUMNS = ("n_nationkey", "n_name", "n_regionkey")
+
+
+@query("json_lines_nested", "SELECT event_id, user_id AS \"user.id\", event_type AS \"user.did\", value FROM events")
+def json_lines_nested(spark, sf_dir):
+    """Lines whose first value is an object, as most logs have them."""
+    path, e = scratch_path(spark, "nested"), fixtures.load(spark, sf_dir, "events")
+    nested = e.select(F.struct(F.col("user_id").alias("id"), F.col("event_type").alias("did")).alias("user"), "event_id", "value")
+    files.write_dataset(nested, path, "json")
+    return files.read_dataset(spark, path, "json").select("event_id", "`user.id`", "`user.did`", "value")
+
+
 @query("json_lines_sniffed", _NATION)
 def json_lines_sniffed(spark, sf_dir):
     path = scratch_path(spark, "lines")

@@ -2,58 +2,104 @@
 
 from __future__ import annotations
 
-import re
+from dataclasses import dataclass
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltworks.functions.columns import col
 from siltworks.operators.normalise import flatten, marker_counts, normalize_markers
 
 #: Separators that are looked for on a CSV's first line, in order of preference.
 SEPARATORS = (",", ";", "\t")
-#: Bytes of a file's head that separator and encoding are judged by.
+#: Bytes of a file's head: its first line gives the separator, its marks and zeros the kind of UTF-16.
 HEAD = 1 << 16
 FORMATS = ("csv", "json", "parquet")
 JSON_LAYOUTS = ("records", "split", "index", "columns", "values")
 CORRUPT = "_corrupt_record"
 ROW_NUMBER = "_index"
+#: The name that Windows-1252 goes by; Spark reads it as ISO-8859-1, from which it differs in these bytes.
+WINDOWS = "WINDOWS-1252"
+_WINDOWS_BYTES = [b for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore")]
+
+
+def _stored_files(spark: SparkSession, path: str) -> DataFrame:
+    """path and length of a file, or of a folder's files, that are not empty; only names and sizes are read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", "length").filter("length > 0")
 
 
 def head_bytes(spark: SparkSession, path: str, n: int = HEAD) -> bytes:
-    """The first bytes of a file, or of the first non-empty file of a folder, in any store that Spark reads."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length").filter("length > 0")
-    first = files.orderBy("path").limit(1).first()  # only names and sizes are read
+    """The first bytes of a file, or of the first non-empty file of a folder, in any store that Spark reads; unpacked ones of a packed file."""
+    first = _stored_files(spark, path).orderBy("path").limit(1).first()
     if first is None:
         return b""
-    jvm = spark.sparkContext._jvm
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     where = jvm.org.apache.hadoop.fs.Path(first["path"])
-    stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(where)
+    stream = where.getFileSystem(conf).open(where)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(where)
+    stream = codec.createInputStream(stream) if codec is not None else stream
     try:
-        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, min(n, first["length"])))
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, n)))
     finally:
         stream.close()
 
 
+@dataclass(frozen=True)
+class Evidence:
+    """What all bytes of a file tell, line by line: no character of UTF-8 holds the byte that ends lines.
+
+    ``odd_quotes`` counts lines with an odd number of quotes. A quoted value that holds a line break begins on such a
+    line, as the quotes up to it are even; so without any no value does.
+    """
+
+    lines: int = 0
+    odd_quotes: int = 0
+    not_utf8: int = 0
+    controls: int = 0
+    undefined: int = 0
+    zeros: int = 0
+    not_objects: int = 0
+
+    def encoding(self, head: bytes) -> str:
+        """UTF-8 if all lines can be, else Windows-1252 where only that gives the bytes characters, else ISO-8859-1, which any bytes can be.
+
+        UTF-16 by its mark, or by zero bytes, which no text of the others holds; the head's zeros tell its order.
+        """
+        if head[:2] in (b"\xff\xfe", b"\xfe\xff"):
+            return "UTF-16"
+        if self.zeros and head:
+            return "UTF-16LE" if head[1::2].count(0) > head[::2].count(0) else "UTF-16BE"
+        if not self.not_utf8:
+            return "UTF-8"
+        return WINDOWS if self.controls and not self.undefined else "ISO-8859-1"
+
+
+def evidence(spark: SparkSession, path: str, objects: bool = False) -> Evidence:
+    """One parallel pass over all bytes of a file or folder; ``objects`` counts the lines that are no JSON objects, too."""
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.decode(F.col("value").cast("binary"), "ISO-8859-1").alias("bytes"))
+    quotes = F.length("bytes") - F.length(F.replace("bytes", F.lit('"'), F.lit("")))
+    of = {
+        "lines": F.count_if(F.trim("bytes") != ""),
+        "odd_quotes": F.count_if(quotes % 2 == 1),
+        "not_utf8": F.count_if(~F.is_valid_utf8("value")),
+        "controls": F.count_if(F.col("bytes").rlike(r"[\x80-\x9F]")),
+        "undefined": F.count_if(F.col("bytes").rlike("[" + "".join(f"\\x{b:02X}" for b in range(0x80, 0xA0) if b not in _WINDOWS_BYTES) + "]")),
+        "zeros": F.count_if(F.col("bytes").contains("\x00")),
+    }
+    if objects:
+        bare = F.regexp_replace("value", "^\ufeff", "")
+        of["not_objects"] = F.count_if((F.trim("bytes") != "") & ~F.coalesce(F.schema_of_variant(F.try_parse_json(bare)).startswith("OBJECT"), F.lit(False)))
+    return Evidence(**lines.agg(*[c.alias(n) for n, c in of.items()]).first().asDict())
+
+
 def sniff_separator(line: str) -> str:
     """The separator that is most frequent on the line; ties and none go to the first."""
     return max(SEPARATORS, key=lambda s: (line.count(s), -SEPARATORS.index(s)))
 
 
-def sniff_encoding(head: bytes) -> str:
-    """UTF-8 unless the head can't be; then ISO-8859-1. UTF-16 by its mark."""
-    if head[:2] in (b"\xff\xfe", b"\xfe\xff"):
-        return "UTF-16"
-    try:
-        head[: max(0, len(head) - 3)].decode("utf-8")
-    except UnicodeDecodeError as e:
-        # A character cut at the end of the head is no error.
-        if e.start < len(head) - 6:
-            return "ISO-8859-1"
-    return "UTF-8"
-
-
 def format_of(path: str, fmt: str | None = None) -> str:
     kind = (fmt or path.rstrip("/").rpartition(".")[2]).lower()
     if kind not in FORMATS:
@@ -61,111 +107,131 @@ def format_of(path: str, fmt: str | None = None) -> str:
     return kind
 
 
-def may_break_lines(head: bytes, encoding: str) -> bool:
-    """Whether a quoted value of the head holds a line break: some line has an odd number of quotes."""
-    return any(line.count('"') % 2 for line in head.decode(encoding, "replace").split("\n"))
+def _is_windows(encoding: str) -> bool:
+    return encoding.upper() in (WINDOWS, "CP1252", "CP-1252")
+
+
+def _from_windows(df: DataFrame) -> DataFrame:
+    """Texts and names that were read as ISO-8859-1 as what their bytes are in Windows-1252."""
+    as_read, meant = "".join(map(chr, _WINDOWS_BYTES)), bytes(_WINDOWS_BYTES).decode("cp1252")
+    name = lambda c: c.translate(str.maketrans(as_read, meant))
+    right = lambda f: F.translate(col(f.name), as_read, meant) if isinstance(f.dataType, T.StringType) else col(f.name)
+    return df.select(*[right(f).alias(name(f.name)) for f in df.schema])
 
 
 def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None, schema: T.StructType | None = None, on_corrupt: str = "raise", multi_line: bool | None = None) -> DataFrame:
     """A CSV with header, quoted by ``"`` (doubled inside).
 
-    Separator and encoding are taken from the head of the file if not given. Rows with too few or too many
-    values are counted and raise (``on_corrupt`` raise), or are left out (drop). ``multi_line`` reads values over
-    several lines, which makes a file one task. By default the head decides, and a file whose rows do not fit line
-    by line is read again as one that has such values before its rows are called corrupt.
+    All bytes decide, in one pass, what is not given: the encoding (UTF-8, UTF-16 with mark or without, ISO-8859-1,
+    Windows-1252) and whether values hold line breaks (``multi_line``), which makes a file one task. The separator is
+    that of the first line. Rows with too few or too many values are counted and raise (``on_corrupt`` raise), or are left out
+    (drop), whatever columns are used of the result.
     """
     if on_corrupt not in ("raise", "drop"):
         raise ValueError(f"on_corrupt must be raise or drop, not {on_corrupt}")
-    head = head_bytes(spark, path) if sep is None or encoding is None or multi_line is None else b""
-    encoding = encoding or sniff_encoding(head)
-    sep = sep or sniff_separator(head.decode("ISO-8859-1" if encoding == "ISO-8859-1" else encoding, "replace").lstrip("\ufeff").partition("\n")[0])
-    # Lines of UTF-16 can't be cut at bytes.
-    ways = [multi_line] if multi_line is not None else [True] if encoding.upper().startswith("UTF-16") or may_break_lines(head, encoding) else [False, True]
-    for several_lines in ways:
-        df, found = _csv(spark, path, {"header": True, "sep": sep, "quote": '"', "escape": '"', "multiLine": several_lines, "encoding": encoding}, schema)
-        if on_corrupt == "drop" and len(ways) == 1:
-            break
-        # All columns are read with the corrupt one, which Spark asks for; their hashes are of no use otherwise.
-        bad = df.agg(F.count_if(F.col(CORRUPT).isNotNull()).alias("n"), F.max(F.xxhash64(*[F.col(f"`{f.name}`") for f in found]))).first()["n"]
-        if not bad:
-            break
-    else:
-        if on_corrupt == "raise":
-            raise ValueError(f"{bad} rows of {path} do not fit the {len(found)} columns")
-    return df.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
-
-
-def _csv(spark: SparkSession, path: str, options: dict, schema: T.StructType | None) -> tuple[DataFrame, T.StructType]:
+    head = head_bytes(spark, path) if sep is None or encoding is None else b""
+    seen = evidence(spark, path) if encoding is None or multi_line is None else Evidence()
+    encoding = encoding or seen.encoding(head)
+    sep = sep or sniff_separator(head.decode(encoding, "replace").lstrip("\ufeff").partition("\n")[0])
+    if multi_line is None:
+        # Lines of UTF-16 can't be cut at bytes.
+        multi_line = encoding.upper().startswith("UTF-16") or seen.odd_quotes > 0
+    windows = _is_windows(encoding)
+    options = {"header": True, "sep": sep, "quote": '"', "escape": '"', "multiLine": multi_line, "encoding": "ISO-8859-1" if windows else encoding}
     if schema is None:
         schema = spark.read.options(**options, inferSchema=True).csv(path).schema
+    # Rows are told to fit by all of their values, so none may be left unread.
     whole = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    return spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT).schema(whole).csv(path), schema
+    checked = spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, columnPruning=False).schema(whole).csv(path)
+    # Spark refuses a read of the corrupt record alone, so a length that is never negative asks for a value.
+    fits = F.col(CORRUPT).isNull() & (F.length(F.concat_ws("", *[col(f.name).cast("string") for f in schema.fields[:1]])) >= 0)
+    if on_corrupt == "drop":
+        df = checked.filter(fits).drop(CORRUPT)
+    else:
+        if bad := checked.filter(~fits).count():
+            raise ValueError(f"{bad} rows of {path} do not fit the {len(schema)} columns")
+        df = spark.read.options(**options, mode="FAILFAST").schema(schema).csv(path)
+    return _from_windows(df) if windows else df
+
 
+_KEYED, _KEYED_TWICE = "map<string,variant>", "map<string,map<string,string>>"
 
-def json_layout(head: bytes, encoding: str = "UTF-8") -> str:
-    """The layout that the beginning of a JSON document shows: records, split, values, columns or index.
 
-    An object of objects is rows by their index where its keys are whole numbers and those of the first inner object
-    are not; else it is columns.
+def _document_layout(documents: DataFrame) -> str:
+    """The layout of whole documents ``v``: the first that all of them have; split, values, columns, index, else records.
+
+    An object of objects is columns where the keys inside are whole numbers, which are rows then, else rows by their name.
     """
-    text = head.decode(encoding, "replace").lstrip("\ufeff \t\r\n")
-    if text.startswith("["):
-        return "values" if text[1:].lstrip().startswith("[") else "records"
-    keys = re.match(r'\{\s*"((?:[^"\\]|\\.)*)"\s*:\s*(.)', text, re.S)
-    if keys and keys[1] in ("columns", "index", "data") and keys[2] == "[":
-        return "split"
-    if keys and keys[2] == "{":
-        inner = re.match(r'\s*"((?:[^"\\]|\\.)*)"', text[keys.end() :])
-        whole = r"-?\d+"
-        return "index" if re.fullmatch(whole, keys[1]) and inner and not re.fullmatch(whole, inner[1]) else "columns"
-    return "records"
+    part = lambda path, kind: F.expr(f"try_variant_get(v, '{path}', '{kind}')")
+    inner = F.map_values(part("$", _KEYED))
+    keyed = F.forall(inner, lambda x: F.try_variant_get(x, "$", _KEYED).isNotNull()) & (F.size(inner) > 0)
+    keys = F.flatten(F.transform(inner, lambda x: F.map_keys(F.try_variant_get(x, "$", _KEYED))))
+    rows = part("$", "array<variant>")
+    lists = lambda some: F.forall(some, lambda r: F.try_variant_get(r, "$", "array<variant>").isNotNull())
+    texts = lambda some: F.forall(some, lambda r: F.schema_of_variant(r) == "STRING")
+    found = documents.agg(
+        F.bool_and(F.coalesce(texts(part("$.columns", "array<variant>")) & lists(part("$.data", "array<variant>")), F.lit(False))).alias("split"),
+        F.bool_and(F.coalesce(lists(rows) & (F.size(rows) > 0), F.lit(False))).alias("values"),
+        F.bool_and(F.coalesce(keyed & F.forall(keys, lambda k: k.rlike(r"^-?\d+$")), F.lit(False))).alias("columns"),
+        F.bool_and(F.coalesce(keyed, F.lit(False))).alias("index"),
+    ).first()
+    return next((n for n in ("split", "values", "columns", "index") if found[n]), "records")
 
 
 def read_json(spark: SparkSession, path: str, layout: str | None = None, encoding: str | None = None, schema: T.StructType | None = None) -> DataFrame:
-    """JSON records (an array or one object per line), or one document in the layout split, index, columns or values.
+    """JSON records (an array, or one object per line), or documents in the layout split, index, columns or values.
 
-    The other layouts are one document, which has one reader; they are parsed and turned to rows by built-in
-    functions: no document reaches the driver, except the column names of split.
+    All lines decide what is not given. Where each is an object, and there are more of them than files, they are records.
+    Otherwise each file is one document, and the first layout holds that all documents have. A document has one reader,
+    a folder as many as documents; built-in functions parse them and turn them to rows. Of documents only the names of
+    their columns reach the driver.
     """
-    head = head_bytes(spark, path) if layout is None or encoding is None else b""
-    encoding = encoding or sniff_encoding(head)
-    layout = layout or json_layout(head, encoding)
-    if layout not in JSON_LAYOUTS:
+    if layout is not None and layout not in JSON_LAYOUTS:
         raise ValueError(f"unknown layout: {layout}; known: {', '.join(JSON_LAYOUTS)}")
+    head = head_bytes(spark, path)
+    wide_head = head[:2] in (b"\xff\xfe", b"\xfe\xff") or b"\x00" in head
+    object_first = not wide_head and head.lstrip(b"\xef\xbb\xbf \t\r\n").startswith(b"{")
+    seen = evidence(spark, path, objects=object_first and layout in (None, "records")) if encoding is None or object_first else Evidence()
+    encoding = encoding or seen.encoding(head)
+    windows = _is_windows(encoding)
+    charset = "ISO-8859-1" if windows else encoding
+    by_line = seen.lines > 1 and object_first and layout in (None, "records") and not seen.not_objects and seen.lines > _stored_files(spark, path).count()
+    documents = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.decode(F.col("value").cast("binary"), charset).alias("value"))
+    documents = documents.filter("trim(value) <> ''").select(F.monotonically_increasing_id().alias("document"), F.try_parse_json(F.regexp_replace("value", "^\ufeff", "")).alias("v"))
+    if layout is None:
+        layout = "records" if by_line else _document_layout(documents)
     if layout == "records":
-        reader = spark.read.options(multiLine=True, encoding=encoding, mode="FAILFAST")
-        if schema is not None:
-            reader = reader.schema(schema)
-        lines = head.lstrip(b"\xef\xbb\xbf \t\r\n")
-        if lines.startswith(b"{") and b"\n{" in lines:
-            reader = reader.option("multiLine", False)
-        return reader.json(path)
-    text = spark.read.option("wholetext", True).option("encoding", encoding).text(path).select(F.parse_json("value").alias("v"))
+        reader = spark.read.options(multiLine=not by_line, encoding=charset, mode="FAILFAST", **({"lineSep": "\n"} if by_line else {}))
+        df = (reader.schema(schema) if schema is not None else reader).json(path)
+        return _from_windows(df) if windows else df
     if layout == "values":
-        rows = text.select(F.posexplode(F.expr("variant_get(v, '$', 'array<array<string>>')")).alias(ROW_NUMBER, "r"))
+        rows = documents.select(F.posexplode(F.expr("variant_get(v, '$', 'array<array<string>>')")).alias(ROW_NUMBER, "r"))
         width = rows.agg(F.max(F.size("r"))).first()[0] or 0
-        names = {f"c{i}": str(i) for i in range(width)}
-        wide = rows.select(*[F.get("r", F.lit(i)).alias(names[f"c{i}"]) for i in range(width)])
+        wide = rows.select(*[F.get("r", F.lit(i)).alias(str(i)) for i in range(width)])
     elif layout == "split":
-        names_ = text.select(F.expr("variant_get(v, '$.columns', 'array<string>')")).first()[0]
-        rows = text.select(F.explode(F.expr("variant_get(v, '$.data', 'array<array<string>>')")).alias("r"))
-        wide = rows.select(*[F.get("r", F.lit(i)).alias(n) for i, n in enumerate(names_)])
+        # Of a column each document has its own place.
+        names = documents.select(F.explode(F.expr("variant_get(v, '$.columns', 'array<string>')")).alias("n")).groupBy("n").count().collect()
+        names_ = sorted(r.n for r in names)
+        if (first := documents.select(F.expr("variant_get(v, '$.columns', 'array<string>')")).first()) is not None:
+            names_ = [*first[0], *[n for n in names_ if n not in first[0]]]
+        rows = documents.select(F.expr("variant_get(v, '$.columns', 'array<string>')").alias("c"), F.explode(F.expr("variant_get(v, '$.data', 'array<array<string>>')")).alias("r"))
+        wide = rows.select(*[F.get("r", F.array_position("c", n).cast("int") - 1).alias(n) for n in names_])
     else:
-        cells = text.select(F.explode(F.expr("variant_get(v, '$', 'map<string,map<string,string>>')")).alias("outer", "inner")).select("outer", F.explode("inner").alias("inner", "value"))
+        cells = documents.select("document", F.explode(F.expr(f"variant_get(v, '$', '{_KEYED_TWICE}')")).alias("outer", "inner")).select("document", "outer", F.explode("inner").alias("inner", "value"))
         row, name = ("inner", "outer") if layout == "columns" else ("outer", "inner")
         names_ = sorted(r[0] for r in cells.select(name).distinct().collect())
-        wide = cells.groupBy(F.col(row).alias(ROW_NUMBER)).pivot(name, names_).agg(F.first("value")).drop(ROW_NUMBER)
-    return _typed(wide, schema)
+        wide = cells.groupBy("document", F.col(row).alias(ROW_NUMBER)).pivot(name, names_).agg(F.first("value")).drop("document", ROW_NUMBER)
+    return _typed(_from_windows(wide) if windows else wide, schema)
 
 
 def _typed(df: DataFrame, schema: T.StructType | None) -> DataFrame:
     """Text columns as numbers or booleans where all their values are; or as a given schema says."""
     if schema is not None:
-        return df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema])
+        return df.select(*[col(f.name).cast(f.dataType).alias(f.name) for f in schema])
     kinds = ("bigint", "double", "boolean")
-    seen = df.agg(*[F.count_if(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast(k).isNull()).alias(f"{k}{i}") for i, c in enumerate(df.columns) for k in kinds]).first()
+    seen = df.agg(*[F.count_if(col(c).isNotNull() & col(c).try_cast(k).isNull()).alias(f"{k}{i}") for i, c in enumerate(df.columns) for k in kinds]).first()
     chosen = [next((k for k in kinds if not seen[f"{k}{i}"]), "string") for i in range(len(df.columns))]
-    return df.select(*[F.col(f"`{c}`").cast(k).alias(c) for c, k in zip(df.columns, chosen)])
+    return df.select(*[col(c).cast(k).alias(c) for c, k in zip(df.columns, chosen)])
 
 
 def read_dataset(spark: SparkSession, path: str, fmt: str | None = None, sep: str | None = None, encoding: str | None = None, schema: T.StructType | None = None, flatten_nested: bool = True, markers: bool = False) -> DataFrame:
@@ -186,7 +252,7 @@ def write_dataset(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "e
     kind = format_of(path, fmt)
     if kind == "csv":
         nested = (T.StructType, T.ArrayType, T.MapType)
-        df = df.select(*[F.to_json(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, nested) else F.col(f"`{f.name}`") for f in df.schema])
+        df = df.select(*[F.to_json(col(f.name)).alias(f.name) if isinstance(f.dataType, nested) else col(f.name) for f in df.schema])
         df.write.mode(mode).options(header=True, quote='"', escape='"').csv(path)
     else:
         getattr(df.write.mode(mode), kind)(path)
@@ -194,8 +260,7 @@ def write_dataset(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "e
 
 def stored_bytes(spark: SparkSession, path: str) -> int:
     """Bytes of a file or of all files of a folder, in any store that Spark reads; only names and sizes are read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.agg(F.sum("length")).first()[0] or 0
+    return _stored_files(spark, path).agg(F.sum("length")).first()[0] or 0
 
 
 def dataset_card(df: DataFrame, name: str, path: str | None = None, markers: bool = False) -> dict:

@@ -74,6 +74,84 @@ def test_json_lines(spark, tmp_path):
     assert sorted(rows(files.read_dataset(spark, path))) == [(1,), (2,)]
 
 
+def orders_like(n):
+    return "".join(f"{i},name {i}\n" for i in range(n))
+
+
+def test_a_csv_can_be_counted(spark, tmp_path):
+    path = put(tmp_path, "count.csv", "a,b\n1,x\n2,y\n")
+    df = files.read_dataset(spark, path)
+    assert df.count() == 2 and df.select("a").count() == 2 and files.dataset_card(df, "t", path)["row_count"] == 2
+    ragged = files.read_csv(spark, put(tmp_path, "drop.csv", "a,b\n1,2\n3\n4,5,6\n7,8\n"), on_corrupt="drop")
+    # Whatever is read of the result, the same rows are left out.
+    assert ragged.count() == 2 and rows(ragged.select("a")) == [(1,), (7,)] and rows(ragged.select("b")) == [(2,), (8,)]
+    assert files.read_csv(spark, put(tmp_path, "empty.csv", "a,b\n")).count() == 0
+
+
+def test_a_line_break_at_the_end_of_a_long_file(spark, tmp_path):
+    path = put(tmp_path, "late.csv", "a,b\n" + orders_like(6000) + '6001,"first\nsecond, third"')
+    df = files.read_dataset(spark, path)
+    assert df.count() == 6001 and rows(df.filter("a = 6001")) == [(6001, "first\nsecond, third")]
+
+
+@pytest.mark.parametrize(("encoding", "text"), [("latin-1", "é"), ("cp1252", "“€”"), ("utf-8", "é“日本"), ("utf-8-sig", "é"), ("utf-16", "é€"), ("utf-16-le", "é€日"), ("utf-16-be", "é€日")])
+def test_encodings_told_by_the_last_line(spark, tmp_path, encoding, text):
+    path = put(tmp_path, "late.csv", ("a,b\n" + orders_like(6000) + f"6001,{text}\n").encode(encoding))
+    df = files.read_dataset(spark, path)
+    assert df.columns == ["a", "b"] and df.count() == 6001
+    assert rows(df.filter("a = 6001")) == [(6001, text)]
+
+
+def test_windows_names_and_quotes_in_values(spark, tmp_path):
+    df = files.read_csv(spark, put(tmp_path, "w.csv", 'prix €,b\n"a ""b"" …",5" pipe\n'.encode("cp1252")))
+    assert df.columns == ["prix €", "b"] and rows(df) == [('a "b" …', '5" pipe')]
+    assert rows(files.read_csv(spark, put(tmp_path, "w2.csv", "a,b\n1,€\n".encode("cp1252")), encoding="cp1252")) == [(1, "€")]
+
+
+def test_a_packed_file(spark, tmp_path):
+    import gzip
+
+    path = put(tmp_path, "p.csv.gz", gzip.compress("a;b\n1;é\n".encode("latin-1")))
+    assert rows(files.read_csv(spark, path)) == [(1, "é")]
+
+
+def test_json_lines_that_begin_with_an_object(spark, tmp_path):
+    read = lambda text, **more: files.read_dataset(spark, put(tmp_path, "l.json", text), **more)
+    assert sorted(rows(read('{"a":{"x":1},"t":5}\n{"a":{"x":2},"t":6}\n'))) == [(1, 5), (2, 6)]
+    assert sorted(rows(read('{"a":{"x":1},"b":{"x":2}}\n{"a":{"x":3},"b":{"x":4}}\n'))) == [(1, 2), (3, 4)]
+    assert sorted(rows(read('{"data":[1,2],"id":1}\n{"data":[3],"id":2}'))) == [([1, 2], 1), ([3], 2)]
+    assert sorted(rows(read('{"columns":["a"],"data":[1,2]}'))) == [(["a"], [1, 2])]
+    assert read('{"a":1}\n\n{"a":2}\n').count() == 2
+    pretty = json.dumps({"a": {"x": 1}, "t": 5}, indent=1)
+    assert rows(read(pretty)) == [(1, 5)]
+    long = "".join(json.dumps({"a": {"x": i}, "b": {"x": "é"}}, ensure_ascii=False) + "\n" for i in range(5000))
+    assert read(long).count() == 5000
+
+
+def test_json_rows_by_name(spark, tmp_path):
+    read = lambda content: files.read_json(spark, put(tmp_path, "n.json", json.dumps(content)))
+    assert rows(read({"r1": {"a": 1}})) == [(1,)]
+    assert sorted(rows(read({"r1": {"a": 1, "b": "x"}, "r2": {"a": 2, "b": None}}))) == [(1, "x"), (2, None)]
+    assert sorted(rows(read({"a": {"0": 1, "1": 2}}))) == [(1,), (2,)]
+
+
+def test_json_documents_in_a_folder(spark, tmp_path):
+    for layout, content in {"split": {"columns": ["a", "b"], "data": [[1, "x"]]}, "values": [[1, "x"]], "index": {"r": {"a": 1, "b": "x"}}, "columns": {"a": {"0": 1}, "b": {"0": "x"}}}.items():
+        (tmp_path / layout).mkdir()
+        for i in range(3):
+            (tmp_path / layout / f"{i}.json").write_text(json.dumps(content, indent=2))
+        assert rows(files.read_json(spark, str(tmp_path / layout))) == [(1, "x")] * 3, layout
+
+
+def test_json_encodings(spark, tmp_path):
+    text = '{"a": "é€"}\n{"a": "x"}\n'
+    for encoding in ("utf-8", "utf-8-sig", "cp1252"):
+        assert sorted(rows(files.read_json(spark, put(tmp_path, f"{encoding}.json", text.encode(encoding))))) == [("x",), ("é€",)], encoding
+    for encoding in ("utf-16", "latin-1"):
+        path = put(tmp_path, f"{encoding}.json", '[{"a": "é"}, {"a": "x"}]'.encode(encoding))
+        assert sorted(rows(files.read_json(spark, path))) == [("x",), ("é",)], encoding
+
+
 def test_formats(spark, tmp_path):
     with pytest.raises(ValueError, match="unsupported"):
         files.read_dataset(spark, "table.xlsx")
