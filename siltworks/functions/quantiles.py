@@ -34,51 +34,77 @@ class _Search:
     low: float | None = None
     high: float | None = None
     found: float | None = None
+    #: Values that a sketch puts around the rank, if there is one already.
+    bracket: tuple[float, float] | None = None
 
     def inside(self, values: list[Column]) -> Column:
         v = values[self.column]
         return v if self.low is None else F.when((v >= F.lit(self.low)) & (v <= F.lit(self.high)), v)
 
 
-def _approximate(df: DataFrame, values: Sequence[Column], shares: Sequence[float]) -> list[list[float] | None]:
-    given = F.array(*map(F.lit, shares))
-    return list(df.agg(*[F.percentile_approx(v, given, F.lit(ACCURACY)).alias(f"q{i}") for i, v in enumerate(values)]).first())
+def _sketched(values: Sequence[Column], shares: Sequence[Sequence[float]], accuracy: int) -> list[Column]:
+    return [F.percentile_approx(v, F.array(*map(F.lit, s)), F.lit(accuracy)).alias(f"q{i}") for i, (v, s) in enumerate(zip(values, shares))]
 
 
-def quantiles(df: DataFrame, values: Sequence[Column], shares: Sequence[float], approximate: bool = False) -> list[list[float] | None]:
+def quantiles(df: DataFrame, values: Sequence[Column], shares: Sequence[float] | Sequence[Sequence[float]], approximate: bool = False) -> list[list[float] | None]:
     """For each of the double ``values`` its quantiles at ``shares``, by linear interpolation; None without values.
 
-    Nulls don't count, and there must be no NaN. ``approximate`` takes one pass with sketches instead.
+    ``shares`` are those of all values, or a list for each. Nulls don't count, and there must be no NaN. ``approximate``
+    takes one pass with sketches instead.
+    """
+    return quantiles_beside(df, values, shares, [], approximate)[0]
+
+
+def quantiles_beside(df: DataFrame, values: Sequence[Column], shares: Sequence[float] | Sequence[Sequence[float]], more: Sequence[Column], approximate: bool = False) -> tuple[list[list[float] | None], list]:
+    """``quantiles``, and what the aggregates ``more`` give, which are part of the first pass.
+
+    That pass counts the values and brackets every rank by one sketch per column. The second gives the quantiles of small tables,
+    or says where the ranks lie in their brackets; large tables take one or two more over ever fewer values.
     """
     if not values:
-        return []
+        return [], list(df.agg(*[m.alias(f"m{i}") for i, m in enumerate(more)]).first()) if more else []
+    each = [list(s) for s in shares] if not isinstance(shares[0], float) else [list(shares)] * len(values)
+    ends = each if approximate else [[e for x in s for e in (max(0.0, x - WIDTH), min(1.0, x + WIDTH))] for s in each]
+    first = df.agg(
+        *[F.count(v).alias(f"n{i}") for i, v in enumerate(values)], *_sketched(values, ends, ACCURACY if approximate else BRACKET_ACCURACY), *[m.alias(f"m{i}") for i, m in enumerate(more)]
+    ).first()
+    counts, brackets, beside = list(first[: len(values)]), first[len(values) : 2 * len(values)], list(first[2 * len(values) :])
     if approximate:
-        return _approximate(df, values, shares)
-    counts = list(df.agg(*[F.count(v).alias(f"n{i}") for i, v in enumerate(values)]).first())
+        return list(brackets), beside
     if sum(counts) <= DIRECT:
-        given = F.array(*map(F.lit, shares))
-        return list(df.agg(*[F.percentile(v, given).alias(f"q{i}") for i, v in enumerate(values)]).first())
-    wanted = {(i, k): _Search(i, k, n) for i, n in enumerate(counts) if n for s in shares for k in (math.floor(s * (n - 1)), math.ceil(s * (n - 1)))}
-    while open_ := [w for w in wanted.values() if w.found is None]:
+        wanted = [F.percentile(v, F.array(*map(F.lit, s))).alias(f"q{i}") for i, (v, s) in enumerate(zip(values, each))]
+        return list(df.agg(*wanted).first()), beside
+    found = {}
+    for i, n in enumerate(counts):
+        for j, x in enumerate(each[i] if n else []):
+            for k in (math.floor(x * (n - 1)), math.ceil(x * (n - 1))):
+                found[i, k] = _Search(i, k, n, bracket=(brackets[i][2 * j], brackets[i][2 * j + 1]))
+    while open_ := [w for w in found.values() if w.found is None]:
         if large := [w for w in open_ if w.rows > SMALL]:
             _narrow(df, list(values), large)
         else:
             _look(df, list(values), open_)
     out: list[list[float] | None] = []
     for i, n in enumerate(counts):
-        at = [s * (n - 1) for s in shares]
-        ends = [(wanted[i, math.floor(x)].found, wanted[i, math.ceil(x)].found) for x in at] if n else []
-        out.append([a if a == b else a + (b - a) * (x - math.floor(x)) for x, (a, b) in zip(at, ends)] if n else None)
-    return out
+        at = [s * (n - 1) for s in each[i]]
+        ranks = [(found[i, math.floor(x)].found, found[i, math.ceil(x)].found) for x in at] if n else []
+        out.append([a if a == b else a + (b - a) * (x - math.floor(x)) for x, (a, b) in zip(at, ranks)] if n else None)
+    return out, beside
 
 
 def _narrow(df: DataFrame, values: list[Column], searches: list[_Search]) -> None:
     """One round: a bracket around each rank, and where the rank lies in it."""
-    asked = []
+    asked = {}
+    for w in searches:
+        if w.bracket is None:
+            share = w.rank / (w.rows - 1)
+            asked[id(w)] = F.percentile_approx(w.inside(values), F.array(F.lit(max(0.0, share - WIDTH)), F.lit(min(1.0, share + WIDTH))), F.lit(BRACKET_ACCURACY))
+    if asked:
+        row = df.agg(*[a.alias(f"b{j}") for j, a in enumerate(asked.values())]).first()
+        sketched = dict(zip(asked, row))
+    ends = [tuple(w.bracket or sketched[id(w)]) for w in searches]
     for w in searches:
-        share = w.rank / (w.rows - 1)
-        asked.append(F.percentile_approx(w.inside(values), F.array(F.lit(max(0.0, share - WIDTH)), F.lit(min(1.0, share + WIDTH))), F.lit(BRACKET_ACCURACY)))
-    ends = df.agg(*[a.alias(f"b{j}") for j, a in enumerate(asked)]).first()
+        w.bracket = None
     counts = []
     for j, w in enumerate(searches):
         v, (low, high) = w.inside(values), ends[j]

@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import date, datetime
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltworks.functions.columns import INTEGRAL, TEMPORAL, col, dtype, free_names, is_numeric, missing, type_class, usable
-from siltworks.functions.order import stretch_of
-from siltworks.functions.quantiles import quantiles
+from siltworks.functions.order import carried, interpolated
+from siltworks.functions.quantiles import quantiles_beside
+from siltworks.operators.outliers import together
 
-STRATEGIES = ("drop_rows", "mean", "median", "mode", "constant", "ffill", "bfill", "zero", "empty")
+STRATEGIES = ("drop_rows", "mean", "median", "mode", "constant", "ffill", "bfill", "interpolate", "zero", "empty")
 # The words that a boolean constant may be.
 TRUE_WORDS = ("true", "1", "oui", "yes")
 FALSE_WORDS = ("false", "0", "non", "no")
@@ -80,15 +80,24 @@ def apply_missing(df: DataFrame, rules: list[dict | MissingRule], order_by: str
     """Treat missing values rule by rule; each rule's statistics see what the rules before left.
 
     mean and median make integers and decimals double; ``approximate`` takes a sketch for the median. mode takes the
-    smallest of equally frequent values. These three look at the data when the rule is applied. ffill and bfill need
-    ``order_by``. Where a column has nothing to take a mean, median or mode of, ``on_error`` raise raises, null
-    leaves the column's values as they are.
+    smallest of equally frequent values. These three look at the data when the rule is applied, and rules of different
+    columns without a drop_rows between them take their passes together. ffill and bfill need ``order_by``. So does
+    interpolate, which makes the column double and draws a line over the first order column between the last and the next
+    value present; what is missing before the first or after the last one stays so. Where a column has nothing to take a
+    mean, median or mode of, ``on_error`` raise raises, null leaves the column's values as they are.
     """
     if on_error not in ("raise", "null"):
         raise ValueError(f"on_error must be raise or null, not {on_error}")
-    for rule in rules:
-        rule = rule if isinstance(rule, MissingRule) else MissingRule.from_dict(rule)
-        df = _apply(df, rule, [order_by] if isinstance(order_by, str) else order_by, partition_by or [], on_error, approximate)
+    rules = [r if isinstance(r, MissingRule) else MissingRule.from_dict(r) for r in rules]
+    order_by = [order_by] if isinstance(order_by, str) else order_by
+    while rules:
+        n = together([r.column for r in rules], [r.action == "drop_rows" for r in rules])
+        some, rules = rules[:n], rules[n:]
+        for r in some:
+            _check(df, r, order_by, partition_by or [])
+        found = _statistics(df, [(r.column, r.action) for r in some if r.action in ("mean", "median", "mode")], approximate)
+        for r in some:
+            df = _apply(df, r, found.get(r.column), order_by, partition_by or [], on_error)
     return df
 
 
@@ -96,28 +105,36 @@ def _replace(df: DataFrame, name: str, new: Column) -> DataFrame:
     return df.select(*[new.alias(c) if c == name else col(c) for c in df.columns])
 
 
-def _apply(df: DataFrame, r: MissingRule, order_by: list[str] | None, partition_by: list[str], on_error: str, approximate: bool) -> DataFrame:
-    kind, gone = dtype(df, r.column), missing(df, r.column)
+def _check(df: DataFrame, r: MissingRule, order_by: list[str] | None, partition_by: list[str]) -> None:
+    kind = dtype(df, r.column)
     if r.action not in STRATEGIES:
         raise ValueError(f"unknown strategy: {r.action}; known: {', '.join(STRATEGIES)}")
+    if r.action in ("mean", "median", "zero", "interpolate") and not is_numeric(kind):
+        raise ValueError(f"{r.action} needs a numeric column, not {r.column} of type {kind.simpleString()}")
+    if r.action == "empty" and not is_numeric(kind) and type_class(kind) != "string":
+        raise ValueError(f"empty needs a numeric or text column, not {r.column} of type {kind.simpleString()}")
+    if r.action == "mode" and type_class(kind) == "other":
+        raise ValueError(f"mode needs an atomic column, not {r.column} of type {kind.simpleString()}")
+    if r.action in ("ffill", "bfill", "interpolate"):
+        if not order_by:
+            raise ValueError(f"{r.action} needs order_by")
+        for c in [*order_by, *partition_by]:
+            dtype(df, c)
+
+
+def _apply(df: DataFrame, r: MissingRule, value: Column | None, order_by: list[str] | None, partition_by: list[str], on_error: str) -> DataFrame:
+    kind, gone = dtype(df, r.column), missing(df, r.column)
     if r.action == "drop_rows":
         return df.filter(~gone)
-    if r.action in ("mean", "median", "zero") and not is_numeric(kind):
-        raise ValueError(f"{r.action} needs a numeric column, not {r.column} of type {kind.simpleString()}")
     if r.action == "constant":
         value, becomes = _constant(kind, r.value, r.column)
         return _replace(df, r.column, F.when(gone, value).otherwise(col(r.column).cast(becomes)))
     if r.action in ("zero", "empty"):
-        if not is_numeric(kind) and type_class(kind) != "string":
-            raise ValueError(f"{r.action} needs a numeric or text column, not {r.column} of type {kind.simpleString()}")
         return _replace(df, r.column, F.when(gone, F.lit(0 if is_numeric(kind) else "").cast(kind)).otherwise(col(r.column)))
     if r.action in ("ffill", "bfill"):
-        if not order_by:
-            raise ValueError(f"{r.action} needs order_by")
-        for c in [*order_by, *partition_by]:
-            dtype(df, c)
         return _fill(df, r.column, r.action == "ffill", order_by, partition_by)
-    value = _statistic(df, r.column, r.action, approximate)
+    if r.action == "interpolate":
+        return interpolated(df, r.column, usable(df, r.column), gone, order_by, partition_by)
     if value is None:
         if on_error == "raise":
             raise ValueError(f"{r.column} has no value to take the {r.action} of")
@@ -126,44 +143,27 @@ def _apply(df: DataFrame, r: MissingRule, order_by: list[str] | None, partition_
     return _replace(df, r.column, F.when(gone, value).otherwise(col(r.column)).cast(becomes))
 
 
-def _statistic(df: DataFrame, name: str, action: str, approximate: bool) -> Column | None:
-    """The column's mean, median or mode as a literal, None without values; so each rule adds one projection to the plan."""
-    v, kind = usable(df, name), dtype(df, name)
-    if action == "median":
-        found = quantiles(df, [v.cast("double")], [0.5], approximate)[0]
-        return F.lit(found[0]) if found else None
-    if action == "mean":
-        found = df.agg(F.avg(v.cast("double"))).first()[0]
-        return None if found is None else F.lit(found)
-    if type_class(kind) == "other":
-        raise ValueError(f"mode needs an atomic column, not {name} of type {kind.simpleString()}")
-    # Counted with partial sums. The value comes as text, which casts back to the same value.
-    counts = df.select(v.alias("v")).filter("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    found = counts.agg(F.min(F.struct(-F.col("n"), "v"))["v"].cast("string")).first()[0]
-    return None if found is None else F.lit(found).cast(kind)
+def _statistics(df: DataFrame, wanted: list[tuple[str, str]], approximate: bool) -> dict[str, Column | None]:
+    """The columns' means, medians or modes as literals, None without values; so each rule adds one projection to the plan.
 
+    Means and medians of all columns share their passes; a mode takes one, over values counted with partial sums.
+    """
+    out: dict[str, Column | None] = {}
+    medians, means = ([c for c, a in wanted if a == action] for action in ("median", "mean"))
+    number = lambda c: usable(df, c).cast("double")
+    if medians or means:
+        found, averages = quantiles_beside(df, [number(c) for c in medians], [0.5], [F.avg(number(c)) for c in means], approximate)
+        out |= {c: F.lit(q[0]) if q else None for c, q in zip(medians, found)} | {c: None if a is None else F.lit(a) for c, a in zip(means, averages)}
+    for name in (c for c, a in wanted if a == "mode"):
+        # The value comes as text, which casts back to the same value.
+        counts = df.select(usable(df, name).alias("v")).filter("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+        value = counts.agg(F.min(F.struct(-F.col("n"), "v"))["v"].cast("string")).first()[0]
+        out[name] = None if value is None else F.lit(value).cast(dtype(df, name))
+    return out
 
-def _fill(df: DataFrame, name: str, forward: bool, order_by: list[str], partition_by: list[str]) -> DataFrame:
-    """Last (or next) value present in order, within the rows of equal ``partition_by``.
 
-    The order's first column is cut into stretches; each stretch of a partition is filled alone, and what is missing
-    at its start comes from the last value of an earlier stretch of the partition, found among at most STRETCHES
-    rows. So neither a whole table nor a partition that holds much of it is ever one task.
-    """
-    v = usable(df, name)
-    order = [col(c).asc_nulls_first() if forward else col(c).desc_nulls_last() for c in order_by]
-    names = free_names(df, "stretch", "end", "fill", "carry", *[f"key{i}" for i in range(len(partition_by))])
-    (stretch, end, fill, carry), keys = names[:4], names[4:]
-    placed = df.withColumn(stretch, stretch_of(df, order_by[0]))
-    # The last value of each stretch, in order: an aggregate with partial results.
-    at = F.struct(*[F.struct(col(c).isNotNull(), col(c)) for c in order_by])
-    pick = F.max_by if forward else F.min_by
-    groups = [*[col(c).alias(k) for c, k in zip(partition_by, keys)], F.col(stretch)]
-    ends = placed.groupBy(*groups).agg(pick(F.when(v.isNotNull(), col(name)), F.when(v.isNotNull(), at)).alias(end))
-    along = F.col(stretch).asc() if forward else F.col(stretch).desc()
-    before = Window.partitionBy(*keys).orderBy(along).rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(*keys, F.col(stretch), F.last(end, ignorenulls=True).over(before).alias(carry)).withColumnRenamed(stretch, end)
-    same = reduce(Column.__and__, [col(c).eqNullSafe(F.col(k)) for c, k in zip(partition_by, keys)], F.col(stretch) == F.col(end))
-    upto = Window.partitionBy(*[col(c) for c in partition_by], stretch).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    filled = placed.withColumn(fill, F.last(v, ignorenulls=True).over(upto)).join(carried if keys else F.broadcast(carried), same, "left")
-    return filled.select(*[F.coalesce(fill, carry).alias(c) if c == name else col(c) for c in df.columns])
+def _fill(df: DataFrame, name: str, forward: bool, order_by: list[str], partition_by: list[str]) -> DataFrame:
+    """Last (or next) value present in order, within the rows of equal ``partition_by``."""
+    (fill,) = free_names(df, "fill")
+    present = F.when(usable(df, name).isNotNull(), col(name))
+    return carried(df, present, order_by, partition_by, (forward,), [fill]).select(*[F.col(fill).alias(c) if c == name else col(c) for c in df.columns])

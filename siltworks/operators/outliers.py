@@ -6,20 +6,22 @@ rule of a chain adds one projection or filter to it, whatever came before.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltworks.functions.columns import col, dtype, is_numeric, numeric_columns, usable
-from siltworks.functions.quantiles import quantiles
+from siltworks.functions.order import interpolated
+from siltworks.functions.quantiles import quantiles, quantiles_beside
 from siltworks.operators.profile import histogram
 
 METHODS = ("iqr", "z", "mad")
 IQR_K, Z_THRESHOLD, MAD_THRESHOLD = 1.5, 3.0, 3.5
 #: Makes the MAD of normal data estimate its standard deviation.
 MAD_SCALE = 1.4826
-ACTIONS = ("drop", "flag", "median", "mean", "constant", "cap", "custom_cap")
+ACTIONS = ("drop", "flag", "median", "mean", "constant", "cap", "custom_cap", "interpolate")
 
 
 @dataclass(frozen=True)
@@ -42,22 +44,64 @@ def _check(df: DataFrame, names: list[str], method: str) -> None:
 Bounds = tuple[float, float] | None
 
 
+@dataclass(frozen=True)
+class _Wanted:
+    """What is asked of a column: bounds by a method, and quantiles or the mean beside."""
+
+    column: str
+    method: str | None
+    thresholds: Thresholds
+    shares: tuple[float, ...] = ()
+
+
+@dataclass(frozen=True)
+class _Found:
+    bounds: Bounds
+    quantiles: list[float] | None
+    mean: float | None
+
+
+def _statistics(df: DataFrame, wanted: list[_Wanted], approximate: bool, more: list[Column] = ()) -> tuple[list[_Found], list]:
+    """All that is asked of all columns together: the passes of one column's quantiles, and one or two more for spreads by MAD.
+
+    Bounds are None where the spread is 0 or there are no values. ``more`` are aggregates for the first pass.
+    """
+    of = {"iqr": (0.25, 0.75), "mad": (0.5,)}
+    values = [usable(df, w.column).cast("double") for w in wanted]
+    asked = [[*of.get(w.method, ()), *w.shares] for w in wanted]
+    ranked = [i for i, a in enumerate(asked) if a]
+    moments = [m for v in values for m in (F.avg(v), F.stddev_pop(v))]
+    found, beside = quantiles_beside(df, [values[i] for i in ranked], [asked[i] for i in ranked], [*moments, *more], approximate)
+    ranks = dict(zip(ranked, found))
+    by_mad = [i for i, w in enumerate(wanted) if w.method == "mad"]
+    centers = {i: ranks[i][0] if ranks[i] else None for i in by_mad}
+    off = [F.abs(values[i] - F.lit(centers[i]).cast("double")) for i in by_mad]
+    spreads = dict(zip(by_mad, quantiles(df, off, [0.5], approximate)))
+
+    def ends(i: int, w: _Wanted) -> Bounds:
+        if w.method == "z":
+            center, spread = beside[2 * i : 2 * i + 2]
+            reach = float(w.thresholds.z or Z_THRESHOLD) * spread if spread else 0
+            # Infinities have neither mean nor spread.
+            return (center - reach, center + reach) if spread and math.isfinite(spread) else None
+        if w.method == "iqr":
+            k, q = float(w.thresholds.iqr_k or IQR_K), ranks[i]
+            return (q[0] - k * (q[1] - q[0]), q[1] + k * (q[1] - q[0])) if q and q[1] > q[0] else None
+        if w.method == "mad":
+            k, c, s = float(w.thresholds.mad or MAD_THRESHOLD) * MAD_SCALE, centers[i], spreads[i] and spreads[i][0]
+            return (c - k * s, c + k * s) if s else None
+        return None
+
+    out = []
+    for i, w in enumerate(wanted):
+        q = ranks.get(i)
+        out.append(_Found(ends(i, w), q[len(of.get(w.method, ())) :] if q else None, beside[2 * i]))
+    return out, beside[len(moments) :]
+
+
 def _bounds(df: DataFrame, names: list[str], method: str, t: Thresholds, approximate: bool) -> list[Bounds]:
     """low, high of each column; None where the spread is 0 or there are no values."""
-    values = [usable(df, c).cast("double") for c in names]
-    if not names:
-        return []
-    if method == "z":
-        row, k = df.agg(*[x.alias(f"{s}{i}") for i, v in enumerate(values) for s, x in (("c", F.avg(v)), ("s", F.stddev_pop(v)))]).first(), float(t.z or Z_THRESHOLD)
-        return [(c - k * s, c + k * s) if s else None for c, s in zip(row[::2], row[1::2])]
-    if method == "iqr":
-        k = float(t.iqr_k or IQR_K)
-        return [(q[0] - k * (q[1] - q[0]), q[1] + k * (q[1] - q[0])) if q and q[1] > q[0] else None for q in quantiles(df, values, [0.25, 0.75], approximate)]
-    k = float(t.mad or MAD_THRESHOLD) * MAD_SCALE
-    centers = [q[0] if q else None for q in quantiles(df, values, [0.5], approximate)]
-    off = [F.abs(v - F.lit(c).cast("double")) for v, c in zip(values, centers)]
-    spreads = [q[0] if q else None for q in quantiles(df, off, [0.5], approximate)]
-    return [(c - k * s, c + k * s) if s else None for c, s in zip(centers, spreads)]
+    return [f.bounds for f in _statistics(df, [_Wanted(c, method, t) for c in names], approximate)[0]] if names else []
 
 
 def _row(df: DataFrame, structs: list[Column], schema: str) -> DataFrame:
@@ -106,11 +150,12 @@ def column_detail(df: DataFrame, name: str, method: str = "iqr", thresholds: Thr
     rows in it; buckets that hold none are left out).
     """
     _check(df, [name], method)
-    bounds = _bounds(df, [name], method, thresholds, approximate)[0] or (None, None)
-    box = boxplot_stats(df, name, approximate).select(F.inline(F.array(*[F.struct(F.lit("box").alias("part"), F.lit(c).alias("label"), F.col(c).alias("value")) for c in BOX])))
-    ends = [F.struct(F.lit("bounds").alias("part"), F.lit(c).alias("label"), F.lit(b).cast("double").alias("value")) for c, b in zip(("low", "high"), bounds)]
+    (found,), _ = _statistics(df, [_Wanted(name, method, thresholds, tuple(BOX.values()))], approximate)
+    bounds, box = found.bounds or (None, None), found.quantiles or [None] * len(BOX)
+    part = lambda kind, label, value: F.struct(F.lit(kind).alias("part"), F.lit(label).alias("label"), F.lit(value).cast("double").alias("value"))
+    ends = [*[part("box", c, x) for c, x in zip(BOX, box)], *[part("bounds", c, b) for c, b in zip(("low", "high"), bounds)]]
     bars = histogram(df, name, bins).filter("bucket is not null").select(F.lit("histogram").alias("part"), F.col("bucket").cast("string").alias("label"), F.col("n").cast("double").alias("value"))
-    return box.unionByName(_row(df, ends, "")).unionByName(bars)
+    return _row(df, ends, "").unionByName(bars)
 
 
 def before_after(df: DataFrame, rules: list[dict | OutlierRule], approximate: bool = False) -> DataFrame:
@@ -121,15 +166,28 @@ def before_after(df: DataFrame, rules: list[dict | OutlierRule], approximate: bo
     """
     rules = [r if isinstance(r, OutlierRule) else OutlierRule.from_dict(r) for r in rules]
     last = {r.column: r for r in rules}
-    treated = apply_outliers(df, rules, approximate)
-    bounds = {c: _bounds(df, [c], r.method, Thresholds(r.iqr_k, r.z_threshold, r.mad_threshold), approximate)[0] for c, r in last.items()}
+    for r in rules:
+        _check_rule(df, r, None)
+    box = tuple(BOX.values())
+    before, _ = _statistics(df, [_Wanted(c, r.method, r.thresholds(), box) for c, r in last.items()], approximate)
+    bounds = {c: f.bounds for c, f in zip(last, before)}
+    if together([r.column for r in rules], [r.action == "drop" for r in rules]) == len(rules):
+        treated = df
+        for r, f in zip(rules, before):
+            treated = _apply(treated, r, _new_value(r), _Found(f.bounds, f.quantiles and f.quantiles[2:3], f.mean), None, [])
+    else:
+        treated = apply_outliers(df, rules, approximate)
     schema = "column_name string, stage string, n_rows long, n_values long, n_outliers long, " + ", ".join(f"{c} double" for c in BOX)
     rows = []
     for stage, frame in (("before", df), ("after", treated)):
         value = {c: usable(frame, c).cast("double") for c in last}
         out = {c: (v < F.lit(bounds[c][0])) | (v > F.lit(bounds[c][1])) if bounds[c] else F.lit(False) for c, v in value.items()}
-        counts = frame.agg(F.count(F.lit(1)), *[x for c in last for x in (F.count(value[c]), F.count_if(out[c]))]).first()
-        for i, (c, q) in enumerate(zip(last, quantiles(frame, list(value.values()), list(BOX.values()), approximate))):
+        more = [F.count(F.lit(1)), *[x for c in last for x in (F.count(value[c]), F.count_if(out[c]))]]
+        if stage == "before":
+            boxes, counts = [f.quantiles for f in before], list(frame.agg(*[m.alias(f"m{i}") for i, m in enumerate(more)]).first())
+        else:
+            boxes, counts = quantiles_beside(frame, list(value.values()), list(box), more, approximate)
+        for i, (c, q) in enumerate(zip(last, boxes)):
             rows.append((c, stage, counts[0], counts[1 + 2 * i], counts[2 + 2 * i], *(q or [None] * len(BOX))))
     return df.sparkSession.createDataFrame(rows, schema)
 
@@ -168,6 +226,9 @@ class OutlierRule:
     lower_bound: float | str | None = None
     upper_bound: float | str | None = None
 
+    def thresholds(self) -> Thresholds:
+        return Thresholds(self.iqr_k, self.z_threshold, self.mad_threshold)
+
     @classmethod
     def from_dict(cls, rule: dict) -> OutlierRule:
         if not rule.get("column") or not rule.get("action"):
@@ -186,43 +247,69 @@ def _number(value, what: str) -> float:
         raise ValueError(f"{what} must be a number, not {value!r}") from None
 
 
-def apply_outliers(df: DataFrame, rules: list[dict | OutlierRule], approximate: bool = False) -> DataFrame:
+def apply_outliers(df: DataFrame, rules: list[dict | OutlierRule], approximate: bool = False, order_by: str | list[str] | None = None, partition_by: list[str] | None = None) -> DataFrame:
     """Treat outliers rule by rule; each rule's statistics see what the rules before left.
 
     Missing values are no outliers. Replacement makes the column double. Without bounds (no values, no spread) a
     rule changes nothing, but ``flag`` adds its column of 0 and replacements still make it double; that holds for
-    ``custom_cap`` too, whose own bounds apply only where the data has any.
+    ``custom_cap`` too, whose own bounds apply only where the data has any. ``interpolate`` needs ``order_by``; outliers
+    between two other values become what the line between them gives, those before the first or after the last one null.
+
+    Rules of different columns don't see one another unless one drops rows, so their statistics are taken together.
     """
-    for rule in rules:
-        df = _apply(df, rule if isinstance(rule, OutlierRule) else OutlierRule.from_dict(rule), approximate)
+    rules = [r if isinstance(r, OutlierRule) else OutlierRule.from_dict(r) for r in rules]
+    order_by = [order_by] if isinstance(order_by, str) else order_by
+    while rules:
+        n = together([r.column for r in rules], [r.action == "drop" for r in rules])
+        some, rules = rules[:n], rules[n:]
+        for r in some:
+            _check_rule(df, r, order_by)
+        new = [_new_value(r) for r in some]
+        found, _ = _statistics(df, [_Wanted(r.column, r.method, r.thresholds(), (0.5,) if r.action == "median" else ()) for r in some], approximate)
+        for r, value, f in zip(some, new, found):
+            df = _apply(df, r, value, f, order_by, partition_by or [])
     return df
 
 
-def _apply(df: DataFrame, r: OutlierRule, approximate: bool) -> DataFrame:
+def _check_rule(df: DataFrame, r: OutlierRule, order_by: list[str] | None) -> None:
     _check(df, [r.column], r.method)
     if r.action not in ACTIONS:
         raise ValueError(f"unknown action: {r.action}; known: {', '.join(ACTIONS)}")
-    new = _new_value(r)
-    v, number = usable(df, r.column).cast("double"), col(r.column).cast("double")
-    bounds = _bounds(df, [r.column], r.method, Thresholds(r.iqr_k, r.z_threshold, r.mad_threshold), approximate)[0]
+    if r.action == "interpolate" and not order_by:
+        raise ValueError("interpolate needs order_by")
+
+
+def together(columns: list[str], drops: list[bool]) -> int:
+    """How many of the first rules look at the same rows and at columns of their own."""
+    seen = set()
+    for i, c in enumerate(columns):
+        if c in seen:
+            return i
+        seen.add(c)
+        if drops[i]:
+            return i + 1
+    return len(columns)
+
+
+def _apply(df: DataFrame, r: OutlierRule, new: float | tuple[float, float] | None, found: _Found, order_by: list[str] | None, partition_by: list[str]) -> DataFrame:
+    v, number, bounds = usable(df, r.column).cast("double"), col(r.column).cast("double"), found.bounds
     low, high = map(F.lit, bounds) if bounds else (None, None)
     out = F.coalesce((v < low) | (v > high), F.lit(False)) if bounds else F.lit(False)
     if r.action == "drop":
         return df.filter(~out) if bounds else df
     if r.action == "flag":
         name = f"is_outlier_{r.column}"
-        return df.select(*[col(c) for c in df.columns if c != name], F.when(out, 1).otherwise(0).alias(name))
+        return df.select(*[col(c) for c in df.columns if c.lower() != name.lower()], F.when(out, 1).otherwise(0).alias(name))
     if not bounds:
         value = number
+    elif r.action == "interpolate":
+        return interpolated(df, r.column, F.when(~out, v), out, order_by, partition_by)
     elif r.action == "cap":
         value = F.when(v < low, low).when(v > high, high).otherwise(number)
     elif r.action == "custom_cap":
         value = F.when(v < F.lit(new[0]), F.lit(new[0])).when(v > F.lit(new[1]), F.lit(new[1])).otherwise(number)
     else:
-        if r.action == "mean":
-            new = df.agg(F.avg(v)).first()[0]
-        elif r.action == "median":
-            new = quantiles(df, [v], [0.5], approximate)[0][0]
+        new = {"mean": found.mean, "median": found.quantiles and found.quantiles[0]}.get(r.action, new)
         value = F.when(out, F.lit(new)).otherwise(number)
     return df.select(*[value.alias(c) if c == r.column else col(c) for c in df.columns])
 

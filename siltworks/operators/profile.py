@@ -161,13 +161,13 @@ def histogram(df: DataFrame, name: str, bins: int = 30) -> DataFrame:
     """bucket, x (its lower end), n of equal-width buckets that hold values; the last one is closed.
 
     A constant column gives one bucket at its value, an all-missing one a row of null bucket and x. Missing
-    values are in no bucket otherwise.
+    values are in no bucket otherwise, and infinite ones never.
     """
     if not is_numeric(dtype(df, name)):
         raise ValueError(f"histogram needs a numeric column: {name}")
     if bins < 1:
         raise ValueError("bins must be positive")
-    v = usable(df, name).cast("double")
+    v = F.when(F.abs(usable(df, name).cast("double")) < F.lit(float("inf")), usable(df, name).cast("double"))
     ends = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi"))
     w = (F.col("hi") - F.col("lo")) / bins
     bucket = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / w), F.lit(bins - 1))).when(F.col("v").isNotNull(), 0)

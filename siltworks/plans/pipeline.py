@@ -12,6 +12,7 @@ from siltworks.operators.duplicates import apply_duplicates
 from siltworks.operators.formats import apply_formats
 from siltworks.operators.missing import apply_missing
 from siltworks.operators.outliers import apply_outliers
+from siltworks.sources.scratch import scratch_path
 
 STEPS = ("formats", "missing_values", "duplicates", "outliers")
 ALIASES = {"missing": "missing_values"}
@@ -49,10 +50,19 @@ class Pipeline:
         found = [r for n, rules in self.steps if n == name for r in rules]
         return found if name == "duplicates" else list({r.get("column"): r for r in found}.values())
 
-    def apply(self, df: DataFrame, order_by: str | list[str] | None = None, partition_by: list[str] | None = None, on_error: str = "raise", approximate: bool = False) -> DataFrame:
-        """Run the steps in turn; each sees the columns and values that the steps before left."""
-        for name, rules in self.steps:
+    def apply(self, df: DataFrame, order_by: str | list[str] | None = None, partition_by: list[str] | None = None, on_error: str = "raise", approximate: bool = False, written: bool = False) -> DataFrame:
+        """Run the steps in turn; each sees the columns and values that the steps before left.
+
+        Statistics read what they are of when a step is applied. With ``written`` each step's result but the last one's is a
+        Parquet table in the shared folder, so that later steps read that instead of computing the steps before again;
+        the tables stay as long as the folder.
+        """
+        for number, (name, rules) in enumerate(self.steps):
             rules = list(rules)
+            if number and written:
+                path = scratch_path(df.sparkSession, "step")
+                df.write.parquet(path)
+                df = df.sparkSession.read.schema(df.schema).parquet(path)
             if name == "formats":
                 df = apply_formats(df, rules, on_error)
             elif name == "missing_values":
@@ -60,7 +70,7 @@ class Pipeline:
             elif name == "duplicates":
                 df = apply_duplicates(df, rules, order_by)
             else:
-                df = apply_outliers(df, rules, approximate)
+                df = apply_outliers(df, rules, approximate, order_by, partition_by)
         return df
 
     def history(self) -> list[tuple[int, str, str, str, str]]:

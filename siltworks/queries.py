@@ -323,6 +323,28 @@ def missing_ffill_partitioned(spark, sf_dir):
     return missing.apply_missing(fixtures.events_gaps(spark, sf_dir), [{"column": "value", "action": "ffill"}], order_by="event_id", partition_by=["user_id"])
 
 
+def _line_sql(known: str, where: str, key: str, order: str, x: str, cte: str) -> str:
+    """Values on the line between the last and the next known one, by window frames both ways."""
+    over = f"{'PARTITION BY ' + key if key else ''} ORDER BY {order}"
+    return f"""WITH {cte}, s AS (SELECT *, {known} AS k, {x} AS x FROM ev0), n AS (
+      SELECT *, last_value(k IGNORE NULLS) OVER p AS pv, last_value(CASE WHEN k IS NOT NULL THEN x END IGNORE NULLS) OVER p AS px,
+        first_value(k IGNORE NULLS) OVER f AS nv, first_value(CASE WHEN k IS NOT NULL THEN x END IGNORE NULLS) OVER f AS nx
+      FROM s WINDOW p AS ({over} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS ({over} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+      SELECT event_id, ts, user_id, event_type, props,
+        round(CASE WHEN NOT ({where}) THEN value WHEN nx = px THEN pv ELSE pv + (nv - pv) * ((x - px)::DOUBLE / (nx - px)) END, 6) AS value FROM n"""
+
+
+@query("missing_interpolate", _line_sql("value", "value IS NULL", "", "event_id", "event_id", f"{EV}, ev0 AS (SELECT * FROM ev)"))
+def missing_interpolate(spark, sf_dir):
+    return rounded(missing.apply_missing(fixtures.events_gaps(spark, sf_dir), [{"column": "value", "action": "interpolate"}], order_by="event_id"), "value")
+
+
+@query("missing_interpolate_partitioned", _line_sql("value", "value IS NULL", "user_id", "ts, event_id", "epoch_us(ts)", f"{EV}, ev0 AS (SELECT * FROM ev)"))
+def missing_interpolate_partitioned(spark, sf_dir):
+    """Over time, for each user."""
+    return rounded(missing.apply_missing(fixtures.events_gaps(spark, sf_dir), [{"column": "value", "action": "interpolate"}], order_by=["ts", "event_id"], partition_by=["user_id"]), "value")
+
+
 @query("missing_counts", f"WITH {EV} " + each(EVENTS, "SELECT '{c}' AS column_name, count(*) - count({c}) AS n_missing FROM ev"))
 def missing_counts(spark, sf_dir):
     return missing.missing_counts(fixtures.events_gaps(spark, sf_dir))
@@ -370,6 +392,33 @@ _treat("constant", "iqr", "constant", f"SELECT {_KEPT}, round(CASE WHEN {_OUT} T
 _treat("custom_cap", "iqr", "custom_cap", f"SELECT {_KEPT}, round(CASE WHEN lo IS NULL THEN value WHEN value < 10 THEN 10 WHEN value > 200 THEN 200 ELSE value END, 6) AS value FROM ev, b", lower_bound=10, upper_bound=200)
 
 
+@query(
+    "outlier_interpolate",
+    _line_sql("CASE WHEN value < lo OR value > hi THEN NULL ELSE value END", "coalesce(value < lo OR value > hi, false)", "", "event_id", "event_id", f"{EV}, {bounds_sql('iqr', 'ev', 'value')}, ev0 AS (SELECT * FROM ev, b)"),
+)
+def outlier_interpolate(spark, sf_dir):
+    rule = {"column": "value", "method": "iqr", "action": "interpolate"}
+    return rounded(outliers.apply_outliers(fixtures.events_gaps(spark, sf_dir), [rule], order_by="event_id"), "value")
+
+
+_TEN = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_partkey", "l_suppkey")
+
+
+def _chain_sql() -> str:
+    """A MAD rule per column, each by its own column's median and spread."""
+    stats = ", ".join(f"m_{c} AS (SELECT median({c}::DOUBLE) AS m FROM lineitem), b_{c} AS (SELECT m, median(abs({c}::DOUBLE - m)) * 1.4826 * 1.2 AS s FROM lineitem, m_{c} GROUP BY m)" for c in _TEN)
+    capped = ", ".join(f"round(CASE WHEN s_{c} > 0 THEN greatest(least({c}::DOUBLE, m_{c} + s_{c}), m_{c} - s_{c}) ELSE {c}::DOUBLE END, 6) AS {c}" for c in _TEN)
+    ends = ", ".join(f"b_{c}.m AS m_{c}, b_{c}.s AS s_{c}" for c in _TEN)
+    return f"WITH {stats}, e AS (SELECT {ends} FROM {', '.join(f'b_{c}' for c in _TEN)}) SELECT l_orderkey, l_linenumber, {capped} FROM lineitem, e"
+
+
+@query("outlier_chain_mad", _chain_sql())
+def outlier_chain_mad(spark, sf_dir):
+    """A rule for each of six columns, whose statistics share their passes."""
+    rules = [{"column": c, "method": "mad", "action": "cap", "mad_threshold": 1.2} for c in _TEN]
+    return rounded(outliers.apply_outliers(fixtures.load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *_TEN), rules), *_TEN)
+
+
 # Pipelines
 
 FULL = (
