@@ -116,11 +116,13 @@ def test_rules_of_different_columns_share_their_passes(spark):
     assert jobs_of(spark, lambda: missing.apply_missing(gaps, fills).count()) <= 8
 
 
-def test_exact_quantiles_of_large_columns(spark, monkeypatch):
+@pytest.mark.parametrize("plan", [0, 1 << 40])
+def test_exact_quantiles_of_large_columns(spark, monkeypatch, plan):
     from siltworks.functions import quantiles
 
     monkeypatch.setattr(quantiles, "DIRECT", 100)
     monkeypatch.setattr(quantiles, "SMALL", 50)
+    monkeypatch.setattr(quantiles, "SMALL_PLAN", plan)
     df = spark.range(30_000).select((F.abs(F.xxhash64("id")) % 5000).cast("double").alias("a"), F.when(F.col("id") % 3 == 0, 7.0).alias("b"), F.lit(None).cast("double").alias("c"))
     found, more = quantiles.quantiles_beside(df, [F.col("a"), F.col("b"), F.col("c")], [[0.1, 0.5], [0.5], [0.5]], [F.count(F.lit(1))])
     a = [r[0] for r in df.select(F.percentile("a", F.array(F.lit(0.1), F.lit(0.5)))).collect()][0]

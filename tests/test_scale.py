@@ -25,7 +25,7 @@ def expected(values):
 def test_quantiles_of_several_columns(spark, monkeypatch, small):
     monkeypatch.setattr(q, "SMALL", small)
     monkeypatch.setattr(q, "DIRECT", 0 if small == 40 else q.DIRECT)
-    monkeypatch.setattr(q, "BRACKET_ACCURACY", 50)
+    monkeypatch.setattr(q, "SKETCH", 50)
     monkeypatch.setattr(q, "WIDTH", 0.05)
     rng = random.Random(3)
     columns = [
