@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltworks import fixtures
-from siltworks.operators import duplicates, formats, missing, normalise, outliers, prepare, profile
+from siltworks.operators import asof, changes, duplicates, fitted, formats, missing, normalise, outliers, prepare, profile, sketches
 from siltworks.plans.pipeline import Pipeline
 from siltworks.sources import files, session
 from siltworks.sources.scratch import scratch_path
 from siltworks.streaming import clean
+from siltworks.streaming import duplicates as stream_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -290,6 +291,28 @@ def format_to_date(spark, sf_dir):
     return dated.select("o_orderkey", F.date_format("date_txt", "yyyy-MM-dd").alias("date_txt"))
 
 
+def _dated(spark, sf_dir) -> DataFrame:
+    """Order dates as texts of seven shapes by key, with the month first where slashes part them, and the day first where dashes do."""
+    o, d = fixtures.load(spark, sf_dir, "orders"), F.col("o_orderdate")
+    shapes = ("yyyy-MM-dd", "MM/dd/yyyy", "dd-MM-yyyy", "yyyy-MM-dd HH:mm:ss", "d MMM yyyy", "MMMM d, yyyy", "yyyyMMdd")
+    text = F.coalesce(*[F.when(F.col("o_orderkey") % len(shapes) == i, F.date_format(d, f)) for i, f in enumerate(shapes)])
+    return o.select("o_orderkey", F.when(F.col("o_orderkey") % 50 == 0, F.concat(F.lit("\t "), text, F.lit(" "))).when(F.col("o_orderkey") % 51 != 0, text).alias("date_txt"))
+
+
+@query("format_to_date_inferred", "SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 0 OR o_orderkey % 51 <> 0 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS date_txt FROM orders")
+def format_to_date_inferred(spark, sf_dir):
+    """Dates in mixed forms; all values with slashes, and all with dashes, tell the order of day and month."""
+    dated = formats.apply_formats(_dated(spark, sf_dir), [{"column": "date_txt", "action": "to_date"}], date_formats="infer")
+    return dated.select("o_orderkey", F.date_format("date_txt", "yyyy-MM-dd").alias("date_txt"))
+
+
+@query("format_examples", """WITH t AS (SELECT 'o_orderpriority' AS column_name, 'to_numeric' AS action, o_orderpriority AS value FROM orders UNION ALL SELECT 'o_orderstatus', 'to_date', o_orderstatus FROM orders)
+  SELECT * FROM (SELECT column_name, action, value, count(*) AS n FROM t GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY column_name, action ORDER BY value) <= 3""")
+def format_examples(spark, sf_dir):
+    rules = [{"column": "o_orderpriority", "action": "to_numeric"}, {"column": "o_orderstatus", "action": "to_date"}]
+    return formats.format_examples(fixtures.load(spark, sf_dir, "orders"), rules, limit=3)
+
+
 @query("format_to_boolean", "SELECT doc_id, quality = 1 AS flag_txt FROM labels")
 def format_to_boolean(spark, sf_dir):
     return formats.apply_formats(fixtures.labels_text(spark, sf_dir), [{"column": "flag_txt", "action": "to_boolean"}])
@@ -521,6 +544,142 @@ def pca(spark, sf_dir):
     return parts.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
+# Sketches that merge, and heavy hitters
+
+_SKETCHED = ("event_type", "user_id", "value")
+
+
+@query(
+    "profile_by_day",
+    f"WITH {EV} " + " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count(*) AS n_rows, count({c}) AS n_present, {n} AS n_distinct, {f'round(min({c})::DOUBLE, 6)' if c != 'event_type' else 'NULL::DOUBLE'} AS low, {f'round(max({c})::DOUBLE, 6)' if c != 'event_type' else 'NULL::DOUBLE'} AS high, true AS near FROM ev"
+        for c, n in (("event_type", "count(DISTINCT event_type)"), ("user_id", "round(count(DISTINCT user_id) / 200.0)::BIGINT"), ("value", "NULL::BIGINT"))
+    ),
+)
+def profile_by_day(spark, sf_dir):
+    """The profile of all days from stored sketches of each, written in two goes.
+
+    Numbers of distinct values are compared exactly where they are few, in steps of 200 where a few hundred, and with the exact ones within
+    the stated error otherwise (near); so are ranks of quantiles.
+    """
+    e, path = fixtures.events_gaps(spark, sf_dir).withColumn("day", F.to_date("ts")), scratch_path(spark, "days")
+    for part in (F.dayofmonth("ts") < 20, F.dayofmonth("ts") >= 20):
+        sketches.sketch_columns(e.filter(part), list(_SKETCHED), ["day"]).write.mode("append").parquet(path)
+    shares = (0.25, 0.5, 0.75)
+    united = sketches.unite_profiles(spark.read.parquet(path), list(shares))
+    found = {r.column_name: r for r in united.collect()}
+    exact = e.agg(*[F.count_distinct(c).alias(c) for c in _SKETCHED]).first()
+    ranks = e.agg(*[F.count_if(F.col(c) <= q).alias(f"{c}{i}") for c in _SKETCHED[1:] for i, q in enumerate(found[c].quantiles)], *[F.count_if(F.col(c) < q).alias(f"{c}{i}below") for c in _SKETCHED[1:] for i, q in enumerate(found[c].quantiles)]).first()
+    rows = []
+    for c, r in found.items():
+        near = abs(r.n_distinct - exact[c]) <= 0.024 * exact[c] + 0.5
+        for i, s in enumerate(shares if r.quantiles else ()):
+            near = near and ranks[f"{c}{i}below"] - 0.0025 * r.n_present - 1 <= s * r.n_present <= ranks[f"{c}{i}"] + 0.0025 * r.n_present + 1
+        shown = {"event_type": r.n_distinct, "user_id": round(r.n_distinct / 200), "value": None}[c]
+        rows.append((c, r.n_rows, r.n_present, shown, r.low, r.high, near))
+    return rounded(spark.createDataFrame(rows, "column_name string, n_rows long, n_present long, n_distinct long, low double, high double, near boolean"), "low", "high")
+
+
+_SKEWED = "CASE WHEN l_partkey % 10 = 0 THEN l_partkey ELSE l_partkey // 1000 END"
+
+
+@query("heavy_hitters", f"SELECT CAST({_SKEWED} AS VARCHAR) AS value, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM lineitem), 2) AS pct FROM lineitem GROUP BY 1 ORDER BY n DESC, value LIMIT 50")
+def heavy_hitters(spark, sf_dir):
+    """A column of a few very frequent values and many rare ones; parts are counted in thousands but for round numbers."""
+    li = fixtures.load(spark, sf_dir, "lineitem")
+    skewed = F.when(F.col("l_partkey") % 10 == 0, F.col("l_partkey")).otherwise(F.floor(F.col("l_partkey") / 1000))
+    return sketches.heavy_hitters(li.select(skewed.alias("v")), "v")
+
+
+# What a treatment changed
+
+
+@query(
+    "cell_changes",
+    f"""WITH {EV}, f AS (SELECT * REPLACE (CAST(user_id AS VARCHAR) AS user_id, coalesce(value, (SELECT median(value) FROM ev)) AS value, coalesce(event_type, 'unknown') AS event_type) FROM ev),
+      d AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1), {bounds_sql("iqr", "d", "value")},
+      a AS (SELECT event_id, event_type, CASE WHEN value < lo THEN lo WHEN value > hi THEN hi ELSE value END AS value FROM d, b),
+      m AS (SELECT ev.event_type AS t0, a.event_type AS t1, ev.value AS v0, a.value AS v1, a.event_id IS NULL AS gone FROM ev LEFT JOIN a USING (event_id)),
+      c AS (SELECT NULL AS column_name, 'row gone' AS kind FROM m WHERE gone
+        UNION ALL SELECT 'event_type', CASE WHEN t0 IS NULL THEN 'filled' ELSE 'changed' END FROM m WHERE NOT gone AND t0 IS DISTINCT FROM t1
+        UNION ALL SELECT 'value', CASE WHEN v0 IS NULL THEN 'filled' ELSE 'changed' END FROM m WHERE NOT gone AND v0 IS DISTINCT FROM v1)
+      SELECT column_name, kind, count(*) AS n FROM c GROUP BY ALL""",
+)
+def cell_changes(spark, sf_dir):
+    """What the whole pipeline did to the events."""
+    events = fixtures.events_gaps(spark, sf_dir)
+    return changes.cell_changes(events, FULL.apply(events, order_by="event_id", on_error="null", written=True), ["event_id"])
+
+
+@query("change_examples", "SELECT o_orderkey, 'o_totalprice' AS column_name, CASE WHEN o_orderkey % 3 = 0 THEN 'nulled' ELSE 'filled' END AS kind FROM orders WHERE o_orderkey % 3 < 2 QUALIFY row_number() OVER (PARTITION BY o_orderkey % 3 ORDER BY o_orderkey) <= 5")
+def change_examples(spark, sf_dir):
+    o, key = fixtures.load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), F.col("o_orderkey") % 3
+    before, after = (o.withColumn("o_totalprice", F.when(key != i, F.col("o_totalprice"))) for i in (1, 0))
+    return changes.change_examples(before, after, ["o_orderkey"]).select("o_orderkey", "column_name", "kind")
+
+
+# Joins in time
+
+_PLACED = "TIMESTAMP '2024-01-01' + to_seconds((o_orderkey * 7919) % 2592000)"
+
+
+def _asof_sql(on: str, by: str) -> str:
+    return f"""SELECT event_id, right_o_orderkey FROM events e ASOF LEFT JOIN (SELECT max(o_orderkey) AS right_o_orderkey, {by} {_PLACED} AS at FROM orders GROUP BY ALL) o ON {on} e.ts >= o.at"""
+
+
+def _placed_orders(spark, sf_dir) -> DataFrame:
+    """Orders with a time in the month of the events."""
+    second = F.make_dt_interval(secs=((F.col("o_orderkey") * 7919) % 2592000).cast("decimal(18,6)"))
+    return fixtures.load(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 150).alias("buyer"), (F.lit("2024-01-01").cast("timestamp_ntz") + second).alias("at"))
+
+
+@query("asof_join", _asof_sql("e.user_id = o.buyer AND", "o_custkey % 150 AS buyer,"))
+def asof_join(spark, sf_dir):
+    """To each event its user's last order before it."""
+    e = fixtures.load(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    return asof.asof_join(e, _placed_orders(spark, sf_dir), "ts", "at", [("user_id", "buyer")], ["o_orderkey"]).select("event_id", "right_o_orderkey")
+
+
+@query("asof_join_all", _asof_sql("", ""))
+def asof_join_all(spark, sf_dir):
+    """To each event the last order of all before it: no key to deal out by."""
+    e = fixtures.load(spark, sf_dir, "events").select("event_id", "ts")
+    return asof.asof_join(e, _placed_orders(spark, sf_dir), "ts", "at", [], ["o_orderkey"]).select("event_id", "right_o_orderkey")
+
+
+# Preparation in two steps
+
+
+@query("fitted_scale", "WITH s AS (SELECT avg(value) AS m, stddev_pop(value) AS s FROM events WHERE event_id % 3 = 0) SELECT event_id, round((value - m) / s, 6) AS value FROM events, s WHERE event_id % 3 <> 0")
+def fitted_scale(spark, sf_dir):
+    """Fitted on a third of the events, applied to the others by its JSON form."""
+    e = fixtures.load(spark, sf_dir, "events").select("event_id", "value")
+    model = fitted.Fitted.from_json(fitted.fit(e.filter("event_id % 3 = 0"), "standard", ["value"]).to_json())
+    return rounded(model.transform(e.filter("event_id % 3 <> 0")), "value")
+
+
+@query(
+    "fitted_ordinal",
+    "WITH t AS (SELECT DISTINCT event_type AS v FROM events WHERE event_id % 3 = 0), f AS (SELECT list(v ORDER BY v) AS all_v FROM t), k AS (SELECT list_filter(all_v, lambda x: x <> all_v[1]) AS v FROM f) SELECT event_id, CAST(CASE WHEN list_contains(v, event_type) THEN list_position(v, event_type) - 1 ELSE len(v) END AS INTEGER) AS event_type FROM events, k WHERE event_id % 3 <> 0",
+)
+def fitted_ordinal(spark, sf_dir):
+    """One type is kept from the fit; its events get the place after the last."""
+    e = fixtures.load(spark, sf_dir, "events").select("event_id", "event_type")
+    seen = e.filter("event_id % 3 = 0")
+    least = seen.agg(F.min("event_type")).first()[0]
+    model = fitted.fit(seen.filter(F.col("event_type") != least), "ordinal", "event_type", unseen="other")
+    return model.transform(e.filter("event_id % 3 <> 0"))
+
+
+@query("encode_sparse", "WITH t AS (SELECT l_partkey AS k, row_number() OVER (ORDER BY CAST(l_partkey AS VARCHAR)) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT l_partkey FROM lineitem)) SELECT l_orderkey, l_linenumber, CAST(n AS INTEGER) AS size, CAST(i AS INTEGER) AS place, 1.0::DOUBLE AS value FROM lineitem JOIN t ON k = l_partkey")
+def encode_sparse(spark, sf_dir):
+    """Thousands of parts as sparse vectors; shown by their size, index and value."""
+    li = fixtures.load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    encoded = fitted.sparse_one_hot(li, "l_partkey", fitted.dictionary(li, "l_partkey"), "vector")
+    inner = F.unwrap_udt("vector")
+    return encoded.select("l_orderkey", "l_linenumber", inner["size"].alias("size"), inner["indices"][0].alias("place"), inner["values"][0].alias("value"))
+
+
 # Streaming
 
 
@@ -536,6 +695,18 @@ def stream_clean(spark, sf_dir):
     return spark.read.schema(cleaned.schema).parquet(path)
 
 
+@query("stream_first_rows", f"WITH {EV} SELECT DISTINCT user_id, event_type FROM ev")
+def stream_first_rows(spark, sf_dir):
+    """A stream of events without repetitions of a user and type, run twice on one checkpoint."""
+    static = fixtures.load(spark, sf_dir, "events")
+    path = scratch_path(spark, "first-rows")
+    for _ in range(2):
+        stream = spark.readStream.schema(static.schema).parquet(f"{sf_dir}/events.parque[t]")
+        gaps = stream.select("event_id", "ts", "user_id", F.when(F.col("event_id") % 11 != 0, F.col("event_type")).alias("event_type"))
+        clean.write_stream(stream_duplicates.first_rows_stream(gaps, ["user_id", "event_type"], "ts", "60 days"), path, f"{path}-state").awaitTermination()
+    return spark.read.parquet(path).select("user_id", "event_type")
+
+
 # Sources beyond the round trips: what is sniffed, broken rows, and every JSON layout
 
 
@@ -798,35 +969,35 @@ def sample_fraction(spark, sf_dir):
 # Approximate modes, by how far their ranks or counts are off
 
 
-def _rank_error(spark, df: DataFrame, name: str, asked: list[float], found: list[float]) -> DataFrame:
-    """share asked, and whether the share of values below and up to the value found encloses it within 0.002."""
+def _rank_error(df: DataFrame, name: str, asked: list[float], found: list[float]) -> DataFrame:
+    """share asked, whether the share of values below and up to the value found encloses it within 0.002, and the number of values."""
     v = F.col(name)
-    row = df.agg(F.count(v).alias("n"), *[x for i, q in enumerate(found) for x in (F.count_if(v < q).alias(f"b{i}"), F.count_if(v <= q).alias(f"u{i}"))]).first()
-    ok = [(s, row[f"b{i}"] / row["n"] <= s + 0.002 and row[f"u{i}"] / row["n"] >= s - 0.002) for i, s in enumerate(asked)]
-    return spark.createDataFrame(ok, "share double, within boolean")
+    ends = [(F.lit(s).alias("share"), (F.count_if(v < q) / F.count(v) <= s + 0.002) & (F.count_if(v <= q) / F.count(v) >= s - 0.002)) for s, q in zip(asked, found)]
+    row = df.agg(F.array(*[F.struct(s, within.alias("within"), F.count(v).alias("n_values")) for s, within in ends]).alias("rows"))
+    return row.select(F.inline("rows"))
 
 
-@query("missing_median_approx", "SELECT 0.5::DOUBLE AS share, true AS within")
+@query("missing_median_approx", f"WITH {EV} SELECT 0.5::DOUBLE AS share, true AS within, count(value) AS n_values FROM ev")
 def missing_median_approx(spark, sf_dir):
     gaps = fixtures.events_gaps(spark, sf_dir)
     filled = missing.apply_missing(gaps, [{"column": "value", "action": "median"}], approximate=True)
     value = filled.join(gaps.filter("value is null").select("event_id"), "event_id", "left_semi").agg(F.max("value"), F.min("value")).first()
-    return _rank_error(spark, gaps, "value", [0.5], [value[0]]) if value[0] == value[1] else spark.createDataFrame([(0.5, False)], "share double, within boolean")
+    return _rank_error(gaps, "value", [0.5], [value[0] if value[0] == value[1] else float("inf")])
 
 
-@query("outlier_bounds_approx", "SELECT * FROM (VALUES (0.25::DOUBLE, true), (0.75::DOUBLE, true)) t(share, within)")
+@query("outlier_bounds_approx", f"WITH {EV} SELECT unnest([0.25::DOUBLE, 0.75]) AS share, true AS within, count(value) AS n_values FROM ev")
 def outlier_bounds_approx(spark, sf_dir):
     gaps = fixtures.events_gaps(spark, sf_dir)
     low, high = outliers.outlier_bounds(gaps, ["value"], approximate=True).select("low", "high").first()
     spread = (high - low) / 4  # low = q1 - 1.5 spread, high = q3 + 1.5 spread
-    return _rank_error(spark, gaps, "value", [0.25, 0.75], [low + 1.5 * spread, high - 1.5 * spread])
+    return _rank_error(gaps, "value", [0.25, 0.75], [low + 1.5 * spread, high - 1.5 * spread])
 
 
-@query("distinct_approx", " UNION ALL ".join(f"SELECT '{c}' AS column_name, true AS near" for c in EVENTS))
+@query("distinct_approx", f"WITH {EV} " + each(EVENTS, "SELECT '{c}' AS column_name, count(DISTINCT {c}) + CAST(max(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_distinct, true AS near FROM ev"))
 def distinct_approx(spark, sf_dir):
     gaps = fixtures.events_gaps(spark, sf_dir)
     both = profile.distinct_by_column(gaps, approximate=True).select("column_name", F.col("n_distinct").alias("about")).join(profile.distinct_by_column(gaps), "column_name")
-    return both.select("column_name", (F.abs(F.col("about") - F.col("n_distinct")) <= F.greatest(F.lit(1), F.col("n_distinct") * 0.15)).alias("near"))
+    return both.select("column_name", "n_distinct", (F.abs(F.col("about") - F.col("n_distinct")) <= F.greatest(F.lit(1), F.col("n_distinct") * 0.15)).alias("near"))
 
 
 @query("missing_preview_numeric", f"""WITH {EV}, e AS (SELECT min(value) AS lo, max(value) AS hi, CASE WHEN count(*) < 5000 THEN 50 ELSE 60 END AS bins FROM ev)
