@@ -150,17 +150,29 @@ def most_differing(signs: int, threshold: float) -> int:
     return math.ceil(signs * p + DEVIATIONS * math.sqrt(signs * p * (1 - p)))
 
 
-def _promising(most: int):
-    """The rows of pairs of blocks that have a partner there whose signs differ in ``most`` places at most."""
+def _promising(most: int, bits: int):
+    """The rows of pairs of blocks that have a partner there whose signs differ in ``most`` places at most, and that no earlier table showed them.
+
+    The signs that travel hold the codes of the first tables; a pair that shares one of them is compared there already, so the vectors of
+    a close group are sent out once and not for each table.
+    """
+    powers = 1 << np.arange(bits)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         signs = np.frombuffer(b"".join(pdf["signs"]), np.uint8).reshape(len(pdf), -1)
         # Unequal signs of two rows: a + b - 2ab, summed by a matrix product.
-        bits = np.unpackbits(signs, axis=1).astype(np.float32)
-        ones, some = bits.sum(axis=1), np.zeros(len(pdf), bool)
+        told = np.unpackbits(signs, axis=1)
+        met = min(int(pdf["bucket_table"].iat[0]), told.shape[1] // bits)
+        codes = told[:, : met * bits].reshape(len(pdf), met, bits) @ powers
+        told = told.astype(np.float32)
+        ones, some = told.sum(axis=1), np.zeros(len(pdf), bool)
         for rows in _steps(len(pdf)):
-            differ = ones[rows, None] + ones[None, :] - 2 * (bits[rows] @ bits.T)
-            some[rows] = ((differ <= most) & _apart(pdf, rows)).any(axis=1)
+            hope = (ones[rows, None] + ones[None, :] - 2 * (told[rows] @ told.T) <= most) & _apart(pdf, rows)
+            for table in range(met):
+                if not hope.any():
+                    break
+                hope &= codes[rows, table, None] != codes[None, :, table]
+            some[rows] = hope.any(axis=1)
         return pdf[some].drop(columns="signs")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -241,7 +253,7 @@ def near_embeddings(vectors: DataFrame, vec: str = "embedding", threshold: float
     cell = F.pmod(F.xxhash64("dim", "bucket_table", "bucket", "lo", "hi"), F.lit(max(1, n * tables // CELL_ROWS)))
     dealt = dealt.select("vec_id", "dim", "bucket_table", "bucket", "block", "lo", "hi", cell.alias("cell"), "signs")
     most, kept = most_differing(min(SIGNS, tables * bits), threshold), "vec_id long, dim int, bucket_table int, bucket int, block int, lo int, hi int, cell long"
-    hopeful = materialise(dealt.groupBy("cell").applyInPandas(_promising(most), kept))
+    hopeful = materialise(dealt.groupBy("cell").applyInPandas(_promising(most, bits), kept))
     discard(sizes)
     whole = hopeful.join(reps.select("vec_id", "copies", "raw", "code_bytes"), "vec_id")
     found = materialise(whole.groupBy("cell").applyInPandas(_compare(kind, threshold), "vec_id long, links long, root long"))

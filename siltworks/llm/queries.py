@@ -2,34 +2,19 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltworks.llm import bpe, decontamination, embeddings, fingerprints, language, lines, minhash, mixing, packing, periods, repair, toolcalls, toxicity
-from siltworks.llm.common import crc_bucket, table
+from siltworks.llm.common import crc_bucket, ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
 _ORACLE: dict[str, str] = {}
 
 
-#: Rows of an Arrow batch: documents can hold 100 kB and more, and batches exist in the JVM and in Python at once.
-BATCH_ROWS = 1000
-
-
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it, and bound their batches."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    here = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    known = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if here not in known.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [here, known]))
-
-
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltworks.llm.common import col, discard, materialise
+from siltworks.llm.common import col, discard, materialise, ship
 
 #: What the grammar derives so far: nothing, a system turn, an open pair, whole pairs. A conversation may end at ACCEPTED.
 NOTHING, SYSTEM, OPEN, PAIRS = range(4)
@@ -276,6 +276,7 @@ def repair_conversations(messages: DataFrame, conv_id: str = "conv_id", turn: st
     columns are not read. A conversation with very many turns is parsed by several tasks; its audit, one value, is
     put together in one. Without messages there are no rows. Both frames read written tables.
     """
+    ship(messages.sparkSession)
     cells, tables = _cells(messages, conv_id, turn, role, text)
     names = ["conv", "turn", "role", "text", "copies", "fault", "initial"]
     dealt = cells.repartitionByRange("conv", "turn", "role", F.substring("text", 1, 256)).sortWithinPartitions("conv", "turn", "role", "text")

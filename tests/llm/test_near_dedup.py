@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from siltworks.llm import embeddings, minhash
@@ -250,3 +251,23 @@ def test_a_hot_bucket_of_near_vectors(spark, monkeypatch):
     out = {r.vec_id: r for r in embeddings.near_embeddings(df).collect()}
     assert all(out[i].n_links == 299 and out[i].component_id == 600 for i in range(600, 900))
     assert all(out[i].n_links == 0 and out[i].kept for i in range(600))
+
+
+def test_a_pair_is_sent_out_by_its_first_table_alone():
+    """Of a close group most vectors are promising in the first table, few in later ones: those with a partner not met before."""
+    rng = np.random.default_rng(5)
+    bits, tables, dim = 8, 12, 24
+    vectors = rng.standard_normal(dim) + 0.02 * rng.standard_normal((80, dim))
+    signs = vectors @ embeddings.directions(dim, bits, tables, 0) > 0
+    codes = signs.reshape(len(vectors), tables, bits) @ (1 << np.arange(bits))
+    packed = [x.tobytes() for x in np.packbits(signs[:, : embeddings.SIGNS], axis=1)]
+    sent = []
+    for table in range(tables):
+        pdf = pd.DataFrame({"vec_id": range(80), "dim": dim, "bucket_table": table, "bucket": codes[:, table], "block": 0, "lo": 0, "hi": 0, "cell": 0, "signs": packed})
+        out = embeddings._promising(embeddings.SIGNS, bits)(pdf)
+        together = codes[:, None, table] == codes[None, :, table]
+        before = (codes[:, None, :table] == codes[None, :, :table]).any(axis=2)
+        want = (together & ~before & ~np.eye(80, dtype=bool)).any(axis=1)
+        assert sorted(out["vec_id"]) == np.flatnonzero(want).tolist()
+        sent.append(len(out))
+    assert sent[0] > 40 and sum(sent[1:]) < 2 * sent[0]
