@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from siltworks.llm.common import discard, materialise
 
+#: Calls of a conversation that are put in order inside one row.
+IN_ROW = 512
 #: Types of a parameter and the variant types that fit.
 FITS = {
     "string": r"^STRING$",
@@ -82,13 +84,9 @@ def parse_results(messages: DataFrame) -> DataFrame:
     return results.filter("call_id is not null").groupBy("conv_id", "call_id").agg(first, F.count("*").alias("n_results")).select("conv_id", "call_id", F.col("f.result").alias("result"), F.col("f.turn").alias("result_turn"), "n_results")
 
 
-def topological_levels(calls: DataFrame) -> DataFrame:
-    """conv_id, call_id, level: 0 without dependencies, else one more than the highest of them.
-
-    Calls on a cycle, behind one, or behind a call that doesn't exist get no row. A null conv_id is a conversation of
-    its own; no calls give no rows. Each round takes the calls settled last and the dependencies still open, both of
-    which it writes out, so that what is settled is not read again; there are as many rounds as levels.
-    """
+def _levels_by_rounds(calls: DataFrame) -> DataFrame:
+    """Each round takes the calls settled last and the dependencies still open, both of which it writes out, so that
+    what is settled is not read again; there are as many rounds as levels."""
     ids = ["conv_id", "call_id"]
     renamed = lambda df: df.select(F.col("conv_id").alias("c"), F.col("call_id").alias("i"))
     same = lambda call: F.col("conv_id").eqNullSafe(F.col("c")) & (F.col(call) == F.col("i"))
@@ -110,6 +108,36 @@ def topological_levels(calls: DataFrame) -> DataFrame:
     return settled
 
 
+def _levels_in_rows(calls: DataFrame) -> DataFrame:
+    """The calls of a conversation in one row: dependencies are places in it, and levels settle in as many steps as it has calls."""
+    rows = calls.groupBy("conv_id").agg(F.collect_list(F.struct("call_id", F.coalesce(F.array_distinct("depends_on"), F.array().cast("array<string>")).alias("needs"))).alias("c"))
+    rows = rows.select("conv_id", F.col("c.call_id").alias("ids"), F.col("c.needs").alias("names"))
+    rows = rows.select("conv_id", "ids", F.expr("transform(names, x -> transform(x, d -> int(array_position(ids, d))))").alias("needs"))
+    # A place of 0 is a call that does not exist, so it has no level, ever.
+    settled = "forall(x, p -> p > 0 and get(levels, p - 1) is not null)"
+    step = f"transform(needs, x -> if(size(x) = 0, 0, if({settled}, array_max(transform(x, p -> get(levels, p - 1))) + 1, null)))"
+    first = "transform(needs, x -> if(size(x) = 0, 0, int(null)))"
+    rows = rows.select("conv_id", "ids", F.expr(f"aggregate(sequence(1, size(ids)), {first}, (levels, turn) -> {step})").alias("levels"))
+    return rows.select("conv_id", F.inline(F.arrays_zip(F.col("ids").alias("call_id"), F.col("levels").alias("level")))).filter("level is not null")
+
+
+def topological_levels(calls: DataFrame, in_row: int = IN_ROW) -> DataFrame:
+    """conv_id, call_id, level: 0 without dependencies, else one more than the highest of them.
+
+    Calls on a cycle, behind one, or behind a call that doesn't exist get no row. A null conv_id is a conversation of
+    its own; no calls give no rows. Conversations of at most ``in_row`` calls are put in order inside a row each,
+    whatever their levels; longer ones by rounds over all of them, one for each level.
+    """
+    large = materialise(calls.groupBy("conv_id").agg(F.count("*").alias("n")).filter(F.col("n") > in_row).select(F.col("conv_id").alias("c")))
+    if not large.take(1):
+        discard(large)
+        return _levels_in_rows(calls)
+    same = F.col("conv_id").eqNullSafe(F.col("c"))
+    ids = ["conv_id", "call_id", "level"]
+    long_ones = _levels_by_rounds(materialise(calls.join(large, same, "left_semi")))
+    return _levels_in_rows(calls.join(large, same, "left_anti")).select(*ids).unionByName(long_ones.select(*ids))
+
+
 def link_tool_calls(messages: DataFrame, tools: tuple[Tool, ...]) -> DataFrame:
     """One row per call, and per identifier that only results name.
 

@@ -1,4 +1,5 @@
 import json
+import random
 
 from siltworks.llm import toolcalls
 from siltworks.llm.toolcalls import Tool
@@ -102,3 +103,42 @@ def test_conversations_match_sql(spark, small):
 def test_no_python_on_the_way(spark, small):
     plan = toolcalls.chat_report(spark.read.parquet(f"{small}/conversations.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def some_calls(rng, conversations, most):
+    rows = []
+    for c in range(conversations):
+        n = rng.randrange(1, most)
+        for i in range(n):
+            needs = rng.choice([None, [], [f"k{rng.randrange(n)}"], [f"k{max(0, i - 1)}"] if i else [], [f"k{rng.randrange(i)}" for _ in range(3)] if i else [], ["ghost"] if rng.random() < 0.1 else [], [None] if rng.random() < 0.1 else []])
+            rows.append((c if c else None, f"k{i}", needs))
+    return rows
+
+
+def levels_of(rows):
+    out = {}
+    while True:
+        new = {(c, i): 1 + max((out[c, d] for d in set(needs or [])), default=-1) for c, i, needs in rows if (c, i) not in out and all((c, d) in out for d in needs or [])}
+        if not new:
+            return out
+        out |= new
+
+
+def test_levels_in_rows_and_by_rounds_agree(spark):
+    rows = some_calls(random.Random(3), 40, 14)
+    calls = spark.createDataFrame(rows, "conv_id long, call_id string, depends_on array<string>")
+    for in_row in (0, 6, 512):
+        found = {(r.conv_id, r.call_id): r.level for r in toolcalls.topological_levels(calls, in_row).collect()}
+        assert found == levels_of(rows), in_row
+    assert toolcalls.topological_levels(calls.limit(0)).count() == 0
+
+
+def test_a_chain_of_calls_takes_a_few_jobs(spark):
+    rows = [(1, f"k{i}", [f"k{i - 1}"] if i else []) for i in range(500)]
+    calls = spark.createDataFrame(rows, "conv_id long, call_id string, depends_on array<string>")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("chain", "chain")
+    found = {r.call_id: r.level for r in toolcalls.topological_levels(calls).collect()}
+    jobs = len(tracker.getJobIdsForGroup("chain"))
+    spark.sparkContext._jsc.clearJobGroup()
+    assert found == {f"k{i}": i for i in range(500)} and jobs <= 20
