@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltworks.functions.columns import TEMPORAL, col, dtype, free_names, is_numeric, usable
 
@@ -135,25 +136,33 @@ def rows_by_rank(df: DataFrame, name: str, n: int, first: int, last: int) -> Dat
     """Of the ``n`` rows in ascending order of a column (nulls first) those from rank ``first`` up to ``last``, sorted.
 
     Ranks near either end are a top-k. Others are found in rounds: stretches of the order are counted, and only the
-    rows of those that hold the ranks go on. Rows of equal values are in any order.
+    rows of those that hold the ranks go on. Rows of equal values are in the order of a hash of their columns where there are many rows,
+    so that one value may hold them all; else in any.
     """
-    last = min(last, n)
+    last, columns = min(last, n), df.columns
+    order = [name]
+    if last > TOP_ROWS and n - first > TOP_ROWS:
+        (turn,) = free_names(df, "turn")
+        hashed = [col(f.name) for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+        df, order = df.withColumn(turn, F.xxhash64(*hashed)), [name, turn]
     while last > TOP_ROWS and n - first > TOP_ROWS:
-        (stretch,) = free_names(df, "stretch")
-        dealt = df.withColumn(stretch, stretch_of(df, name))
-        counts = sorted(dealt.groupBy(stretch).agg(F.count(F.lit(1)).alias("rows")).collect())
+        dealt, made = _with_stretches(df, order)
+        counts = sorted(tuple(r) for r in dealt.groupBy(*made).agg(F.count(F.lit(1)).alias("rows")).collect())
         below, held, kept = 0, 0, []
-        for number, rows in counts:
+        for *number, rows in counts:
             if below + held + rows <= first:
                 below += rows
             elif below + held < last:
                 held += rows
                 kept.append(number)
         if held == n:
-            break  # one value is all there is, or too much of it
-        df = dealt.filter(F.col(stretch).between(kept[0], kept[-1])).drop(stretch)
+            break  # equal rows, which are the same in any order
+        place = F.struct(*made)
+        end = lambda numbers: F.struct(*[F.lit(x).alias(m) for x, m in zip(numbers, made)])
+        df = dealt.filter((place >= end(kept[0])) & (place <= end(kept[-1]))).drop(*made)
         n, first, last = held, first - below, last - below
-    size = max(0, last - first)
+    size, along = max(0, last - first), [col(c).asc_nulls_first() for c in order]
     if last <= n - first:
-        return df.orderBy(col(name).asc_nulls_first()).offset(first).limit(size)
-    return df.orderBy(col(name).desc_nulls_last()).offset(n - last).limit(size).orderBy(col(name).asc_nulls_first())
+        return df.orderBy(*along).offset(first).limit(size).select(*map(col, columns))
+    back = df.orderBy(*[col(c).desc_nulls_last() for c in order]).offset(n - last).limit(size)
+    return back.orderBy(*along).select(*map(col, columns))

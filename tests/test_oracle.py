@@ -17,9 +17,8 @@ def test_query_matches_sql(spark, small, con, name):
     same_rows(own.QUERIES[name](spark, small), con, own.ORACLE[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(own.QUERIES) - set(own.ORACLE)))
-def test_query_without_sql_has_rows(spark, small, name):
-    assert own.QUERIES[name](spark, small).count() > 0
+def test_every_query_has_sql():
+    assert set(own.QUERIES) == set(own.ORACLE)
 
 
 def test_entry(spark):

@@ -142,3 +142,19 @@ def test_names_of_flags_and_written_steps(spark):
     p = Pipeline().with_step("missing_values", [{"column": "v", "action": "median"}]).with_step("duplicates", [{"columns": ["v"], "action": "first"}]).with_step("outliers", [{"column": "v", "method": "iqr", "action": "cap"}])
     df = df.drop("IS_OUTLIER_v")
     assert p.apply(df, order_by="i", written=True).exceptAll(p.apply(df, order_by="i")).count() == 0
+
+
+@pytest.mark.parametrize("hot", [0.0, 0.7, 1.0])
+def test_pages_inside_a_hot_value(spark, monkeypatch, hot):
+    """Pages of an order where one value holds most rows, or all: each row is on one page, and no page sorts them all."""
+    monkeypatch.setattr(order, "TOP_ROWS", 300)
+    df = spark.range(4000).select("id", F.when(F.col("id") % 1000 < 1000 * hot, 5).otherwise(F.col("id") % 997).alias("v"), F.lit("x").alias("turn"))
+    seen, last = [], None
+    for first in range(0, 4000, 800):
+        page = order.rows_by_rank(df, "v", 4000, first, first + 800).collect()
+        assert len(page) == 800 and [r.v for r in page] == sorted(r.v for r in page) and (last is None or page[0].v >= last)
+        seen += [r.id for r in page]
+        last = page[-1].v
+    assert sorted(seen) == list(range(4000))
+    equal = spark.range(2000).select(F.lit(1).alias("v"))
+    assert order.rows_by_rank(equal, "v", 2000, 900, 1100).count() == 200
