@@ -7,7 +7,9 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from siltworks.functions.columns import missing
 from siltworks.operators.duplicates import apply_duplicates
 from siltworks.operators.formats import apply_formats
 from siltworks.operators.missing import apply_missing
@@ -73,6 +75,23 @@ class Pipeline:
                 df = apply_outliers(df, rules, approximate, order_by, partition_by)
         return df
 
+    def trace(self, df: DataFrame, order_by: str | list[str] | None = None, partition_by: list[str] | None = None, on_error: str = "raise") -> DataFrame:
+        """step_no, step, n_rows, n_missing: rows and missing cells before the first step (0) and after each.
+
+        Each step's result is written to the shared folder and counted there, so no step is computed twice.
+        """
+        spark, rows, steps = df.sparkSession, [], [(0, "", df), *[(i, s[0], s) for i, s in enumerate(self.steps, 1)]]
+        for number, name, step in steps:
+            if number:
+                df = Pipeline((step,)).apply(df, order_by, partition_by, on_error)
+                path = scratch_path(spark, "trace")
+                df.write.parquet(path)
+                df = spark.read.schema(df.schema).parquet(path)
+            gone = [F.count_if(missing(df, c)) for c in df.columns]
+            counts = df.agg(F.count(F.lit(1)).alias("n"), *[g.alias(f"m{i}") for i, g in enumerate(gone)]).first()
+            rows.append((number, name, counts[0], sum(counts[1:])))
+        return spark.createDataFrame(rows, "step_no int, step string, n_rows long, n_missing long")
+
     def history(self) -> list[tuple[int, str, str, str, str]]:
         """step_no, step, target, action, parameters of each rule."""
         out = []

@@ -465,11 +465,16 @@ def pipeline_full(spark, sf_dir):
 
 @query(
     "pipeline_history",
-    """SELECT * FROM (VALUES (1, 'formats', 'user_id', 'to_string', ''), (2, 'missing_values', 'value', 'median', ''), (2, 'missing_values', 'event_type', 'constant', '{"value": "unknown"}'),
-      (3, 'duplicates', 'user_id, event_type', 'first', ''), (4, 'outliers', 'value', 'cap', '{"iqr_k": 1.5, "method": "iqr"}')) t(step_no, step, target, action, parameters)""",
+    f"""WITH {EV}, n AS (SELECT count(*) AS n, count(*) - count(event_type) AS t, count(*) - count(value) AS v FROM ev), d AS (SELECT count(*) AS n FROM (SELECT DISTINCT user_id, coalesce(event_type, 'unknown') FROM ev)), r AS (
+        SELECT 1 AS step_no, n AS n_rows, t + v AS n_missing FROM n UNION ALL SELECT 2, n, 0 FROM n UNION ALL SELECT 3, n, 0 FROM d UNION ALL SELECT 4, n, 0 FROM d)
+      SELECT t.*, n_rows, n_missing FROM (VALUES (1, 'formats', 'user_id', 'to_string', ''), (2, 'missing_values', 'value', 'median', ''), (2, 'missing_values', 'event_type', 'constant', '{{"value": "unknown"}}'),
+      (3, 'duplicates', 'user_id, event_type', 'first', ''), (4, 'outliers', 'value', 'cap', '{{"iqr_k": 1.5, "method": "iqr"}}')) t(step_no, step, target, action, parameters) JOIN r USING (step_no)""",
 )
 def pipeline_history(spark, sf_dir):
-    return Pipeline.from_json(FULL.to_json()).describe(spark)
+    """Each rule of a stored pipeline with the rows and missing cells that its step left."""
+    p = Pipeline.from_json(FULL.to_json())
+    counts = p.trace(fixtures.events_gaps(spark, sf_dir), order_by="event_id", on_error="null").drop("step")
+    return p.describe(spark).join(counts, "step_no")
 
 
 # Preparation
@@ -871,15 +876,17 @@ def json_lines_sniffed(spark, sf_dir):
     return files.read_dataset(spark, path, "json").select(*_NATION_COLUMNS)
 
 
-@query("format_gate", "SELECT * FROM (VALUES ('a.csv', 'csv'), ('b.JSON', 'json'), ('dir/c.parquet/', 'parquet'), ('d.xlsx', NULL), ('e', NULL)) t(path, kind)")
+@query("format_gate", "SELECT f.name, f.kind, CASE WHEN f.kind IS NOT NULL THEN n END AS n_rows FROM (VALUES ('c.csv', 'csv'), ('c.json', 'json'), ('c.parquet', 'parquet'), ('c.xlsx', NULL)) f(name, kind), (SELECT count(*) AS n FROM customer)")
 def format_gate(spark, sf_dir):
-    rows = []
-    for path in ("a.csv", "b.JSON", "dir/c.parquet/", "d.xlsx", "e"):
+    """The customers in files whose names tell their formats, read by those names; other names are refused."""
+    root, rows = scratch_path(spark, "gate"), []
+    for name in ("c.csv", "c.json", "c.parquet", "c.xlsx"):
         try:
-            rows.append((path, files.format_of(path)))
+            files.write_dataset(fixtures.load(spark, sf_dir, "customer"), f"{root}/{name}", name.rpartition(".")[2])
+            rows.append((name, files.format_of(f"{root}/{name}"), files.read_dataset(spark, f"{root}/{name}").count()))
         except ValueError:
-            rows.append((path, None))
-    return spark.createDataFrame(rows, "path string, kind string")
+            rows.append((name, None, None))
+    return spark.createDataFrame(rows, "name string, kind string, n_rows long")
 
 
 @query("dataset_card", f"SELECT 'orders' AS name, count(*) AS row_count, 3::BIGINT AS column_count, CAST(count_if(lower(trim({MARKED})) IN ('', 'na', 'null')) AS BIGINT) AS replaced_status, true AS has_size, true AS has_time FROM orders")
@@ -901,12 +908,13 @@ def preview_typed(spark, sf_dir):
     return normalise.typed_preview(nation.orderBy("n_nationkey"))
 
 
-@query("session_settings", """SELECT * FROM (VALUES ('spark.master', 'SILTWORKS_MASTER', 'local[*]'), ('spark.driver.memory', 'SILTWORKS_DRIVER_MEMORY', '8g'), ('spark.driver.maxResultSize', 'SILTWORKS_MAX_RESULT', '2g'),
-  ('spark.sql.shuffle.partitions', 'SILTWORKS_SHUFFLE_PARTITIONS', '200'), ('spark.sql.execution.arrow.maxRecordsPerBatch', 'SILTWORKS_ARROW_ROWS', '20000')) t(setting, variable, preset)""")
+@query("session_settings", """SELECT t.*, n_events FROM (VALUES ('spark.master', 'SILTWORKS_MASTER', 'local[*]'), ('spark.driver.memory', 'SILTWORKS_DRIVER_MEMORY', '8g'), ('spark.driver.maxResultSize', 'SILTWORKS_MAX_RESULT', '2g'),
+  ('spark.sql.shuffle.partitions', 'SILTWORKS_SHUFFLE_PARTITIONS', '200'), ('spark.sql.execution.arrow.maxRecordsPerBatch', 'SILTWORKS_ARROW_ROWS', '20000')) t(setting, variable, preset), (SELECT count(*) AS n_events FROM events)""")
 def session_settings(spark, sf_dir):
-    """The settings of a new session and the variables that change them; folders, which follow the machine, are left out."""
+    """The settings of a new session and the variables that change them (folders, which follow the machine, are left out), and the events that the session in use reads."""
     known = [(k, env, default) for k, (env, default) in session.SETTINGS.items() if not k.endswith(".dir")]
-    return spark.createDataFrame(known, "setting string, variable string, preset string")
+    n = fixtures.load(session.session(), sf_dir, "events").count()
+    return spark.createDataFrame([(*k, n) for k in known], "setting string, variable string, preset string, n_events long")
 
 
 # Tables of what is allowed, checks before a treatment, and what a treatment would do
@@ -917,11 +925,15 @@ _ALLOWED = {
 }
 
 
-@query("allowed_actions", "SELECT * FROM (VALUES " + ", ".join(f"('{step}', '{kind}', '{actions}')" for step, kinds in _ALLOWED.items() for kind, actions in kinds.items()) + ") t(step, kind, actions)")
+_KINDS = {"event_id": "numeric", "ts": "temporal", "user_id": "numeric", "event_type": "string", "value": "numeric", "props": "string"}
+
+
+@query("allowed_actions", f"WITH {EV} " + " UNION ALL ".join(f"SELECT '{c}' AS column_name, '{step}' AS step, '{kinds[_KINDS[c]]}' AS actions, count(*) - count({c}) AS n_missing FROM ev" for step, kinds in _ALLOWED.items() for c in EVENTS))
 def allowed_actions(spark, sf_dir):
-    kinds = {"string": T.StringType(), "numeric": T.DoubleType(), "boolean": T.BooleanType(), "temporal": T.DateType()}
-    found = [(step, name, ",".join(sorted(given(kind)))) for step, given in (("format", formats.allowed_format_actions), ("missing", missing.allowed_missing_strategies)) for name, kind in kinds.items()]
-    return spark.createDataFrame(found, "step string, kind string, actions string")
+    """What is offered for each column of the events, and how many of its values are missing."""
+    ev = fixtures.events_gaps(spark, sf_dir)
+    offered = [(f.name, step, ",".join(sorted(given(f.dataType)))) for step, given in (("format", formats.allowed_format_actions), ("missing", missing.allowed_missing_strategies)) for f in ev.schema]
+    return spark.createDataFrame(offered, "column_name string, step string, actions string").join(missing.missing_counts(ev), "column_name")
 
 
 @query("format_validation", f"""SELECT 'price_txt' AS column_name, 'to_integer' AS action, CAST(count_if({CENTS} % 100 <> 0) AS BIGINT) AS n_bad,
@@ -1009,14 +1021,18 @@ def missing_preview_numeric(spark, sf_dir):
 # Pipelines as values, and windows of a stream
 
 
-@query("pipeline_edited", """SELECT * FROM (VALUES (0, 'dataset', 'name', '', 'events'), (0, 'dataset', 'row_count', '', '3'), (1, 'outliers', 'value', 'cap', '{"method": "z"}'), (2, 'formats', 'user_id', 'to_string', '')) t(step_no, step, target, action, parameters)""")
+@query("pipeline_edited", """SELECT t.*, n AS n_rows FROM (SELECT 0 AS step_no, 'dataset' AS step, 'name' AS target, '' AS action, 'events' AS parameters UNION ALL SELECT 0, 'dataset', 'row_count', '', CAST(count(*) AS VARCHAR) FROM events
+  UNION ALL SELECT 1, 'outliers', 'value', 'cap', '{"method": "z"}' UNION ALL SELECT 2, 'formats', 'user_id', 'to_string', '') t, (SELECT count(*) AS n FROM events)""")
 def pipeline_edited(spark, sf_dir):
-    """A step set again moves to the end, a removed one goes, of two rules for a column the last is in force; a card comes first."""
+    """A step set again moves to the end, a removed one goes, of two rules for a column the last is in force; the card comes first, and the rows that the run leaves stand beside."""
     p = Pipeline().with_step("formats", [{"column": "user_id", "action": "to_integer"}]).with_step("missing", [{"column": "value", "action": "mean"}])
     p = p.with_step("outliers", [{"column": "value", "method": "iqr", "action": "drop"}, {"column": "value", "method": "z", "action": "cap"}])
     p = p.with_step("outliers", p.rules("outliers")).with_step("formats", [{"column": "user_id", "action": "to_string"}]).without("missing_values")
     assert p.cleared() == Pipeline()
-    return p.describe(spark, {"name": "events", "row_count": 3})
+    events = fixtures.load(spark, sf_dir, "events")
+    card = files.dataset_card(events, "events")
+    left = p.apply(events).count()
+    return p.describe(spark, {k: card[k] for k in ("name", "row_count")}).withColumn("n_rows", F.lit(left).cast("long"))
 
 
 @query("completeness_stream", f"WITH {EV} SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n_rows, count(value) AS n_value, count(event_type) AS n_event_type FROM ev GROUP BY 1")
