@@ -41,7 +41,7 @@ def _grams(length: int) -> tuple[int, int]:
 
 
 def _marks(texts: DataFrame, length: int) -> DataFrame:
-    """row, length, mark, low: the least gram hash of a window, where it is not that of the window before, and the window's start.
+    """row, length, mark, low: the least gram hash of a window, where it is not the very gram of the window before, and the window's start.
 
     ``texts`` has ``row`` and word hashes ``hs``. Each place meets the hashes after it in one row, so that grams and their
     least one are compiled expressions, and windows that add nothing go before any shuffle.
@@ -56,7 +56,9 @@ def _marks(texts: DataFrame, length: int) -> DataFrame:
     grams = [F.xxhash64(F.lit(length), *hashes[j : j + k]).alias(f"g{j}") for j in range(w + 1)]
     least = lambda first, last: F.least(*[f"g{j}" for j in range(first, last)]) if last - first > 1 else F.col(f"g{first}")
     placed = places.select("row", "low", hashes[0].isNull().alias("first"), *grams)
-    kept = placed.select("row", "low", least(1, w + 1).alias("mark"), F.when(~F.col("first"), least(0, w)).alias("before")).filter("before is null or before <> mark")
+    # Where the least gram has left and an equal one takes its place, that is one more: none stands for more windows than hold it.
+    marked = placed.select("row", "low", least(1, w + 1).alias("mark"), F.when(~F.col("first"), least(0, w)).alias("before"), F.col("g0").alias("left"))
+    kept = marked.filter("before is null or before <> mark or left = mark")
     return kept.select("row", F.lit(length).alias("length"), "mark", "low")
 
 
