@@ -80,10 +80,10 @@ def _with_stretches(df: DataFrame, names: list[str]) -> tuple[DataFrame, list[st
 def carried(df: DataFrame, what: Column, order_by: list[str], partition_by: list[str], sides: tuple[bool, ...], out: list[str]) -> DataFrame:
     """Add to each row the last (side True) or next (False) non-null ``what`` in order, its own included, as the columns ``out``.
 
-    The order is ascending, nulls first, within the rows of equal ``partition_by``. Keys of at most KEY_ROWS rows are put in order by a task each.
-    Beyond, and without keys, the order is cut into stretches; each stretch of a key is ordered alone, and what
-    is missing at its end comes from the nearest other stretch of the key that has it, found among as many rows as there are
-    stretches. So neither a whole table nor a key that holds much of it is ever one task.
+    The order is ascending, nulls first, within the rows of equal ``partition_by``. Keys of at most KEY_ROWS rows are put in
+    order by a task each. Beyond, and without keys, the order is cut into stretches; each stretch of a key is ordered alone,
+    and what is missing at its end comes from the nearest other stretch of the key that has it, found among as many rows as
+    there are stretches. So neither a whole table nor a key that holds much of it is ever one task.
     """
     keys = [col(c) for c in partition_by]
     upward, downward = [col(c).asc_nulls_first() for c in order_by], [col(c).desc_nulls_last() for c in order_by]
@@ -114,8 +114,8 @@ def carried(df: DataFrame, what: Column, order_by: list[str], partition_by: list
 def interpolated(df: DataFrame, name: str, known: Column, where: Column, order_by: list[str], partition_by: list[str]) -> DataFrame:
     """``name`` as double, where asked for on the line between the last and the next ``known`` value of its key in order.
 
-    The line runs over the first order column, a number or a time. Between values at one place it is level. Without a known value
-    on both sides, or where the place is null, the result is null.
+    The line runs over the first order column, a number or a time. Between values at one place it is level. Without a known
+    value on both sides, or where the place is null, the result is null.
     """
     for c in [*order_by, *partition_by]:
         dtype(df, c)
@@ -136,8 +136,8 @@ def rows_by_rank(df: DataFrame, name: str, n: int, first: int, last: int) -> Dat
     """Of the ``n`` rows in ascending order of a column (nulls first) those from rank ``first`` up to ``last``, sorted.
 
     Ranks near either end are a top-k. Others are found in rounds: stretches of the order are counted, and only the
-    rows of those that hold the ranks go on. Rows of equal values are in the order of a hash of their columns where there are many rows,
-    so that one value may hold them all; else in any.
+    rows of those that hold the ranks go on. Rows of equal values are in the order of a hash of their columns where there are
+    many rows, so that one value may hold them all; else in any.
     """
     last, columns = min(last, n), df.columns
     order = [name]

@@ -10,14 +10,14 @@ from siltworks.functions.order import carried
 
 
 def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by: list[tuple[str, str]] = (), ties: list[str] = (), prefix: str = "right_", tolerance=None) -> DataFrame:
-    """The columns of ``left``, and those of the last row of ``right`` at or before it, their names after ``prefix``; null without any.
+    """The columns of ``left``, and after ``prefix`` those of the last row of ``right`` at or before it; null without any.
 
-    Rows meet where the pairs of columns ``by`` are equal; a null key, or a null place in the order, meets nothing. Of rows of
-    ``right`` at one place the last one by the columns ``ties`` counts. ``tolerance``, a column or number of the order's
+    Rows meet where the pairs of columns ``by`` are equal; a null key, or a null place in the order, meets nothing. Of rows
+    of ``right`` at one place the last one by the columns ``ties`` counts. ``tolerance``, a column or number of the order's
     kind that is added to the right row's place, leaves out what lies further back.
 
-    Both tables are put in one order and the right rows are carried along it, over stretches with a carried row where a key has
-    very many rows: no pair of rows is made but those of the result.
+    Both tables are put in one order and the right rows are carried along it, over stretches with a carried row where a key
+    has very many rows: no pair of rows is made but those of the result.
     """
     pairs = [(f"k{i}", a, b) for i, (a, b) in enumerate(by)]
     kind = dtype(right, right_on)

@@ -46,8 +46,8 @@ def _changes(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
 def cell_changes(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
     """column_name, kind, n: the changes from one frame to another, whose rows are told by ``keys``, by column and kind.
 
-    Kinds: nulled, filled, changed; row gone, row new, and repeated key (rows of a key that several of a frame have, which are not
-    compared) without a column. NaN in a floating column is missing. Columns of one frame only are left out. Equal keys compare
+    Kinds: nulled, filled, changed; without a column row gone, row new, and repeated key (one that several rows of a frame
+    have, which are not compared). NaN in a floating column is missing. Columns of one frame only are left out. Keys compare
     null-safely. A column whose type changed is compared as numbers, or as text.
     """
     return _changes(before, after, keys).groupBy("column_name", "kind").agg(F.count(F.lit(1)).alias("n"))

@@ -55,9 +55,8 @@ def _readings(df: DataFrame, name: str) -> list[tuple[Shape, list[Column]]]:
 def date_formats(df: DataFrame, name: str) -> dict[str, str]:
     """The format of each shape that the column's values have, by one aggregate.
 
-    A shape that is read by day before month and by month before day has the one that reads all of its values; a day
-    above twelve tells. Values that only one of the two reads, for either, raise ValueError if others remain that
-    both read as different dates, and so does a shape that nothing tells, with the numbers of each kind.
+    Where a shape can have the day first or the month first, a day above twelve tells which. Where values tell both, or
+    none does, and others remain that the two read as different dates, it raises ValueError with the numbers of each kind.
     """
     readings, wanted = _readings(df, name), []
     for shape, read in readings:
@@ -78,7 +77,7 @@ def date_formats(df: DataFrame, name: str) -> dict[str, str]:
 def read_dates(df: DataFrame, name: str, formats: dict[str, str]) -> Column:
     """The date that a text of any shape has, null for others; times of day and zones are left out.
 
-    ``formats`` are those that ``date_formats`` found. Values that a shape's format cannot read are read by its other one.
+    ``formats`` are those that ``date_formats`` found. What a shape's format cannot read is read by its other one.
     """
     read = [c for shape, columns in _readings(df, name) for _, c in sorted(zip(shape.formats, columns), key=lambda x: x[0] != formats.get(shape.name))]
     return F.coalesce(*read)

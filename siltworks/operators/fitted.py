@@ -32,10 +32,11 @@ class Fitted:
             raise ValueError(f"unknown kind or rule: {self.kind}, {self.unseen}")
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """``df`` prepared by what was fitted; it need not hold any row of the fit. Missing values stay missing, or 0 in all of onehot's columns.
+        """``df`` prepared by what was fitted; it need not hold any row of the fit.
 
-        Values unseen by onehot and ordinal: ignore gives zeros or null; other a column ``<name>_other``, or the place after the last;
-        raise looks at the data once and raises with their number.
+        Missing values stay missing, or are 0 in all of onehot's columns. Values unseen by onehot and ordinal: ignore gives
+        zeros or null; other a column ``<name>_other``, or the place after the last; raise looks at the data once and raises
+        with their number.
         """
         if self.kind in ("standard", "minmax", "robust"):
             return prepare.scaled(df, list(self.names), [tuple(s) for s in self.state])
@@ -66,7 +67,7 @@ class Fitted:
 
 
 def fit(df: DataFrame, kind: str, names: str | list[str], unseen: str = "ignore", approximate: bool = False) -> Fitted:
-    """Fit one column's values (onehot, ordinal; at most ``prepare.MAX_CATEGORIES``) or the scales of several columns, in the passes of one."""
+    """Fit one column's values (onehot, ordinal; at most ``prepare.MAX_CATEGORIES``) or the scales of several columns at once."""
     names = [names] if isinstance(names, str) else list(names)
     if kind in ("onehot", "ordinal"):
         if len(names) != 1:
@@ -102,9 +103,10 @@ def dictionary(df: DataFrame, name: str) -> DataFrame:
 
 
 def sparse_one_hot(df: DataFrame, name: str, places: DataFrame, out: str | None = None) -> DataFrame:
-    """The column as a sparse vector of as many entries as ``places`` (a ``dictionary``) has: 1 at the value's place; missing and unseen values have none.
+    """The column as a sparse vector of as many entries as ``places`` (a ``dictionary``) has, with 1 at the value's place.
 
-    For columns of any number of values: the dictionary is joined, not spelled out in the plan. ``out`` names the vector, by default as the column.
+    Missing and unseen values have no entry. For columns of any number of values: the dictionary is joined, not spelled out
+    in the plan. ``out`` names the vector, by default as the column.
     """
     from pyspark.ml.feature import OneHotEncoderModel, OneHotEncoder
 

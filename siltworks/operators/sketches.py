@@ -41,8 +41,8 @@ def sketch_columns(df: DataFrame, names: list[str] | None = None, by: list[str]
 def unite_profiles(sketches: DataFrame, shares: list[float] = (0.25, 0.5, 0.75)) -> DataFrame:
     """column_name, n_rows, n_present, n_distinct, low, high, quantiles (at ``shares``) of all parts together.
 
-    Counts and ends are exact, n_distinct is within 2.4 % and the quantiles' ranks within 0.25 % in nearly all cases. Quantiles are
-    null where there are no numbers. No parts give no rows.
+    Counts and ends are exact, n_distinct is within 2.4 % and the quantiles' ranks within 0.25 % in nearly all cases.
+    Quantiles are null where there are no numbers. No parts give no rows.
     """
     ranks = F.kll_merge_agg_double("ranks")
     merged = sketches.groupBy("column_name").agg(
@@ -56,9 +56,9 @@ def unite_profiles(sketches: DataFrame, shares: list[float] = (0.25, 0.5, 0.75))
 def heavy_hitters(df: DataFrame, name: str, k: int = 50, tracked: int = TRACKED) -> DataFrame:
     """value, n, pct of the ``k`` most frequent values, as ``profile.top_values`` gives them, without shuffling all values.
 
-    One pass keeps a bounded summary and names candidates; a second counts those exactly, by a join with at most SPARE * k rows. A
-    value that the summary does not name occurs no more often than its bound says. Where that does not settle the last place, because
-    the values are too even, all values are counted after all.
+    One pass keeps a bounded summary and names candidates; a second counts those exactly, by a join with at most SPARE * k
+    rows. A value that the summary does not name occurs no more often than its bound says. Where that does not settle the
+    last place, because the values are too even, all values are counted after all.
     """
     # A null is a value, too; a mark tells it from the empty text.
     marked = df.select(F.coalesce(F.concat(F.lit("="), as_text(df, name)), F.lit("")).alias("v"))

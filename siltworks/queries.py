@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from siltworks import fixtures
 from siltworks.operators import asof, changes, duplicates, fitted, formats, missing, normalise, outliers, prepare, profile, sketches
