@@ -43,23 +43,19 @@ def _grams(length: int) -> tuple[int, int]:
 def _marks(texts: DataFrame, length: int) -> DataFrame:
     """row, length, mark, low: the least gram hash of a window, where it is not the very gram of the window before, and the window's start.
 
-    ``texts`` has ``row`` and word hashes ``hs``. Each place meets the hashes after it in one row, so that grams and their
-    least one are compiled expressions, and windows that add nothing go before any shuffle.
+    ``texts`` has ``row``, ``text``, the words joined by blanks, and ``n``, their number. Each gram is hashed once. Places
+    and their least grams are compiled expressions whose code is as short for any window: the JVM never compiles a method
+    of more than 8000 bytes. Windows that add nothing go before any shuffle.
     """
     k, w = _grams(length)
-    before = F.concat(F.array(F.lit(None).cast("bigint")), "hs")
-    shifted = [F.expr(f"slice(hs, {j + 1}, size(hs) + 1)").alias(f"h{j}") for j in range(length)]
-    places = texts.select("row", F.posexplode(F.arrays_zip(before.alias("p"), *shifted)).alias("low", "z"))
-    hashes = [F.col("z.p"), *[F.col(f"z.h{j}") for j in range(length)]]
-    places = places.filter(hashes[-1].isNotNull())
-    # The gram that the window before begins with, then this window's own.
-    grams = [F.xxhash64(F.lit(length), *hashes[j : j + k]).alias(f"g{j}") for j in range(w + 1)]
-    least = lambda first, last: F.least(*[f"g{j}" for j in range(first, last)]) if last - first > 1 else F.col(f"g{first}")
-    placed = places.select("row", "low", hashes[0].isNull().alias("first"), *grams)
-    # Where the least gram has left and an equal one takes its place, that is one more: none stands for more windows than hold it.
-    marked = placed.select("row", "low", least(1, w + 1).alias("mark"), F.when(~F.col("first"), least(0, w)).alias("before"), F.col("g0").alias("left"))
-    kept = marked.filter("before is null or before <> mark or left = mark")
-    return kept.select("row", F.lit(length).alias("length"), "mark", "low")
+    hashed = texts.filter(F.col("n") >= length).select("row", F.expr("transform(split(text, ' '), w -> xxhash64(w))").alias("hs"))
+    gram = ", ".join(["h", *[f"get(hs, i + {j})" for j in range(1, k)]])
+    grams = hashed.select("row", F.expr(f"transform(slice(hs, 1, size(hs) - {k - 1}), (h, i) -> xxhash64({length}, {gram}))").alias("gs"))
+    places = grams.select("row", "gs", F.explode(F.expr(f"sequence(0, size(gs) - {w})")).alias("low"))
+    # A window adds nothing if its least gram is neither the one that has come nor follows an equal or lesser one that has
+    # left: none stands for more windows than hold it. Where one that has come equals the least, that is one more.
+    adds = f"low = 0 or coalesce(array_min(slice(gs, low + 1, {w - 1})) >= least(get(gs, low - 1), get(gs, low + {w - 1})), true)"
+    return places.filter(adds).select("row", F.lit(length).alias("length"), F.expr(f"array_min(slice(gs, low + 1, {w}))").alias("mark"), "low")
 
 
 def _item_windows(items: DataFrame, window: int) -> DataFrame:
@@ -74,8 +70,8 @@ def _marked(windows: DataFrame, lengths: list[int]) -> DataFrame:
     """text, mark and the class of each distinct window; a class (c1, c2) is 128 bits that tell the set of its items."""
     item = lambda salt: F.expr(f"bit_xor(xxhash64({salt}, item))")
     df = windows.groupBy("text", "length").agg(item(0).alias("c1"), item(1).alias("c2"))
-    hashed = df.select(F.struct("text", "c1", "c2").alias("row"), "length", F.expr("transform(split(text, ' '), w -> xxhash64(w))").alias("hs"))
-    return materialise(reduce(DataFrame.unionByName, [_marks(hashed.filter(F.col("length") == n), n) for n in lengths]).select("row.*", "mark"))
+    texts = df.select(F.struct("text", "c1", "c2").alias("row"), "text", F.col("length").alias("n"))
+    return materialise(reduce(DataFrame.unionByName, [_marks(texts.filter(F.col("n") == n), n) for n in lengths]).select("row.*", "mark"))
 
 
 def _with_spans(df: DataFrame, window: int) -> DataFrame:
@@ -101,8 +97,7 @@ def _found(docs: DataFrame, text: Column, rest: Column, items: DataFrame, window
         return texts.select("rest", "n", F.array().cast(_SPANS).alias("found"), F.array().cast("array<string>").alias("of"))
     marked = _marked(windows, lengths)
     marks = materialise(marked.select("mark").distinct())
-    hashed = texts.filter("n > 0").select("row", F.expr("transform(split(text, ' '), w -> xxhash64(w))").alias("hs"))
-    met = reduce(DataFrame.unionByName, [_marks(hashed, n) for n in lengths]).join(marks, "mark", "left_semi")
+    met = reduce(DataFrame.unionByName, [_marks(texts, n) for n in lengths]).join(marks, "mark", "left_semi")
     met = materialise(met.groupBy("row").agg(F.collect_list(F.struct("length", "low")).alias("met")))
 
     # The hits, extended on the words: a gram is the least one of as many windows as a window has grams, at most.

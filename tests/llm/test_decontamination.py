@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from siltworks.llm import decontamination
 from siltworks.llm.decontamination import contamination_report, find_contamination
@@ -124,3 +125,22 @@ def test_same_as_sql(spark, small):
 @pytest.mark.parametrize("n", [4, 60])
 def test_repeats_inside_items_and_documents(spark, n):
     check(spark, ["a " * n + "b", "a b " * n, "c " * 12], [(1, "a " * n), (2, "a b " * 20), (3, "c " * 11)])
+
+
+@pytest.mark.parametrize("window", [10, 50])
+def test_marks_are_code_that_the_jvm_compiles(spark, window):
+    """The JVM leaves methods of more than 8000 bytes to its interpreter, which takes ten times as long."""
+    texts = spark.createDataFrame([(1, 3, "a b c")], "row long, n int, text string")
+    texts = texts.withColumn("hs", F.expr("transform(split(text, ' '), w -> xxhash64(w))"))
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+    code = decontamination._marks(texts, window)._jdf.queryExecution().explainString(mode)
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert sizes and max(sizes) < 8000
+
+
+def test_a_window_of_many_words(spark):
+    rng = random.Random(8)
+    text = lambda n: " ".join(rng.choice("abcd") for _ in range(n))
+    items = [(1, text(90)), (2, text(50)), (3, "a " * 60)]
+    docs = [f"{text(30)} {' '.join(words(items[n % 3][1])[n % 7 : n % 7 + 43 + n % 11])} {text(9)}" for n in range(40)]
+    check(spark, docs, items, 47)
